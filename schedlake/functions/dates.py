@@ -1,12 +1,9 @@
-"""Dates in text as column expressions: find, validate, keep both readings."""
+"""Dates in text as SQL expressions: find, validate, keep both readings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from schedlake.functions import vocabulary as V
-from schedlake.functions.spans import clean, spans
+from schedlake.functions.spans import raw, spans
 
 # Families in the order in which ties are settled.
 ISO, DAY_MONTH, MONTH_DAY, NUMERIC, WEEKDAY = range(5)
@@ -18,142 +15,138 @@ PATTERNS = {
     WEEKDAY: V.WEEKDAY_NAME,
 }
 DAY_FIRST, MONTH_FIRST = "DayFirst", "MonthFirst"
+TOKENS = "array<struct<start:int,neg_len:int,family:int,raw:string>>"
+NO_TOKENS = f"CAST(array() AS {TOKENS})"
+# Cheap tests that decide whether a family's full pattern is tried at all.
+_MONTH_STEM = r"(?i)\d.*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\d"
+_GATES = {
+    ISO: r"\d{4}-\d",
+    DAY_MONTH: _MONTH_STEM,
+    MONTH_DAY: _MONTH_STEM,
+    NUMERIC: r"\d\s*[/.\-]\s*\d",
+    WEEKDAY: V.WEEKDAY_NAME,
+}
 
 
-def date_tokens(text: Column) -> Column:
+def date_tokens(text: str) -> str:
     """All candidates of every family, ordered by start, longer first, family."""
-    text = clean(text)
-    found = []
-
-    def tag(family: int):
-        return lambda s: F.struct(
-            s["start"].alias("start"),
-            (-F.length(s["raw"])).alias("neg_len"),
-            F.lit(family).alias("family"),
-            s["raw"].alias("raw"),
-        )
-
-    for family, pattern in PATTERNS.items():
-        hits = F.transform(spans(text, pattern), tag(family))
-        gate = text.rlike(V.WEEKDAY_NAME) if family == WEEKDAY else text.rlike(r"\d")
-        empty = F.array().cast("array<struct<start:int,neg_len:int,family:int,raw:string>>")
-        found.append(F.when(gate, hits).otherwise(empty))
-    return F.array_sort(F.concat(*found))
-
-
-def drop_overlaps(tokens: Column) -> Column:
-    """Greedy: a token survives when it starts after the last survivor ended."""
-    empty = F.array().cast("array<struct<start:int,neg_len:int,family:int,raw:string>>")
+    found = [
+        f"IF({text} RLIKE {raw(_GATES[family])}, transform({spans(text, pattern)}, s -> named_struct("
+        f"'start', s.start, 'neg_len', -length(s.raw), 'family', {family}, 'raw', s.raw)), {NO_TOKENS})"
+        for family, pattern in PATTERNS.items()
+    ]
+    return f"array_sort(concat({', '.join(found)}))"
 
-    def step(kept: Column, token: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        free = last.isNull() | (token["start"] >= last["start"] - last["neg_len"])
-        return F.when(free, F.concat(kept, F.array(token))).otherwise(kept)
 
-    return F.aggregate(tokens, empty, step)
+def drop_overlaps(tokens: str) -> str:
+    """Greedy: a token survives when it starts after the last survivor ended."""
+    last = "try_element_at(kept, -1)"
+    return (
+        f"aggregate({tokens}, {NO_TOKENS}, (kept, t) -> IF({last} IS NULL OR t.start >= {last}.start - {last}.neg_len, "
+        "concat(kept, array(t)), kept))"
+    )
 
 
-def full_year(raw: Column) -> Column:
+def full_year(text: str) -> str:
     """Four digits as written; two digits within fifty years of the pivot."""
-    value = raw.try_cast("int")
     century = V.PIVOT_YEAR // 100 * 100
-    windowed = F.when(century + value - V.PIVOT_YEAR > 50, century - 100 + value).otherwise(century + value)
-    return F.when(F.length(raw) == 4, value).otherwise(windowed)
+    value = f"try_cast({text} AS INT)"
+    return (
+        f"CASE WHEN length({text}) = 4 THEN {value} "
+        f"WHEN {century} + {value} - {V.PIVOT_YEAR} > 50 THEN {century - 100} + {value} ELSE {century} + {value} END"
+    )
 
 
-def month_number(name: Column) -> Column:
-    stems = "".join(m[:3].lower() for m in V.MONTH_NAMES)
-    return ((F.instr(F.lit(stems), F.lower(F.substring(name, 1, 3))) + 2) / 3).try_cast("int")
+def _stem_number(name: str, names: tuple[str, ...]) -> str:
+    stems = "".join(n[:3].lower() for n in names)
+    return f"CAST((instr('{stems}', lower(substring({name}, 1, 3))) + 2) / 3 AS INT)"
 
 
-def weekday_number(name: Column) -> Column:
-    stems = "".join(d[:3].lower() for d in V.WEEKDAY_NAMES)
-    return ((F.instr(F.lit(stems), F.lower(F.substring(name, 1, 3))) + 2) / 3).try_cast("int")
+def month_number(name: str) -> str:
+    return _stem_number(name, V.MONTH_NAMES)
 
 
-def longest_month(month: Column) -> Column:
-    return (
-        F.when(month == 2, 29)
-        .when(month.isin(4, 6, 9, 11), 30)
-        .when(month.between(1, 12), 31)
-        .otherwise(0)
-    )
+def weekday_number(name: str) -> str:
+    return _stem_number(name, V.WEEKDAY_NAMES)
 
 
-def is_leap(year: Column) -> Column:
-    return ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+def longest_month(month: str) -> str:
+    return (
+        f"CASE WHEN {month} = 2 THEN 29 WHEN {month} IN (4, 6, 9, 11) THEN 30 "
+        f"WHEN {month} BETWEEN 1 AND 12 THEN 31 ELSE 0 END"
+    )
 
 
-def calendar_valid(day: Column, month: Column, year: Column) -> Column:
+def calendar_valid(day: str, month: str, year: str) -> str:
     """Month and day exist; 29 February needs a leap year only when a year is given."""
-    leap_ok = ~((month == 2) & (day == 29)) | year.isNull() | is_leap(year)
-    return F.coalesce(month.between(1, 12) & (day >= 1) & (day <= longest_month(month)) & leap_ok, F.lit(False))
-
-
-def month_name(month: Column) -> Column:
-    return F.try_element_at(F.array(*[F.lit(m) for m in V.MONTH_NAMES]), month)
+    leap = f"(({year} % 4 = 0 AND {year} % 100 <> 0) OR {year} % 400 = 0)"
+    return (
+        f"coalesce({month} BETWEEN 1 AND 12 AND {day} >= 1 AND {day} <= {longest_month(month)} "
+        f"AND (NOT ({month} = 2 AND {day} = 29) OR {year} IS NULL OR {leap}), false)"
+    )
 
 
-def invalid_reason(day: Column, month: Column, year: Column) -> Column:
-    name = month_name(F.when(month.between(1, 12), month))
+def invalid_reason(day: str, month: str, year: str) -> str:
+    names = ", ".join(f"'{m}'" for m in V.MONTH_NAMES)
+    name = f"try_element_at(array({names}), IF({month} BETWEEN 1 AND 12, {month}, NULL))"
     return (
-        F.when(~month.between(1, 12), F.concat(F.lit("there is no month "), month.cast("string")))
-        .when(day < 1, F.concat(F.lit("there is no day "), day.cast("string")))
-        .when(day > longest_month(month), F.concat(name, F.lit(" doesn't have "), day.cast("string"), F.lit(" days")))
-        .otherwise(
-            F.concat(name, F.lit(" "), day.cast("string"), F.lit(" isn't a real date in "), year.cast("string"))
-        )
+        f"CASE WHEN NOT {month} BETWEEN 1 AND 12 THEN concat('there is no month ', {month}) "
+        f"WHEN {day} < 1 THEN concat('there is no day ', {day}) "
+        f"WHEN {day} > {longest_month(month)} THEN concat({name}, ' doesn\\'t have ', {day}, ' days') "
+        f"ELSE concat({name}, ' ', {day}, ' isn\\'t a real date in ', {year}) END"
     )
 
 
-def _group(raw: Column, family: Column, groups: dict[int, int]) -> Column:
-    out = None
-    for fam, g in groups.items():
-        piece = F.regexp_extract(raw, PATTERNS[fam], g)
-        out = F.when(family == fam, piece) if out is None else out.when(family == fam, piece)
-    return out
+# Fixed order of the groups of each pattern: first number, second, year.
+_ORDER = {ISO: "$3|$2|$1", DAY_MONTH: "$1|$3|$4", MONTH_DAY: "$2|$1|$4", NUMERIC: "$1|$2|$3"}
 
 
-def token_parts(raw: Column, family: Column) -> dict[str, Column]:
-    """Numbers written in a token: first, second and year as integers (NULL = absent)."""
-    first = _group(raw, family, {ISO: 3, DAY_MONTH: 1, MONTH_DAY: 2, NUMERIC: 1}).try_cast("int")
-    number = _group(raw, family, {ISO: 2, NUMERIC: 2})
-    word = _group(raw, family, {DAY_MONTH: 3, MONTH_DAY: 1})
-    second = F.when(family.isin(ISO, NUMERIC), number.try_cast("int")).when(
-        family.isin(DAY_MONTH, MONTH_DAY), month_number(word)
+def written_parts(token: str, family: str) -> str:
+    """``[first, second, year]`` as written; one pattern match per token."""
+    arms = " ".join(
+        f"WHEN {fam} THEN regexp_replace({token}, {raw(PATTERNS[fam])}, '{order}')" for fam, order in _ORDER.items()
     )
-    year = full_year(_group(raw, family, {ISO: 1, DAY_MONTH: 4, MONTH_DAY: 4, NUMERIC: 3}))
-    return {"first": first, "second": second, "year": year}
+    return f"split(CASE {family} {arms} END, '[|]')"
 
 
-def real_date(day: Column, month: Column, year: Column) -> Column:
-    """A DATE, or NULL where the calendar has no such day or no year was written."""
-    ok = calendar_valid(day, month, year) & year.isNotNull()
-    return F.when(
-        ok,
-        F.make_date(F.when(ok, year).otherwise(2000), F.when(ok, month).otherwise(1), F.when(ok, day).otherwise(1)),
-    )
+def part_numbers(parts: str) -> dict[str, str]:
+    """First and second number and the year of a token as integers (NULL = absent)."""
+    return {
+        "first": f"try_cast({parts}[0] AS INT)",
+        "second": f"coalesce(try_cast({parts}[1] AS INT), {month_number(parts + '[1]')})",
+        "year": full_year(parts + "[2]"),
+    }
 
 
-def holds_reading(text: Column) -> Column:
-    """True when some surviving match can be read as a calendar day."""
+def real_date(day: str, month: str, year: str) -> str:
+    """A DATE, or NULL where the calendar has no such day or no year was written."""
+    return f"try_to_date(concat_ws('-', lpad({year}, 4, '0'), lpad({month}, 2, '0'), lpad({day}, 2, '0')), 'yyyy-MM-dd')"
+
 
-    def readable(token: Column) -> Column:
-        p = token_parts(token["raw"], token["family"])
-        day_first = calendar_valid(p["first"], p["second"], p["year"])
-        month_first = calendar_valid(p["second"], p["first"], p["year"])
-        return (token["family"] != WEEKDAY) & (day_first | ((token["family"] == NUMERIC) & month_first))
+def readings(text: str) -> str:
+    """array<struct<start, raw, first, second, year, family, day_ok, swap_ok>> of surviving dates."""
+    dated = f"filter({drop_overlaps(date_tokens(text))}, t -> t.family <> {WEEKDAY})"
+    parts = f"transform({dated}, t -> named_struct('p', {written_parts('t.raw', 't.family')}, 't', t))"
+    fields = ", ".join(f"'{n}', {e}" for n, e in part_numbers("x.p").items())
+    numbers = f"transform({parts}, x -> named_struct('start', x.t.start, 'raw', x.t.raw, 'family', x.t.family, {fields}))"
+    return (
+        f"transform({numbers}, v -> named_struct('start', v.start, 'raw', v.raw, 'family', v.family, "
+        "'first', v.first, 'second', v.second, 'year', v.year, "
+        f"'day_ok', {calendar_valid('v.first', 'v.second', 'v.year')}, "
+        f"'swap_ok', v.family = {NUMERIC} AND {calendar_valid('v.second', 'v.first', 'v.year')}))"
+    )
 
-    return F.when(
-        text.rlike(r"\d"), F.exists(drop_overlaps(date_tokens(text)), readable)
-    ).otherwise(F.lit(False))
 
+def holds_reading(text: str) -> str:
+    """True when some surviving match can be read as a calendar day."""
+    gate = f"{text} RLIKE {raw(_GATES[NUMERIC] + '|' + _GATES[DAY_MONTH])}"
+    return f"IF({gate}, exists({readings(text)}, r -> r.day_ok OR r.swap_ok), false)"
 
-def names_weekday(text: Column) -> Column:
-    return text.rlike(V.WEEKDAY_NAME)
 
+def names_weekday(text: str) -> str:
+    return f"({text} RLIKE {raw(V.WEEKDAY_NAME)})"
 
-def first_weekday(text: Column) -> Column:
-    hit = F.regexp_extract(text, V.WEEKDAY_NAME, 1)
-    return F.when(hit != "", weekday_number(hit))
 
+def first_weekday(text: str) -> str:
+    hit = f"regexp_extract({text}, {raw(V.WEEKDAY_NAME)}, 1)"
+    return f"nullif({weekday_number(hit)}, 0)"

@@ -2,39 +2,26 @@
 
 ``regexp_extract_all`` returns no offsets, so matches are bracketed by two
 control characters, the text is split on them and a running length gives the
-start of each odd piece.  The whole thing is one column expression.
+start of each odd piece.  Builders here and in the sibling modules return
+Spark SQL expression text, which parses in one call however long it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 OPEN, CLOSE = "\x01", "\x02"
-SPAN = "struct<start:int,raw:string>"
-
-
-def no_spans() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
+SPANS = "array<struct<start:int,raw:string>>"
 
 
-def clean(text: Column) -> Column:
-    """The text with the two bracket characters blanked; offsets do not move."""
-    return F.translate(text, OPEN + CLOSE, "  ")
+def raw(pattern: str) -> str:
+    """A pattern as a raw SQL literal."""
+    return f"r'{pattern}'"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
-    seed = F.struct(
-        F.lit(0).alias("at"), F.lit(False).alias("hit"), no_spans().alias("found")
+def spans(text: str, pattern: str) -> str:
+    pieces = f"split(regexp_replace(translate({text}, '{OPEN}{CLOSE}', '  '), {raw(pattern)}, '{OPEN}$0{CLOSE}'), '[{OPEN}{CLOSE}]')"
+    return (
+        f"aggregate({pieces}, named_struct('at', 0, 'hit', false, 'found', CAST(array() AS {SPANS})), "
+        "(acc, p) -> named_struct('at', acc.at + length(p), 'hit', NOT acc.hit, 'found', "
+        "IF(acc.hit, concat(acc.found, array(named_struct('start', acc.at, 'raw', p))), acc.found)), "
+        "acc -> acc.found)"
     )
-
-    def step(acc: Column, piece: Column) -> Column:
-        span = F.struct(acc["at"].alias("start"), piece.alias("raw"))
-        return F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
-        )
-
-    return F.aggregate(pieces, seed, step, lambda acc: acc["found"])

@@ -1,118 +1,96 @@
-"""Clock times in text as column expressions."""
+"""Clock times in text as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from schedlake.functions import vocabulary as V
-from schedlake.functions.spans import clean, spans
-
-AM, PM, UNSTATED = "Am", "Pm", "Unstated"
-
-
-def _glued_to_date(text: Column, start: Column, raw: Column) -> Column:
-    """A separator and a digit on either side make this part of a numeric date."""
-    after = text.substr(start + F.length(raw) + 1, F.lit(2))
-    before = F.when(start >= 2, text.substr(start - 1, F.lit(2))).otherwise(F.lit(""))
-    return after.rlike(r"^[/.\-]\d") | before.rlike(r"^\d[/.\-]")
+from schedlake.functions.spans import raw, spans
 
+TIMES = "array<struct<start:int,raw:string,is_range:boolean>>"
+NO_TIMES = f"CAST(array() AS {TIMES})"
+# A cheap test passed by every text that holds a time.
+_GATE = r"\d[:.]\d\d|\d\s*[aApP]\.?[mM]|\d\s*(?:[-–—]|to)\s*\d"
 
-def _meridiem(marker: Column) -> Column:
-    plain = F.lower(F.regexp_replace(marker, r"[.\s]", ""))
-    return F.when(plain == "am", AM).when(plain == "pm", PM).otherwise(UNSTATED)
 
-
-def _clock(raw: Column, pattern: str, first_group: int, prefix: str) -> dict[str, Column]:
-    hour = F.regexp_extract(raw, pattern, first_group)
-    minute = F.regexp_extract(raw, pattern, first_group + 1)
-    return {
-        f"{prefix}_hour": F.when(hour != "", hour).try_cast("int"),
-        f"{prefix}_minute": F.when(hour != "", F.when(minute == "", "0").otherwise(minute)).try_cast("int"),
-        f"{prefix}_mer": F.when(hour != "", _meridiem(F.regexp_extract(raw, pattern, first_group + 2))),
-        f"{prefix}_padded": F.coalesce((F.length(hour) == 2) & hour.startswith("0"), F.lit(False)),
-    }
+def _glued_to_date(text: str) -> str:
+    """A separator and a digit on either side make span ``s`` part of a numeric date."""
+    after = f"substring({text}, s.start + length(s.raw) + 1, 2) RLIKE {raw(r'^[/.-][0-9]')}"
+    before = f"s.start >= 2 AND substring({text}, s.start - 1, 2) RLIKE {raw(r'^[0-9][/.-]')}"
+    return f"({after} OR ({before}))"
 
 
-def time_spans(text: Column) -> Column:
+def time_spans(text: str) -> str:
     """Ranges, and singles no range covers, in text order: array<start, raw, is_range>."""
-    text = clean(text)
+    loose = f"NOT {_glued_to_date(text)}"
+    marked = f"s.raw RLIKE {raw(r'^[0-9]{1,2}[:.][0-9]{2}|[aApP][.]?[mM]')}"
+    tag = "s -> named_struct('start', s.start, 'raw', s.raw, 'is_range', {})".format
+    ranges = f"transform(filter({spans(text, V.TIME_RANGE)}, s -> {loose}), {tag('true')})"
+    singles = f"transform(filter({spans(text, V.TIME_SINGLE)}, s -> {marked} AND {loose}), {tag('false')})"
+    covered = (
+        "exists(kept, r -> r.is_range AND r.start <= one.start "
+        "AND one.start + length(one.raw) <= r.start + length(r.raw))"
+    )
+    merged = f"aggregate({singles}, {ranges}, (kept, one) -> IF({covered}, kept, concat(kept, array(one))))"
+    return f"IF({text} RLIKE {raw(_GATE)}, array_sort({merged}), {NO_TIMES})"
 
-    def tag(is_range: bool):
-        return lambda s: F.struct(
-            s["start"].alias("start"), s["raw"].alias("raw"), F.lit(is_range).alias("is_range")
-        )
 
-    ranges = F.transform(
-        F.filter(spans(text, V.TIME_RANGE), lambda s: ~_glued_to_date(text, s["start"], s["raw"])), tag(True)
-    )
-    singles = F.transform(
-        F.filter(
-            spans(text, V.TIME_SINGLE),
-            lambda s: ~_glued_to_date(text, s["start"], s["raw"])
-            & s["raw"].rlike(r"^\d{1,2}[:.]\d{2}|[aApP]\.?[mM]"),
-        ),
-        tag(False),
-    )
+def holds_time(text: str) -> str:
+    return f"(size({time_spans(text)}) > 0)"
 
-    def merge(kept: Column, single: Column) -> Column:
-        covered = F.exists(
-            kept,
-            lambda r: r["is_range"]
-            & (r["start"] <= single["start"])
-            & (single["start"] + F.length(single["raw"]) <= r["start"] + F.length(r["raw"])),
-        )
-        return F.when(covered, kept).otherwise(F.concat(kept, F.array(single)))
 
-    none = F.array().cast("array<struct<start:int,raw:string,is_range:boolean>>")
-    found = F.array_sort(F.aggregate(singles, F.when(text.rlike(r"\d"), ranges).otherwise(none), merge))
-    return F.when(text.rlike(r"\d"), found).otherwise(none)
+def clock_parts(token: str, is_range: str) -> str:
+    """``[hour, minute, marker, hour, minute, marker]`` as written; one match per token."""
+    return (
+        f"split(IF({is_range}, regexp_replace({token}, {raw(V.TIME_RANGE)}, '$1|$2|$3|$4|$5|$6'), "
+        f"regexp_replace({token}, {raw(V.TIME_SINGLE)}, '$1|$2|$3|||')), '[|]')"
+    )
 
 
-def holds_time(text: Column) -> Column:
-    return F.size(time_spans(text)) > 0
+def _meridiem(marker: str) -> str:
+    plain = f"lower(regexp_replace({marker}, '[. ]', ''))"
+    return f"CASE {plain} WHEN 'am' THEN 'Am' WHEN 'pm' THEN 'Pm' ELSE 'Unstated' END"
 
 
-def clock_fields(raw: Column, is_range: Column) -> dict[str, Column]:
+def clock_fields(p: str) -> dict[str, str]:
     """Hour, minute, meridiem and padding of both ends; an end marker governs an unmarked start."""
-    lone = _clock(raw, V.TIME_SINGLE, 1, "start")
-    left = _clock(raw, V.TIME_RANGE, 1, "start")
-    right = _clock(raw, V.TIME_RANGE, 4, "end")
-    out = {name: F.when(is_range, left[name]).otherwise(lone[name]) for name in lone}
-    out |= {name: F.when(is_range, col) for name, col in right.items()}
-    out["end_padded"] = F.coalesce(out["end_padded"], F.lit(False))
-    out["start_mer"] = F.when(
-        is_range & (left["start_mer"] == UNSTATED) & (right["end_mer"] != UNSTATED), right["end_mer"]
-    ).otherwise(out["start_mer"])
-    return out
+    start, end = _meridiem(f"{p}[2]"), f"IF({p}[3] <> '', {_meridiem(p + '[5]')}, NULL)"
+    return {
+        "start_hour": f"try_cast({p}[0] AS INT)",
+        "start_minute": f"coalesce(try_cast({p}[1] AS INT), 0)",
+        "start_mer": f"IF({start} = 'Unstated' AND {p}[3] <> '', {end}, {start})",
+        "start_padded": f"length({p}[0]) = 2 AND {p}[0] LIKE '0%'",
+        "end_hour": f"try_cast({p}[3] AS INT)",
+        "end_minute": f"IF({p}[3] <> '', coalesce(try_cast({p}[4] AS INT), 0), NULL)",
+        "end_mer": end,
+        "end_padded": f"length({p}[3]) = 2 AND {p}[3] LIKE '0%'",
+    }
 
 
-def clock_valid(hour: Column, minute: Column) -> Column:
-    return hour.between(0, 23) & minute.between(0, 59)
+def clock_valid(hour: str, minute: str) -> str:
+    return f"({hour} BETWEEN 0 AND 23 AND {minute} BETWEEN 0 AND 59)"
 
 
-def as_written(hour: Column, minute: Column, mer: Column) -> Column:
+def as_written(hour: str, minute: str, mer: str) -> str:
     """Minutes of day when the text alone settles it, else NULL."""
     h = (
-        F.when(mer == AM, F.when(hour == 12, 0).otherwise(hour))
-        .when(mer == PM, F.when(hour == 12, 12).otherwise(hour + 12))
-        .when((hour == 0) | (hour > 12), hour)
+        f"CASE WHEN {mer} = 'Am' THEN {hour} - IF({hour} = 12, 12, 0) "
+        f"WHEN {mer} = 'Pm' THEN {hour} + IF({hour} = 12, 0, 12) "
+        f"WHEN {hour} = 0 OR {hour} > 12 THEN {hour} END"
     )
-    return F.when(clock_valid(hour, minute) & (h <= 23), h * 60 + minute)
+    return f"CASE WHEN {clock_valid(hour, minute)} AND {h} <= 23 THEN {h} * 60 + {minute} END"
 
 
-def literal(hour: Column, minute: Column) -> Column:
-    return F.when(clock_valid(hour, minute), hour * 60 + minute)
+def literal(hour: str, minute: str) -> str:
+    return f"IF({clock_valid(hour, minute)}, {hour} * 60 + {minute}, NULL)"
 
 
-def proves_24h(hour: Column, mer: Column, padded: Column) -> Column:
-    return (mer == UNSTATED) & (hour.between(13, 23) | (padded & hour.between(0, 12)))
+def proves_24h(hour: str, mer: str, padded: str) -> str:
+    return f"({mer} = 'Unstated' AND ({hour} BETWEEN 13 AND 23 OR ({padded} AND {hour} BETWEEN 0 AND 12)))"
 
 
-def morning(hour: Column, minute: Column) -> Column:
+def morning(hour: str, minute: str) -> str:
     """Minutes of day under AM; the PM reading is this plus twelve hours."""
-    return F.when(hour == 12, minute).otherwise(hour * 60 + minute)
+    return f"({hour} % 12 * 60 + {minute})"
 
 
-def hhmm(minutes: Column) -> Column:
-    return F.format_string("%02d:%02d", (minutes / 60).try_cast("int"), (minutes % 60).try_cast("int"))
+def hhmm(minutes: str) -> str:
+    return f"concat(lpad(CAST({minutes} AS INT) div 60, 2, '0'), ':', lpad(CAST({minutes} AS INT) % 60, 2, '0'))"

@@ -12,54 +12,53 @@ from schedlake.functions import vocabulary as V
 
 def read_token(df: DataFrame) -> DataFrame:
     """Adds the readings of a date token (columns ``raw``, ``family``)."""
-    p = D.token_parts(F.col("raw"), F.col("family"))
-    df = df.withColumns({"__a": p["first"], "__b": p["second"], "year": p["year"]})
-    a, b, y, fam = F.col("__a"), F.col("__b"), F.col("year"), F.col("family")
-    numeric, dated = fam == D.NUMERIC, fam != D.WEEKDAY
-    day_first = dated & D.calendar_valid(a, b, y)
-    month_first = numeric & D.calendar_valid(b, a, y)
-    df = df.withColumns({"__df": day_first, "__mf": month_first})
-    df_ok, mf_ok = F.col("__df"), F.col("__mf")
-    both = df_ok & mf_ok & (a != b)
-    return df.withColumns(
-        {
-            "n_readings": F.when(both, 2).when(df_ok | mf_ok, 1).otherwise(0),
-            "day1": F.when(df_ok, a).when(mf_ok, b),
-            "month1": F.when(df_ok, b).when(mf_ok, a),
-            "day2": F.when(both, b),
-            "month2": F.when(both, a),
-            "weekday": F.when(~dated, D.weekday_number(F.col("raw"))),
-            "invalid_reason": F.when(dated & ~df_ok & ~mf_ok, D.invalid_reason(a, b, y)),
-            "proven_order": F.when(numeric & df_ok & ~mf_ok, D.DAY_FIRST).when(
-                numeric & mf_ok & ~df_ok, D.MONTH_FIRST
-            ),
-        }
-    ).drop("__a", "__b", "__df", "__mf")
+    dated, numeric = f"family <> {D.WEEKDAY}", f"family = {D.NUMERIC}"
+    return (
+        df.selectExpr("*", f"{D.written_parts('raw', 'family')} AS p")
+        .selectExpr(*df.columns, *[f"{e} AS __{n}" for n, e in D.part_numbers("p").items()])
+        .selectExpr(
+            "*",
+            f"{dated} AND {D.calendar_valid('__first', '__second', '__year')} AS __df",
+            f"{numeric} AND {D.calendar_valid('__second', '__first', '__year')} AS __mf",
+        )
+        .selectExpr(
+            *df.columns,
+            "__year AS year",
+            "CASE WHEN __df AND __mf AND __first <> __second THEN 2 WHEN __df OR __mf THEN 1 ELSE 0 END AS n_readings",
+            "CASE WHEN __df THEN __first WHEN __mf THEN __second END AS day1",
+            "CASE WHEN __df THEN __second WHEN __mf THEN __first END AS month1",
+            "CASE WHEN __df AND __mf AND __first <> __second THEN __second END AS day2",
+            "CASE WHEN __df AND __mf AND __first <> __second THEN __first END AS month2",
+            f"IF({dated}, NULL, {D.weekday_number('raw')}) AS weekday",
+            f"IF({dated} AND NOT __df AND NOT __mf, {D.invalid_reason('__first', '__second', '__year')}, NULL) AS invalid_reason",
+            f"CASE WHEN {numeric} AND __df AND NOT __mf THEN '{D.DAY_FIRST}' "
+            f"WHEN {numeric} AND __mf AND NOT __df THEN '{D.MONTH_FIRST}' END AS proven_order",
+        )
+    )
 
 
 def date_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per surviving date match of a line, with offset and readings."""
-    found = df.select(*keys, F.explode(D.drop_overlaps(D.date_tokens(F.col(text)))).alias("m"))
-    return read_token(found.select(*keys, "m.start", "m.raw", "m.family"))
+    # explode_outer: a plain explode would also copy the expression into a filter.
+    found = df.selectExpr(*keys, f"explode_outer({D.drop_overlaps(D.date_tokens(text))}) AS m")
+    return read_token(found.where("m IS NOT NULL").select(*keys, "m.start", "m.raw", "m.family"))
 
 
 def overlap_report(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Candidates and survivors of overlap elimination per line."""
-    staged = df.select(*keys, D.date_tokens(F.col(text)).alias("found"))
-    staged = staged.withColumn("kept", D.drop_overlaps(F.col("found"))).where(F.size("found") > 0)
-    return staged.select(
-        *keys,
-        F.size("found").alias("found"),
-        F.size("kept").alias("kept"),
-        F.array_join(F.transform("kept", lambda t: t["raw"]), "|").alias("kept_raw"),
+    staged = df.selectExpr(*keys, f"{D.date_tokens(text)} AS found").where("size(found) > 0")
+    staged = staged.selectExpr(*keys, "size(found) AS found", f"{D.drop_overlaps('found')} AS kept")
+    return staged.selectExpr(
+        *keys, "found", "size(kept) AS kept", "array_join(transform(kept, t -> t.raw), '|') AS kept_raw"
     )
 
 
 def time_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per time or time range of a line."""
-    found = df.select(*keys, F.explode(T.time_spans(F.col(text))).alias("m"))
-    found = found.select(*keys, "m.start", F.trim("m.raw").alias("raw"), "m.is_range", F.col("m.raw").alias("__raw"))
-    return found.withColumns(T.clock_fields(F.col("__raw"), F.col("is_range"))).drop("__raw")
+    found = df.selectExpr(*keys, f"explode_outer({T.time_spans(text)}) AS m").where("m IS NOT NULL")
+    return found.selectExpr(
+        *keys, "m.start", "trim(m.raw) AS raw", "m.is_range", f"{T.clock_parts('m.raw', 'm.is_range')} AS p"
+    ).selectExpr(*keys, "start", "raw", "is_range", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()])
 
 
 def room_score(text: Column) -> Column:
@@ -107,64 +106,52 @@ def subject_parts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def column_roles(cells: DataFrame, keys: list[str], threshold: float = 0.6) -> DataFrame:
     """What each column holds, by the share of its non-empty cells that look so."""
-    text = F.trim(F.col("text"))
-    shares = (
-        cells.where(text != "")
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(D.names_weekday(text)).alias("weekdays"),
-            F.count_if(T.holds_time(text)).alias("times"),
-            F.count_if(D.holds_reading(text)).alias("dates"),
-            F.count_if(room_score(text) > 0).alias("rooms"),
-            F.count_if(names_instructor(text)).alias("people"),
-        )
+    tests = cells.where("trim(text) <> ''").selectExpr(*keys, "trim(text) AS text")
+    tests = tests.selectExpr(
+        *keys,
+        f"{D.names_weekday('text')} AS weekday",
+        f"{T.holds_time('text')} AS time",
+        f"{D.holds_reading('text')} AS date",
+        f"text RLIKE r'{V.INSTRUCTOR_PREFIX}' AS person",
+        "text",
+    ).withColumn("room", room_score(F.col("text")) > 0)
+    shares = tests.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.count_if("weekday").alias("weekdays"),
+        F.count_if("time").alias("times"),
+        F.count_if("date").alias("dates"),
+        F.count_if("room").alias("rooms"),
+        F.count_if("person").alias("people"),
     )
-
-    def most(name: str) -> Column:
-        return F.col(name) / F.col("n") >= threshold
-
-    return shares.withColumn(
-        "role",
-        F.when(most("weekdays"), "Weekday")
-        .when(most("times"), "Time")
-        .when(most("dates"), "Date")
-        .when(most("rooms"), "Location")
-        .when(most("people"), "Instructor")
-        .otherwise("Subject"),
+    return shares.selectExpr(
+        "*",
+        f"""CASE WHEN weekdays / n >= {threshold} THEN 'Weekday' WHEN times / n >= {threshold} THEN 'Time'
+        WHEN dates / n >= {threshold} THEN 'Date' WHEN rooms / n >= {threshold} THEN 'Location'
+        WHEN people / n >= {threshold} THEN 'Instructor' ELSE 'Subject' END AS role""",
     )
 
 
-def _in(text: Column, words: tuple[str, ...]) -> Column:
-    return text.isin(*words)
-
-
-def _any(words: tuple[str, ...], test) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | test(w)
-    return out
+def _alternatives(words: tuple[str, ...]) -> str:
+    return "|".join(words)
 
 
 def labelled_fields(df: DataFrame, text: str = "text") -> DataFrame:
     """``label: value`` lines with their role; lines that are none are dropped."""
-    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    label = squeeze(F.regexp_extract(F.col(text), r"^(.*?)(?:" + V.FIELD_SEPARATOR + r")(.*)$", 1))
-    value = squeeze(F.regexp_extract(F.col(text), r"^(.*?)(?:" + V.FIELD_SEPARATOR + r")(.*)$", 2))
-    df = df.withColumns({"label": label, "value": value})
-    name = F.regexp_replace(F.lower("label"), r"^[ \t*().,\-#]+|[ \t*().,\-#]+$", "")
+    staged = df.selectExpr("*", f"split({text}, r'{V.FIELD_SEPARATOR}', 2) AS __f").where("size(__f) = 2")
+    staged = staged.selectExpr(
+        *df.columns,
+        r"trim(regexp_replace(__f[0], r'\s+', ' ')) AS label",
+        r"trim(regexp_replace(__f[1], r'\s+', ' ')) AS value",
+    ).where("label <> '' AND length(label) <= 34 AND value <> ''")
+    staged = staged.selectExpr("*", r"regexp_replace(lower(label), r'^[ \t*().,\-#]+|[ \t*().,\-#]+$', '') AS __name")
+    name = F.col("__name")
     role = (
-        F.when(_any(V.TIME_LABELS, lambda w: (name == w) | name.endswith(" " + w)), "Time")
-        .when(_any(V.DATE_LABELS, lambda w: name.contains(w)), "When")
-        .when(_in(name, V.SUBJECT_LABELS), "Subject")
-        .when(_in(name, V.WHERE_LABELS), "Where")
-    )
-    return df.withColumn("role", role).where(
-        (F.col("label") != "")
-        & (F.length("label") <= 34)
-        & (F.col("value") != "")
-        & F.col("role").isNotNull()
+        F.when(name.rlike(f"(?:^| )(?:{_alternatives(V.TIME_LABELS)})$"), "Time")
+        .when(name.rlike(_alternatives(V.DATE_LABELS)), "When")
+        .when(name.isin(*V.SUBJECT_LABELS), "Subject")
+        .when(name.isin(*V.WHERE_LABELS), "Where")
     )
+    return staged.withColumn("role", role).where("role IS NOT NULL").drop("__name")
 
 
 def document_kind(lines: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -175,14 +162,15 @@ def document_kind(lines: DataFrame, keys: list[str], text: str = "text") -> Data
     """
     lower = F.lower(F.col(text))
     rank = (
-        F.when(_any(V.TRAVEL_CUES, lower.contains), 1)
-        .when(_any(V.APPOINTMENT_CUES, lower.contains), 2)
-        .when(_any(V.DEADLINE_CUES, lower.contains), 3)
-        .when(_any(V.EVENT_CUES, lower.contains), 4)
+        F.when(lower.rlike(_alternatives(V.TRAVEL_CUES)), 1)
+        .when(lower.rlike(_alternatives(V.APPOINTMENT_CUES)), 2)
+        .when(lower.rlike(_alternatives(V.DEADLINE_CUES)), 3)
+        .when(lower.rlike(_alternatives(V.EVENT_CUES)), 4)
         .otherwise(5)
     )
-    kinds = F.array(*[F.lit(k) for k in ("Travel", "Appointment", "Deadline", "Event", "Unknown")])
-    return lines.groupBy(*keys).agg(F.min(rank).alias("rank")).select(*keys, kinds[F.col("rank") - 1].alias("kind"))
+    return lines.groupBy(*keys).agg(F.min(rank).alias("rank")).selectExpr(
+        *keys, "element_at(array('Travel', 'Appointment', 'Deadline', 'Event', 'Unknown'), rank) AS kind"
+    )
 
 
 TRIM = r" :\-–—,.()|\t"
@@ -227,9 +215,9 @@ def is_column_header(text: Column) -> Column:
 def header_role(text: Column) -> Column:
     bare = F.regexp_replace(F.lower(text), "[^a-z]", "")
     return (
-        F.when(_any(V.HEADER_TIME_WORDS, bare.contains), "Time")
-        .when(_any(V.HEADER_DATE_WORDS, bare.contains), "Date")
-        .when(_any(V.HEADER_PLACE_WORDS, bare.contains), "Place")
+        F.when(bare.rlike(_alternatives(V.HEADER_TIME_WORDS)), "Time")
+        .when(bare.rlike(_alternatives(V.HEADER_DATE_WORDS)), "Date")
+        .when(bare.rlike(_alternatives(V.HEADER_PLACE_WORDS)), "Place")
         .otherwise("Subject")
     )
 

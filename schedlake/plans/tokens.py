@@ -63,7 +63,7 @@ def year_window(spark, sf_dir):
         F.lpad(((year + F.col("o_orderkey")) % 100).cast("string"), 2, "0")
     )
     return orders.select(F.col("o_orderkey").alias("order_key"), written.alias("written")).withColumn(
-        "year", D.full_year(F.col("written"))
+        "year", F.expr(D.full_year("written"))
     )
 
 

@@ -14,12 +14,22 @@ MONTHS = "January,February,March,April,May,June,July,August,September,October,No
 DAYS = "Monday,Tuesday,Wednesday,Thursday,Friday,Saturday,Sunday"
 
 
+_SPLITS: dict[str, int] = {}
+
+
 class SparkText:
-    def __init__(self, sf_dir: str):
-        self.sf_dir = sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> str:
-        return f"parquet.`{self.sf_dir}/{name}.parquet`"
+        """The table; one that arrives in fewer splits than there are cores is spread first."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        cores = self.spark.sparkContext.defaultParallelism
+        if path not in _SPLITS:
+            _SPLITS[path] = self.spark.read.parquet(path).rdd.getNumPartitions()
+        if _SPLITS[path] >= cores:
+            return f"parquet.`{path}`"
+        return f"(SELECT /*+ REPARTITION({cores}) */ * FROM parquet.`{path}`)"
 
     def isodow(self, x: str) -> str:
         return f"(weekday({x}) + 1)"
@@ -304,7 +314,7 @@ INPUTS = {
 
 
 def rendered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(INPUTS[name](SparkText(sf_dir)))
+    return spark.sql(INPUTS[name](SparkText(spark, sf_dir)))
 
 
 def duck(name: str) -> str:
