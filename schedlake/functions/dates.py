@@ -149,4 +149,4 @@ def names_weekday(text: str) -> str:
 
 def first_weekday(text: str) -> str:
     hit = f"regexp_extract({text}, {raw(V.WEEKDAY_NAME)}, 1)"
-    return f"nullif({weekday_number(hit)}, 0)"
+    return f"IF({hit} <> '', {weekday_number(hit)}, NULL)"

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("tokens",)
+AREAS = ("tokens", "resolution", "review")
 
 
 def load_all() -> None:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = 8) -> SparkSession:
@@ -24,13 +25,23 @@ def local_session(cpus: str | int = 8) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDER: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder all executors see: under spark.checkpoint.dir, or local where it is unset."""
+    """A fresh folder all executors see: under spark.checkpoint.dir, or local where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = spark._jvm.java.util.UUID.randomUUID().toString()
-    return f"{base.rstrip('/')}/schedlake/{name}-{path}"
+        if not _LOCAL_FOLDER:
+            _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        base = _LOCAL_FOLDER[0]
+    return f"{base.rstrip('/')}/schedlake/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: read by several branches, computed once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -304,11 +304,97 @@ def terms(q) -> str:
       FROM {q.table('customer')} WHERE c_custkey % 5 < 4"""
 
 
+def recurrences(q) -> str:
+    """Weekly rules of one or two days with an end date, some with exceptions, in two zones."""
+    return f"""
+      SELECT 'r' || {s('p_partkey')} AS entry_id, 'i' || {s('p_partkey % 50')} AS import_id, p_name AS title,
+        {s('p_partkey % 7 + 1')} || CASE WHEN p_partkey % 3 = 0 THEN ',' || {s('(p_partkey + 2) % 7 + 1')} ELSE '' END AS days,
+        CAST(p_size * 25 % 1440 AS INT) AS start_min, CAST(p_size * 37 AS INT) AS seconds,
+        CAST('2026-08-20' AS DATE) + CAST(p_size AS INT) AS until,
+        CASE WHEN p_partkey % 4 = 0 THEN '2026-08-' || {s('20 + p_partkey % 9')} || ',2026-09-0' || {s('1 + p_partkey % 7')} ELSE '' END AS exceptions,
+        CASE WHEN p_partkey % 2 = 0 THEN 'Asia/Kolkata' ELSE 'Europe/London' END AS zone
+      FROM {q.table('part')}"""
+
+
+def planned(q) -> str:
+    """One-off events with a start instant: what gets written to a calendar."""
+    return f"""
+      SELECT 'e' || {s('o_orderkey')} AS entry_id, 'i' || {s('o_custkey % 100')} AS import_id, CAST(o_custkey % 10 AS INT) AS calendar_id,
+        'Order ' || o_orderpriority || ' ' || o_orderstatus AS title, o_orderkey AS pos,
+        ((CAST(yy AS BIGINT) * 12 + mm) * 31 + dd) * 86400000 + CAST(dd % 14 * 60 + 480 AS BIGINT) * 60000 AS start_ms,
+        CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'Class' WHEN 1 THEN 'Deadline' ELSE 'Appointment' END AS kind
+      FROM ({order_dates(q)}) o"""
+
+
+def calendar(q) -> str:
+    """An existing calendar: one order in three, the title untouched, shouted, or misspelt."""
+    return f"""
+      SELECT pos AS event_id, calendar_id, CASE CAST(pos % 4 AS INT) WHEN 0 THEN title WHEN 1 THEN upper(title) || '!'
+          WHEN 2 THEN replace(title, 'r', 'x') ELSE 'Quarterly planning' END AS title,
+        start_ms, pos % 15 = 0 AS deleted,
+        CASE WHEN pos % 2 = 0 THEN 'schedlake://import/' || import_id || '/' || entry_id END AS app_uri
+      FROM ({planned(q)}) p WHERE pos % 3 = 0"""
+
+
+def edits(q) -> str:
+    """Changes a user typed over some entries: new titles, times, or both; some refused."""
+    return f"""
+      SELECT 'e' || {s('o_orderkey')} AS entry_id,
+        CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN '  Moved review ' WHEN 1 THEN '   ' END AS new_title,
+        CASE WHEN o_orderkey % 3 = 0 THEN d + 1 END AS new_date,
+        CASE WHEN o_orderkey % 2 = 0 THEN CAST(dd * 30 AS INT) END AS new_start, CASE WHEN o_orderkey % 2 = 0 THEN CAST(dd * 25 + 60 AS INT) END AS new_end
+      FROM ({order_dates(q)}) o WHERE o_orderkey % 5 < 2"""
+
+
+def slots(q) -> str:
+    """Stored timetable slots: one timetable per user, from the lessons."""
+    return f"""
+      SELECT 't' || {s('doc_id')} AS timetable_id, 'w' || {s('wd')} || 'h' || {s('hr')} AS entry_id, wd AS weekday,
+        hr * 60 AS start_minute, hr * 60 + 50 AS end_minute, subject AS title, 'K' || {s('k')} AS location,
+        CASE WHEN k % 2 = 0 THEN 'schedlake://import/i' || {s('doc_id')} || '/w' || {s('wd')} || 'h' || {s('hr')} END AS app_uri,
+        k % 5 = 0 AS end_assumed
+      FROM ({lessons(q)}) a"""
+
+
+def timetables(q) -> str:
+    return f"""
+      SELECT 't' || {s('user_id')} AS timetable_id, 'Timetable ' || {s('user_id % 120')} AS label,
+        CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'h' || {s('user_id')} || '/g' END AS source_identity,
+        CAST(1000000 + user_id * 7919 % 100003 AS BIGINT) AS updated_at, CAST(user_id AS BIGINT) AS created_at
+      FROM {q.table('events')} GROUP BY user_id"""
+
+
+def incoming(q) -> str:
+    """Timetables being saved again: same document, same label, or new."""
+    return f"""
+      SELECT 'n' || {s('user_id')} AS import_id, CASE WHEN user_id % 4 = 2 THEN 'Fresh ' || {s('user_id')} ELSE 'Timetable ' || {s('user_id % 120')} END AS label,
+        CASE WHEN user_id % 5 = 0 THEN 'h' || {s('user_id')} || '/g' ELSE 'h' || {s('user_id')} || '/other' END AS source_identity,
+        CASE CAST(user_id % 7 AS INT) WHEN 0 THEN 'Merge' WHEN 1 THEN 'Replace' WHEN 2 THEN 'CreateNew' WHEN 3 THEN 'Skip' END AS resolution,
+        't' || {s('user_id')} AS like_id
+      FROM {q.table('events')} WHERE user_id % 2 = 0 GROUP BY user_id"""
+
+
+def incoming_slots(q) -> str:
+    return f"""
+      SELECT 'n' || substr(timetable_id, 2) AS import_id, CASE WHEN start_minute % 120 = 0 THEN entry_id ELSE entry_id || 'x' END AS entry_id,
+        weekday, start_minute, end_minute, 'New ' || title AS title, location
+      FROM ({slots(q)}) s WHERE weekday < 4"""
+
+
+def imports(q) -> str:
+    return f"""
+      SELECT 'i' || {s('o_orderkey')} AS import_id, CAST(o_orderkey * 7919 % 1000003 AS BIGINT) * 1000000 + o_orderkey AS started_at,
+        CASE o_orderstatus WHEN 'O' THEN 'Committed' WHEN 'F' THEN 'Reverted' ELSE 'Reviewed' END AS state,
+        CAST(o_orderkey % 40 AS INT) AS committed_count, 'i' || {s('o_custkey')} AS batch
+      FROM {q.table('orders')}"""
+
+
 INPUTS = {
     f.__name__: f
     for f in (
         notices, date_lines, labelled, time_cols, lessons, sheet_cells, section_cells, dated_cells,
-        runs, doc_lines, word_boxes, delim_lines, entries, terms,
+        runs, doc_lines, word_boxes, delim_lines, entries, terms, recurrences, planned, calendar, edits,
+        slots, timetables, incoming, incoming_slots, imports,
     )
 }
 
