@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("tokens", "resolution", "review")
+AREAS = ("tokens", "resolution", "review", "calendars")
 
 
 def load_all() -> None:
