@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("tokens", "resolution", "review", "calendars")
+AREAS = ("tokens", "resolution", "review", "calendars", "stores", "audits")
 
 
 def load_all() -> None:

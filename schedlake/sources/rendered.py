@@ -389,12 +389,25 @@ def imports(q) -> str:
       FROM {q.table('orders')}"""
 
 
+def sources(q) -> str:
+    """Provenance rows of candidates: read, derived (with the pages it came from), assumed, typed in."""
+    return f"""
+      SELECT 'e' || {s('l_orderkey')} AS entry_id, CAST(l_suppkey * 16 + l_linenumber AS INT) AS pos,
+        split_part('PdfSpan,SheetCell,ImageRegion,Derived,UserProvided,Assumed', ',', CAST((l_partkey + l_linenumber) % 6 + 1 AS INT)) AS kind,
+        CAST(l_partkey % 3 AS INT) AS page, CAST(l_partkey % 200 AS DOUBLE) / 8 AS l, CAST(l_suppkey % 50 AS DOUBLE) / 4 AS t,
+        CAST(l_partkey % 200 AS DOUBLE) / 8 + CAST(l_quantity AS INT) % 3 AS r, CAST(l_suppkey % 50 AS DOUBLE) / 4 + CAST(l_quantity AS INT) % 3 AS b,
+        CASE WHEN l_linenumber % 2 = 0 THEN 'title' ELSE 'startTime' END AS field, l_partkey * 1000 + l_linenumber AS at_ms,
+        {s('l_partkey % 3')} || ',' || {s('l_suppkey % 3')} AS from_pages
+      FROM (SELECT l_orderkey, l_suppkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM {q.table('lineitem')}
+            GROUP BY l_orderkey, l_suppkey, l_linenumber) i"""
+
+
 INPUTS = {
     f.__name__: f
     for f in (
         notices, date_lines, labelled, time_cols, lessons, sheet_cells, section_cells, dated_cells,
         runs, doc_lines, word_boxes, delim_lines, entries, terms, recurrences, planned, calendar, edits,
-        slots, timetables, incoming, incoming_slots, imports,
+        slots, timetables, incoming, incoming_slots, imports, sources,
     )
 }
 
