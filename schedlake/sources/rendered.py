@@ -37,6 +37,9 @@ class SparkText:
     def each(self, lo: str, hi: str) -> str:
         return f"explode(sequence({lo}, {hi}))"
 
+    def utf8(self, x: str) -> str:
+        return f"encode({x}, 'UTF-8')"
+
     def words(self, source: str, keys: str, text: str, sep: str, out: str, pos: str) -> str:
         return f"SELECT {keys}, posexplode(split({text}, '{sep}')) AS ({pos}, {out}) FROM {source}"
 
@@ -51,6 +54,9 @@ class DuckText:
     def each(self, lo: str, hi: str) -> str:
         return f"unnest(generate_series({lo}, {hi}))"
 
+    def utf8(self, x: str) -> str:
+        return f"encode({x})"
+
     def words(self, source: str, keys: str, text: str, sep: str, out: str, pos: str) -> str:
         sep = "chr(10)" if sep == "\n" else f"'{sep}'"
         return (
@@ -402,12 +408,38 @@ def sources(q) -> str:
             GROUP BY l_orderkey, l_suppkey, l_linenumber) i"""
 
 
+def file_bytes(q) -> str:
+    """Files of every kind: the document text behind a signature, a BOM, odd bytes, or as delimited lines."""
+    flat = "replace(substr(text, 1, 60), chr(10), ' ')"
+    lines = " || chr(10) || ".join([flat] * 4)
+    plain = q.utf8("text")
+    ascii_only = q.utf8("regexp_replace(text, '[^ -~]', '')") if isinstance(q, SparkText) else q.utf8(
+        "regexp_replace(text, '[^ -~]', '', 'g')"
+    )
+    marks = ("255044462D", "504B0304", "89504E47", "FFD8FF", "474946383961", "524946460000000057454250", "0000001866747970")
+    arms = " ".join(f"WHEN {i} THEN unhex('{m}') || {plain}" for i, m in enumerate(marks))
+    return f"""
+      SELECT doc_id, 'lake/' || {s('doc_id')} AS path, CASE WHEN doc_id % 50 = 49 THEN unhex('') ELSE CASE CAST(doc_id % 12 AS INT) {arms}
+        WHEN 7 THEN unhex('EFBBBF') || {plain} WHEN 8 THEN {q.utf8(lines)} WHEN 9 THEN unhex('0001') || {plain}
+        WHEN 10 THEN unhex('E92080') || {ascii_only} ELSE {plain} END END AS content
+      FROM {q.table('documents')}"""
+
+
+def delim_notes(q) -> str:
+    """Delimited lines where some records carry a quoted note over two lines."""
+    sep = "CASE CAST(file_id % 4 AS INT) WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END"
+    base = delim_lines(q)
+    return f"""
+      SELECT file_id, line_no * 2 AS line_no, CASE WHEN line_no % 21 = 0 THEN text || {sep} || '"see, the; note | of' ELSE text END AS text FROM ({base}) a
+      UNION ALL SELECT file_id, line_no * 2 + 1, 'next line"' FROM ({base}) b WHERE line_no % 21 = 0"""
+
+
 INPUTS = {
     f.__name__: f
     for f in (
         notices, date_lines, labelled, time_cols, lessons, sheet_cells, section_cells, dated_cells,
         runs, doc_lines, word_boxes, delim_lines, entries, terms, recurrences, planned, calendar, edits,
-        slots, timetables, incoming, incoming_slots, imports, sources,
+        slots, timetables, incoming, incoming_slots, imports, sources, file_bytes, delim_notes,
     )
 }
 
