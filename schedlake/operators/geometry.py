@@ -59,7 +59,9 @@ def line_boxes(lined: DataFrame) -> DataFrame:
 def line_gaps(boxes: DataFrame) -> DataFrame:
     """Vertical gap of each line to the one above, NULL on the first."""
     stepped = previous_row(boxes, PAGE, ["line"], ["b"], "prev")
-    return stepped.withColumn("gap", F.greatest(F.col("t") - F.col("prev.b"), F.lit(0.0))).drop("prev")
+    # greatest() skips NULLs, so the first line is kept apart explicitly.
+    gap = F.when(F.col("prev").isNotNull(), F.greatest(F.col("t") - F.col("prev.b"), F.lit(0.0)))
+    return stepped.withColumn("gap", gap).drop("prev")
 
 
 def row_thresholds(gaps: DataFrame, units: DataFrame) -> DataFrame:
@@ -185,6 +187,7 @@ def cell_texts(placed: DataFrame, cell: list[str]) -> DataFrame:
     return rows.groupBy(*cell).agg(
         F.trim(joined).alias("text"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"),
         F.min("conf").alias("min_conf"), F.max(F.expr("origin = 'Ocr'")).alias("has_ocr"), F.bool_or("spanning").alias("spanning"),
+        F.count("*").alias("runs"),
     )
 
 

@@ -175,9 +175,22 @@ def side_tokens(ranges: DataFrame, keys: list[str], order: list[str], side: str,
     )
 
 
-def resolve_meridiem(tokens: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
-    """Adds ``minutes``, ``inferred`` and ``reason`` to each time of a column."""
+def resolve_meridiem(
+    tokens: DataFrame,
+    keys: list[str],
+    order: list[str],
+    bucket: Column | None = None,
+    context: DataFrame | None = None,
+) -> DataFrame:
+    """Adds ``minutes``, ``inferred`` and ``reason`` to each time of a column.
+
+    ``context`` (keys, context_proof) lets times outside the column prove 24-hour notation.
+    """
     notation = column_notation(tokens, keys).withColumnRenamed("proof", "proven")
+    if context is not None:
+        notation = notation.join(context, keys, "left").withColumn(
+            "proven", F.expr("proven OR coalesce(context_proof, false)")
+        ).drop("context_proof")
     undecided = notation.where("NOT all_written AND NOT proven").select(*keys)
     solved = monotonic_split(tokens.join(undecided, keys, "left_semi"), keys, order, bucket)
     ranked = running_total(
@@ -199,6 +212,31 @@ def _settle(out: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
+def resolve_slots(ranges: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
+    """Start and end minutes of each range of a column; both sides share one clock notation."""
+    proof = " OR ".join(
+        f"coalesce({T.proves_24h(f'{x}_hour', f'{x}_mer', f'{x}_padded')}, false)" for x in ("start", "end")
+    )
+    context = ranges.groupBy(*keys).agg(F.bool_or(F.expr(proof)).alias("context_proof"))
+    sides = []
+    for side, other in (("start", "end"), ("end", "start")):
+        tokens = side_tokens(ranges, keys, order, side, other)
+        solved = resolve_meridiem(tokens, keys, order, bucket, context)
+        sides.append(
+            solved.withColumnsRenamed({"minutes": f"{side}_min", "inferred": f"{side}_inferred", "reason": f"{side}_reason"})
+        )
+    return sides[0].join(sides[1], [*keys, *order], "left")
+
+
+def lone_time(side: str, other: str) -> str:
+    """Minutes of a time that stands alone: as written, or literal once either side proves 24 hours."""
+    proof = " OR ".join(
+        f"coalesce({T.proves_24h(f'{x}_hour', f'{x}_mer', f'{x}_padded')}, false)" for x in (side, other)
+    )
+    own = T.as_written(f"{side}_hour", f"{side}_minute", f"{side}_mer")
+    return f"coalesce({own}, IF({proof}, {T.literal(f'{side}_hour', f'{side}_minute')}, NULL))"
+
+
 def apply_answers(tokens: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """Reads date tokens again with what the user said: the order and a year for yearless dates."""
     out = tokens.join(answers, keys, "left").withColumn("year", F.coalesce("year", "assumed_year"))

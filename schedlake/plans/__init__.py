@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("intakes", "layout", "tokens", "resolution", "review", "calendars", "stores", "audits")
+AREAS = ("intakes", "layout", "tokens", "resolution", "tables", "review", "calendars", "stores", "audits")
 
 
 def load_all() -> None:

@@ -110,9 +110,8 @@ def glyph_runs(spark, sf_dir):
 UNITS = f"r AS ({duck('runs')}), un AS (SELECT doc_id, page, median(b - t) AS unit FROM r GROUP BY ALL)"
 
 
-def lined(spark, sf_dir):
-    runs = rendered(spark, sf_dir, "runs")
-    return G.cluster_lines(runs, G.page_units(runs))
+def runs_of(spark, sf_dir):
+    return written(rendered(spark, sf_dir, "runs"), "runs")
 
 
 @query("page_unit", f"WITH {UNITS} SELECT * FROM un")
@@ -135,24 +134,26 @@ DRIFT = "SELECT doc_id, page, run_id, text, l, t + (run_id % 16) * 1.25 AS t, r,
     SELECT doc_id, page, run_id, CAST(line AS BIGINT) AS line FROM f""",
 )
 def line_cluster(spark, sf_dir):
-    rendered(spark, sf_dir, "runs").createOrReplaceTempView("placed_runs")
+    runs_of(spark, sf_dir).createOrReplaceTempView("placed_runs")
     runs = spark.sql(DRIFT.format(runs="placed_runs"))
     return G.cluster_lines(runs, G.page_units(runs)).select("doc_id", "page", "run_id", "line")
 
 
-# Rows of the sheets stand 20 apart; every third one is pulled up to wrap onto the row before.
-WRAPPED = "SELECT doc_id, page, run_id, text, l, t - CASE WHEN t % 60 = 40 THEN 8 ELSE 0 END AS t, r, b - CASE WHEN t % 60 = 40 THEN 8 ELSE 0 END AS b, conf, origin FROM {runs}"
-BOXES = f"""r AS ({WRAPPED.format(runs=f"({duck('runs')}) x")}), un AS (SELECT doc_id, page, median(b - t) AS unit FROM r GROUP BY ALL),
-    ln AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY t) - 1 AS line FROM r),
+BOX_TAIL = """
     bx AS (SELECT doc_id, page, line, min(t) AS t, max(b) AS b FROM ln GROUP BY ALL),
     gp AS (SELECT *, greatest(t - lag(b) OVER (PARTITION BY doc_id, page ORDER BY line), 0) AS gap, line > 0 AS later FROM bx),
     so AS (SELECT doc_id, page, gap, row_number() OVER w AS i, lead(gap) OVER w AS nx, first_value(gap) OVER w AS g0, count(*) OVER (PARTITION BY doc_id, page) AS n FROM gp WHERE later WINDOW w AS (PARTITION BY doc_id, page ORDER BY gap)),
     th AS (SELECT doc_id, page, min_by((gap + nx) / 2, row(-(nx - gap), i)) AS threshold FROM so JOIN un USING (doc_id, page)
       WHERE n >= 3 AND nx - gap >= greatest(unit * 0.15, (gap - g0) * 3) GROUP BY ALL)"""
+# Rows of the sheets stand 20 apart; every third one is pulled up to wrap onto the row before.
+WRAPPED = "SELECT doc_id, page, run_id, text, l, t - CASE WHEN t % 60 = 40 THEN 8 ELSE 0 END AS t, r, b - CASE WHEN t % 60 = 40 THEN 8 ELSE 0 END AS b, conf, origin FROM {runs}"
+BOXES = f"""r AS ({WRAPPED.format(runs=f"({duck('runs')}) x")}), un AS (SELECT doc_id, page, median(b - t) AS unit FROM r GROUP BY ALL),
+    ln AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY t) - 1 AS line FROM r),
+{BOX_TAIL}"""
 
 
 def wrapped(spark, sf_dir):
-    rendered(spark, sf_dir, "runs").createOrReplaceTempView("placed_runs")
+    runs_of(spark, sf_dir).createOrReplaceTempView("placed_runs")
     runs = written(spark.sql(WRAPPED.format(runs="placed_runs")), "runs")
     units = G.page_units(runs)
     return units, G.line_gaps(G.line_boxes(G.cluster_lines(runs, units)))
@@ -189,7 +190,7 @@ COLS = f"""{UNITS}, ln AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, pag
 
 @query("column_spans", f"WITH {COLS} SELECT doc_id, page, col, round(left_x, 4) AS left_x, round(right_x, 4) AS right_x FROM sp")
 def column_spans(spark, sf_dir):
-    runs = rendered(spark, sf_dir, "runs")
+    runs = runs_of(spark, sf_dir)
     units = G.page_units(runs)
     spans = G.column_spans(written(G.cluster_lines(runs, units), "lines"), units)
     return spans.selectExpr("doc_id", "page", "col", "round(left_x, 4) AS left_x", "round(right_x, 4) AS right_x")
@@ -201,7 +202,7 @@ def column_spans(spark, sf_dir):
     SELECT doc_id, page, run_id, col, w > cw * 1.2 AS spanning FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id, page, run_id ORDER BY inside DESC, CASE WHEN inside THEN 0 ELSE d END, col) = 1""",
 )
 def cell_assign(spark, sf_dir):
-    runs = rendered(spark, sf_dir, "runs")
+    runs = runs_of(spark, sf_dir)
     units = G.page_units(runs)
     lines = written(G.cluster_lines(runs, units), "lines")
     return G.assign_columns(lines, G.column_spans(lines, units)).select("doc_id", "page", "run_id", "col", "spanning")
@@ -228,24 +229,27 @@ def cell_text(spark, sf_dir):
 
 
 @query(
-    "grid_roundtrip",
-    f"""SELECT CAST(floor(doc_id / 20) AS BIGINT) AS doc_id, CAST(doc_id % 20 AS INT) AS page, count(*) AS cells FROM ({duck('sheet_cells')}) s WHERE doc_id % 4 < 2 GROUP BY ALL""",
+    "table_grid",
+    f"""WITH {COLS}, {BOX_TAIL},
+    rw AS (SELECT doc_id, page, line, sum(CASE WHEN NOT later THEN 0 WHEN threshold IS NULL OR gap > threshold THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY line) AS row_no FROM gp LEFT JOIN th USING (doc_id, page)),
+    cand AS (SELECT ln.doc_id, ln.page, run_id, line, col, (l + r) / 2 BETWEEN left_x AND right_x AS inside, abs((left_x + right_x) / 2 - (l + r) / 2) AS d FROM ln JOIN sp USING (doc_id, page)),
+    pick AS (SELECT doc_id, page, run_id, line, col FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id, page, run_id ORDER BY inside DESC, CASE WHEN inside THEN 0 ELSE d END, col) = 1)
+    SELECT doc_id, page, CAST(row_no AS BIGINT) AS row_no, col, count(*) AS runs FROM pick JOIN rw USING (doc_id, page, line) GROUP BY ALL""",
 )
-def grid_roundtrip(spark, sf_dir):
-    """The whole chain: positioned runs back to as many cells as the sheets had."""
-    grid = G.build_grid(written(rendered(spark, sf_dir, "runs"), "runs"))
-    return grid.groupBy("doc_id", "page").agg(F.count("*").alias("cells"))
+def table_grid(spark, sf_dir):
+    """The whole chain: positioned runs to lines, rows, columns and cells."""
+    return G.build_grid(runs_of(spark, sf_dir)).select("doc_id", "page", "row_no", "col", "runs")
 
 
 @query(
     "box_fraction",
-    f"""WITH r AS ({duck('runs')}), p AS (SELECT doc_id, page, CASE WHEN page = 5 THEN 0 ELSE max(r) * 0.9 END AS width, max(b) AS height, min_by(origin, run_id) AS o FROM r GROUP BY ALL)
+    f"""WITH r AS ({duck('runs')}), p AS (SELECT doc_id, page, CASE WHEN page = 5 THEN 0 ELSE max(r.r) * 0.9 END AS width, max(b) AS height, min_by(origin, run_id) AS o FROM r GROUP BY doc_id, page)
     SELECT doc_id, page, run_id, CASE WHEN width > 0 THEN round(greatest(least(l / width, 1), 0), 4) ELSE 0 END AS l, CASE WHEN width > 0 THEN round(greatest(least(t / height, 1), 0), 4) ELSE 0 END AS t,
       CASE WHEN width > 0 THEN round(greatest(least(r / width, 1), 0), 4) ELSE 1 END AS r, CASE WHEN width > 0 THEN round(greatest(least(b / height, 1), 0), 4) ELSE 1 END AS b,
       CASE WHEN o = 'Ocr' THEN 'ImageRegion' ELSE 'PdfSpan' END AS source_kind FROM r JOIN p USING (doc_id, page)""",
 )
 def box_fraction(spark, sf_dir):
-    runs = rendered(spark, sf_dir, "runs")
+    runs = runs_of(spark, sf_dir)
     sizes = G.page_sizes(runs).withColumn("width", F.expr("IF(page = 5, 0D, width * 0.9)"))
     boxes = G.box_fractions(runs.select("doc_id", "page", "run_id", "l", "t", "r", "b"), sizes)
     return boxes.selectExpr("doc_id", "page", "run_id", *[f"round({c}, 4) AS {c}" for c in "ltrb"], "source_kind")

@@ -8,8 +8,12 @@ same text for the checking side.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from schedlake.session import written
+
 MONTHS = "January,February,March,April,May,June,July,August,September,October,November,December"
 DAYS = "Monday,Tuesday,Wednesday,Thursday,Friday,Saturday,Sunday"
 
@@ -31,6 +35,12 @@ class SparkText:
             return f"parquet.`{path}`"
         return f"(SELECT /*+ REPARTITION({cores}) */ * FROM parquet.`{path}`)"
 
+    def lessons(self) -> str:
+        """The lessons as a written table: sheets are rendered from them many times over."""
+        name = f"lessons_{uuid.uuid4().hex}"
+        written(self.spark.sql(lessons(self)), "lessons").createOrReplaceTempView(name)
+        return name
+
     def isodow(self, x: str) -> str:
         return f"(weekday({x}) + 1)"
 
@@ -48,6 +58,9 @@ class DuckText:
     def table(self, name: str) -> str:
         return name
 
+    def lessons(self) -> str:
+        return f"({lessons(self)})"
+
     def isodow(self, x: str) -> str:
         return f"isodow({x})"
 
@@ -179,30 +192,32 @@ def sheet_cells(q) -> str:
         f"ELSE {s(twelve)} || ':00-' || {s('(hr % 12) + 1')} || ':00' END"
     )
     body = f"subject || ' / K' || {s('k')}"
+    table = q.lessons()
     return f"""
       SELECT doc_id, 'Week' AS sheet, CAST(row_no AS INT) AS row_no, CAST(col AS INT) AS col, text FROM (
         SELECT doc_id, 0 AS row_no, 0 AS col, CASE WHEN doc_id % 4 = 3 THEN 'Staff' ELSE 'Timetable' END AS text
-          FROM ({lessons(q)}) a GROUP BY doc_id
-        UNION ALL SELECT doc_id, 0, wd, {day} FROM ({lessons(q)}) a WHERE doc_id % 4 IN (0, 3) GROUP BY doc_id, wd
-        UNION ALL SELECT doc_id, hr - 7, 0, {slot} FROM ({lessons(q)}) a WHERE doc_id % 4 = 0 GROUP BY doc_id, hr
-        UNION ALL SELECT doc_id, hr - 7, wd, {body} FROM ({lessons(q)}) a WHERE doc_id % 4 = 0
+          FROM {table} a GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, wd, {day} FROM {table} a WHERE doc_id % 4 IN (0, 3) GROUP BY doc_id, wd
+        UNION ALL SELECT doc_id, hr - 7, 0, {slot} FROM {table} a WHERE doc_id % 4 = 0 GROUP BY doc_id, hr
+        UNION ALL SELECT doc_id, hr - 7, wd, {body} FROM {table} a WHERE doc_id % 4 = 0
         UNION ALL SELECT doc_id, 0, hr - 7, 'P' || {s('hr - 7')} || ' (' || {slot} || ')'
-          FROM ({lessons(q)}) a WHERE doc_id % 4 = 1 GROUP BY doc_id, hr
-        UNION ALL SELECT doc_id, wd, 0, {day} FROM ({lessons(q)}) a WHERE doc_id % 4 = 1 GROUP BY doc_id, wd
-        UNION ALL SELECT doc_id, wd, hr - 7, {body} FROM ({lessons(q)}) a WHERE doc_id % 4 = 1
+          FROM {table} a WHERE doc_id % 4 = 1 GROUP BY doc_id, hr
+        UNION ALL SELECT doc_id, wd, 0, {day} FROM {table} a WHERE doc_id % 4 = 1 GROUP BY doc_id, wd
+        UNION ALL SELECT doc_id, wd, hr - 7, {body} FROM {table} a WHERE doc_id % 4 = 1
         UNION ALL SELECT doc_id, wd * 20 + hr, part, CASE part WHEN 0 THEN {day} WHEN 1 THEN {slot}
             WHEN 2 THEN subject || ' (Dr. ' || upper(substr(subject, 1, 1)) || ' Rao)' ELSE 'Room ' || {s('k')} END
-          FROM (SELECT a.*, {q.each('0', '3')} AS part FROM ({lessons(q)}) a WHERE doc_id % 4 = 2) l
+          FROM (SELECT a.*, {q.each('0', '3')} AS part FROM {table} a WHERE doc_id % 4 = 2) l
         UNION ALL SELECT doc_id, hr - 7, 0, 'Worker ' || substr('ABCDEFGHIJ', hr - 7, 1) || 'n'
-          FROM ({lessons(q)}) a WHERE doc_id % 4 = 3 GROUP BY doc_id, hr
+          FROM {table} a WHERE doc_id % 4 = 3 GROUP BY doc_id, hr
         UNION ALL SELECT doc_id, hr - 7, wd, CASE WHEN k % 5 = 0 THEN 'Off' ELSE
             {pad('k % 9 + 5')} || ':30 - ' || {pad('k % 9 + 10')} || ':00' END
-          FROM ({lessons(q)}) a WHERE doc_id % 4 = 3
+          FROM {table} a WHERE doc_id % 4 = 3
       ) c"""
 
 
 def section_cells(q) -> str:
     """Several sections per sheet: a period header, then label rows and day rows."""
+    table = q.lessons()
     return f"""
       SELECT doc_id, 'Sections' AS sheet, CAST(row_no AS INT) AS row_no, CAST(col AS INT) AS col, text FROM (
         SELECT user_id % 40 AS doc_id, 1 AS row_no, CAST(hour(ts) AS INT) - 7 AS col,
@@ -212,8 +227,8 @@ def section_cells(q) -> str:
           FROM (SELECT user_id % 40 AS doc_id, {idiv('user_id', 40)} AS sec, {q.each('0', '1')} AS part
                 FROM {q.table('events')} WHERE user_id % 11 < 9 GROUP BY user_id) l
         UNION ALL SELECT doc_id, 2 + sec * 7 + wd, 0, split_part('{DAYS}', ',', wd) FROM
-          (SELECT doc_id % 40 AS doc_id, {idiv('doc_id', 40)} AS sec, wd FROM ({lessons(q)}) a GROUP BY doc_id, wd) b
-        UNION ALL SELECT doc_id % 40, 2 + {idiv('doc_id', 40)} * 7 + wd, hr - 7, subject || ' / K' || {s('k')} FROM ({lessons(q)}) a
+          (SELECT doc_id % 40 AS doc_id, {idiv('doc_id', 40)} AS sec, wd FROM {table} a GROUP BY doc_id, wd) b
+        UNION ALL SELECT doc_id % 40, 2 + {idiv('doc_id', 40)} * 7 + wd, hr - 7, subject || ' / K' || {s('k')} FROM {table} a
       ) c"""
 
 
@@ -354,12 +369,13 @@ def edits(q) -> str:
 
 def slots(q) -> str:
     """Stored timetable slots: one timetable per user, from the lessons."""
+    table = q.lessons()
     return f"""
       SELECT 't' || {s('doc_id')} AS timetable_id, 'w' || {s('wd')} || 'h' || {s('hr')} AS entry_id, wd AS weekday,
         hr * 60 AS start_minute, hr * 60 + 50 AS end_minute, subject AS title, 'K' || {s('k')} AS location,
         CASE WHEN k % 2 = 0 THEN 'schedlake://import/i' || {s('doc_id')} || '/w' || {s('wd')} || 'h' || {s('hr')} END AS app_uri,
         k % 5 = 0 AS end_assumed
-      FROM ({lessons(q)}) a"""
+      FROM {table} a"""
 
 
 def timetables(q) -> str:
