@@ -29,25 +29,48 @@ def _windows(keys: list[str], order: list[str], upto: int):
     return inside, across
 
 
-def running_total(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: Column | None = None
+def ordered_scan(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    bucket: Column | None = None,
+    totals: dict[str, Column] | None = None,
+    previous: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` along ``order`` (unique within the key)."""
-    rows = _cut(df, order, bucket).withColumn("__v", value.cast("long"))
+    """Inclusive running sums and structs of the preceding row along ``order``, in one pass."""
+    totals, previous = totals or {}, previous or {}
+    rows = _cut(df, order, bucket)
+    for out, value in totals.items():
+        rows = rows.withColumn(f"__v_{out}", value.cast("long"))
     inside, across = _windows(keys, order, 0)
+    sums = [F.sum(f"__v_{o}").alias(f"__s_{o}") for o in totals]
+    lasts = [F.max_by(F.struct(*cols), F.struct(*order)).alias(f"__l_{o}") for o, cols in previous.items()]
     before = (
         rows.groupBy(*keys, RANGE)
-        .agg(F.sum("__v").alias("__t"))
-        .select(*keys, RANGE, F.coalesce(F.sum("__t").over(across), F.lit(0)).alias("__before"))
+        .agg(*sums, *lasts)
+        .select(
+            *keys, RANGE,
+            *[F.coalesce(F.sum(f"__s_{o}").over(across), F.lit(0)).alias(f"__b_{o}") for o in totals],
+            *[F.last(f"__l_{o}").over(across).alias(f"__p_{o}") for o in previous],
+        )
     )
-    return (
-        rows.withColumn("__in", F.sum("__v").over(inside))
-        .join(before, [*keys, RANGE], "left")
-        .withColumn(out, F.col("__in") + F.col("__before"))
-        .drop("__v", "__in", "__before", RANGE)
+    step = W.partitionBy(*keys, RANGE).orderBy(*order)
+    local = {f"__i_{o}": F.sum(f"__v_{o}").over(inside) for o in totals}
+    local |= {f"__q_{o}": F.lag(F.struct(*cols)).over(step) for o, cols in previous.items()}
+    return rows.withColumns(local).join(before, [*keys, RANGE], "left").select(
+        *df.columns,
+        *[(F.col(f"__i_{o}") + F.col(f"__b_{o}")).alias(o) for o in totals],
+        *[F.coalesce(f"__q_{o}", f"__p_{o}").alias(o) for o in previous],
     )
 
 
+def running_total(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: Column | None = None
+) -> DataFrame:
+    """Inclusive running sum of ``value`` along ``order`` (unique within the key)."""
+    return ordered_scan(df, keys, order, bucket, totals={out: value})
+
+
 def number_rows(
     df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column | None = None
 ) -> DataFrame:
@@ -79,4 +102,4 @@ def previous_row(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], out: str, bucket: Column | None = None
 ) -> DataFrame:
     """The preceding row's columns as a struct, NULL on the first row."""
-    return last_before(df, keys, order, F.struct(*columns), out, bucket)
+    return ordered_scan(df, keys, order, bucket, previous={out: columns})

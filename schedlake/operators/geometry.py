@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from schedlake.functions.ordered import previous_row, running_total
+from schedlake.session import written
 
 PAGE = ["doc_id", "page"]
 TOLERANCE, GUTTER, QUIET, CROSSING, CROSSING_FLOOR, SPANNING = 0.6, 0.4, 0.15, 0.25, 4, 1.2
@@ -45,7 +46,7 @@ def cluster_lines(runs: DataFrame, units: DataFrame) -> DataFrame:
         IF(acc.k = 0 OR abs(x.c - acc.s / acc.k) > unit * {TOLERANCE},
            named_struct('s', x.c * x.n, 'k', x.n, 'out', concat(acc.out, array(named_struct('c', x.c, 'starts', true)))),
            named_struct('s', acc.s + x.c * x.n, 'k', acc.k + x.n, 'out', concat(acc.out, array(named_struct('c', x.c, 'starts', false))))), acc -> acc.out)"""
-    marked = bands.selectExpr(*PAGE, f"inline({fold})")
+    marked = written(bands.selectExpr(*PAGE, f"inline({fold})"), "centres")
     lines = running_total(marked, PAGE, ["c"], F.col("starts").cast("int"), "line", F.floor(F.col("c") / 16384))
     return usable.join(lines.selectExpr(*PAGE, "c", "line - 1 AS line"), [*PAGE, "c"]).drop("c")
 
@@ -194,8 +195,8 @@ def cell_texts(placed: DataFrame, cell: list[str]) -> DataFrame:
 def build_grid(runs: DataFrame) -> DataFrame:
     """Runs to grid cells: doc_id, page, row_no, col, text, box, confidence."""
     units = page_units(runs)
-    lined = cluster_lines(runs, units)
-    gaps = line_gaps(line_boxes(lined))
+    lined = written(cluster_lines(runs, units), "lines")
+    gaps = written(line_gaps(line_boxes(lined)), "gaps")
     rows = group_rows(gaps, row_thresholds(gaps, units)).select(*PAGE, "line", "row_no")
     placed = assign_columns(lined, column_spans(lined, units)).join(rows, [*PAGE, "line"])
     return cell_texts(placed, [*PAGE, "row_no", "col"])

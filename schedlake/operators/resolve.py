@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from schedlake.functions import dates as D
 from schedlake.functions import times as T
-from schedlake.functions.ordered import previous_row, running_total
+from schedlake.functions.ordered import ordered_scan, previous_row
 from schedlake.operators.tokens import date_tokens
+from schedlake.session import written
 
 MIN_SEQUENCE = 4
 MIN_COLUMN = 3
@@ -115,42 +116,17 @@ REASONS = {
 }
 
 
-def monotonic_split(tokens: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
-    """How many unmarked times of a column are AM, where exactly one number fits.
-
-    Unmarked times switch from AM to PM once.  With ``k`` of them AM, every
-    neighbouring pair of a strictly increasing column bounds ``k`` from below or
-    above, so the number of fitting ``k`` follows from one max and one min per
-    column: nothing is enumerated and the column length has no limit.
-    """
-    fixed = "IF(mer = 'Unstated', NULL, written)"
-    rows = tokens.selectExpr(
-        *keys, *order, "valid", f"{fixed} AS v", "IF(mer = 'Unstated', am, NULL) AS am", "int(mer = 'Unstated') AS u"
-    )
-    rows = running_total(rows, keys, order, F.col("u"), "rank", bucket)
-    rows = previous_row(rows, keys, order, ["v", "am"], "prev", bucket)
-    low = F.expr(
-        """CASE WHEN prev IS NULL THEN 0
-           WHEN prev.am IS NOT NULL AND am IS NOT NULL THEN IF(am <= prev.am, rank - 1, 0)
-           WHEN prev.v IS NOT NULL AND am IS NOT NULL THEN IF(prev.v < am + 720, 0, rank)
-           WHEN prev.am IS NOT NULL AND v IS NOT NULL THEN IF(prev.am + 720 < v, 0, rank)
-           WHEN prev.v < v THEN 0 ELSE 9223372036854775807 END"""
-    )
-    high = F.expr(
-        """CASE WHEN prev IS NULL THEN NULL
-           WHEN prev.am IS NOT NULL AND am IS NOT NULL THEN IF(am <= prev.am, rank - 1, NULL)
-           WHEN prev.v IS NOT NULL AND am IS NOT NULL THEN IF(prev.v < am, NULL, rank - 1)
-           WHEN prev.am IS NOT NULL AND v IS NOT NULL THEN IF(prev.am < v, NULL, rank - 1) END"""
-    )
-    bounds = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.bool_and("valid").alias("valid"),
-        F.sum("u").alias("unmarked"),
-        F.max(low).alias("low"),
-        F.min(high).alias("high"),
-    )
-    fits = (F.col("n") >= MIN_COLUMN) & F.col("valid") & (F.col("low") == F.least("unmarked", F.coalesce("high", "unmarked")))
-    return bounds.where(fits).select(*keys, F.col("low").alias("split"))
+# With ``k`` unmarked times AM, every neighbouring pair of a strictly increasing
+# column bounds ``k`` from below or above.
+_LOW = """CASE WHEN prev IS NULL THEN 0
+    WHEN prev.u_am IS NOT NULL AND u_am IS NOT NULL THEN IF(u_am <= prev.u_am, rank - 1, 0)
+    WHEN prev.v IS NOT NULL AND u_am IS NOT NULL THEN IF(prev.v < u_am + 720, 0, rank)
+    WHEN prev.u_am IS NOT NULL AND v IS NOT NULL THEN IF(prev.u_am + 720 < v, 0, rank)
+    WHEN prev.v < v THEN 0 ELSE 9223372036854775807 END"""
+_HIGH = """CASE WHEN prev IS NULL THEN NULL
+    WHEN prev.u_am IS NOT NULL AND u_am IS NOT NULL THEN IF(u_am <= prev.u_am, rank - 1, NULL)
+    WHEN prev.v IS NOT NULL AND u_am IS NOT NULL THEN IF(prev.v < u_am, NULL, rank - 1)
+    WHEN prev.u_am IS NOT NULL AND v IS NOT NULL THEN IF(prev.u_am < v, NULL, rank - 1) END"""
 
 
 def column_notation(tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,20 +160,36 @@ def resolve_meridiem(
 ) -> DataFrame:
     """Adds ``minutes``, ``inferred`` and ``reason`` to each time of a column.
 
+    A column settled as written, or proved to use 24 hours, needs no more.  Else
+    its unmarked times switch from AM to PM once, and exactly one number of AM
+    times must make it strictly increase: that number follows from one max and
+    one min over neighbouring pairs, so no split is tried and no length is too long.
+
     ``context`` (keys, context_proof) lets times outside the column prove 24-hour notation.
     """
-    notation = column_notation(tokens, keys).withColumnRenamed("proof", "proven")
-    if context is not None:
-        notation = notation.join(context, keys, "left").withColumn(
-            "proven", F.expr("proven OR coalesce(context_proof, false)")
-        ).drop("context_proof")
-    undecided = notation.where("NOT all_written AND NOT proven").select(*keys)
-    solved = monotonic_split(tokens.join(undecided, keys, "left_semi"), keys, order, bucket)
-    ranked = running_total(
-        tokens.withColumn("u", F.expr("int(mer = 'Unstated')")), keys, order, F.col("u"), "rank", bucket
+    marked = tokens.selectExpr(
+        "*", "IF(mer = 'Unstated', NULL, written) AS v", "IF(mer = 'Unstated', am, NULL) AS u_am",
+        "int(mer = 'Unstated') AS u",
+    )
+    rows = ordered_scan(marked, keys, order, bucket, totals={"rank": F.col("u")}, previous={"prev": ["v", "u_am"]})
+    facts = rows.groupBy(*keys).agg(
+        F.bool_and(F.col("written").isNotNull()).alias("all_written"),
+        F.bool_or("proof").alias("proven"),
+        F.count("*").alias("n"),
+        F.bool_and("valid").alias("all_valid"),
+        F.sum("u").alias("unmarked"),
+        F.max(F.expr(_LOW)).alias("low"),
+        F.min(F.expr(_HIGH)).alias("high"),
+    )
+    if context is None:
+        facts = facts.withColumn("context_proof", F.lit(False))
+    else:
+        facts = facts.join(context, keys, "left")
+    facts = facts.selectExpr(
+        *keys, "NOT all_written AND (proven OR coalesce(context_proof, false)) AS proven",
+        f"IF(n >= {MIN_COLUMN} AND all_valid AND low = least(unmarked, coalesce(high, unmarked)), low, NULL) AS split",
     )
-    out = ranked.join(notation, keys, "left").join(solved, keys, "left")
-    return _settle(out, keys, order)
+    return _settle(rows.join(facts, keys, "left"), keys, order)
 
 
 def _settle(out: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -214,6 +206,7 @@ def _settle(out: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def resolve_slots(ranges: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
     """Start and end minutes of each range of a column; both sides share one clock notation."""
+    ranges = written(ranges, "ranges")
     proof = " OR ".join(
         f"coalesce({T.proves_24h(f'{x}_hour', f'{x}_mer', f'{x}_padded')}, false)" for x in ("start", "end")
     )

@@ -14,6 +14,7 @@ from schedlake.functions import times as T
 from schedlake.functions.ordered import last_before, previous_row, running_total
 from schedlake.operators import resolve as R
 from schedlake.operators import tokens as K
+from schedlake.session import written
 
 SHEET = ["doc_id", "sheet"]
 TIME_FIELDS = ["start_hour", "start_minute", "start_mer", "start_padded", "end_hour", "end_minute", "end_mer", "end_padded"]
@@ -91,6 +92,7 @@ def weekly_grid(features: DataFrame, layout: DataFrame) -> DataFrame:
     slots = R.resolve_slots(body.select(*SHEET, "row_no", *TIME_FIELDS), SHEET, ["row_no"]).select(
         *SHEET, "row_no", "start_min", "end_min"
     )
+    slots = written(slots, "slots")
     readable = slots.where("start_min IS NOT NULL").select(*SHEET).distinct()
     slots = slots.join(readable, SHEET, "left_semi")
     cells = mine.select(*SHEET, "row_no", "col", "text").join(heads, [*SHEET, "col"]).join(slots, [*SHEET, "row_no"])
@@ -192,15 +194,16 @@ def plausible_groups(entries: DataFrame) -> DataFrame:
 
 def weekly_schedules(features: DataFrame) -> DataFrame:
     """The weekly reading of every sheet: ordinary layouts, rosters where those gave nothing, plausible only."""
-    layout = orientations(features).join(dated_sheets(features), SHEET, "left_anti")
+    layout = written(orientations(features).join(dated_sheets(features), SHEET, "left_anti"), "layout")
     ordinary = weekly_grid(features, layout).withColumn("kind", F.lit("Weekly")).unionByName(
         period_grid(features, layout).unionByName(row_list(features, layout)).withColumn("kind", F.lit("Unknown"))
     )
+    ordinary = written(ordinary, "ordinary")
     found = ordinary.select(*SHEET).distinct()
     second = roster(features, layout.join(found, SHEET, "left_anti")).withColumn("kind", F.lit("Weekly"))
     entries = ordinary.unionByName(second)
     kinds = entries.select(*SHEET, "kind").distinct()
-    kept = dedupe(entries.drop("kind"))
+    kept = written(dedupe(entries.drop("kind")), "weekly")
     return kept.join(plausible_groups(kept), SHEET, "left_semi").join(kinds, SHEET)
 
 
@@ -382,7 +385,7 @@ def nearest_headings(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def prose_anchors(lines: DataFrame) -> DataFrame:
     """Dated lines with their first readable date, settled with the evidence of the whole document."""
-    dates = R.locate_dates(lines, ["doc_id", "line_no"]).where("n_readings > 0")
+    dates = written(R.locate_dates(lines, ["doc_id", "line_no"]).where("n_readings > 0"), "dates")
     rest = ["start", "raw", "n_readings", "proven_order", "stated_weekday", "year", "date1", "date2"]
     first = dates.groupBy("doc_id", "line_no").agg(F.min_by(F.struct(*rest), "start").alias("d")).select("doc_id", "line_no", "d.*")
     return R.resolve_dates(first, ["doc_id"], ["line_no"])
@@ -396,7 +399,7 @@ def prose_titles(lines: DataFrame, anchors: DataFrame, fields: DataFrame) -> Dat
     above = nearest_headings(lines, ["doc_id"]).select(*at, "text", "above")
     rows = anchors.select(*at, "start").join(above, at).join(when, at, "left").join(subject, "doc_id", "left")
     rows = rows.withColumn("subject", F.when(K.names_something(F.col("subject")), F.col("subject")))
-    strip = f"regexp_replace({{0}}, '^[{K.TRIM}]+|[{K.TRIM}]+$', '')"
+    strip = f"regexp_replace({{0}}, r'^[{K.TRIM}]+|[{K.TRIM}]+$', '')"
     squeeze = "trim(regexp_replace({0}, r'\\s+', ' '))"
     rows = rows.selectExpr(
         *at, "above", "concat_ws(' — ', subject, label) AS from_label", "label IS NOT NULL AS labelled",
@@ -435,8 +438,8 @@ def line_times(lines: DataFrame, text: str = "text") -> DataFrame:
 def prose_events(lines: DataFrame) -> DataFrame:
     """Dated lines of running text as entries: title, date, time, deduplicated per document."""
     at = ["doc_id", "line_no"]
-    anchors = prose_anchors(lines)
-    fields = K.labelled_fields(lines)
+    anchors = written(prose_anchors(lines), "anchors")
+    fields = written(K.labelled_fields(lines), "fields")
     titles = prose_titles(lines, anchors, fields)
     dated = anchors.where("resolved IS NOT NULL").select(*at, F.col("resolved").alias("date"))
     single = anchors.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")

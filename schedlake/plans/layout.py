@@ -156,7 +156,7 @@ def wrapped(spark, sf_dir):
     runs_of(spark, sf_dir).createOrReplaceTempView("placed_runs")
     runs = written(spark.sql(WRAPPED.format(runs="placed_runs")), "runs")
     units = G.page_units(runs)
-    return units, G.line_gaps(G.line_boxes(G.cluster_lines(runs, units)))
+    return units, written(G.line_gaps(G.line_boxes(G.cluster_lines(runs, units))), "gaps")
 
 
 @query("row_threshold", f"WITH {BOXES} SELECT * FROM th")

@@ -20,6 +20,10 @@ def features(spark, sf_dir, name="sheet_cells"):
     return written(S.cell_features(rendered(spark, sf_dir, name)), name)
 
 
+def layout_of(f):
+    return written(S.orientations(f), "layout")
+
+
 DAY = f"regexp_matches(text, '{V.WEEKDAY_NAME}')"
 CELL_KEYS = "doc_id, sheet, row_no, col"
 
@@ -108,7 +112,7 @@ GRID = f"""gm AS (SELECT f.*, day_row FROM f JOIN lay USING (doc_id, sheet) WHER
 @query("weekly_grid", f"WITH RECURSIVE {LAYOUT}, {GRID} SELECT {OUT} FROM grid")
 def weekly_grid(spark, sf_dir):
     f = features(spark, sf_dir)
-    return S.weekly_grid(f, S.orientations(f)).select(*OUT.split(", "))
+    return S.weekly_grid(f, layout_of(f)).select(*OUT.split(", "))
 
 
 PERIOD = f"""pm AS (SELECT f.*, day_col, period_row FROM f JOIN lay USING (doc_id, sheet) WHERE orientation = 'PeriodColumns'),
@@ -121,7 +125,7 @@ PERIOD = f"""pm AS (SELECT f.*, day_col, period_row FROM f JOIN lay USING (doc_i
 @query("period_grid", f"WITH RECURSIVE {LAYOUT}, {PERIOD} SELECT {OUT} FROM period")
 def period_grid(spark, sf_dir):
     f = features(spark, sf_dir)
-    return S.period_grid(f, S.orientations(f)).select(*OUT.split(", "))
+    return S.period_grid(f, layout_of(f)).select(*OUT.split(", "))
 
 
 ROWS = f"""lm AS (SELECT f.* FROM f JOIN lay USING (doc_id, sheet) WHERE orientation = 'RowOriented'),
@@ -138,7 +142,7 @@ ROWS = f"""lm AS (SELECT f.* FROM f JOIN lay USING (doc_id, sheet) WHERE orienta
 @query("row_list", f"WITH RECURSIVE {LAYOUT}, {ROWS} SELECT {OUT} FROM rowlist")
 def row_list(spark, sf_dir):
     f = features(spark, sf_dir)
-    return S.row_list(f, S.orientations(f)).select(*OUT.split(", "))
+    return S.row_list(f, layout_of(f)).select(*OUT.split(", "))
 
 
 def lone(side: str, other: str, w: str) -> str:
@@ -159,7 +163,7 @@ ROSTER = f"""oc AS (SELECT f.* FROM f JOIN lay USING (doc_id, sheet)), oh AS (SE
 @query("roster", f"WITH RECURSIVE {LAYOUT}, {ROSTER} SELECT doc_id, entry_id, title, weekday, start_min, end_min FROM roster")
 def roster(spark, sf_dir):
     f = features(spark, sf_dir)
-    return S.roster(f, S.orientations(f)).select("doc_id", "entry_id", "title", "weekday", "start_min", "end_min")
+    return S.roster(f, layout_of(f)).select("doc_id", "entry_id", "title", "weekday", "start_min", "end_min")
 
 
 ORDINARY = f"""{LAYOUT}, {GRID}, {PERIOD}, {ROWS}, {ROSTER},
@@ -177,7 +181,7 @@ def plausible_week(spark, sf_dir):
 
 def all_entries(spark, sf_dir):
     f = features(spark, sf_dir)
-    layout = S.orientations(f)
+    layout = layout_of(f)
     ordinary = written(
         S.weekly_grid(f, layout).unionByName(S.period_grid(f, layout)).unionByName(S.row_list(f, layout)), "entries"
     )
@@ -192,7 +196,7 @@ def all_entries(spark, sf_dir):
 )
 def entry_dedupe(spark, sf_dir):
     f = features(spark, sf_dir)
-    entries = S.period_grid(f, S.orientations(f))
+    entries = S.period_grid(f, layout_of(f))
     twice = entries.unionByName(entries.withColumn("row_no", F.expr("CAST(row_no + 100 AS INT)")))
     return S.dedupe(twice).select("doc_id", "title", "weekday", "start_min", "end_min", "row_no")
 
@@ -220,8 +224,8 @@ def dated_rows(order: str) -> str:
 
 def dated(spark, sf_dir, answers=None):
     cells = written(rendered(spark, sf_dir, "dated_cells"), "cells")
-    layout = S.dated_layout(cells)
-    return cells, layout, S.dated_table(cells, layout, answers)
+    layout = written(S.dated_layout(cells), "layout")
+    return cells, layout, written(S.dated_table(cells, layout, answers), "dated")
 
 
 DATED_OUT = ["doc_id", "entry_id", "title", "CAST(date AS STRING) AS date", "start_min", "end_min", "location"]
@@ -366,7 +370,7 @@ TITLES = f"""{HEADS},
 @query("prose_titles", f"WITH RECURSIVE {TITLES} SELECT {AT}, title, origin FROM ttl WHERE title IS NOT NULL")
 def prose_titles(spark, sf_dir):
     lines = written(rendered(spark, sf_dir, "labelled"), "lines")
-    return S.prose_titles(lines, S.prose_anchors(lines), K.labelled_fields(lines))
+    return S.prose_titles(lines, written(S.prose_anchors(lines), "anchors"), written(K.labelled_fields(lines), "fields"))
 
 
 # Lines hold at most one time here, so a time stands as written or under its own proof.

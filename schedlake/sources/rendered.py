@@ -205,7 +205,7 @@ def sheet_cells(q) -> str:
         UNION ALL SELECT doc_id, wd, 0, {day} FROM {table} a WHERE doc_id % 4 = 1 GROUP BY doc_id, wd
         UNION ALL SELECT doc_id, wd, hr - 7, {body} FROM {table} a WHERE doc_id % 4 = 1
         UNION ALL SELECT doc_id, wd * 20 + hr, part, CASE part WHEN 0 THEN {day} WHEN 1 THEN {slot}
-            WHEN 2 THEN subject || ' (Dr. ' || upper(substr(subject, 1, 1)) || ' Rao)' ELSE 'Room ' || {s('k')} END
+            WHEN 2 THEN subject || CASE WHEN k % 3 = 0 THEN ' (Dr. ' || upper(substr(subject, 1, 1)) || ' Rao)' ELSE '' END ELSE 'Room ' || {s('k')} END
           FROM (SELECT a.*, {q.each('0', '3')} AS part FROM {table} a WHERE doc_id % 4 = 2) l
         UNION ALL SELECT doc_id, hr - 7, 0, 'Worker ' || substr('ABCDEFGHIJ', hr - 7, 1) || 'n'
           FROM {table} a WHERE doc_id % 4 = 3 GROUP BY doc_id, hr
@@ -235,7 +235,7 @@ def section_cells(q) -> str:
 def dated_cells(q) -> str:
     """Dated sheets by o_custkey % 4: ISO, month names, numeric, and one-record bills."""
     month = f"split_part('{MONTHS}', ',', CAST(mm AS INT))"
-    dmy = f"{pad('dd')} || '/' || {pad('mm')} || '/' || {s('yy')}"
+    dmy = f"{pad('CASE WHEN o_custkey % 8 = 6 THEN dd % 12 + 1 ELSE dd END')} || '/' || {pad('mm')} || '/' || {s('yy')}"
     clock = f"{pad('dd % 9 + 8')} || ':' || {pad('mm * 4')}"
     return f"""
       SELECT doc_id, 'Dates' AS sheet, CAST(row_no AS BIGINT) AS row_no, CAST(col AS INT) AS col, text FROM (
