@@ -78,7 +78,7 @@ def reminder_ladder(spark, sf_dir):
 NEAR = f"{NOW} + (start_ms // 60000 * 7919) % 20000 * 60000"
 
 
-def plan(spark, sf_dir):
+def plan(spark, sf_dir, now=NOW):
     weekly = rules(spark, sf_dir).selectExpr(
         "*", "'Class' AS kind", f"{L.ladder_for(repr('Class'))} AS offsets", "CAST(NULL AS INT) AS repeat_min"
     )
@@ -86,13 +86,18 @@ def plan(spark, sf_dir):
         "import_id", "entry_id", "title", "kind", f"{L.ladder_for('kind')} AS offsets", "CAST(NULL AS INT) AS repeat_min",
         NEAR.replace("//", "div") + " AS event_ms",
     )
-    return L.reminder_plan(weekly, single, NOW)
+    return L.reminder_plan(weekly, single, now)
 
 
-PLAN = f"""{WALK}, ev AS (SELECT import_id, entry_id, title, 'Class' AS kind, [30, 10, 5] AS offs, event_ms FROM o WHERE event_ms >= {NOW} AND event_ms < {HORIZON} + 30 * 60000
-      UNION ALL SELECT import_id, entry_id, title, kind, {LADDER}, {NEAR} FROM ({duck('planned')}) p WHERE {NEAR} > {NOW}),
+def plan_sql(now: int) -> str:
+    until = now + 7 * DAY
+    return f"""{WALK}, ev AS (SELECT import_id, entry_id, title, 'Class' AS kind, [30, 10, 5] AS offs, event_ms FROM o WHERE event_ms >= {now} AND event_ms < {until} + 30 * 60000
+      UNION ALL SELECT import_id, entry_id, title, kind, {LADDER}, {NEAR} FROM ({duck('planned')}) p WHERE {NEAR} > {now}),
     due AS (SELECT import_id, entry_id, title, kind, event_ms, event_ms - unnest(offs) * 60000 AS due_ms FROM ev),
-    plan AS (SELECT import_id || '/' || entry_id || '/' || event_ms || '/' || due_ms AS id, * FROM due WHERE due_ms >= {NOW} AND due_ms < {HORIZON})"""
+    plan AS (SELECT import_id || '/' || entry_id || '/' || event_ms || '/' || due_ms AS id, * FROM due WHERE due_ms >= {now} AND due_ms < {until})"""
+
+
+PLAN = plan_sql(NOW)
 
 
 @query("reminder_plan", f"WITH {PLAN} SELECT id, title, kind, event_ms, due_ms FROM plan")

@@ -425,8 +425,8 @@ def distinguish_groups(spark, sf_dir):
 @query(
     "which_schedule",
     f"""WITH g AS ({GROUPS.format(orders='orders')}), a AS (SELECT doc_id, 'g' || max(part) AS selected FROM g WHERE doc_id % 4 = 0 GROUP BY 1),
-    c AS (SELECT doc_id, group_id AS selected FROM g JOIN a USING (doc_id) WHERE group_id = selected), o AS (SELECT doc_id, count(*) AS offers, min_by(group_id, part) AS only FROM g WHERE size > 0 GROUP BY 1)
-    SELECT doc_id, coalesce(offers, 0) AS offers, c.selected IS NULL AND coalesce(offers, 0) > 1 AS asks, coalesce(c.selected, CASE WHEN offers = 1 THEN only END) AS builds FROM o FULL JOIN c USING (doc_id)""",
+    c AS (SELECT doc_id, group_id AS selected FROM g JOIN a USING (doc_id) WHERE group_id = selected), o AS (SELECT doc_id, count(*) AS offers, min_by(group_id, part) AS sole FROM g WHERE size > 0 GROUP BY 1)
+    SELECT doc_id, coalesce(offers, 0) AS offers, c.selected IS NULL AND coalesce(offers, 0) > 1 AS asks, coalesce(c.selected, CASE WHEN offers = 1 THEN sole END) AS builds FROM o FULL JOIN c USING (doc_id)""",
 )
 def which_schedule(spark, sf_dir):
     groups = spark.sql(GROUPS.format(orders=f"parquet.`{sf_dir}/orders.parquet`"))
