@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from schedlake.functions import dates as D
 from schedlake.functions import times as T
+from schedlake.functions.once import once
 from schedlake.functions.ordered import last_before, previous_row, running_total
 from schedlake.operators import resolve as R
 from schedlake.operators import tokens as K
@@ -22,16 +23,22 @@ MIN_WEEKDAYS, MIN_PERIODS, MAX_DATED_ROWS = 2, 3, 3
 ENTRY = ["doc_id", "sheet", "entry_id", "row_no", "col", "title", "weekday", "start_min", "end_min", "location", "instructor"]
 
 
+def first_time(spans: str) -> str:
+    """Clock parts of the first time among spans, blanks where there is none."""
+    return f"IF(size({spans}) > 0, {T.clock_parts(f'{spans}[0].raw', f'{spans}[0].is_range')}, array('', '', '', '', '', ''))"
+
+
 def cell_features(cells: DataFrame) -> DataFrame:
     """Cells with what they look like and the first time they hold."""
-    out = cells.where("trim(text) <> ''").selectExpr(
-        *SHEET, "row_no", "col", "text",
-        f"{D.names_weekday('text')} AS is_day", f"{D.first_weekday('text')} AS weekday",
-        f"{D.holds_reading('text')} AS is_date", f"{T.time_spans('text')} AS spans",
+    out = once(
+        cells.where("trim(text) <> ''").select(*SHEET, "row_no", "col", "text"),
+        {
+            "is_day": D.names_weekday("text"), "weekday": D.first_weekday("text"),
+            "is_date": D.holds_reading("text"), "spans": T.time_spans("text"),
+        },
     )
-    out = out.selectExpr(
-        "*", "size(spans) > 0 AS is_time", "size(filter(spans, s -> s.is_range)) AS n_ranges",
-        f"IF(size(spans) > 0, {T.clock_parts('spans[0].raw', 'spans[0].is_range')}, array('', '', '', '', '', '')) AS p",
+    out = once(out, {"p": first_time("spans")}).selectExpr(
+        "*", "size(spans) > 0 AS is_time", "size(filter(spans, s -> s.is_range)) AS n_ranges"
     )
     return out.selectExpr(*[c for c in out.columns if c not in ("p", "spans")], *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()])
 
@@ -245,10 +252,7 @@ def dated_table(cells: DataFrame, layout: DataFrame, answers: DataFrame | None =
     ).where("title IS NOT NULL")
     rows = rows.where(K.table_title_ok(F.col("title"))).join(dates, at)
     rows = rows.withColumn("time_text", F.coalesce(K.unglue(F.col("time_text")), F.lit("")))
-    rows = rows.withColumn("s", F.expr(T.time_spans("time_text"))).selectExpr(
-        *at, "title", "date", "location",
-        f"IF(size(s) > 0, {T.clock_parts('s[0].raw', 's[0].is_range')}, array('', '', '', '', '', '')) AS p",
-    )
+    rows = once(once(rows, {"s": T.time_spans("time_text")}), {"p": first_time("s")})
     rows = rows.selectExpr(*at, "title", "date", "location", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()])
     return rows.selectExpr(
         *at, "concat('dated-', row_no) AS entry_id", "title", "date", f"{R.lone_time('start', 'end')} AS start_min",
@@ -292,9 +296,8 @@ def field_table(cells: DataFrame, layout: DataFrame, produced: DataFrame) -> Dat
     cell = [*at, "col"]
     dates = cell_dates(picked.select(*cell, "text"), cell).where("n_readings = 1 AND date1 IS NOT NULL").select(*cell, "date1")
     rows = picked.join(dates, cell).join(subject, SHEET, "left").withColumn("plain", K.unglue(F.col("text")))
-    rows = rows.withColumn("s", F.expr(T.time_spans("plain"))).selectExpr(
-        *cell, "concat_ws(' · ', subject, concat(upper(substring(field, 1, 1)), substring(field, 2))) AS title", "date1 AS date",
-        f"IF(size(s) > 0, {T.clock_parts('s[0].raw', 's[0].is_range')}, array('', '', '', '', '', '')) AS p",
+    rows = once(once(rows, {"s": T.time_spans("plain")}), {"p": first_time("s")}).selectExpr(
+        *cell, "concat_ws(' · ', subject, concat(upper(substring(field, 1, 1)), substring(field, 2))) AS title", "date1 AS date", "p"
     )
     rows = rows.selectExpr(*cell, "title", "date", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()])
     rows = rows.selectExpr(*cell, "title", "date", f"{R.lone_time('start', 'end')} AS start_min")
@@ -401,12 +404,18 @@ def prose_titles(lines: DataFrame, anchors: DataFrame, fields: DataFrame) -> Dat
     rows = rows.withColumn("subject", F.when(K.names_something(F.col("subject")), F.col("subject")))
     strip = f"regexp_replace({{0}}, r'^[{K.TRIM}]+|[{K.TRIM}]+$', '')"
     squeeze = "trim(regexp_replace({0}, r'\\s+', ' '))"
-    rows = rows.selectExpr(
-        *at, "above", "concat_ws(' — ', subject, label) AS from_label", "label IS NOT NULL AS labelled",
-        squeeze.format(strip.format("substring(text, 1, start)")) + " AS prefix",
-        f"aggregate(concat(transform({D.drop_overlaps(D.date_tokens('text'))}, t -> t.raw), transform({T.time_spans('text')}, t -> trim(t.raw))), text, (acc, x) -> replace(acc, x, ' ')) AS rest",
+    found = f"concat(transform({D.drop_overlaps(D.date_tokens('text'))}, t -> t.raw), transform({T.time_spans('text')}, t -> trim(t.raw)))"
+    rows = once(
+        rows.selectExpr(*at, "text", "above", "start", "concat_ws(' — ', subject, label) AS from_label", "label IS NOT NULL AS labelled"),
+        {
+            "head": squeeze.format(strip.format("substring(text, 1, start)")),
+            "tail": f"aggregate({found}, text, (acc, x) -> replace(acc, x, ' '))",
+        },
+    )
+    rows = once(
+        rows.withColumn("cut", K.trim_title(F.col("head"))),
+        {"prefix": "cut", "rest": squeeze.format(strip.format("tail"))},
     )
-    rows = rows.withColumns({"prefix": K.trim_title(F.col("prefix")), "rest": F.expr(squeeze.format(strip.format("rest")))})
     words = F.filter(F.split("prefix", "[ ,]"), lambda w: w != "")
     day_only = (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(D.PATTERNS[D.WEEKDAY]))
     title = (
@@ -421,7 +430,8 @@ def prose_titles(lines: DataFrame, anchors: DataFrame, fields: DataFrame) -> Dat
         )
         .when(F.col("above").isNotNull(), F.struct(F.col("above").alias("t"), F.lit("heading").alias("how")))
     )
-    return rows.withColumn("__t", title).where("__t IS NOT NULL").select(*at, F.col("__t.t").alias("title"), F.col("__t.how").alias("origin"))
+    picked = rows.select(*at, F.inline_outer(F.array(title)).alias("title", "origin"))
+    return picked.where("title IS NOT NULL")
 
 
 def line_times(lines: DataFrame, text: str = "text") -> DataFrame:

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from schedlake.functions import dates as D
 from schedlake.functions import times as T
 from schedlake.functions import vocabulary as V
+from schedlake.functions.once import once
 
 
 def read_token(df: DataFrame) -> DataFrame:
     """Adds the readings of a date token (columns ``raw``, ``family``)."""
     dated, numeric = f"family <> {D.WEEKDAY}", f"family = {D.NUMERIC}"
+    parts = once(df, {"p": D.written_parts("raw", "family")})
     return (
-        df.selectExpr("*", f"{D.written_parts('raw', 'family')} AS p")
-        .selectExpr(*df.columns, *[f"{e} AS __{n}" for n, e in D.part_numbers("p").items()])
+        once(parts, {f"__{n}": e for n, e in D.part_numbers("p").items()})
         .selectExpr(
             "*",
             f"{dated} AND {D.calendar_valid('__first', '__second', '__year')} AS __df",
@@ -56,8 +57,8 @@ def overlap_report(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
 def time_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per time or time range of a line."""
     found = df.selectExpr(*keys, f"explode_outer({T.time_spans(text)}) AS m").where("m IS NOT NULL")
-    return found.selectExpr(
-        *keys, "m.start", "trim(m.raw) AS raw", "m.is_range", f"{T.clock_parts('m.raw', 'm.is_range')} AS p"
+    return once(found, {"p": T.clock_parts("m.raw", "m.is_range")}).selectExpr(
+        *keys, "m.start", "trim(m.raw) AS raw", "m.is_range", "p"
     ).selectExpr(*keys, "start", "raw", "is_range", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()])
 
 
@@ -106,7 +107,7 @@ def subject_parts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def column_roles(cells: DataFrame, keys: list[str], threshold: float = 0.6) -> DataFrame:
     """What each column holds, by the share of its non-empty cells that look so."""
-    tests = cells.where("trim(text) <> ''").selectExpr(*keys, "trim(text) AS text")
+    tests = once(cells.where("trim(text) <> ''"), {"__t": "trim(text)"}).selectExpr(*keys, "__t AS text")
     tests = tests.selectExpr(
         *keys,
         f"{D.names_weekday('text')} AS weekday",
@@ -137,13 +138,12 @@ def _alternatives(words: tuple[str, ...]) -> str:
 
 def labelled_fields(df: DataFrame, text: str = "text") -> DataFrame:
     """``label: value`` lines with their role; lines that are none are dropped."""
-    staged = df.selectExpr("*", f"split({text}, r'{V.FIELD_SEPARATOR}', 2) AS __f").where("size(__f) = 2")
-    staged = staged.selectExpr(
-        *df.columns,
-        r"trim(regexp_replace(__f[0], r'\s+', ' ')) AS label",
-        r"trim(regexp_replace(__f[1], r'\s+', ' ')) AS value",
-    ).where("label <> '' AND length(label) <= 34 AND value <> ''")
-    staged = staged.selectExpr("*", r"regexp_replace(lower(label), r'^[ \t*().,\-#]+|[ \t*().,\-#]+$', '') AS __name")
+    staged = once(df, {"__f": f"split({text}, r'{V.FIELD_SEPARATOR}', 2)"}).where("size(__f) = 2")
+    squeeze = r"trim(regexp_replace(__f[{0}], r'\s+', ' '))"
+    staged = once(staged, {"label": squeeze.format(0), "value": squeeze.format(1)}).where(
+        "label <> '' AND length(label) <= 34 AND value <> ''"
+    )
+    staged = once(staged, {"__name": r"regexp_replace(lower(label), r'^[ \t*().,\-#]+|[ \t*().,\-#]+$', '')"}).drop("__f")
     name = F.col("__name")
     role = (
         F.when(name.rlike(f"(?:^| )(?:{_alternatives(V.TIME_LABELS)})$"), "Time")
