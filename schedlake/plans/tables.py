@@ -396,8 +396,9 @@ def prose_events(spark, sf_dir):
 
 @query(
     "schedule_fallback",
-    f"""WITH RECURSIVE {ORDINARY}, {HEADER.replace('dd2', 'dd2')}, {dated_rows('NULL')}, {PROSE.replace('src AS', 'xsrc AS').replace('FROM src', 'FROM xsrc').replace(' t_', ' xt_').replace(' c_', ' xc_').replace(' hd ', ' xhd ')},
-    r AS (SELECT ded.doc_id, 1 AS k FROM ded JOIN pls USING (doc_id) UNION ALL SELECT doc_id, 2 FROM dt UNION ALL SELECT doc_id, 3 FROM pd),
+    f"""WITH r AS (SELECT doc_id, 1 AS k FROM (WITH RECURSIVE {ORDINARY} SELECT ded.doc_id FROM ded JOIN pls USING (doc_id)) a
+      UNION ALL SELECT doc_id, 2 FROM (WITH RECURSIVE {HEADER}, {dated_rows('NULL')} SELECT doc_id FROM dt) b
+      UNION ALL SELECT doc_id, 3 FROM (WITH RECURSIVE {PROSE} SELECT doc_id FROM pd) c),
     n AS (SELECT doc_id, k, count(*) AS entries FROM r GROUP BY ALL)
     SELECT doc_id, split_part('weekly,dated,prose', ',', k) AS reading, entries FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1""",
 )
