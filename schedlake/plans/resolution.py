@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from schedlake.functions import dates as D
-from schedlake.functions import times as T
 from schedlake.operators import resolve as R
 from schedlake.operators import tokens as K
 from schedlake.plans import checking as C

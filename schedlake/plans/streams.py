@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from schedlake.plans import calendars
 from schedlake.plans.registry import query
 from schedlake.session import shared_folder
