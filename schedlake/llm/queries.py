@@ -6,15 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from schedlake.llm.chat_format import CHECK as CHAT
+from schedlake.llm.chat_format import op3_chat
+from schedlake.llm.decontamination import op6_decontamination
 from schedlake.llm.exact_dedup import op9_exact_dedup
+from schedlake.llm.quality import op4_quality
+from schedlake.llm.secret_scan import op1_secrets
 from schedlake.llm.sentencepiece_chunks import op7_sentencepiece
+from schedlake.llm.simhash import op2_simhash
+from schedlake.llm.token_counts import op5_token_counts
+from schedlake.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_simhash": op2_simhash,
+    "op3_chat": op3_chat,
+    "op4_quality": op4_quality,
+    "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 CHECKS: dict[str, str] = {
+    "op3_chat": CHAT,
     "op9_exact_dedup": """
         with d as (
             select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))

@@ -11,7 +11,7 @@ FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ROWS = [
     (1, "Abc", "x"), (2, "aBC", "x"), (3, "abc ", "x"), (4, None, "x"), (5, "", "x"), (6, "É", "x"), (7, "é", "x"),
     (8, "q" * 5000 + "r", "x"), (9, "q" * 5000 + "s", "x"), (10, "Q" * 5000 + "r", "x"), (11, "twin", "b"), (11, "twin", "a"),
-    (12, "alone", "x"), (None, "ABC", "x"), (13, "K", "x"), (14, "K", "x"),
+    (12, "alone", "x"), (None, "ABC", "x"), (13, "\u212a", "x"), (14, "K", "x"),
 ]
 
 
