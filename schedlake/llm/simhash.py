@@ -80,7 +80,7 @@ def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
         if not stack:
             stack, left = [left[0]], left[1:]
         node = stack.pop()
-        near = np.bitwise_count(left ^ node) <= radius
+        near = np.bitwise_count((left ^ node).view(np.uint64)) <= radius  # of signed numbers it counts the absolute value
         if near.any():
             stack.extend(left[near])
             found.extend((int(node), int(x)) for x in left[near])
