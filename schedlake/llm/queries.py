@@ -14,6 +14,7 @@ from schedlake.llm.quality import op4_quality
 from schedlake.llm.secret_scan import op1_secrets
 from schedlake.llm.sentencepiece_chunks import op7_sentencepiece
 from schedlake.llm.simhash import op2_simhash
+from schedlake.llm.suffix_dedup import op10_suffix_dedup
 from schedlake.llm.token_counts import op5_token_counts
 from schedlake.llm.warc import op8_warc
 
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 CHECKS: dict[str, str] = {
