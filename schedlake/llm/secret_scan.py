@@ -91,15 +91,16 @@ def train(labelled: DataFrame) -> DataFrame:
         F.count(F.when(F.col("random"), 1)).alias("r"), F.count(F.when(~F.col("random"), 1)).alias("o")
     )
     counts = written(counts, "secret-transitions")
-    last = counts.groupBy(F.expr("cell div 128").cast("int").alias("last")).agg(F.sum("r").alias("rs"), F.sum("o").alias("os"))
     spark = labelled.sparkSession
-    cells = spark.range(128 * 128, numPartitions=1).select(F.col("id").cast("int").alias("cell"), F.expr("int(id div 128)").alias("last"))
-    ratio = F.expr(
-        "ln((coalesce(r, 0) + 0.5) / (coalesce(rs, 0) + 33)) - ln((coalesce(o, 0) + 0.5) / (coalesce(os, 0) + 33))"
-    )  # half a count for each of 66 characters
-    scored = cells.join(counts, "cell", "left").join(last, "last", "left").select(
-        "cell", F.round(ratio * 1000).cast("int").alias("milli"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o")
-    )
+    cells = spark.range(128 * 128).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
+    cells = cells.select("cell", F.expr("cell div 128").alias("last"), F.expr("cell % 128").alias("next"), *[F.coalesce(c, F.lit(0)).alias(c) for c in "ro"])
+
+    def log_share(c: str):
+        # a character after another one, drawn to the share of the character at all by the weight of ten transitions
+        share = (F.sum(c).over(W.partitionBy("next")) + 0.5) / (F.sum(c).over(W.partitionBy(F.lit(0))) + 64)
+        return F.ln((F.col(c) + 10 * share) / (F.sum(c).over(W.partitionBy("last")) + 10))
+
+    scored = cells.select("cell", "r", "o", F.round((log_share("r") - log_share("o")) * 1000).cast("int").alias("milli"))
     model = scored.agg(F.array_sort(F.collect_list(F.struct("cell", "milli"))).alias("all"), F.sum("r").alias("r"), F.sum("o").alias("o"))
     return model.select(F.expr("if(r > 0 and o > 0, transform(all, x -> x.milli), transform(all, x -> 0))").alias("model"))
 
