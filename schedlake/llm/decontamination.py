@@ -208,5 +208,14 @@ def contaminated(
     )
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows without a contaminated pair, whole; a row is known by its id and its text."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("h"))
+    rows = docs.withColumn("__key", key)
+    found = contaminated(rows.select("__key", F.col(text_col).alias("text")), benchmark, "__key", "text", **how)
+    gone = written(found.select(F.col("__key").alias("__gone")).distinct(), "contaminated")
+    return rows.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -175,9 +175,26 @@ def co_train(
     return None
 
 
+def _scores(vectors: DataFrame, found: tuple[View, View, float] | None) -> DataFrame:
+    """(id, p_text, p_meta, p_quality, accepted)"""
+    if found is None:
+        none = F.lit(None).cast("double")
+        return vectors.select("id", none.alias("p_text"), none.alias("p_meta"), none.alias("p_quality"), F.lit(True).alias("accepted"))
+    text, meta, prior = found
+    scored = vectors.select("id", text.column("text_x").alias("t"), meta.column("meta_x", "meta_b").alias("m"))
+    share = lambda x: 1 / (1 + F.exp(-x))
+    both = F.col("t") + F.col("m") - prior
+    return scored.select(
+        "id", share(F.col("t")).alias("p_text"), share(F.col("m")).alias("p_meta"), share(both).alias("p_quality"), (both >= 0).alias("accepted")
+    )
+
+
+CATEGORIES, NUMBERS = ("lang", "source"), ("n_chars",)
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality",
-    categories: tuple[str, ...] = ("lang", "source"), numbers: tuple[str, ...] = ("n_chars",), **fit,
+    categories: tuple[str, ...] = CATEGORIES, numbers: tuple[str, ...] = NUMBERS, **fit,
 ) -> DataFrame:
     """One row per row: the id, ``p_text``, ``p_meta``, ``p_quality`` and ``accepted`` (``p_quality`` at least a half).
 
@@ -186,16 +203,19 @@ def classify(
     """
     vectors = written(features(docs, id_col, text_col, list(categories), list(numbers)), "quality-features")
     found = co_train(vectors, labels, label_id, label, BUCKETS * len(categories), **fit)
-    if found is None:
-        none = F.lit(None).cast("double")
-        return vectors.select(F.col("id").alias(id_col), none.alias("p_text"), none.alias("p_meta"), none.alias("p_quality"), F.lit(True).alias("accepted"))
-    text, meta, prior = found
-    scored = vectors.select("id", text.column("text_x").alias("t"), meta.column("meta_x", "meta_b").alias("m"))
-    share = lambda x: 1 / (1 + F.exp(-x))
-    both = F.col("t") + F.col("m") - prior
-    return scored.select(
-        F.col("id").alias(id_col), share(F.col("t")).alias("p_text"), share(F.col("m")).alias("p_meta"), share(both).alias("p_quality"), (both >= 0).alias("accepted")
-    )
+    return _scores(vectors, found).withColumnRenamed("id", id_col)
+
+
+def accepted_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality",
+    categories: tuple[str, ...] = CATEGORIES, numbers: tuple[str, ...] = NUMBERS, **fit,
+) -> DataFrame:
+    """The rows that ``classify`` accepts, whole: each row is judged by itself and travels with its features, unshuffled."""
+    rows = docs.withColumn("__whole", F.struct(*docs.columns))
+    vectors = written(features(rows, "__whole", text_col, list(categories), list(numbers)), "quality-rows")
+    named = vectors.withColumn("id", F.col("id")[id_col])
+    found = co_train(named, labels, label_id, label, BUCKETS * len(categories), **fit)
+    return _scores(vectors, found).where("accepted").select("id.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlake.llm.common import per_text, table
+from schedlake.llm.common import per_text, table, whole
 from schedlake.llm.components import components
 from schedlake.session import written
 
@@ -163,6 +163,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **near) -> DataFrame:
+    """The rows that stay, whole: of each component the one with the smallest id (rows without an id come last).
+
+    Rows that repeat both id and text stay together; exact dedup comes first where there may be such rows.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("h"))
+    rows = docs.withColumn("__key", key)
+    classes = near_classes(rows.select("__key", F.col(text_col).alias("text")), "__key", "text", **near)
+    gone = written(classes.where("__key != component_id").select(F.col("__key").alias("__gone")).distinct(), "simhash-gone")
+    return rows.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
