@@ -17,8 +17,8 @@ PATTERNS = {
 DAY_FIRST, MONTH_FIRST = "DayFirst", "MonthFirst"
 TOKENS = "array<struct<start:int,neg_len:int,family:int,raw:string>>"
 NO_TOKENS = f"CAST(array() AS {TOKENS})"
-# Cheap tests that decide whether a family's full pattern is tried at all.
-_MONTH_STEM = r"(?i)\d.*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\d"
+# Cheap tests that decide whether a family's full pattern is tried at all; like the patterns they cross line breaks.
+_MONTH_STEM = r"(?is)\d.*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\d"
 _GATES = {
     ISO: r"\d{4}-\d",
     DAY_MONTH: _MONTH_STEM,

@@ -14,9 +14,7 @@ LADDERS = {
     "Class": (30, 10, 5),
     "Deadline": (10080, 1440, 180),
 }
-MAX_REPEATS = 2000
 SIMILAR = 0.85
-CHUNK = 150
 DAY_MS = 86_400_000
 URI = "schedlake://import/"
 
@@ -55,17 +53,24 @@ def occurrences(rules: DataFrame, from_ms: str, to_ms: str) -> DataFrame:
     return kept.where(f"event_ms >= {from_ms} AND event_ms < {to_ms}").drop("d0", "d1", "__day")
 
 
-def ladder_rungs(events: DataFrame, keys: list[str]) -> DataFrame:
+def ladder_rungs(events: DataFrame, keys: list[str], from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
     """Reminder instants of each event: start minus every offset, and repeats closing in.
 
-    Needs ``event_ms``, ``offsets`` (minutes) and ``repeat_min`` (NULL for none).
+    Needs ``event_ms``, ``offsets`` (minutes) and ``repeat_min`` (NULL for none).  Only instants in
+    [``from_ms``, ``to_ms``) are made, where those are given.
     """
+    inside = " AND ".join(
+        x for x in (from_ms is not None and f"x >= {from_ms}L", to_ms is not None and f"x < {to_ms}L") if x
+    )
     rungs = "transform(offsets, o -> event_ms - o * 60000L)"
-    closest = "event_ms - coalesce(array_min(offsets), 0) * 60000L"
-    step = "repeat_min * 60000L"
-    n = f"least({MAX_REPEATS}L, (event_ms - 1 - ({closest})) div ({step}))"
-    repeats = f"IF(repeat_min IS NULL OR {n} < 1, array(), transform(sequence(1L, greatest({n}, 1L)), i -> {closest} + i * {step}))"
-    return events.selectExpr(*keys, "event_ms", f"explode(array_distinct(concat({rungs}, {repeats}))) AS due_ms")
+    closest = "(event_ms - coalesce(array_min(offsets), 0) * 60000L)"
+    step = "(repeat_min * 60000L)"
+    end = "event_ms" if to_ms is None else f"least(event_ms, {to_ms}L)"
+    last = f"CAST(floor(({end} - 1 - {closest}) / {step}) AS BIGINT)"
+    first = "1L" if from_ms is None else f"greatest(1L, CAST(ceil(({from_ms}L - {closest}) / {step}) AS BIGINT))"
+    repeats = f"IF(repeat_min IS NULL OR {last} < {first}, array(), transform(sequence({first}, greatest({last}, {first})), i -> {closest} + i * {step}))"
+    made = f"array_distinct(concat({rungs}, {repeats}))"
+    return events.selectExpr(*keys, "event_ms", f"explode({f'filter({made}, x -> {inside})' if inside else made}) AS due_ms")
 
 
 def user_ladder(offsets: str) -> str:
@@ -90,10 +95,10 @@ def reminder_plan(weekly: DataFrame, single: DataFrame, now_ms: int, horizon_day
     reach = f"({until}L + array_max(offsets) * 60000L)"
     shape = ["import_id", "entry_id", "title", "kind", "offsets", "repeat_min", "event_ms"]
     events = occurrences(weekly, f"{now_ms}L", reach).select(*shape).unionByName(
-        single.where(f"event_ms > {now_ms}L").select(*shape)
+        single.where(f"event_ms > {now_ms}L AND event_ms < {reach}").select(*shape)
     )
-    rungs = ladder_rungs(events, ["import_id", "entry_id", "title", "kind"])
-    return rungs.where(f"due_ms >= {now_ms}L AND due_ms < {until}L").selectExpr(
+    rungs = ladder_rungs(events, ["import_id", "entry_id", "title", "kind"], now_ms, until)
+    return rungs.selectExpr(
         "concat_ws('/', import_id, entry_id, event_ms, due_ms) AS id",
         "*",
         f"concat('{URI}', import_id, '/', entry_id) AS app_uri",
@@ -143,7 +148,8 @@ def find_duplicates(planned: DataFrame, existing: DataFrame) -> DataFrame:
     )
     new = planned.withColumn("new_key", comparison_key(F.col("title")))
     keys = new.groupBy(*at, "new_key").agg(F.count("*").alias("n"))
-    pairs = keys.join(old, at).where(F.length("new_key") * SIMILAR <= F.greatest(F.length("old_key"), F.lit(0)) / SIMILAR)
+    sizes = [F.length("new_key"), F.length("old_key")]
+    pairs = keys.join(old, at).where(F.least(*sizes) * 100 >= F.greatest(*sizes) * round(SIMILAR * 100))
     close = pairs.where(similarity(F.col("old_key"), F.col("new_key")) >= SIMILAR)
     first = close.groupBy(*at, "new_key").agg(F.min("old").alias("old"))
     return new.join(first, [*at, "new_key"]).select(
@@ -176,19 +182,18 @@ def event_rows(candidates: DataFrame, zone: str) -> DataFrame:
 
 
 def write_report(planned: DataFrame, present: DataFrame) -> DataFrame:
-    """Per import: rows to write, chunks, rows found afterwards by provenance, and rows missing."""
+    """Per import: rows to write, rows found afterwards by provenance, and rows missing."""
     uri = F.concat(F.lit(URI), "import_id", F.lit("/"), "entry_id")
     found = present.where("NOT deleted").select(F.col("app_uri").alias("uri")).distinct().withColumn("hit", F.lit(1))
     return planned.withColumn("uri", uri).join(found, "uri", "left").groupBy("import_id").agg(
         F.count("*").alias("planned"),
-        F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"),
         F.count("hit").alias("written"),
         (F.count("*") - F.count("hit")).alias("failed"),
     )
 
 
-def undo_import(events: DataFrame, created: DataFrame, import_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The calendar without the rows of some imports, and a report per import.
+def undo_import(events: DataFrame, created: DataFrame, import_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The calendar without the rows of some imports, a report per import, and the created rows with ``revoked``.
 
     Rows are taken by provenance; what was created but is gone already is counted.
     """
@@ -201,7 +206,9 @@ def undo_import(events: DataFrame, created: DataFrame, import_ids: DataFrame) ->
         "import_id", "coalesce(removed, 0) AS removed",
         "greatest(coalesce(expected, 0) - coalesce(removed, 0), 0) AS already_gone",
     )
-    return remaining, report
+    undone = import_ids.select("import_id").distinct().withColumn("__undone", F.lit(True))
+    marked = created.join(undone, "import_id", "left").withColumn("revoked", F.col("__undone").isNotNull()).drop("__undone")
+    return remaining, report, marked
 
 
 def write_through(events: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
 """Tables rebuilt from the coordinates of text runs.
 
 All positions are doubles.  A page is cut wherever its size could grow without
-bound: lines fold inside vertical bands, columns come from at most 20,000
-bucket borders per page, and the column spans of a page travel as one array.
+bound: lines fold inside vertical bands, column borders are swept in ranges of
+buckets, and the column spans of a page travel as one array.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from schedlake.functions.ordered import previous_row, running_total
+from schedlake.functions.ordered import WIDTH, ordered_scan, previous_row, running_total
 from schedlake.session import written
 
 PAGE = ["doc_id", "page"]
 TOLERANCE, GUTTER, QUIET, CROSSING, CROSSING_FLOOR, SPANNING = 0.6, 0.4, 0.15, 0.25, 4, 1.2
 MIN_SEPARATION, SPREAD = 0.15, 3.0
-MAX_BUCKETS = 20_000
 
 
 def page_units(runs: DataFrame) -> DataFrame:
@@ -99,17 +98,17 @@ def _pages(lined: DataFrame, units: DataFrame) -> DataFrame:
     )
     return per.join(units, PAGE).selectExpr(
         *PAGE, "x0", "x1", "width", "lines", "unit", "greatest(unit * 0.25, 0.5) AS bucket"
-    ).selectExpr("*", f"least(CAST(floor((x1 - x0) / bucket) AS INT) + 1, {MAX_BUCKETS}) AS buckets").where("x1 > x0")
+    ).selectExpr("*", "CAST(floor((x1 - x0) / bucket) AS BIGINT) + 1 AS buckets").where("x1 > x0")
 
 
 def column_spans(lined: DataFrame, units: DataFrame) -> DataFrame:
     """Columns of each page: stretches of buckets that ordinary text keeps busy.
 
     Each line contributes its covered intervals once per class of run, as +1/−1
-    at their borders; summing the borders per page leaves at most 20,000 rows.
+    at their borders; the borders of a page are swept in ranges of buckets.
     """
     pages = _pages(lined, units)
-    at = "CAST(greatest(least(floor(({0} - x0) / bucket), buckets - 1), 0) AS INT)"
+    at = "CAST(greatest(least(floor(({0} - x0) / bucket), buckets - 1), 0) AS BIGINT)"
     spans = lined.join(pages, PAGE).selectExpr(
         *PAGE, "line", f"r - l > width * {SPANNING} AS wide", f"{at.format('l')} AS lo", f"{at.format('r')} + 1 AS hi"
     )
@@ -125,23 +124,21 @@ def column_spans(lined: DataFrame, units: DataFrame) -> DataFrame:
     borders = borders.groupBy(*PAGE, "at").agg(
         F.sum(F.expr("IF(wide, 0, d)")).alias("d_cell"), F.sum(F.expr("IF(wide, d, 0)")).alias("d_wide")
     )
-    # At most 20,001 borders per page: a plain window is bounded.
-    along = W.partitionBy(*PAGE).orderBy("at")
-    upto = along.rowsBetween(W.unboundedPreceding, 0)
-    segments = borders.select(
-        *PAGE, "at", F.lead("at").over(along).alias("until"),
-        F.sum("d_cell").over(upto).alias("cell"), F.sum("d_wide").over(upto).alias("wide"),
-    ).where("until IS NOT NULL")
+    # swept backwards, the border before a row is the one behind it
+    swept = ordered_scan(borders, PAGE, ["at"], totals={"cell": F.col("d_cell"), "wide": F.col("d_wide")})
+    ahead = previous_row(swept.withColumn("back", -F.col("at")), PAGE, ["back"], ["at"], "next", F.floor(F.col("back") / WIDTH))
+    segments = written(
+        ahead.where("next IS NOT NULL").select(*PAGE, "at", F.col("next.at").alias("until"), "cell", "wide"), "segments"
+    )
     busiest = segments.groupBy(*PAGE).agg(F.max("cell").alias("busiest"))
     gutter = (
         f"(cell <= busiest * {QUIET} AND wide <= greatest(CAST(floor(lines * {CROSSING}) AS INT), {CROSSING_FLOOR}))"
     )
     busy = segments.join(busiest, PAGE).join(pages, PAGE).where(f"NOT {gutter}")
     narrow = f"greatest(CAST(floor(unit * {GUTTER} / bucket) AS INT), 1)"
-    apart = F.expr("at") - F.lag("until").over(along) >= F.expr(narrow)
-    columns = busy.withColumn("__new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
-        "col", F.sum("__new").over(upto) - 1
-    )
+    stepped = previous_row(busy, PAGE, ["at"], ["until"], "prev")
+    apart = F.coalesce(F.expr(f"at - prev.until >= {narrow}"), F.lit(True))
+    columns = running_total(stepped, PAGE, ["at"], apart.cast("int"), "nth").withColumn("col", F.col("nth") - 1)
     return columns.groupBy(*PAGE, "col").agg(
         F.min("at").alias("lo"), F.max("until").alias("hi"), *[F.first(c).alias(c) for c in ("x0", "x1", "bucket", "buckets", "unit")]
     ).selectExpr(

@@ -70,6 +70,28 @@ def sequence_order(
     )
 
 
+def document_evidence(
+    dates: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None, answers: DataFrame | None = None
+) -> DataFrame:
+    """One row for each document that proves something, with all it proves and what the user said.
+
+    A written table: rows meet it in one join of two plain shuffles, in which AQE may split a hot document.
+    """
+    votes = dates.select(*keys, "proven_order", weekday_vote().alias("vote")).where("proven_order IS NOT NULL OR vote IS NOT NULL")
+    both = votes.groupBy(*keys).agg(
+        *[f(c).alias(f"{name}_{c}") for c in ("proven_order", "vote") for name, f in (("a", F.min), ("b", F.max))]
+    )
+    said = both.selectExpr(
+        *keys, "IF(a_proven_order = b_proven_order, a_proven_order, NULL) AS sibling", "IF(a_vote = b_vote, a_vote, NULL) AS by_weekday"
+    )
+    said = said.join(sequence_order(dates, keys, order, bucket), keys, "full")
+    if answers is None:
+        said = said.withColumn("user_order", F.lit(None).cast("string"))
+    else:
+        said = said.join(answers.select(*keys, "user_order"), keys, "full")
+    return written(said, "evidence")
+
+
 def resolve_dates(
     dates: DataFrame,
     keys: list[str],
@@ -81,12 +103,7 @@ def resolve_dates(
 
     ``answers`` (keys, user_order) outranks what the document says about itself.
     """
-    out = (
-        dates.join(sibling_order(dates, keys), keys, "left")
-        .join(weekday_order(dates, keys), keys, "left")
-        .join(sequence_order(dates, keys, order, bucket), keys, "left")
-    )
-    out = out.join(answers, keys, "left") if answers is not None else out.withColumn("user_order", F.lit(None).cast("string"))
+    out = dates.join(document_evidence(dates, keys, order, bucket, answers), keys, "left")
     decided = F.coalesce("user_order", "sibling", "by_weekday", "by_sequence")
     how = (
         F.when(F.col("user_order").isNotNull(), "UserChoice")

@@ -229,11 +229,21 @@ def dated_layout(cells: DataFrame) -> DataFrame:
 
 
 def cell_dates(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The first readable date of each cell, glued times pulled apart."""
-    plain = cells.withColumn("text", K.unglue(F.col("text")))
-    dates = R.locate_dates(plain, keys).where("n_readings > 0")
-    first = dates.groupBy(*keys).agg(F.min_by(F.struct("n_readings", "date1", "date2"), "start").alias("d"))
-    return first.select(*keys, "d.*")
+    """The first readable date of each cell (one row per key), glued times pulled apart; decided inside the row."""
+    plain = cells.select(*keys, K.unglue(F.col("text")).alias("text"))
+    first = f"try_element_at(filter({D.readings('text')}, r -> r.day_ok OR r.swap_ok), 1)"
+    found = once(plain, {"m": first}).where("m IS NOT NULL").select(*keys, "m.raw", "m.family")
+    return K.read_token(found).selectExpr(
+        *keys, "n_readings", f"{D.real_date('day1', 'month1', 'year')} AS date1", f"{D.real_date('day2', 'month2', 'year')} AS date2"
+    )
+
+
+def user_dates(dates: DataFrame, keys: list[str], answers: DataFrame | None) -> DataFrame:
+    """The date of each cell: its one reading, or the one the user's order picks."""
+    dates = dates.join(answers, "doc_id", "left") if answers is not None else dates.withColumn("user_order", F.lit(None).cast("string"))
+    return dates.selectExpr(
+        *keys, "CASE WHEN n_readings = 1 OR user_order = 'DayFirst' THEN date1 WHEN user_order = 'MonthFirst' THEN date2 END AS date"
+    ).where("date IS NOT NULL")
 
 
 def dated_table(cells: DataFrame, layout: DataFrame, answers: DataFrame | None = None) -> DataFrame:
@@ -242,10 +252,7 @@ def dated_table(cells: DataFrame, layout: DataFrame, answers: DataFrame | None =
     date_cols = layout.where("role = 'Date'").groupBy(*SHEET).agg(F.min("col").alias("date_col"))
     at = [*SHEET, "row_no"]
     dates = cell_dates(body.join(date_cols, SHEET).where("col = date_col").select(*at, "text"), at)
-    dates = dates.join(answers, "doc_id", "left") if answers is not None else dates.withColumn("user_order", F.lit(None).cast("string"))
-    dates = dates.selectExpr(
-        *at, "CASE WHEN n_readings = 1 OR user_order = 'DayFirst' THEN date1 WHEN user_order = 'MonthFirst' THEN date2 END AS date"
-    ).where("date IS NOT NULL")
+    dates = user_dates(dates, at, answers)
     first = lambda role: F.min_by("text", F.when(F.col("role") == role, F.col("col")))
     rows = body.groupBy(*at).agg(
         F.trim(first("Subject")).alias("title"), first("Time").alias("time_text"), F.trim(first("Place")).alias("location")
@@ -261,7 +268,7 @@ def dated_table(cells: DataFrame, layout: DataFrame, answers: DataFrame | None =
 
 
 def date_questions(cells: DataFrame, layout: DataFrame, produced: DataFrame) -> DataFrame:
-    """For sheets that produced nothing: the first date cell with two readings, to ask about."""
+    """For sheets that produced nothing, neither rows nor fields: the first date cell with two readings, to ask about."""
     body = cells.where("trim(text) <> ''").join(layout.select(*SHEET, "header").distinct(), SHEET).where("row_no > header")
     body = body.join(produced.select(*SHEET).distinct(), SHEET, "left_anti")
     date_cols = layout.where("role = 'Date'").groupBy(*SHEET).agg(F.min("col").alias("date_col"))
@@ -274,14 +281,21 @@ def date_questions(cells: DataFrame, layout: DataFrame, produced: DataFrame) ->
     ).select(*SHEET, "q.*")
 
 
-def field_table(cells: DataFrame, layout: DataFrame, produced: DataFrame) -> DataFrame:
-    """A bill or ticket: one to three records, one event per date column, titled by its heading."""
+def field_table(
+    cells: DataFrame, layout: DataFrame, produced: DataFrame, answers: DataFrame | None = None, most_records: int | None = None
+) -> DataFrame:
+    """A bill or ticket: one event per record and date column, titled by the column's heading.
+
+    ``answers`` (doc_id, user_order) settles dates with two readings; ``most_records`` leaves out sheets with more.
+    """
     filled = cells.where("trim(text) <> ''").join(produced.select(*SHEET).distinct(), SHEET, "left_anti")
     heads = layout.groupBy(*SHEET).agg(F.max("header").alias("header"), F.count("*").alias("width"))
     at = [*SHEET, "row_no"]
     rows = filled.join(heads, SHEET).where("row_no > header").groupBy(*at, "width").agg(F.count("*").alias("n")).where("n * 2 >= width")
-    few = rows.groupBy(*SHEET).agg(F.count("*").alias("records")).where("records <= 3").select(*SHEET)
-    records = rows.join(few, SHEET, "left_semi").select(*at)
+    records = rows.select(*at)
+    if most_records is not None:
+        few = rows.groupBy(*SHEET).agg(F.count("*").alias("records")).where(F.col("records") <= most_records)
+        records = records.join(few, SHEET, "left_semi")
     above = filled.join(heads, SHEET).where("row_no < header").withColumn("text", F.trim("text"))
     subject = above.where(K.letters(F.col("text")) >= 4).groupBy(*SHEET).agg(
         F.min_by("text", F.struct("row_no", "col")).alias("subject")
@@ -294,7 +308,7 @@ def field_table(cells: DataFrame, layout: DataFrame, produced: DataFrame) -> Dat
     )
     picked = filled.join(records, at, "left_semi").join(fields, [*SHEET, "col"])
     cell = [*at, "col"]
-    dates = cell_dates(picked.select(*cell, "text"), cell).where("n_readings = 1 AND date1 IS NOT NULL").select(*cell, "date1")
+    dates = user_dates(cell_dates(picked.select(*cell, "text"), cell), cell, answers).withColumnRenamed("date", "date1")
     rows = picked.join(dates, cell).join(subject, SHEET, "left").withColumn("plain", K.unglue(F.col("text")))
     rows = once(once(rows, {"s": T.time_spans("plain")}), {"p": first_time("s")}).selectExpr(
         *cell, "concat_ws(' · ', subject, concat(upper(substring(field, 1, 1)), substring(field, 2))) AS title", "date1 AS date", "p"
@@ -343,11 +357,10 @@ def sections(rows: DataFrame, headers: DataFrame) -> DataFrame:
 
 def sheet_shapes(rows: DataFrame) -> DataFrame:
     """What a sheet holds: sections under a period header, else a flat, weekday-header or dated list."""
-    top = "row_no < 50"
     per = rows.groupBy(*SHEET).agg(
-        F.min(F.expr(f"IF({top} AND times >= {MIN_PERIODS}, row_no, NULL)")).alias("period_row"),
+        F.min(F.expr(f"IF(times >= {MIN_PERIODS}, row_no, NULL)")).alias("period_row"),
         F.count_if("day_row").alias("day_rows"),
-        F.min(F.expr(f"IF({top} AND days >= {MIN_WEEKDAYS}, row_no, NULL)")).alias("weekday_row"),
+        F.min(F.expr(f"IF(days >= {MIN_WEEKDAYS}, row_no, NULL)")).alias("weekday_row"),
         F.count_if("date_row").alias("date_rows"),
         F.min(F.expr("IF(date_row, row_no, NULL)")).alias("first_date"),
         F.max("row_no").alias("last_row"),
@@ -457,9 +470,11 @@ def prose_events(lines: DataFrame) -> DataFrame:
     borrowed = line_times(first_time.join(single, "doc_id", "left_semi").select("doc_id", "f.*"), "value").selectExpr(
         "doc_id", "start_min AS borrowed"
     )
-    rows = dated.join(titles, at).join(line_times(lines), at, "left").join(borrowed, "doc_id", "left")
+    own = line_times(lines).withColumn("timed", F.lit(True))
+    rows = dated.join(titles, at).join(own, at, "left").join(borrowed, "doc_id", "left")
+    # a line that has a time keeps it, also one that stays open
     rows = rows.selectExpr(
-        *at, "title", "origin", "date", "coalesce(start_min, borrowed) AS start_min", "end_min",
+        *at, "title", "origin", "date", "IF(timed, start_min, borrowed) AS start_min", "end_min",
         "IF(origin = 'heading', concat('prose-', line_no), title) AS same",
     )
     kept = rows.groupBy("doc_id", "same", "date", "start_min").agg(

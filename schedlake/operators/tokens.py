@@ -9,6 +9,7 @@ from schedlake.functions import dates as D
 from schedlake.functions import times as T
 from schedlake.functions import vocabulary as V
 from schedlake.functions.once import once
+from schedlake.functions.ordered import previous_row
 
 
 def read_token(df: DataFrame) -> DataFrame:
@@ -154,13 +155,16 @@ def labelled_fields(df: DataFrame, text: str = "text") -> DataFrame:
     return staged.withColumn("role", role).where("role IS NOT NULL").drop("__name")
 
 
-def document_kind(lines: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def document_kind(lines: DataFrame, keys: list[str], order: str = "line_no", text: str = "text") -> DataFrame:
     """Kind of a document by the cue words in it; travel before appointment, deadline, event.
 
-    Cues are looked for line by line, so a document never has to be one string;
-    only a cue broken over two lines is out of reach.
+    Cues hold two words at most, so each line is looked at together with the end
+    of the line before it, and a document never has to be one string.
     """
-    lower = F.lower(F.col(text))
+    reach = max(map(len, V.TRAVEL_CUES + V.APPOINTMENT_CUES + V.DEADLINE_CUES + V.EVENT_CUES)) - 1
+    lines = previous_row(lines.select(*keys, order, text), keys, [order], [text], "prev")
+    end = F.right(F.col("prev")[text], F.lit(reach))
+    lower = F.lower(F.concat(F.coalesce(F.concat(end, F.lit(" ")), F.lit("")), F.col(text)))
     rank = (
         F.when(lower.rlike(_alternatives(V.TRAVEL_CUES)), 1)
         .when(lower.rlike(_alternatives(V.APPOINTMENT_CUES)), 2)
@@ -205,11 +209,10 @@ def names_something(text: Column) -> Column:
 
 
 def is_column_header(text: Column) -> Column:
-    words = F.filter(
-        F.transform(F.split(F.lower(text), r"[ \t]"), lambda w: F.regexp_replace(w, f"^[{TRIM}]+|[{TRIM}]+$", "")),
-        lambda w: w != "",
-    )
-    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*V.COLUMN_HEADER_WORDS))
+    """Header words only; a word of punctuation is none, so ``Date - Time`` is not a header."""
+    words = F.filter(F.split(F.lower(text), r"[ \t]"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, f"^[{TRIM}]+|[{TRIM}]+$", ""))
+    return (F.size(bare) > 0) & F.forall(bare, lambda w: w.isin(*V.COLUMN_HEADER_WORDS))
 
 
 def header_role(text: Column) -> Column:

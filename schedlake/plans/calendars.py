@@ -62,7 +62,7 @@ LADDER = """CASE kind WHEN 'Class' THEN [30, 10, 5] WHEN 'Deadline' THEN [10080,
     f"""WITH e AS (SELECT entry_id, start_ms AS event_ms, kind, CASE WHEN pos % 5 = 0 THEN [20, 90, 45] ELSE {LADDER} END AS offs,
         CASE WHEN pos % 3 = 0 THEN 7 END AS rep FROM ({duck('planned')}) p),
     a AS (SELECT entry_id, event_ms, event_ms - unnest(offs) * 60000 AS due_ms FROM e),
-    b AS (SELECT entry_id, event_ms, event_ms - list_min(offs) * 60000 + unnest(generate_series(1, 2000)) * rep * 60000 AS due_ms FROM e WHERE rep IS NOT NULL)
+    b AS (SELECT entry_id, event_ms, event_ms - list_min(offs) * 60000 + unnest(generate_series(1, list_min(offs) // rep)) * rep * 60000 AS due_ms FROM e WHERE rep IS NOT NULL)
     SELECT entry_id, event_ms, due_ms FROM a UNION SELECT * FROM b WHERE due_ms < event_ms""",
 )
 def reminder_ladder(spark, sf_dir):
@@ -180,12 +180,18 @@ def event_rows(spark, sf_dir):
     "write_report",
     f"""WITH p AS (SELECT import_id, 'schedlake://import/' || import_id || '/' || entry_id AS uri FROM ({duck('planned')}) p),
     c AS (SELECT DISTINCT app_uri AS uri FROM ({duck('calendar')}) c WHERE NOT deleted AND app_uri IS NOT NULL)
-    SELECT import_id, count(*) AS planned, CAST(ceil(count(*) / 150) AS BIGINT) AS chunks, count(c.uri) AS written, count(*) - count(c.uri) AS failed FROM p LEFT JOIN c USING (uri) GROUP BY import_id""",
+    SELECT import_id, count(*) AS planned, count(c.uri) AS written, count(*) - count(c.uri) AS failed FROM p LEFT JOIN c USING (uri) GROUP BY import_id""",
 )
 def write_report(spark, sf_dir):
     return L.write_report(rendered(spark, sf_dir, "planned"), rendered(spark, sf_dir, "calendar"))
 
 
+def undone(spark, sf_dir):
+    planned = rendered(spark, sf_dir, "planned")
+    ids = planned.where(UNDONE).select("import_id").distinct()
+    return L.undo_import(rendered(spark, sf_dir, "calendar"), planned, ids)
+
+
 UNDONE = "import_id LIKE '%5' OR import_id IN ('i7', 'i8')"
 
 
@@ -194,14 +200,24 @@ UNDONE = "import_id LIKE '%5' OR import_id IN ('i7', 'i8')"
     f"""WITH c AS (SELECT *, regexp_extract(app_uri, '^schedlake://import/([^/]+)/', 1) AS import_id FROM ({duck('calendar')}) c),
     ex AS (SELECT import_id, count(*) AS n FROM ({duck('planned')}) p WHERE {UNDONE} GROUP BY 1), re AS (SELECT import_id, count(*) AS n FROM c WHERE {UNDONE} GROUP BY 1)
     SELECT coalesce(ex.import_id, re.import_id) AS import_id, coalesce(re.n, 0) AS removed, greatest(coalesce(ex.n, 0) - coalesce(re.n, 0), 0) AS already_gone,
-      (SELECT count(*) FROM c WHERE NOT coalesce({UNDONE}, false)) AS remaining FROM ex FULL JOIN re USING (import_id)""",
+      FROM ex FULL JOIN re USING (import_id)""".replace("already_gone,", "already_gone"),
 )
 def undo_import(spark, sf_dir):
-    planned = rendered(spark, sf_dir, "planned")
-    ids = planned.where(UNDONE).select("import_id").distinct()
-    remaining, report = L.undo_import(rendered(spark, sf_dir, "calendar"), planned, ids)
-    left = remaining.agg(F.count("*").alias("remaining"))
-    return report.withColumn("k", F.lit(1)).join(left.withColumn("k", F.lit(1)), "k").drop("k")
+    return undone(spark, sf_dir)[1]
+
+
+@query(
+    "undo_remaining",
+    f"""SELECT event_id, calendar_id, start_ms FROM (SELECT *, regexp_extract(app_uri, '^schedlake://import/([^/]+)/', 1) AS import_id FROM ({duck('calendar')}) c)
+    WHERE NOT coalesce({UNDONE}, false)""",
+)
+def undo_remaining(spark, sf_dir):
+    return undone(spark, sf_dir)[0].select("event_id", "calendar_id", "start_ms")
+
+
+@query("undo_revoked", f"SELECT import_id, entry_id, {UNDONE} AS revoked FROM ({duck('planned')}) p")
+def undo_revoked(spark, sf_dir):
+    return undone(spark, sf_dir)[2].select("import_id", "entry_id", "revoked")
 
 
 CHANGES = """SELECT 'schedlake://import/' || import_id || '/' || entry_id AS app_uri, CASE WHEN pos % 5 = 0 THEN 'delete' ELSE 'update' END AS action,

@@ -44,22 +44,26 @@ FILES = """SELECT doc_id, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'Csv' WHEN 1
     FROM ({FILES.format(documents='documents')}) f GROUP BY ALL""",
 )
 def intake_gate(spark, sf_dir):
-    files = N.intake_gate(spark.sql(FILES.format(documents=f"parquet.`{sf_dir}/documents.parquet`")))
+    files = spark.sql(FILES.format(documents=f"parquet.`{sf_dir}/documents.parquet`"))
+    files = N.intake_gate(files, {"Csv": 20, "PlainText": 5}, 100)
     return files.groupBy("format", F.coalesce("refusal", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("files"))
 
 
+# windows-1252 by hex pairs: place of the pair in the code page, and the code page as a list of characters
+_CODE_PAGE = {**{i: i for i in range(256)}, **dict(zip(bytes.fromhex(N.CP1252_BYTES), map(ord, N.CP1252_CHARS), strict=True))}
+_DIGIT = "instr('0123456789ABCDEF', substr(p, {}, 1))"
+WESTERN = f"list_extract([{', '.join(f'chr({c})' for _, c in sorted(_CODE_PAGE.items()) if c)}], ({_DIGIT.format(1)} - 1) * 16 + {_DIGIT.format(2)} - 1)"
+
+
 @query(
     "decode_text",
     f"""WITH a AS (SELECT path, hex(content) AS h FROM ({duck('file_bytes')}) f), b AS (SELECT *, {HEAD} AS x FROM a),
-    c AS (SELECT *, CASE WHEN x = '' OR regexp_matches(substr(x, 1, 8192), '^(..)*00') THEN 'refused' WHEN TRY(decode(unhex(x))) IS NOT NULL THEN 'utf-8' ELSE 'windows-1252' END AS encoding FROM b)
+    c AS (SELECT *, CASE WHEN x = '' OR regexp_matches(x, '^(..)*00') THEN 'refused' WHEN TRY(decode(unhex(x))) IS NOT NULL THEN 'utf-8' ELSE 'windows-1252' END AS encoding FROM b)
     SELECT path, encoding, md5(t) AS digest, length(t) AS chars FROM (SELECT *, CASE encoding WHEN 'utf-8' THEN decode(unhex(x))
-       WHEN 'windows-1252' THEN CASE WHEN starts_with(x, 'E92080') THEN 'é €' || decode(unhex(substr(x, 7))) END END AS t FROM c)
-    WHERE encoding <> 'windows-1252' OR starts_with(x, 'E92080')""",
+       WHEN 'windows-1252' THEN array_to_string(list_transform(regexp_extract_all(x, '..'), lambda p: {WESTERN}), '') END AS t FROM c)""",
 )
 def decode_text(spark, sf_dir):
-    # Image files carry no text; the rest decodes one way or the other.
     files = N.decode_text(rendered(spark, sf_dir, "file_bytes"))
-    files = files.where("encoding <> 'windows-1252' OR startswith(content, X'E92080')")
     return files.selectExpr("path", "encoding", "md5(CAST(text AS BINARY)) AS digest", "length(text) AS chars")
 
 
@@ -78,8 +82,8 @@ INFER = f"""SELECT file_id, n AS lines, coalesce(best, CASE WHEN n > 1 THEN ','
       SELECT file_id, max(n) AS n, max_by(d, f * 10 - k) FILTER (lo = hi AND lo > 1) AS best FROM (
         SELECT file_id, k, d, count(*) AS n, min(f) AS lo, max(f) AS hi, min(f) AS f FROM (
           SELECT file_id, k, d, length(bare) - length(replace(bare, d, '')) + 1 AS f FROM (
-            SELECT file_id, regexp_replace(text, '"[^"]*("|$)', '', 'g') AS bare, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rn FROM ({duck('delim_lines')}) x WHERE trim(text) <> '') y,
-          (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')) c(k, d) WHERE rn <= 20) z GROUP BY ALL) g GROUP BY file_id)"""
+            SELECT file_id, regexp_replace(text, '"[^"]*("|$)', '', 'g') AS bare FROM ({duck('delim_lines')}) x WHERE trim(text) <> '') y,
+          (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')) c(k, d)) z GROUP BY ALL) g GROUP BY file_id)"""
 
 
 @query("delimiter_inference", INFER)
@@ -91,7 +95,7 @@ def delimiter_inference(spark, sf_dir):
     "csv_cells",
     f"""WITH l AS (SELECT *, length(text) - length(replace(text, '"', '')) AS q FROM ({duck('delim_notes')}) x),
     r AS (SELECT *, sum(q) OVER (PARTITION BY file_id ORDER BY line_no) - q AS before FROM l),
-    s AS (SELECT *, sum(CASE WHEN before % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS rec FROM r),
+    s AS (SELECT *, sum(CASE WHEN before % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS rec FROM r WHERE before % 2 = 1 OR text <> ''),
     g AS (SELECT file_id, rec, string_agg(text, chr(10) ORDER BY line_no) AS text FROM s GROUP BY ALL),
     d AS (SELECT g.*, delimiter FROM g JOIN ({INFER}) i USING (file_id)),
     p AS (SELECT *, list_transform(string_split(text, '"'), lambda x, i: CASE WHEN i % 2 = 1 THEN replace(x, delimiter, chr(1)) ELSE x END) AS p FROM d),

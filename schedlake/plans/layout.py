@@ -177,7 +177,7 @@ def row_group(spark, sf_dir):
 
 COLS = f"""{UNITS}, ln AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY t) - 1 AS line FROM r),
     pg AS (SELECT doc_id, page, min(l) AS x0, max(r) AS x1, list_sort(list(r - l))[count(*) // 2 + 1] AS w, max(line) + 1 AS lines FROM ln GROUP BY ALL),
-    pb AS (SELECT *, greatest(unit * 0.25, 0.5) AS bucket, least(CAST(floor((x1 - x0) / greatest(unit * 0.25, 0.5)) AS INT) + 1, 20000) AS n FROM pg JOIN un USING (doc_id, page)),
+    pb AS (SELECT *, greatest(unit * 0.25, 0.5) AS bucket, CAST(floor((x1 - x0) / greatest(unit * 0.25, 0.5)) AS BIGINT) + 1 AS n FROM pg JOIN un USING (doc_id, page)),
     cov AS (SELECT DISTINCT doc_id, page, line, r - l > w * 1.2 AS wide, unnest(generate_series(least(CAST(floor((l - x0) / bucket) AS INT), n - 1), least(CAST(floor((r - x0) / bucket) AS INT), n - 1))) AS i FROM ln JOIN pb USING (doc_id, page)),
     cnt AS (SELECT doc_id, page, i, count(*) FILTER (NOT wide) AS c, count(*) FILTER (wide) AS s FROM cov GROUP BY ALL),
     bs AS (SELECT doc_id, page, max(c) AS busiest FROM cnt GROUP BY ALL),

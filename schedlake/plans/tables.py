@@ -239,6 +239,12 @@ def dated_table(spark, sf_dir):
     return dated(spark, sf_dir)[2].selectExpr(*DATED_OUT)
 
 
+def user_orders(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "c_custkey AS doc_id", USER.replace("dj.doc_id", "c_custkey") + " AS user_order"
+    )
+
+
 USER = "CASE CAST(dj.doc_id % 3 AS INT) WHEN 0 THEN 'DayFirst' WHEN 1 THEN 'MonthFirst' END"
 
 
@@ -247,24 +253,7 @@ USER = "CASE CAST(dj.doc_id % 3 AS INT) WHEN 0 THEN 'DayFirst' WHEN 1 THEN 'Mont
     f"WITH RECURSIVE {HEADER}, {dated_rows(USER.replace('dj.', 'cd.'))} SELECT doc_id, entry_id, title, CAST(date AS VARCHAR) AS date, start_min, end_min, location FROM dt",
 )
 def dated_table_answered(spark, sf_dir):
-    answers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
-        "c_custkey AS doc_id", USER.replace("dj.doc_id", "c_custkey") + " AS user_order"
-    )
-    return dated(spark, sf_dir, answers)[2].selectExpr(*DATED_OUT)
-
-
-@query(
-    "ambiguity_questions",
-    f"""WITH RECURSIVE {HEADER}, {dated_rows('NULL')}
-    SELECT cd.doc_id, min_by(trim(c.text), cd.row_no) AS example, CAST(min_by(d1, cd.row_no) AS VARCHAR) AS day_first, CAST(min_by(d2, cd.row_no) AS VARCHAR) AS month_first
-    FROM cd JOIN dcol ON dcol.doc_id = cd.doc_id AND cd.col = date_col JOIN dc c ON c.doc_id = cd.doc_id AND c.row_no = cd.row_no AND c.col = cd.col
-    WHERE n_readings = 2 AND cd.doc_id NOT IN (SELECT doc_id FROM dt) GROUP BY cd.doc_id""",
-)
-def ambiguity_questions(spark, sf_dir):
-    cells, layout, produced = dated(spark, sf_dir)
-    return S.date_questions(cells, layout, produced).selectExpr(
-        "doc_id", "example", "CAST(day_first AS STRING) AS day_first", "CAST(month_first AS STRING) AS month_first"
-    )
+    return dated(spark, sf_dir, user_orders(spark, sf_dir))[2].selectExpr(*DATED_OUT)
 
 
 SPLIT = "heading"
@@ -272,24 +261,55 @@ for _w in V.GLUED_WORDS:
     SPLIT = f"regexp_replace({SPLIT}, '(?i)([a-z])({_w})\\b', '\\1 \\2', 'g')"
 
 
-@query(
-    "field_table",
-    f"""WITH RECURSIVE {HEADER}, {dated_rows('NULL')}, nw AS (SELECT doc_id, count(*) AS width FROM ro GROUP BY 1),
+def field_rows(order: str) -> str:
+    """CTE ``ev``: the field events of sheets without rows in ``dt``, under the user's order (SQL text, NULL for none)."""
+    return f"""nw AS (SELECT doc_id, count(*) AS width FROM ro GROUP BY 1),
     rc AS (SELECT doc_id, row_no FROM dc JOIN hd USING (doc_id) JOIN nw USING (doc_id) WHERE row_no > header AND doc_id NOT IN (SELECT doc_id FROM dt) GROUP BY doc_id, row_no, width HAVING count(*) * 2 >= width),
-    fw AS (SELECT doc_id FROM rc GROUP BY 1 HAVING count(*) <= 3),
     sb AS (SELECT doc_id, trim(split_part(split_part(min_by(trim(text), row(row_no, col)), '—', 1), ' - ', 1)) AS subject FROM dc JOIN hd USING (doc_id) WHERE row_no < header AND {C.letters('text')} >= 4 GROUP BY 1),
     fl AS (SELECT doc_id, col, trim(regexp_replace({SPLIT}, '\\s+', ' ', 'g')) AS field FROM ro WHERE role = 'Date'),
-    ev AS (SELECT cd.doc_id, cd.row_no, cd.col, CASE WHEN subject IS NULL THEN '' ELSE subject || ' · ' END || upper(substr(field, 1, 1)) || substr(field, 2) AS title, d1 AS date, {lone('start', 'end', W_START)} AS start_min
-      FROM cd JOIN rc USING (doc_id, row_no) JOIN fl USING (doc_id, col) LEFT JOIN sb USING (doc_id) LEFT JOIN ct USING (doc_id, row_no, col) WHERE n_readings = 1 AND d1 IS NOT NULL AND doc_id IN (SELECT doc_id FROM fw))
-    SELECT doc_id, title, CAST(date AS VARCHAR) AS date, start_min, min_by('field-' || row_no || '-' || col, row(row_no, col)) AS entry_id FROM ev GROUP BY ALL""",
-)
-def field_table(spark, sf_dir):
-    cells, layout, produced = dated(spark, sf_dir)
-    return S.field_table(cells, layout, produced).selectExpr(
+    ev AS (SELECT cd.doc_id, cd.row_no, cd.col, CASE WHEN subject IS NULL THEN '' ELSE subject || ' · ' END || upper(substr(field, 1, 1)) || substr(field, 2) AS title,
+        CASE WHEN n_readings = 1 OR {order} = 'DayFirst' THEN d1 WHEN {order} = 'MonthFirst' THEN d2 END AS date, {lone('start', 'end', W_START)} AS start_min
+      FROM cd JOIN rc USING (doc_id, row_no) JOIN fl USING (doc_id, col) LEFT JOIN sb USING (doc_id) LEFT JOIN ct USING (doc_id, row_no, col))"""
+
+
+FIELD_OUT = "SELECT doc_id, title, CAST(date AS VARCHAR) AS date, start_min, min_by('field-' || row_no || '-' || col, row(row_no, col)) AS entry_id FROM ev WHERE date IS NOT NULL GROUP BY ALL"
+
+
+def field_events(spark, sf_dir, answers=None):
+    cells, layout, produced = dated(spark, sf_dir, answers)
+    return S.field_table(cells, layout, produced, answers).selectExpr(
         "doc_id", "title", "CAST(date AS STRING) AS date", "start_min", "entry_id"
     )
 
 
+@query("field_table", f"WITH RECURSIVE {HEADER}, {dated_rows('NULL')}, {field_rows('NULL')} {FIELD_OUT}")
+def field_table(spark, sf_dir):
+    return field_events(spark, sf_dir)
+
+
+@query(
+    "field_table_answered",
+    f"WITH RECURSIVE {HEADER}, {dated_rows(USER.replace('dj.', 'cd.'))}, {field_rows(USER.replace('dj.', 'cd.'))} {FIELD_OUT}",
+)
+def field_table_answered(spark, sf_dir):
+    return field_events(spark, sf_dir, user_orders(spark, sf_dir))
+
+
+@query(
+    "ambiguity_questions",
+    f"""WITH RECURSIVE {HEADER}, {dated_rows('NULL')}, {field_rows('NULL')}
+    SELECT cd.doc_id, min_by(trim(c.text), cd.row_no) AS example, CAST(min_by(d1, cd.row_no) AS VARCHAR) AS day_first, CAST(min_by(d2, cd.row_no) AS VARCHAR) AS month_first
+    FROM cd JOIN dcol ON dcol.doc_id = cd.doc_id AND cd.col = date_col JOIN dc c ON c.doc_id = cd.doc_id AND c.row_no = cd.row_no AND c.col = cd.col
+    WHERE n_readings = 2 AND cd.doc_id NOT IN (SELECT doc_id FROM dt UNION SELECT doc_id FROM ev WHERE date IS NOT NULL) GROUP BY cd.doc_id""",
+)
+def ambiguity_questions(spark, sf_dir):
+    cells, layout, rows = dated(spark, sf_dir)
+    produced = rows.select(*SHEET).unionByName(S.field_table(cells, layout, rows).select(*SHEET))
+    return S.date_questions(cells, layout, produced).selectExpr(
+        "doc_id", "example", "CAST(day_first AS STRING) AS day_first", "CAST(month_first AS STRING) AS month_first"
+    )
+
+
 # ---- sections and shapes ----
 
 ROWF = """rf AS (SELECT doc_id, sheet, row_no, bool_or(is_day) AS day_row, bool_or(is_date) AS date_row, count(*) FILTER (is_time) AS times, count(*) FILTER (is_day) AS days, count(*) AS filled, string_agg(trim(text), ' · ' ORDER BY col) AS label FROM f GROUP BY ALL)"""
@@ -297,7 +317,7 @@ ROWF = """rf AS (SELECT doc_id, sheet, row_no, bool_or(is_day) AS day_row, bool_
 
 @query(
     "section_split",
-    f"""WITH RECURSIVE {feats('section_cells')}, {ROWF}, hd AS (SELECT doc_id, min(row_no) AS header FROM rf WHERE times >= 3 AND row_no < 50 GROUP BY 1),
+    f"""WITH RECURSIVE {feats('section_cells')}, {ROWF}, hd AS (SELECT doc_id, min(row_no) AS header FROM rf WHERE times >= 3 GROUP BY 1),
     bl AS (SELECT rf.*, header FROM rf JOIN hd USING (doc_id) WHERE row_no > header),
     dy AS (SELECT *, row_no - row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS isl FROM bl WHERE day_row),
     sc AS (SELECT doc_id, isl, any_value(header) AS header, min(row_no) AS first_row, max(row_no) AS last_row, CAST(sum(filled - 1) AS BIGINT) AS size FROM dy GROUP BY doc_id, isl)
@@ -307,18 +327,18 @@ ROWF = """rf AS (SELECT doc_id, sheet, row_no, bool_or(is_day) AS day_row, bool_
 )
 def section_split(spark, sf_dir):
     rows = written(S.row_features(features(spark, sf_dir, "section_cells")), "rows")
-    headers = rows.where("times >= 3 AND row_no < 50").groupBy(*SHEET).agg(F.min("row_no").alias("header"))
+    headers = rows.where("times >= 3").groupBy(*SHEET).agg(F.min("row_no").alias("header"))
     return S.sections(rows, headers).select("doc_id", "section", "label", "first_row", "last_row", "size")
 
 
-SHAPES = """CASE WHEN min(row_no) FILTER (times >= 3 AND row_no < 50) IS NOT NULL THEN 'Sections' WHEN count(*) FILTER (day_row) >= 3 THEN 'FlatList'
-      WHEN max(row_no) > min(row_no) FILTER (days >= 2 AND row_no < 50) THEN 'HeaderList' WHEN count(*) FILTER (date_row) >= 2 AND min(row_no) FILTER (date_row) > 0 THEN 'DatedList' ELSE 'Nothing' END"""
+SHAPES = """CASE WHEN min(row_no) FILTER (times >= 3) IS NOT NULL THEN 'Sections' WHEN count(*) FILTER (day_row) >= 3 THEN 'FlatList'
+      WHEN max(row_no) > min(row_no) FILTER (days >= 2) THEN 'HeaderList' WHEN count(*) FILTER (date_row) >= 2 AND min(row_no) FILTER (date_row) > 0 THEN 'DatedList' ELSE 'Nothing' END"""
 
 
 @query(
     "sheet_shapes",
-    f"""WITH RECURSIVE {feats('sheet_cells')}, {ROWF}, sh AS (SELECT doc_id, sheet, {SHAPES} AS shape, count(*) FILTER (day_row) AS dr, count(*) FILTER (date_row) AS dt, min(row_no) FILTER (days >= 2 AND row_no < 50) AS wr FROM rf GROUP BY ALL),
-    {feats('dated_cells', 'q')}, {ROWF.replace('rf AS', 'qrf AS').replace('FROM f', 'FROM qf')}, qsh AS (SELECT doc_id, sheet, {SHAPES} AS shape, count(*) FILTER (day_row) AS dr, count(*) FILTER (date_row) AS dt, min(row_no) FILTER (days >= 2 AND row_no < 50) AS wr FROM qrf GROUP BY ALL)
+    f"""WITH RECURSIVE {feats('sheet_cells')}, {ROWF}, sh AS (SELECT doc_id, sheet, {SHAPES} AS shape, count(*) FILTER (day_row) AS dr, count(*) FILTER (date_row) AS dt, min(row_no) FILTER (days >= 2) AS wr FROM rf GROUP BY ALL),
+    {feats('dated_cells', 'q')}, {ROWF.replace('rf AS', 'qrf AS').replace('FROM f', 'FROM qf')}, qsh AS (SELECT doc_id, sheet, {SHAPES} AS shape, count(*) FILTER (day_row) AS dr, count(*) FILTER (date_row) AS dt, min(row_no) FILTER (days >= 2) AS wr FROM qrf GROUP BY ALL)
     SELECT doc_id, sheet, shape, CAST(CASE shape WHEN 'FlatList' THEN dr WHEN 'HeaderList' THEN (SELECT sum(filled) FROM rf WHERE rf.doc_id = sh.doc_id AND rf.row_no > wr) WHEN 'DatedList' THEN dt END AS BIGINT) AS estimated FROM sh
     UNION ALL SELECT doc_id, sheet, shape, CAST(CASE shape WHEN 'FlatList' THEN dr WHEN 'HeaderList' THEN (SELECT sum(filled) FROM qrf WHERE qrf.doc_id = qsh.doc_id AND qrf.row_no > wr) WHEN 'DatedList' THEN dt END AS BIGINT) FROM qsh""",
 )
@@ -331,7 +351,7 @@ def sheet_shapes(spark, sf_dir):
 # ---- prose ----
 
 AT = "doc_id, line_no"
-IS_HEADER = f"len(list_filter(string_split_regex(lower(x), '[ \\t]'), lambda w: regexp_replace(w, '^[{TITLE_TRIM}]+|[{TITLE_TRIM}]+$', '', 'g') NOT IN ({C.LIST(V.COLUMN_HEADER_WORDS)}, ''))) = 0"
+IS_HEADER = f"len(list_filter(string_split_regex(lower(x), '[ \\t]'), lambda w: w <> '' AND regexp_replace(w, '^[{TITLE_TRIM}]+|[{TITLE_TRIM}]+$', '', 'g') NOT IN ({C.LIST(V.COLUMN_HEADER_WORDS)}))) = 0"
 PLAIN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 HEADS = f"""src AS ({duck('labelled')}), {C.date_tokens('src', AT)},
     rd AS (SELECT DISTINCT {AT} FROM t_read WHERE n_readings > 0),
@@ -379,7 +399,7 @@ PROSE = f"""{TITLES}, sib AS (SELECT doc_id, any_value(proven_order) AS o FROM f
     lt AS (SELECT {AT}, {lone('start', 'end', W_START)} AS start_min, {lone('end', 'start', W_END)} AS end_min FROM c_read QUALIFY row_number() OVER (PARTITION BY {AT} ORDER BY st) = 1),
     sg AS (SELECT doc_id FROM fst GROUP BY 1 HAVING count(*) = 1), tf AS (SELECT doc_id, min(line_no) AS line_no FROM fld WHERE role = 'Time' GROUP BY 1),
     bw AS (SELECT tf.doc_id, start_min AS borrowed FROM tf JOIN sg USING (doc_id) JOIN lt USING ({AT})),
-    pe AS (SELECT rs.doc_id, rs.line_no, title, origin, date, coalesce(start_min, borrowed) AS start_min, end_min FROM rs JOIN ttl USING ({AT}) LEFT JOIN lt USING ({AT}) LEFT JOIN bw USING (doc_id) WHERE date IS NOT NULL AND title IS NOT NULL),
+    pe AS (SELECT rs.doc_id, rs.line_no, title, origin, date, CASE WHEN lt.doc_id IS NULL THEN borrowed ELSE start_min END AS start_min, end_min FROM rs JOIN ttl USING ({AT}) LEFT JOIN lt USING ({AT}) LEFT JOIN bw USING (doc_id) WHERE date IS NOT NULL AND title IS NOT NULL),
     pd AS (SELECT * FROM pe QUALIFY row_number() OVER (PARTITION BY doc_id, CASE WHEN origin = 'heading' THEN 'prose-' || line_no ELSE title END, date, start_min ORDER BY line_no) = 1)"""
 
 
@@ -410,7 +430,7 @@ def schedule_fallback(spark, sf_dir):
 
 
 GROUPS = """SELECT o_custkey AS doc_id, 'g' || CAST(o_orderkey AS STRING) AS group_id, o_orderkey AS part, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey % 40 AS INT) END AS page,
-    CASE WHEN o_custkey % 5 = 0 THEN 'Plan ' || CAST(o_orderkey AS STRING) ELSE 'Plan ' || o_orderpriority END AS label, CAST(o_orderkey % 4 AS INT) AS size FROM {orders} WHERE o_custkey % 3 > 0"""
+    CASE WHEN o_custkey % 5 = 0 THEN 'Plan ' || CAST(o_orderkey AS STRING) ELSE 'Plan ' || o_orderpriority END AS label, CAST(o_orderkey % 4 AS INT) AS size FROM {orders}"""
 
 
 @query(

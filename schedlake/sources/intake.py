@@ -16,9 +16,7 @@ SIGNATURES = (
     ("Image", "474946383761"),
     ("Image", "474946383961"),
 )
-PROBE_BYTES, NUL_BYTES = 512, 4096
-LIMITS_MB = {"Csv": 20, "PlainText": 5}
-MAX_MB = 100
+PROBE_BYTES = 512
 DELIMITERS = (",", ";", "\t", "|")
 # What windows-1252 puts where ISO-8859-1 has the controls 80 to 9F.
 CP1252_BYTES = "8082838485868788898A8B8C8E9192939495969798999A9B9C9E9F"
@@ -52,19 +50,17 @@ def sniff_format(files: DataFrame) -> DataFrame:
     fmt = f"""CASE {arms}
         WHEN length(__h) >= 12 AND startswith(__h, X'52494646') AND substring(__h, 9, 4) = X'57454250' THEN 'Image'
         WHEN length(__h) >= 12 AND substring(__h, 5, 4) = X'66747970' THEN 'Image'
-        WHEN length(__h) = 0 OR instr(hex_pairs, ' 00') > 0 THEN 'Unsupported'
+        WHEN length(__h) = 0 OR contains(__h, X'00') THEN 'Unsupported'
         WHEN size(__l) >= 3 AND ({same}) THEN 'Csv'
-        WHEN trim(__t) <> '' AND (length(__t) - length(replace(__t, chr_fffd, ''))) * 20 < length(__t) THEN 'PlainText'
+        WHEN trim(__t) <> '' AND (length(__t) - length(replace(__t, '\ufffd', ''))) * 20 < length(__t) THEN 'PlainText'
         ELSE 'Unsupported' END"""
-    fmt = fmt.replace("instr(hex_pairs, ' 00') > 0", "contains(__h, X'00')").replace("chr_fffd", "'�'")
     return head.withColumn("format", F.expr(fmt)).drop("__h", "__t", "__l")
 
 
-def intake_gate(files: DataFrame) -> DataFrame:
-    """Adds ``refusal``: gone, empty, or over the size limit of its format."""
-    limit = "CASE format {} ELSE {} END".format(
-        " ".join(f"WHEN '{f}' THEN {mb}" for f, mb in LIMITS_MB.items()), MAX_MB
-    )
+def intake_gate(files: DataFrame, limits_mb: dict[str, int] | None = None, most_mb: int | None = None) -> DataFrame:
+    """Adds ``refusal``: gone, empty, or over a size limit where the caller sets one (by format, and for the rest)."""
+    arms = " ".join(f"WHEN format = '{f}' THEN {mb}" for f, mb in (limits_mb or {}).items())
+    limit = f"CASE {arms} WHEN true THEN {'NULL' if most_mb is None else most_mb} END"
     return files.withColumn(
         "refusal",
         F.expr(
@@ -75,11 +71,11 @@ def intake_gate(files: DataFrame) -> DataFrame:
 
 
 def decode_text(files: DataFrame) -> DataFrame:
-    """Text of a file: UTF-8 when valid, else windows-1252; NUL near the start means it is no text."""
+    """Text of a file: UTF-8 when valid, else windows-1252; a NUL anywhere means it is no text."""
     body = files.withColumn("__b", F.expr(_without_bom("content")))
     source = "decode(X'{}', 'ISO-8859-1')".format(CP1252_BYTES)
     western = f"translate(decode(__b, 'ISO-8859-1'), {source}, '{CP1252_CHARS}')"
-    kind = f"""CASE WHEN length(__b) = 0 OR contains(substring(__b, 1, {NUL_BYTES}), X'00') THEN 'refused'
+    kind = f"""CASE WHEN length(__b) = 0 OR contains(__b, X'00') THEN 'refused'
         WHEN is_valid_utf8(CAST(__b AS STRING)) THEN 'utf-8' ELSE 'windows-1252' END"""
     body = body.withColumn("encoding", F.expr(kind))
     return body.withColumn(
@@ -98,12 +94,12 @@ def text_lines(documents: DataFrame, line_height: int = 12, width: int = 500) ->
     )
 
 
-def infer_delimiters(lines: DataFrame, sample: int = 20) -> DataFrame:
-    """The delimiter of each file from its first non-blank lines, quotes respected."""
-    first = lines.where("trim(text) <> ''").withColumn(
-        "rn", F.expr("row_number() OVER (PARTITION BY file_id ORDER BY line_no)")
-    ).where(f"rn <= {sample}")
-    bare = first.selectExpr("file_id", "regexp_replace(text, '\"[^\"]*(\"|$)', '') AS bare")
+def infer_delimiters(lines: DataFrame) -> DataFrame:
+    """The delimiter of each file from all its non-blank lines, quotes respected.
+
+    Least and most fields per file and delimiter are combined before the shuffle.
+    """
+    bare = lines.where("trim(text) <> ''").selectExpr("file_id", "regexp_replace(text, '\"[^\"]*(\"|$)', '') AS bare")
     options = ", ".join(f"named_struct('rank', {i}, 'd', '{d}')" for i, d in enumerate(DELIMITERS))
     fields = bare.selectExpr("file_id", "bare", f"inline(array({options}))").selectExpr(
         "file_id", "rank", "d", "length(bare) - length(replace(bare, d, '')) + 1 AS fields"
@@ -126,6 +122,8 @@ def delimited_cells(lines: DataFrame, delimiters: DataFrame, bucket: str = "line
     quotes = F.expr("length(text) - length(replace(text, '\"', ''))")
     rows = running_total(lines, ["file_id"], ["line_no"], quotes, "__q", F.expr(bucket))
     rows = rows.withColumn("__start", F.expr("(__q - (length(text) - length(replace(text, '\"', '')))) % 2 = 0"))
+    # an empty line between records is no record and has no number
+    rows = rows.where("NOT __start OR text <> ''")
     rows = running_total(rows, ["file_id"], ["line_no"], F.col("__start").cast("int"), "__rec", F.expr(bucket))
     records = rows.groupBy("file_id", "__rec").agg(
         F.min("line_no").alias("line_no"),
@@ -133,7 +131,7 @@ def delimited_cells(lines: DataFrame, delimiters: DataFrame, bucket: str = "line
     )
     pieces = """transform(split(text, '"'), (s, i) -> IF(i % 2 = 0, replace(s, delimiter, '\x01'), s))"""
     doubled = """array_join(transform(__p, (s, i) -> IF(i % 2 = 0 AND s = '' AND i > 0 AND i < size(__p) - 1, '"', s)), '')"""
-    cells = records.where("text <> ''").join(delimiters.where("delimiter IS NOT NULL"), "file_id")
+    cells = records.join(delimiters.where("delimiter IS NOT NULL"), "file_id")
     cells = cells.selectExpr("file_id", "__rec - 1 AS row_no", f"{pieces} AS __p").selectExpr(
         "file_id", "row_no", f"posexplode(split({doubled}, '\x01')) AS (col, text)"
     )

@@ -126,7 +126,7 @@ def date_lines(q) -> str:
         WHEN 0 THEN 'Delivered ' || {s('yy')} || '-' || {pad('mm')} || '-' || {pad('dd')}
         WHEN 1 THEN 'Due ' || {s('dd')} || '/' || {s('mm')} || '/' || {s('yy')} || ' at noon'
         WHEN 2 THEN {pad('mm')} || '-' || {pad('dd')} || '-' || {two} || ' shipped'
-        WHEN 3 THEN 'Call on ' || {s('dd')} || ' ' || {month} || ' ' || {s('yy')}
+        WHEN 3 THEN 'Call on ' || {s('dd')} || CASE WHEN o_orderkey % 24 = 3 THEN chr(10) ELSE ' ' END || {month} || ' ' || {s('yy')}
         WHEN 4 THEN substr({month}, 1, 3) || '. ' || {s('dd')} || 'th, ' || {s('yy')} || ' visit'
         WHEN 5 THEN {s('dd')} || 'th ' || upper(substr({month}, 1, 3))
         WHEN 6 THEN {day} || ' ' || {pad('dd')} || '.' || {pad('mm')} || '.' || {s('yy')}
@@ -143,17 +143,18 @@ def labelled(q) -> str:
     return f"""
       SELECT o_orderkey AS doc_id, CAST(part AS INT) AS line_no, CASE part
         WHEN 0 THEN CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'Subject: Review of order ' || o_orderpriority
-                    WHEN 1 THEN 'Flight: SL ' || {s('o_orderkey % 900 + 100')}
+                    WHEN 1 THEN CASE WHEN o_orderkey % 9 = 0 THEN 'Date - Time' ELSE 'Flight: SL ' || {s('o_orderkey % 900 + 100')} END
                     WHEN 2 THEN 'Project demo meeting with the team' ELSE 'Annual General Meeting' END
         WHEN 1 THEN CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'Due date: ' WHEN 1 THEN 'Last date for payment : '
                     ELSE 'Viva on ' END || {s('dd')} || ' ' || split_part('{MONTHS}', ',', CAST(mm AS INT)) || ' ' || {s('yy')}
+                    || CASE WHEN o_orderkey % 7 = 0 THEN ' at 9:30' ELSE '' END
         WHEN 2 THEN CASE CAST(o_custkey % 2 AS INT) WHEN 0 THEN 'Reporting time: ' ELSE 'Slot: ' END
                     || {s('dd % 12 + 1')} || ':' || {pad('mm * 4')} || CASE WHEN dd > 15 THEN ' PM' ELSE ' am' END
-        WHEN 3 THEN 'Venue: Hall ' || {s('o_custkey % 40')}
+        WHEN 3 THEN 'Venue: Hall ' || {s('o_custkey % 40')} || CASE WHEN o_orderkey % 20 = 3 THEN ' and visit' ELSE '' END
         ELSE CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'Please bring this letter with you'
                   WHEN 1 THEN {pad('dd')} || '/' || {pad('mm')} || '/' || {s('yy')} || ' 14:35 closing session'
                   WHEN 2 THEN 'The appointment desk opens on ' || {pad('dd')} || '.' || {pad('mm')} || '.' || {s('yy')}
-                  ELSE 'Boarding starts early' END
+                  ELSE CASE WHEN o_orderkey % 20 = 3 THEN 'us at the desk' ELSE 'Boarding starts early' END END
         END AS text
       FROM (SELECT o.*, {q.each('0', '4')} AS part FROM ({order_dates(q)}) o) p"""
 
@@ -253,7 +254,7 @@ def dated_cells(q) -> str:
           FROM (SELECT o.*, {q.each('0', '3')} AS part FROM ({order_dates(q)}) o WHERE o_custkey % 4 < 3) b
         UNION ALL SELECT o_custkey, rk + 3, part, CASE part WHEN 0 THEN 'R-' || {s('rk')}
               WHEN 1 THEN {s('yy')} || '-' || {pad('mm')} || '-' || {pad('dd')}
-              WHEN 2 THEN {s('dd + 12')} || '/' || {pad('mm')} || '/' || {s('yy')} || {clock} ELSE 'INR ' || {s('rk')} END
+              WHEN 2 THEN {s('dd + CASE WHEN o_custkey % 8 = 7 THEN 0 ELSE 12 END')} || '/' || {pad('mm')} || '/' || {s('yy')} || {clock} ELSE 'INR ' || {s('rk')} END
           FROM (SELECT b.*, {q.each('0', '3')} AS part FROM (
                  SELECT o_custkey, min(o_orderkey) AS rk, min(yy) AS yy, min(mm) AS mm, min(dd) % 12 + 1 AS dd
                  FROM ({order_dates(q)}) o WHERE o_custkey % 4 = 3 GROUP BY o_custkey) b) c
@@ -447,7 +448,8 @@ def delim_notes(q) -> str:
     base = delim_lines(q)
     return f"""
       SELECT file_id, line_no * 2 AS line_no, CASE WHEN line_no % 21 = 0 THEN text || {sep} || '"see, the; note | of' ELSE text END AS text FROM ({base}) a
-      UNION ALL SELECT file_id, line_no * 2 + 1, 'next line"' FROM ({base}) b WHERE line_no % 21 = 0"""
+      UNION ALL SELECT file_id, line_no * 2 + 1, 'next line"' FROM ({base}) b WHERE line_no % 21 = 0
+      UNION ALL SELECT file_id, line_no * 2 + 1, '' FROM ({base}) b WHERE line_no % 21 = 5"""
 
 
 INPUTS = {

@@ -38,7 +38,9 @@ def fire_reminders(stream: DataFrame, folder: str) -> Callable[[], None]:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("id", "due_ms", "seen_ms", F.expr(f"due_ms div {HOUR_MS}").alias("due_hour"))
-        rows.dropDuplicates(["id"]).write.mode("overwrite").partitionBy("due_hour").parquet(_batch_path(pending, batch_id))
+        # of a reminder that comes twice the earlier time, so that a replayed batch leaves the same rows
+        least = rows.groupBy("id").agg(F.min(F.struct("due_ms", "seen_ms", "due_hour")).alias("r")).select("id", "r.*")
+        least.write.mode("overwrite").partitionBy("due_hour").parquet(_batch_path(pending, batch_id))
         batch.agg(F.max("seen_ms").alias("clock")).write.mode("overwrite").parquet(_batch_path(clocks, batch_id))
         seen = spark.read.option("basePath", clocks).parquet(clocks).where(F.col("batch") <= batch_id)
         # One row per finished batch: two scalars, not data.
@@ -75,9 +77,25 @@ def replan(stream: DataFrame, plan_at: Callable[[int], DataFrame], folder: str)
     return _run(stream, step, folder)
 
 
-def first_imports(stream: DataFrame, delay: str) -> DataFrame:
-    """Documents not seen before, by content identity, within the watermark."""
-    return stream.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["hash"])
+def first_imports(stream: DataFrame, delay: str, folder: str) -> Callable[[], None]:
+    """Documents not seen before, by content identity.
+
+    Repeats within the watermark are dropped by state; older ones by an anti join with the identities stored by
+    earlier batches, read in the hash ranges the batch holds.
+    """
+    spark = stream.sparkSession
+    recent = stream.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["hash"])
+    known = f"{folder}/out"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.dropDuplicates(["hash"]).withColumn("range", F.substring("hash", 1, 1))
+        if batch_id > 0:
+            ranges = [r[0] for r in rows.select("range").distinct().collect()]  # sixteen at most
+            earlier = _earlier(spark, known, batch_id, "hash STRING, range STRING").where(F.col("range").isin(ranges))
+            rows = rows.join(earlier.select("hash"), "hash", "left_anti")
+        rows.write.mode("overwrite").partitionBy("range").parquet(_batch_path(known, batch_id))
+
+    return _run(recent, step, folder)
 
 
 def history(stream: DataFrame) -> DataFrame:
