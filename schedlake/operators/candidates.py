@@ -95,20 +95,21 @@ def term_questions(gated: DataFrame) -> DataFrame:
     )
 
 
-def assumption_questions(candidates: DataFrame, position: str, examples: int = 3) -> DataFrame:
-    """Per rule: how many rows it filled, and the first few distinct titles."""
+def assumption_questions(candidates: DataFrame, position: str, examples: int = 3, keys: list[str] | None = None) -> DataFrame:
+    """Per rule (and import, where ``keys`` name it): how many rows it filled, and the first few distinct titles."""
+    by = [*(keys or []), "rule"]
     titles = (
-        candidates.select(F.explode("assumptions").alias("rule"), "title", position)
-        .groupBy("rule", "title")
+        candidates.select(*(keys or []), F.explode("assumptions").alias("rule"), "title", position)
+        .groupBy(*by, "title")
         .agg(F.count("*").alias("n"), F.min(position).alias("first"))
     )
-    totals = titles.groupBy("rule").agg(F.sum("n").alias("affected"))
-    ranked = titles.withColumn("r", F.row_number().over(W.partitionBy("rule").orderBy("first"))).where(
+    totals = titles.groupBy(*by).agg(F.sum("n").alias("affected"))
+    ranked = titles.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("first"))).where(
         F.col("r") <= examples
     )
-    names = ranked.groupBy("rule").agg(F.expr("array_join(transform(array_sort(collect_list(struct(r, title))), x -> x.title), '|')").alias("examples"))
-    return totals.join(names, "rule").selectExpr(
-        "rule", f"IF(rule = '{ASSUMED_DAY}', 'StartTime', 'EndTime') AS field", "affected", "examples"
+    names = ranked.groupBy(*by).agg(F.expr("array_join(transform(array_sort(collect_list(struct(r, title))), x -> x.title), '|')").alias("examples"))
+    return totals.join(names, by).selectExpr(
+        *by, f"IF(rule = '{ASSUMED_DAY}', 'StartTime', 'EndTime') AS field", "affected", "examples"
     )
 
 

@@ -20,7 +20,20 @@ from schedlake.session import written
 SHEET = ["doc_id", "sheet"]
 TIME_FIELDS = ["start_hour", "start_minute", "start_mer", "start_padded", "end_hour", "end_minute", "end_mer", "end_padded"]
 MIN_WEEKDAYS, MIN_PERIODS, MAX_DATED_ROWS = 2, 3, 3
-ENTRY = ["doc_id", "sheet", "entry_id", "row_no", "col", "title", "weekday", "start_min", "end_min", "location", "instructor"]
+VALUES = {"title": "title", "weekday": "weekday", "start": "start_min", "end": "end_min", "location": "location", "instructor": "instructor"}
+ENTRY = ["doc_id", "sheet", "entry_id", "row_no", "col", *VALUES.values(), *[f"{f}_level" for f in VALUES]]
+
+
+def with_levels(entries: DataFrame, **levels: str) -> DataFrame:
+    """Adds ``<field>_level``: the level (SQL) the reading gives a field, High where none is named, Missing without a value.
+
+    A cell is read, not recognised, so what it says itself is High; what headings lend it, or what was
+    inferred, is Medium.  Where a value comes from is the entry's row and column.
+    """
+    named = {f: c for f, c in {**VALUES, "date": "date"}.items() if c in entries.columns}
+    return entries.selectExpr(
+        "*", *[f"IF({c} IS NULL, 'Missing', {levels.get(f) or repr('High')}) AS {f}_level" for f, c in named.items()]
+    )
 
 
 def first_time(spans: str) -> str:
@@ -103,7 +116,9 @@ def weekly_grid(features: DataFrame, layout: DataFrame) -> DataFrame:
     readable = slots.where("start_min IS NOT NULL").select(*SHEET).distinct()
     slots = slots.join(readable, SHEET, "left_semi")
     cells = mine.select(*SHEET, "row_no", "col", "text").join(heads, [*SHEET, "col"]).join(slots, [*SHEET, "row_no"])
-    return _entries(cells, f"concat_ws('-', {DAY_NAME}, row_no, col)")
+    return with_levels(
+        _entries(cells, f"concat_ws('-', {DAY_NAME}, row_no, col)"), weekday="'Medium'", start="'Medium'", end="'Medium'"
+    )
 
 
 def period_slots(features: DataFrame, layout: DataFrame) -> DataFrame:
@@ -122,7 +137,8 @@ def period_grid(features: DataFrame, layout: DataFrame) -> DataFrame:
     ).where("row_no <> period_row")
     days = mine.where("col = day_col AND weekday IS NOT NULL").select(*SHEET, "row_no", "weekday")
     cells = mine.select(*SHEET, "row_no", "col", "text").join(period_slots(features, layout), [*SHEET, "col"])
-    return _entries(cells.join(days, [*SHEET, "row_no"]), f"concat_ws('-', {DAY_NAME}, row_no, col)")
+    entries = _entries(cells.join(days, [*SHEET, "row_no"]), f"concat_ws('-', {DAY_NAME}, row_no, col)")
+    return with_levels(entries, start="'Medium'", end="'Medium'")
 
 
 def row_list(features: DataFrame, layout: DataFrame) -> DataFrame:
@@ -136,7 +152,7 @@ def row_list(features: DataFrame, layout: DataFrame) -> DataFrame:
     placed = mine.join(plan, SHEET)
     slots = R.resolve_slots(
         placed.where("col = time_col AND is_time").select(*SHEET, "row_no", *TIME_FIELDS), SHEET, ["row_no"]
-    ).select(*SHEET, "row_no", "start_min", "end_min")
+    ).select(*SHEET, "row_no", "start_min", "end_min", "start_inferred")
     rows = placed.groupBy(*SHEET, "row_no").agg(
         F.max(F.expr("IF(col = subject_col, text, NULL)")).alias("text"),
         F.max("subject_col").alias("col"),
@@ -144,10 +160,11 @@ def row_list(features: DataFrame, layout: DataFrame) -> DataFrame:
         F.max(F.expr("IF(col = location_col, text, NULL)")).alias("place"),
     ).where("text IS NOT NULL")
     split = K.subject_parts(rows.join(slots, [*SHEET, "row_no"]))
-    return split.selectExpr(
+    entries = split.selectExpr(
         *SHEET, "concat('row-', row_no) AS entry_id", "row_no", "col", "coalesce(subject, text) AS title", "weekday",
-        "start_min", "end_min", "coalesce(place, location) AS location", "CAST(NULL AS STRING) AS instructor",
+        "start_min", "end_min", "coalesce(place, location) AS location", "CAST(NULL AS STRING) AS instructor", "start_inferred",
     )
+    return with_levels(entries, start="IF(start_inferred, 'Medium', 'High')").drop("start_inferred")
 
 
 def roster(features: DataFrame, layout: DataFrame) -> DataFrame:
@@ -168,18 +185,20 @@ def roster(features: DataFrame, layout: DataFrame) -> DataFrame:
     shifts = mine.where("row_no <> day_row AND is_time AND end_hour IS NOT NULL").selectExpr(
         *SHEET, "row_no", "col", f"{R.lone_time('start', 'end')} AS start_min", f"{R.lone_time('end', 'start')} AS end_min"
     ).where("start_min IS NOT NULL AND end_min IS NOT NULL")
-    return shifts.join(heads, [*SHEET, "col"]).join(people, [*SHEET, "row_no"]).selectExpr(
+    return with_levels(shifts.join(heads, [*SHEET, "col"]).join(people, [*SHEET, "row_no"]).selectExpr(
         *SHEET, "concat('roster-', row_no, '-', col) AS entry_id", "row_no", "col", "title", "weekday", "start_min", "end_min",
         "CAST(NULL AS STRING) AS location", "CAST(NULL AS STRING) AS instructor",
-    )
+    ))
 
 
 def dedupe(entries: DataFrame) -> DataFrame:
-    """Merged cells repeat an entry: one per title, weekday, start and end, the first in reading order."""
-    key = [*SHEET, "title", "weekday", "start_min", "end_min"]
-    rest = [c for c in ENTRY if c not in key]
-    first = entries.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("row_no", "col")).alias("e"))
-    return first.select(*key, "e.*").select(*ENTRY)
+    """Merged cells repeat an entry: one per title, weekday, start and end, the first in reading order.
+
+    A value of level Low counts as none.
+    """
+    key = [F.expr(f"IF({f}_level = 'Low', NULL, {VALUES[f]})") for f in ("title", "weekday", "start", "end")]
+    first = entries.groupBy(*SHEET, *key).agg(F.min_by(F.struct(*ENTRY), F.struct("row_no", "col")).alias("e"))
+    return first.select("e.*")
 
 
 def names_subject(text: str = "title"):
@@ -261,10 +280,11 @@ def dated_table(cells: DataFrame, layout: DataFrame, answers: DataFrame | None =
     rows = rows.withColumn("time_text", F.coalesce(K.unglue(F.col("time_text")), F.lit("")))
     rows = once(once(rows, {"s": T.time_spans("time_text")}), {"p": first_time("s")})
     rows = rows.selectExpr(*at, "title", "date", "location", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()])
-    return rows.selectExpr(
+    entries = rows.selectExpr(
         *at, "concat('dated-', row_no) AS entry_id", "title", "date", f"{R.lone_time('start', 'end')} AS start_min",
-        f"{R.lone_time('end', 'start')} AS end_min", "location",
+        f"{R.lone_time('end', 'start')} AS end_min", "location", f"{T.as_written('start_hour', 'start_minute', 'start_mer')} IS NULL AS inferred",
     )
+    return with_levels(entries, start="IF(inferred, 'Medium', 'High')").drop("inferred")
 
 
 def date_questions(cells: DataFrame, layout: DataFrame, produced: DataFrame) -> DataFrame:
@@ -453,9 +473,9 @@ def line_times(lines: DataFrame, text: str = "text") -> DataFrame:
     ranges = K.time_tokens(lines, at, text)
     slots = R.resolve_slots(ranges.select(*at, "start", *TIME_FIELDS), at, ["start"])
     return slots.groupBy(*at).agg(
-        F.min_by(F.struct("start_min"), "start").alias("s"),
+        F.min_by(F.struct("start_min", "start_inferred"), "start").alias("s"),
         F.min_by(F.struct("end_min"), F.when(F.col("end_inferred").isNotNull(), F.col("start"))).alias("e"),
-    ).selectExpr(*at, "s.start_min AS start_min", "e.end_min AS end_min")
+    ).selectExpr(*at, "s.start_min AS start_min", "e.end_min AS end_min", "s.start_inferred AS inferred")
 
 
 def prose_events(lines: DataFrame) -> DataFrame:
@@ -475,26 +495,44 @@ def prose_events(lines: DataFrame) -> DataFrame:
     # a line that has a time keeps it, also one that stays open
     rows = rows.selectExpr(
         *at, "title", "origin", "date", "IF(timed, start_min, borrowed) AS start_min", "end_min",
-        "IF(origin = 'heading', concat('prose-', line_no), title) AS same",
+        "IF(origin = 'heading', concat('prose-', line_no), title) AS same", "NOT coalesce(timed, false) OR inferred AS derived",
     )
     kept = rows.groupBy("doc_id", "same", "date", "start_min").agg(
-        F.min_by(F.struct("line_no", "title", "origin", "end_min"), "line_no").alias("e")
+        F.min_by(F.struct("line_no", "title", "origin", "end_min", "derived"), "line_no").alias("e")
     )
-    return kept.select("doc_id", "date", "start_min", "e.*")
+    entries = kept.select("doc_id", "date", "start_min", "e.*")
+    # a label or a heading lends its name, another line its time: true, but put together by us
+    return with_levels(
+        entries, title="IF(origin IN ('label', 'heading'), 'Medium', 'High')", start="IF(derived, 'Medium', 'High')"
+    ).drop("derived")
 
 
 # ---- choosing ----
 
 
-def fallback(weekly: DataFrame, dated: DataFrame, prose: DataFrame) -> DataFrame:
-    """Which reading each document gets: weekly, else dated, else prose; never two."""
-    ranked = (
-        weekly.selectExpr("doc_id", "1 AS rank").unionByName(dated.selectExpr("doc_id", "2 AS rank"))
-        .unionByName(prose.selectExpr("doc_id", "3 AS rank"))
-    )
-    best = ranked.groupBy("doc_id", "rank").agg(F.count("*").alias("entries"))
-    return best.groupBy("doc_id").agg(F.min(F.struct("rank", "entries")).alias("b")).selectExpr(
-        "doc_id", "element_at(array('weekly', 'dated', 'prose'), b.rank) AS reading", "b.entries AS entries"
+FOUND = ["title", "weekday", "date", "start_min", "end_min", "location"]
+FOUND_LEVELS = ["title_level", "weekday_level", "date_level", "start_level", "end_level", "location_level"]
+
+
+def fallback(weekly: DataFrame, dated: DataFrame, prose: DataFrame, plain: DataFrame) -> DataFrame:
+    """The entries of each document under the one reading it gets: weekly, else dated, else prose; never two.
+
+    Documents in ``plain`` (doc_id) are text without positions: prose is all that is read of them.
+    """
+    absent = {"weekday": "INT", "date": "DATE", "location": "STRING"}
+
+    def shaped(rows: DataFrame, rank: int, entry_id: str, kind: str) -> DataFrame:
+        for name, type_ in absent.items():
+            if name not in rows.columns:
+                rows = rows.selectExpr("*", f"CAST(NULL AS {type_}) AS {name}", f"'Missing' AS {name}_level")
+        return rows.selectExpr("doc_id", f"{rank} AS rank", f"{entry_id} AS entry_id", f"{kind} AS kind", *FOUND, *FOUND_LEVELS)
+
+    tables = shaped(weekly, 1, "entry_id", "kind").unionByName(shaped(dated, 2, "entry_id", "'Event'"))
+    text = shaped(prose, 3, "concat('prose-', line_no)", "'Event'")
+    ranked = written(tables.join(plain, "doc_id", "left_anti").unionByName(text), "readings")
+    best = written(ranked.groupBy("doc_id").agg(F.min("rank").alias("rank")), "best-readings")
+    return ranked.join(best, ["doc_id", "rank"]).selectExpr(
+        "doc_id", "element_at(array('weekly', 'dated', 'prose'), rank) AS reading", "entry_id", "kind", *FOUND, *FOUND_LEVELS
     )
 
 

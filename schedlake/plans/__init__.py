@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("intakes", "layout", "tokens", "resolution", "tables", "review", "calendars", "stores", "audits", "streams")
+AREAS = ("intakes", "layout", "tokens", "resolution", "tables", "review", "calendars", "stores", "audits", "streams", "pipeline")
 
 
 def load_all() -> None:

@@ -18,10 +18,14 @@ def candidates(spark, sf_dir):
 
 
 OK = lambda f: f"{f}_level IN ('High', 'Medium')"
-GATE = f"""base AS (SELECT e.*, t.term_start, t.term_end, {OK('weekday')} AS rec,
+
+
+def gate_sql(entries: str, terms: str) -> str:
+    """CTEs ``gate`` (field set: a question) and ``cand`` over entries and terms (SQL)."""
+    return f"""base AS (SELECT e.*, t.term_start, t.term_end, {OK('weekday')} AS rec,
       CASE WHEN {OK('weekday')} THEN term_start + CAST((weekday - isodow(term_start) + 7) % 7 AS INT) WHEN {OK('date')} THEN date END AS fd,
       CASE WHEN {OK('start')} THEN start_min END AS s, CASE WHEN {OK('end')} THEN end_min WHEN end_level = 'Missing' AND {OK('start')} THEN (start_min + 60) % 1440 END AS en
-    FROM ({duck('entries')}) e LEFT JOIN ({duck('terms')}) t USING (doc_id)),
+    FROM ({entries}) e LEFT JOIN ({terms}) t USING (doc_id)),
     gate AS (SELECT *, CASE WHEN title_level IN ('Low', 'Missing') THEN 'Title' WHEN rec AND (term_end IS NULL OR fd > term_end) THEN 'Recurrence'
         WHEN NOT rec AND fd IS NULL THEN 'Date' WHEN s IS NULL AND (rec OR start_level = 'Low') THEN 'StartTime'
         WHEN s IS NOT NULL AND (en IS NULL OR s = en) THEN 'EndTime' END AS field FROM base),
@@ -34,6 +38,9 @@ GATE = f"""base AS (SELECT e.*, t.term_start, t.term_end, {OK('weekday')} AS rec
       FROM gate WHERE field IS NULL)"""
 
 
+GATE = gate_sql(duck("entries"), duck("terms"))
+
+
 @query(
     "candidate_gate",
     f"""WITH {GATE} SELECT entry_id, field, CASE field WHEN 'Title' THEN 'What is this called?'

@@ -78,11 +78,11 @@ def slots(src: str, at: str, p: str) -> str:
       FROM (SELECT *, unnest(generate_series(0, n)) AS split FROM {q}u WHERE NOT aw AND NOT pr AND n >= 3)),
     {q}ri AS (SELECT doc_id, sheet, split, list(t ORDER BY i) AS ts FROM (SELECT *, lag(t) OVER (PARTITION BY doc_id, sheet, split ORDER BY i) AS pt FROM {q}tr) GROUP BY doc_id, sheet, split HAVING bool_and(pt IS NULL OR pt < t)),
     {q}on AS (SELECT doc_id, sheet, any_value(ts) AS ts FROM {q}ri GROUP BY ALL HAVING count(DISTINCT ts) = 1),
-    {q}o AS (SELECT doc_id, sheet, pos, CAST(coalesce(w, CASE WHEN aw THEN NULL WHEN pr THEN h * 60 + mi ELSE ts[i + 1] END) AS INT) AS m FROM {q}u LEFT JOIN {q}on USING (doc_id, sheet))"""
+    {q}o AS (SELECT doc_id, sheet, pos, CAST(coalesce(w, CASE WHEN aw THEN NULL WHEN pr THEN h * 60 + mi ELSE ts[i + 1] END) AS INT) AS m, w IS NULL AS inf FROM {q}u LEFT JOIN {q}on USING (doc_id, sheet))"""
 
     return f"""{p}pr AS (SELECT doc_id, sheet, bool_or(coalesce({PROOF.format(s='start')}, false) OR coalesce({PROOF.format(s='end')}, false)) AS pr FROM {src} GROUP BY ALL),
     {side('start', W_START)}, {side('end', W_END)},
-    {p}slot AS (SELECT a.doc_id, a.sheet, a.pos, a.m AS start_min, b.m AS end_min FROM {p}starto a LEFT JOIN {p}endo b USING (doc_id, sheet, pos))"""
+    {p}slot AS (SELECT a.doc_id, a.sheet, a.pos, a.m AS start_min, b.m AS end_min, a.inf AS start_inf FROM {p}starto a LEFT JOIN {p}endo b USING (doc_id, sheet, pos))"""
 
 
 def parsed(src: str, p: str) -> str:
@@ -98,15 +98,26 @@ def parsed(src: str, p: str) -> str:
 
 
 DAYNAME = "split_part('monday,tuesday,wednesday,thursday,friday,saturday,sunday', ',', weekday)"
-OUT = "doc_id, entry_id, title, weekday, start_min, end_min, location, instructor"
+FIELDS = {"title": "title", "weekday": "weekday", "start": "start_min", "end": "end_min", "location": "location", "instructor": "instructor"}
+OUT = f"doc_id, entry_id, {', '.join(FIELDS.values())}, {', '.join(f'{f}_level' for f in FIELDS)}"
+
+
+def levels(fields: dict[str, str], **named: str) -> str:
+    """Level columns in SQL: as named, High otherwise, Missing without a value."""
+    return ", ".join(f"CASE WHEN {c} IS NULL THEN 'Missing' ELSE {named.get(f, repr('High'))} END AS {f}_level" for f, c in fields.items())
+
+
+INFERRED = "CASE WHEN start_inf THEN 'Medium' ELSE 'High' END"
+DERIVED = {"start": "'Medium'", "end": "'Medium'"}
 GRID = f"""gm AS (SELECT f.*, day_row FROM f JOIN lay USING (doc_id, sheet) WHERE orientation = 'ColumnOriented'),
     gh AS (SELECT doc_id, sheet, col, weekday FROM gm WHERE row_no = day_row AND is_day),
     gc AS (SELECT doc_id, sheet, arg_max(col, n * 1000 - col) AS time_col FROM (SELECT doc_id, sheet, col, count(*) FILTER (row_no <> day_row AND is_time) AS n FROM gm WHERE (doc_id, sheet, col) NOT IN (SELECT (doc_id, sheet, col) FROM gh) GROUP BY ALL) GROUP BY ALL),
     gb AS (SELECT gm.* FROM gm JOIN gc USING (doc_id, sheet) WHERE col = time_col AND row_no <> day_row AND is_time), {slots('gb', 'row_no', 'g_')},
     gs AS (SELECT * FROM g_slot WHERE doc_id IN (SELECT doc_id FROM g_slot WHERE start_min IS NOT NULL)),
     gx AS (SELECT gm.doc_id, gm.sheet, gm.row_no, gm.col, gm.text, gh.weekday, start_min, end_min FROM gm JOIN gh ON gm.doc_id = gh.doc_id AND gm.col = gh.col JOIN gs ON gs.doc_id = gm.doc_id AND gs.pos = gm.row_no), {parsed('gx', 'g_')},
-    grid AS (SELECT doc_id, sheet, row_no, col, {DAYNAME} || '-' || row_no || '-' || col AS entry_id, coalesce(subject, text) AS title, weekday, start_min, end_min, CASE WHEN subject IS NOT NULL THEN loc END AS location, CASE WHEN subject IS NOT NULL THEN ins END AS instructor
-      FROM gx LEFT JOIN g_sub USING (doc_id, sheet, row_no, col))"""
+    grid0 AS (SELECT doc_id, sheet, row_no, col, {DAYNAME} || '-' || row_no || '-' || col AS entry_id, coalesce(subject, text) AS title, weekday, start_min, end_min, CASE WHEN subject IS NOT NULL THEN loc END AS location, CASE WHEN subject IS NOT NULL THEN ins END AS instructor
+      FROM gx LEFT JOIN g_sub USING (doc_id, sheet, row_no, col)),
+    grid AS (SELECT *, {levels(FIELDS, weekday=repr('Medium'), **DERIVED)} FROM grid0)"""
 
 
 @query("weekly_grid", f"WITH RECURSIVE {LAYOUT}, {GRID} SELECT {OUT} FROM grid")
@@ -118,8 +129,9 @@ def weekly_grid(spark, sf_dir):
 PERIOD = f"""pm AS (SELECT f.*, day_col, period_row FROM f JOIN lay USING (doc_id, sheet) WHERE orientation = 'PeriodColumns'),
     pb AS (SELECT * FROM pm WHERE row_no = period_row AND col <> day_col AND n_ranges = 1 AND end_hour IS NOT NULL), {slots('pb', 'col', 'p_')},
     px AS (SELECT pm.doc_id, pm.sheet, pm.row_no, pm.col, pm.text, d.weekday, start_min, end_min FROM pm JOIN p_slot s ON s.doc_id = pm.doc_id AND s.pos = pm.col JOIN (SELECT * FROM pm WHERE col = day_col AND is_day) d ON d.doc_id = pm.doc_id AND d.row_no = pm.row_no WHERE pm.row_no <> pm.period_row), {parsed('px', 'p_')},
-    period AS (SELECT doc_id, sheet, row_no, col, {DAYNAME} || '-' || row_no || '-' || col AS entry_id, coalesce(subject, text) AS title, weekday, start_min, end_min, CASE WHEN subject IS NOT NULL THEN loc END AS location, CASE WHEN subject IS NOT NULL THEN ins END AS instructor
-      FROM px LEFT JOIN p_sub USING (doc_id, sheet, row_no, col))"""
+    period0 AS (SELECT doc_id, sheet, row_no, col, {DAYNAME} || '-' || row_no || '-' || col AS entry_id, coalesce(subject, text) AS title, weekday, start_min, end_min, CASE WHEN subject IS NOT NULL THEN loc END AS location, CASE WHEN subject IS NOT NULL THEN ins END AS instructor
+      FROM px LEFT JOIN p_sub USING (doc_id, sheet, row_no, col)),
+    period AS (SELECT *, {levels(FIELDS, **DERIVED)} FROM period0)"""
 
 
 @query("period_grid", f"WITH RECURSIVE {LAYOUT}, {PERIOD} SELECT {OUT} FROM period")
@@ -135,8 +147,9 @@ ROWS = f"""lm AS (SELECT f.* FROM f JOIN lay USING (doc_id, sheet) WHERE orienta
       HAVING count(*) FILTER (role = 'Subject') > 0 AND count(*) FILTER (role = 'Time') > 0 AND count(*) FILTER (role IN ('Weekday', 'Date')) > 0),
     lb AS (SELECT lm.* FROM lm JOIN lp USING (doc_id, sheet) WHERE col = tc AND is_time), {slots('lb', 'row_no', 'l_')},
     lx AS (SELECT lm.doc_id, lm.sheet, lm.row_no, any_value(sc) AS col, max(text) FILTER (col = sc) AS text, max(weekday) FILTER (col = wc) AS weekday, max(text) FILTER (col = lc) AS place FROM lm JOIN lp USING (doc_id, sheet) GROUP BY lm.doc_id, lm.sheet, lm.row_no),
-    ly AS (SELECT lx.*, start_min, end_min FROM lx JOIN l_slot s ON s.doc_id = lx.doc_id AND s.pos = lx.row_no WHERE text IS NOT NULL), {parsed('ly', 'l_')},
-    rowlist AS (SELECT doc_id, sheet, row_no, col, 'row-' || row_no AS entry_id, coalesce(subject, text) AS title, weekday, start_min, end_min, coalesce(place, CASE WHEN subject IS NOT NULL THEN loc END) AS location, NULL::VARCHAR AS instructor FROM ly LEFT JOIN l_sub USING (doc_id, sheet, row_no, col))"""
+    ly AS (SELECT lx.*, start_min, end_min, start_inf FROM lx JOIN l_slot s ON s.doc_id = lx.doc_id AND s.pos = lx.row_no WHERE text IS NOT NULL), {parsed('ly', 'l_')},
+    rowlist0 AS (SELECT doc_id, sheet, row_no, col, start_inf, 'row-' || row_no AS entry_id, coalesce(subject, text) AS title, weekday, start_min, end_min, coalesce(place, CASE WHEN subject IS NOT NULL THEN loc END) AS location, NULL::VARCHAR AS instructor FROM ly LEFT JOIN l_sub USING (doc_id, sheet, row_no, col)),
+    rowlist AS (SELECT * EXCLUDE (start_inf), {levels(FIELDS, start=INFERRED)} FROM rowlist0)"""
 
 
 @query("row_list", f"WITH RECURSIVE {LAYOUT}, {ROWS} SELECT {OUT} FROM rowlist")
@@ -157,7 +170,7 @@ ROSTER = f"""oc AS (SELECT f.* FROM f JOIN lay USING (doc_id, sheet)), oh AS (SE
         {lone('c.end', 'c.start', C.written('c.end_hour', 'c.end_minute', 'c.end_mer'))} AS end_min, NULL::VARCHAR AS location, NULL::VARCHAR AS instructor
       FROM oc c JOIN lay ON lay.doc_id = c.doc_id JOIN oh ON oh.doc_id = c.doc_id AND oh.col = c.col JOIN onm ON onm.doc_id = c.doc_id JOIN oc p ON p.doc_id = c.doc_id AND p.row_no = c.row_no AND p.col = name_col
       WHERE c.row_no <> lay.day_row AND c.doc_id IN (SELECT doc_id FROM oe) AND c.end_hour IS NOT NULL AND {C.letters('p.text')} >= 2),
-    roster AS (SELECT * FROM rost WHERE start_min IS NOT NULL AND end_min IS NOT NULL)"""
+    roster AS (SELECT *, {levels(FIELDS)} FROM rost WHERE start_min IS NOT NULL AND end_min IS NOT NULL)"""
 
 
 @query("roster", f"WITH RECURSIVE {LAYOUT}, {ROSTER} SELECT doc_id, entry_id, title, weekday, start_min, end_min FROM roster")
@@ -217,7 +230,7 @@ def dated_rows(order: str) -> str:
     """CTE ``dt``: one entry per readable row under the user's order (SQL text, NULL for none)."""
     return f"""dj AS (SELECT doc_id, row_no, min_by(trim(text), col) FILTER (role = 'Subject') AS title, min(col) FILTER (role = 'Time') AS tcol, min_by(trim(text), col) FILTER (role = 'Place') AS location FROM ug GROUP BY ALL),
     dd2 AS (SELECT cd.doc_id, cd.row_no, CASE WHEN n_readings = 1 OR {order} = 'DayFirst' THEN d1 WHEN {order} = 'MonthFirst' THEN d2 END AS date FROM cd JOIN dcol ON dcol.doc_id = cd.doc_id AND cd.col = date_col),
-    dt AS (SELECT dj.doc_id, dj.row_no, 'dated-' || dj.row_no AS entry_id, title, date, {lone('start', 'end', W_START)} AS start_min, {lone('end', 'start', W_END)} AS end_min, location
+    dt AS (SELECT dj.doc_id, dj.row_no, 'dated-' || dj.row_no AS entry_id, title, date, {lone('start', 'end', W_START)} AS start_min, {lone('end', 'start', W_END)} AS end_min, location, {W_START} IS NULL AS start_inf
       FROM dj JOIN dd2 USING (doc_id, row_no) LEFT JOIN ct ON ct.doc_id = dj.doc_id AND ct.row_no = dj.row_no AND ct.col = tcol
       WHERE date IS NOT NULL AND length(title) >= 3 AND {C.letters('title')} >= 3 AND {C.letters('title')} * 2 >= {C.solid('title')} AND {C.header_role('title')} = 'Subject')"""
 
@@ -228,12 +241,14 @@ def dated(spark, sf_dir, answers=None):
     return cells, layout, written(S.dated_table(cells, layout, answers), "dated")
 
 
-DATED_OUT = ["doc_id", "entry_id", "title", "CAST(date AS STRING) AS date", "start_min", "end_min", "location"]
+DATED_FIELDS = {"title": "title", "date": "date", "start": "start_min", "end": "end_min", "location": "location"}
+DATED_LEVELS = levels(DATED_FIELDS, start=INFERRED)
+DATED_OUT = ["doc_id", "entry_id", "title", "CAST(date AS STRING) AS date", "start_min", "end_min", "location", *[f"{f}_level" for f in DATED_FIELDS]]
 
 
 @query(
     "dated_table",
-    f"WITH RECURSIVE {HEADER}, {dated_rows('NULL')} SELECT doc_id, entry_id, title, CAST(date AS VARCHAR) AS date, start_min, end_min, location FROM dt",
+    f"WITH RECURSIVE {HEADER}, {dated_rows('NULL')} SELECT doc_id, entry_id, title, CAST(date AS VARCHAR) AS date, start_min, end_min, location, {DATED_LEVELS} FROM dt",
 )
 def dated_table(spark, sf_dir):
     return dated(spark, sf_dir)[2].selectExpr(*DATED_OUT)
@@ -250,7 +265,7 @@ USER = "CASE CAST(dj.doc_id % 3 AS INT) WHEN 0 THEN 'DayFirst' WHEN 1 THEN 'Mont
 
 @query(
     "dated_table_answered",
-    f"WITH RECURSIVE {HEADER}, {dated_rows(USER.replace('dj.', 'cd.'))} SELECT doc_id, entry_id, title, CAST(date AS VARCHAR) AS date, start_min, end_min, location FROM dt",
+    f"WITH RECURSIVE {HEADER}, {dated_rows(USER.replace('dj.', 'cd.'))} SELECT doc_id, entry_id, title, CAST(date AS VARCHAR) AS date, start_min, end_min, location, {DATED_LEVELS} FROM dt",
 )
 def dated_table_answered(spark, sf_dir):
     return dated(spark, sf_dir, user_orders(spark, sf_dir))[2].selectExpr(*DATED_OUT)
@@ -396,37 +411,54 @@ def prose_titles(spark, sf_dir):
 # Lines hold at most one time here, so a time stands as written or under its own proof.
 PROSE = f"""{TITLES}, sib AS (SELECT doc_id, any_value(proven_order) AS o FROM fst WHERE proven_order IS NOT NULL GROUP BY 1 HAVING count(DISTINCT proven_order) = 1),
     rs AS (SELECT {AT}, CASE WHEN d2 IS NULL THEN d1 WHEN o = 'DayFirst' THEN d1 WHEN o = 'MonthFirst' THEN d2 END AS date FROM fst LEFT JOIN sib USING (doc_id)),
-    lt AS (SELECT {AT}, {lone('start', 'end', W_START)} AS start_min, {lone('end', 'start', W_END)} AS end_min FROM c_read QUALIFY row_number() OVER (PARTITION BY {AT} ORDER BY st) = 1),
+    lt AS (SELECT {AT}, {lone('start', 'end', W_START)} AS start_min, {lone('end', 'start', W_END)} AS end_min, {W_START} IS NULL AS inf FROM c_read QUALIFY row_number() OVER (PARTITION BY {AT} ORDER BY st) = 1),
     sg AS (SELECT doc_id FROM fst GROUP BY 1 HAVING count(*) = 1), tf AS (SELECT doc_id, min(line_no) AS line_no FROM fld WHERE role = 'Time' GROUP BY 1),
     bw AS (SELECT tf.doc_id, start_min AS borrowed FROM tf JOIN sg USING (doc_id) JOIN lt USING ({AT})),
-    pe AS (SELECT rs.doc_id, rs.line_no, title, origin, date, CASE WHEN lt.doc_id IS NULL THEN borrowed ELSE start_min END AS start_min, end_min FROM rs JOIN ttl USING ({AT}) LEFT JOIN lt USING ({AT}) LEFT JOIN bw USING (doc_id) WHERE date IS NOT NULL AND title IS NOT NULL),
+    pe AS (SELECT rs.doc_id, rs.line_no, title, origin, date, CASE WHEN lt.doc_id IS NULL THEN borrowed ELSE start_min END AS start_min, end_min, lt.doc_id IS NULL OR inf AS start_inf FROM rs JOIN ttl USING ({AT}) LEFT JOIN lt USING ({AT}) LEFT JOIN bw USING (doc_id) WHERE date IS NOT NULL AND title IS NOT NULL),
     pd AS (SELECT * FROM pe QUALIFY row_number() OVER (PARTITION BY doc_id, CASE WHEN origin = 'heading' THEN 'prose-' || line_no ELSE title END, date, start_min ORDER BY line_no) = 1)"""
 
 
-@query("prose_events", f"WITH RECURSIVE {PROSE} SELECT {AT}, title, origin, CAST(date AS VARCHAR) AS date, start_min, end_min FROM pd")
+PROSE_FIELDS = {"title": "title", "date": "date", "start": "start_min", "end": "end_min"}
+PROSE_LEVELS = levels(PROSE_FIELDS, start=INFERRED, title="CASE WHEN origin IN ('label', 'heading') THEN 'Medium' ELSE 'High' END")
+
+
+@query("prose_events", f"WITH RECURSIVE {PROSE} SELECT {AT}, title, origin, CAST(date AS VARCHAR) AS date, start_min, end_min, {PROSE_LEVELS} FROM pd")
 def prose_events(spark, sf_dir):
     lines = written(rendered(spark, sf_dir, "labelled"), "lines")
     return S.prose_events(lines).selectExpr(
-        "doc_id", "line_no", "title", "origin", "CAST(date AS STRING) AS date", "start_min", "end_min"
+        "doc_id", "line_no", "title", "origin", "CAST(date AS STRING) AS date", "start_min", "end_min", *[f"{f}_level" for f in PROSE_FIELDS]
     )
 
 
 # ---- choosing ----
 
 
-@query(
-    "schedule_fallback",
-    f"""WITH r AS (SELECT doc_id, 1 AS k FROM (WITH RECURSIVE {ORDINARY} SELECT ded.doc_id FROM ded JOIN pls USING (doc_id)) a
-      UNION ALL SELECT doc_id, 2 FROM (WITH RECURSIVE {HEADER}, {dated_rows('NULL')} SELECT doc_id FROM dt) b
-      UNION ALL SELECT doc_id, 3 FROM (WITH RECURSIVE {PROSE} SELECT doc_id FROM pd) c),
-    n AS (SELECT doc_id, k, count(*) AS entries FROM r GROUP BY ALL)
-    SELECT doc_id, split_part('weekly,dated,prose', ',', k) AS reading, entries FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1""",
-)
-def schedule_fallback(spark, sf_dir):
+# One document may hold a weekly sheet, a dated table and lines of text; one in eleven is plain text.
+PLAIN_TEXT = "doc_id % 11 = 0"
+CHOSEN = f"""r AS (SELECT doc_id, 1 AS k, entry_id, kind, title, weekday, CAST(NULL AS DATE) AS date, start_min, end_min, location, title_level, weekday_level, 'Missing' AS date_level, start_level, end_level, location_level
+        FROM (WITH RECURSIVE {ORDINARY} SELECT ded.* FROM ded JOIN pls USING (doc_id)) a WHERE NOT {PLAIN_TEXT}
+      UNION ALL SELECT doc_id, 2, entry_id, 'Event', title, NULL, date, start_min, end_min, location, title_level, 'Missing', date_level, start_level, end_level, location_level
+        FROM (WITH RECURSIVE {HEADER}, {dated_rows('NULL')} SELECT *, {DATED_LEVELS} FROM dt) b WHERE NOT {PLAIN_TEXT}
+      UNION ALL SELECT doc_id, 3, 'prose-' || line_no, 'Event', title, NULL, date, start_min, end_min, NULL, title_level, 'Missing', date_level, start_level, end_level, 'Missing'
+        FROM (WITH RECURSIVE {PROSE} SELECT *, {PROSE_LEVELS} FROM pd) c),
+    chosen AS (SELECT * EXCLUDE (k), split_part('weekly,dated,prose', ',', k) AS reading FROM r QUALIFY k = min(k) OVER (PARTITION BY doc_id))"""
+
+
+def chosen(spark, sf_dir):
     weekly = written(S.weekly_schedules(features(spark, sf_dir)), "weekly")
     found = dated(spark, sf_dir)[2]
     lines = written(rendered(spark, sf_dir, "labelled"), "lines")
-    return S.fallback(weekly, found, S.prose_events(lines))
+    plain = lines.where(PLAIN_TEXT).select("doc_id").distinct()
+    for rows in (weekly, found):
+        plain = plain.unionByName(rows.where(PLAIN_TEXT).select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    return S.fallback(weekly, found, S.prose_events(lines), plain.distinct())
+
+
+@query("schedule_fallback", f"WITH {CHOSEN} SELECT doc_id, reading, entry_id, kind, title, weekday, CAST(date AS VARCHAR) AS date, start_min, end_min, location FROM chosen")
+def schedule_fallback(spark, sf_dir):
+    return chosen(spark, sf_dir).selectExpr(
+        "doc_id", "reading", "entry_id", "kind", "title", "weekday", "CAST(date AS STRING) AS date", "start_min", "end_min", "location"
+    )
 
 
 GROUPS = """SELECT o_custkey AS doc_id, 'g' || CAST(o_orderkey AS STRING) AS group_id, o_orderkey AS part, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey % 40 AS INT) END AS page,
