@@ -28,8 +28,7 @@ def local_session(cpus: str | int = 8) -> SparkSession:
 _LOCAL_FOLDER: list[str] = []
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder all executors see: under spark.checkpoint.dir, or local where that is unset."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -37,7 +36,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not _LOCAL_FOLDER:
             _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = _LOCAL_FOLDER[0]
-    return f"{base.rstrip('/')}/schedlake/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/schedlake/{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder all executors see: under spark.checkpoint.dir, or local where that is unset and so is the master."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; results that read it must have been used by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

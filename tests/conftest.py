@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from schedlake.session import local_session  # noqa: E402
+from schedlake.session import drop_written, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8)
     yield session
+    drop_written(session)
     session.stop()
