@@ -109,24 +109,24 @@ def csv_cells(spark, sf_dir):
 
 @query(
     "snapshot_runs",
-    f"SELECT doc_id, page, text, l, t, r, b, conf, origin FROM ({duck('runs')}) r",
+    f"SELECT doc_id, page, CAST(run_id AS BIGINT) AS run_id, text, l, t, r, b, conf, origin FROM ({duck('runs')}) r",
 )
 def snapshot_runs(spark, sf_dir):
-    """Runs written as snapshot files and read back: one JSON object per line, the document in the path."""
+    """Runs written as snapshot files and read back: one JSON object per line, sixteen runs a fragment here."""
     path = shared_folder(spark, "snapshots")
-    fragments = N.snapshot_fragments(rendered(spark, sf_dir, "runs"))
-    fragments.select("doc_id", F.col("json").alias("value")).write.partitionBy("doc_id").text(path)
-    docs = spark.read.schema(N.SNAPSHOT + ", doc_id BIGINT").json(path)
-    return N.snapshot_runs(docs.withColumnRenamed("doc_id", "doc")).select(
-        F.col("doc").alias("doc_id"), "page", "text", "l", "t", "r", "b", "conf", "origin"
+    fragments = N.snapshot_fragments(rendered(spark, sf_dir, "runs"), "run_id div 16")
+    fragments.select(F.col("json").alias("value")).write.text(path)
+    docs = spark.read.schema(N.SNAPSHOT + ", doc STRING").json(path)
+    return N.snapshot_runs(docs).select(
+        F.col("doc").cast("long").alias("doc_id"), "page", "run_id", "text", "l", "t", "r", "b", "conf", "origin"
     )
 
 
 @query(
     "snapshot_write",
-    f"""WITH r AS (SELECT *, run_id // 1000 AS part, '{{"text":"' || text || '","l":' || l || ',"t":' || t || ',"r":' || r || ',"b":' || b
+    f"""WITH r AS (SELECT *, run_id // 1000 AS part, '{{"id":' || CAST(run_id AS BIGINT) || ',"text":"' || text || '","l":' || l || ',"t":' || t || ',"r":' || r || ',"b":' || b
         || CASE WHEN conf IS NULL THEN '' ELSE ',"conf":' || conf END || ',"origin":"' || origin || '"}}' AS j FROM ({duck('runs')}) x)
-    SELECT doc_id, page, CAST(part AS BIGINT) AS part, '{{"format":"Pdf","pages":[{{"index":' || page || ',"widthPt":' || max(r) || ',"heightPt":' || max(b) || ',"runs":[' || string_agg(j, ',' ORDER BY run_id) || ']}}],"issues":[]}}' AS json
+    SELECT doc_id, page, CAST(part AS BIGINT) AS part, '{{"doc":"' || doc_id || '","format":"Pdf","pages":[{{"index":' || page || ',"widthPt":' || max(r) || ',"heightPt":' || max(b) || ',"runs":[' || string_agg(j, ',' ORDER BY run_id) || ']}}],"issues":[]}}' AS json
     FROM r GROUP BY doc_id, page, part""",
 )
 def snapshot_write(spark, sf_dir):

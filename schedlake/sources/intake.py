@@ -139,7 +139,7 @@ def delimited_cells(lines: DataFrame, delimiters: DataFrame, bucket: str = "line
 
 
 SNAPSHOT = """format STRING, pages ARRAY<STRUCT<index INT, widthPt DOUBLE, heightPt DOUBLE,
-    runs ARRAY<STRUCT<text STRING, l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE, conf DOUBLE, origin STRING>>>>,
+    runs ARRAY<STRUCT<id BIGINT, text STRING, l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE, conf DOUBLE, origin STRING>>>>,
     issues ARRAY<STRUCT<kind STRING, detail STRING>>"""
 
 
@@ -150,23 +150,24 @@ def read_snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
 
 def snapshot_runs(docs: DataFrame) -> DataFrame:
+    """One row per run; a run without an id of its own is numbered by its place on the page."""
     pages = docs.selectExpr("doc", "format", "inline(pages)")
     return pages.selectExpr(
-        "doc", "format", "index AS page", "widthPt AS width", "heightPt AS height", "posexplode(runs) AS (run_id, run)"
-    ).select("doc", "format", "page", "width", "height", "run_id", "run.*")
+        "doc", "format", "index AS page", "widthPt AS width", "heightPt AS height", "posexplode(runs) AS (place, run)"
+    ).selectExpr("doc", "format", "page", "width", "height", "coalesce(run.id, place) AS run_id", "run.*").drop("id")
 
 
 def snapshot_fragments(runs: DataFrame, part_of: str = "run_id div 1000") -> DataFrame:
     """Runs as snapshot JSON, cut into page fragments of a bounded number of runs.
 
-    A page may appear in several fragments; the reader appends their runs, so no
-    task ever holds more than one fragment.
+    A page may appear in several fragments; runs carry their ids, the reader appends
+    them, and no task ever holds more than one fragment.  Each names its document.
     """
-    run = F.struct("run_id", F.struct("text", "l", "t", "r", "b", "conf", "origin").alias("run"))
+    run = F.struct("run_id", F.struct(F.col("run_id").alias("id"), "text", "l", "t", "r", "b", "conf", "origin").alias("run"))
     parts = runs.withColumn("part", F.expr(part_of)).groupBy("doc_id", "page", "part").agg(
         F.array_sort(F.collect_list(run)).alias("rs"), F.max("r").alias("w"), F.max("b").alias("h")
     )
-    body = """to_json(named_struct('format', 'Pdf', 'pages', array(named_struct('index', page, 'widthPt', w, 'heightPt', h,
+    body = """to_json(named_struct('doc', CAST(doc_id AS STRING), 'format', 'Pdf', 'pages', array(named_struct('index', page, 'widthPt', w, 'heightPt', h,
         'runs', transform(rs, x -> x.run))), 'issues', array()))"""
     return parts.selectExpr("doc_id", "page", "part", f"{body} AS json")
 
