@@ -31,6 +31,7 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+SENTENCE_ENDS = frozenset(".!?:;…")
 LITERAL, NUMERIC, UNIT, CAPITAL, EMPTY = range(5)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -40,7 +41,9 @@ class _Words(dict):
     """Raw word to its place in the task's arrays of kind, folded hash and whether it ends a sentence."""
 
     def __init__(self):
-        self.rows: list[tuple[int, int, bool]] = []
+        self.new: list[tuple[int, int, bool]] = []  # words not yet in the arrays, which grow by doubling
+        self.n = 0
+        self.arrays = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, bool)
 
     def __missing__(self, raw: str) -> int:
         import xxhash
@@ -56,16 +59,19 @@ class _Words(dict):
             kind = CAPITAL
         else:
             kind = LITERAL
-        self.rows.append((kind, xxhash.xxh3_64_intdigest(word.casefold()), raw.rstrip("\"')]»”’")[-1:] in set(".!?:;…")))
-        self[raw] = len(self.rows) - 1
+        self.new.append((kind, xxhash.xxh3_64_intdigest(word.casefold()), raw.rstrip("\"')]»”’")[-1:] in SENTENCE_ENDS))
+        self[raw] = self.n + len(self.new) - 1
         return self[raw]
 
     def columns(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if getattr(self, "n", 0) != len(self.rows):
-            kind, folded, ends = zip(*self.rows, strict=True)
-            self.arrays = np.array(kind, np.int8), np.array(folded, np.uint64), np.array(ends)
-            self.n = len(self.rows)
+        if self.new:
+            end = self.n + len(self.new)
+            if end > len(self.arrays[0]):
+                self.arrays = tuple(np.concatenate([a[: self.n], np.zeros(2 * end - self.n, a.dtype)]) for a in self.arrays)
+            for a, column in zip(self.arrays, zip(*self.new, strict=True), strict=True):
+                a[self.n : end] = np.array(column, a.dtype)
+            self.new, self.n = [], end
         return tuple(a[at] for a in self.arrays)
 
 
