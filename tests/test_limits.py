@@ -131,3 +131,13 @@ def test_hot_document_is_split_when_its_dates_are_resolved(spark, skewed):
     plan = out._jdf.queryExecution().executedPlan()
     out.collect()
     assert "skew" in plan.toString().lower()
+
+
+def test_audit_finds_nothing_in_what_the_gate_lets_through(spark):
+    from schedlake.operators.quality import invariant_audit
+    from schedlake.plans import review
+    from schedlake.sources.rendered import rendered
+
+    sf = "/root/testdata/sf0.001"
+    found = invariant_audit(rendered(spark, sf, "entries"), review.candidates(spark, sf)).collect()
+    assert len(found) == 6 and all(r.n == 0 for r in found)

@@ -20,6 +20,7 @@ SHORT = (
     "date_matches", "time_matches", "title_trim", "date_resolution", "meridiem_monotonic", "orientation", "dated_table",
     "candidate_gate", "assumption_questions", "apply_edits", "occurrences", "reminder_plan", "calendar_duplicates",
     "slot_merge", "slot_changes", "busiest_page", "invariant_audit", "corpus_summary", "stream_history",
+    "csv_cells", "document_kind", "document_candidates", "undo_import", "stream_dedupe",
 )
 entry.queries()
 REGISTERED = sorted(QUERIES)
