@@ -6,20 +6,23 @@ lie.  Windows with one owner lie side by side; such a stretch and its bytes are
 
 1. Pieces come out as hashes.  Owners that occur once are done.  Pieces that occur as a whole more than once
    are repeated as a whole; hashes settle that, and pieces of copies and shared passages stop here.
-2. What is left are pieces whose owner occurs elsewhere in other bytes: edges of copies and passages.  Their
-   bytes, with one representative of every repeated piece, are dealt by owner to shards of a few megabytes.
-   A shard's suffix array is induced in linear time; permuted common prefixes show which of its windows
-   share all their bytes with another one.
-3. An owner with more than ``most`` different pieces does not fit a shard: its windows are counted by
-   their 128-bit hashes instead, which adds up before it is shuffled.
-
-Hashes that decide are of 128 bits (owner and piece, 64 each, or a window's).
+2. What is left are pieces whose owner occurs elsewhere in other bytes.  They are cut into blocks of windows
+   by their distance to the owner; all windows of a block have a core in common, so equal windows have equal
+   cores.  The same two questions are asked of the blocks.  Near copies, whose edits lie closer together than
+   a window is long, stop here.
+3. Blocks that are left lie at the edges of copies and passages.  Their bytes, with one representative of
+   every repeated block, are dealt by core to shards of a few megabytes.  A shard's suffix array is induced
+   in linear time; permuted common prefixes show which windows share all their bytes with another one.
+4. A core with more than ``most`` different blocks does not fit a shard: its windows are counted by their
+   128-bit hashes instead, which adds up before it is shuffled.
+
+Hashes that decide are of 128 bits (owner or core, and bytes, 64 each; or a window's).
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +48,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of_byte, np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def pieces(raw: bytes, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of every piece, and its owner's hash."""
+def pieces(raw: bytes, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window of every piece, and its owner's place and hash."""
     n_windows, w = len(raw) - least + 1, least - gram + 1
     if n_windows < 1:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     data, out = np.frombuffer(raw, np.uint8), []
     for at in range(0, n_windows, CHUNK):
         part = data[at : min(at + CHUNK, n_windows) + least - 1]
@@ -67,11 +70,14 @@ def pieces(raw: bytes, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
         n = len(key) - w + 1
         owner = (np.minimum(ahead[:n], behind[w - 1 : w - 1 + n]) & np.uint64(PLACE)).astype(np.int64)
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        out.append((first + at, np.append(first[1:], n) - 1 + at, h[owner[first]]))
+        out.append((first + at, np.append(first[1:], n) - 1 + at, owner[first] + at, h[owner[first]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 KEY = ["id", "h"]  # a row: its id and a hash of its text
+# a stretch of windows: hashes of what its windows share and of all its bytes, first and last window, the owner's
+# place, and for how many equal ones it stands (the last one ends with window ``upto``); not open ones are settled
+SEEN = "a bigint, t bigint, low int, high int, upto int, own int, n int, open boolean"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,46 +85,97 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("raw"))
 
 
-def _occurrences(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """(id, h, a, t, low, high, upto, n): pieces with the hashes of owner and bytes; ``n`` equal ones in a row are one,
-    of which ``high`` is the last window of the first and ``upto`` that of the last."""
-    schema = f"id {dict(rows.dtypes)['id']}, h bigint, a bigint, t bigint, low int, high int, upto int, n int"
+def _digests(raw: bytes, low: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    import xxhash
+
+    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[x:y]) for x, y in zip(low.tolist(), stop.tolist(), strict=True)), np.uint64, len(low))
+
+
+def _stretches(rows: DataFrame, found_in: Callable[..., tuple]) -> DataFrame:
+    """(id, h, base) and the columns of ``SEEN`` that ``found_in`` returns for each row of (id, h, bytes, ...)."""
+    schema = f"id {dict(rows.dtypes)['id']}, h bigint, base int, {SEEN}"
     types = arrow_types(rows.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            ids, hs, found, held = [], [], [], 0
-            for row_id, h, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                low, high, a = pieces(raw, least, gram)
-                if len(low):
-                    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-                    t = np.fromiter(map(digest, (view[x : y + least] for x, y in zip(low.tolist(), high.tolist(), strict=True))), np.uint64, len(low))
-                    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])))
-                    n = np.diff(np.append(head, len(low)))
-                    ids += [row_id] * len(head)
-                    hs += [h] * len(head)
-                    found.append((a[head].view(np.int64), t[head].view(np.int64), low[head], high[head], high[head + n - 1], n))
-                    held += len(head)
+            ids, hs, bases, found, held = [], [], [], [], 0
+
+            def out():
+                return arrow([ids, hs, bases, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], types)
+
+            for row_id, h, base, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = found_in(*rest)
+                n = len(columns[0])
+                if n:
+                    ids += [row_id] * n
+                    hs += [h] * n
+                    bases += [base] * n
+                    found.append(columns)
+                    held += n
                 if held > 50_000:
-                    yield arrow([ids, hs, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], types)
-                    ids, hs, found, held = [], [], [], 0
+                    yield out()
+                    ids, hs, bases, found, held = [], [], [], [], 0
             if held:
-                yield arrow([ids, hs, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], types)
+                yield out()
 
     return rows.mapInArrow(run, schema)
 
 
+def _pieces_of(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    def found_in(raw: bytes):
+        low, high, own, a = pieces(raw, least, gram)
+        t = _digests(raw, low, high + least)
+        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (t[1:] != t[:-1]))) if len(low) else low
+        n = np.diff(np.append(head, len(low)))  # equal pieces side by side, as in a text with a period, are one
+        upto = high[head + n - 1]
+        return a[head].view(np.int64), t[head].view(np.int64), low[head], high[head], upto, own[head], n, np.ones(len(head), bool)
+
+    return _stretches(rows.select("id", "h", F.lit(0).alias("base"), "raw"), found_in)
+
+
+def _blocks_of(cut: DataFrame, least: int, gram: int, blocks: int) -> DataFrame:
+    size = -(-(least - gram + 1) // blocks)
+
+    def found_in(a: int, low: int, own: int, settled: bool, raw: bytes):
+        at = np.arange(blocks)
+        high = low + len(raw) - least
+        first, last = np.maximum(own - (at + 1) * size + 1, low), np.minimum(own - at * size, high)
+        some = first <= last
+        at, first, last = at[some], first[some], last[some]
+        core = own - at * size  # the last window of a whole block; its first one is size - 1 before
+        shared = _digests(raw, core - low, core - size + 1 + least - low)
+        shared = (shared ^ np.uint64(a & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)
+        t = _digests(raw, first - low, last + least - low)
+        weight = np.full(len(at), 2 if settled else 1)
+        return shared.view(np.int64), t.view(np.int64), first, last, last, np.full(len(at), own), weight, np.full(len(at), not settled)
+
+    return _stretches(cut.select("id", "h", F.col("low").alias("base"), "a", "low", "own", "settled", "bytes"), found_in)
+
+
+def _settle(seen: DataFrame, least: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of the open stretches that hashes show to be repeated as a whole, and the stretches that bytes must decide."""
+    seen = written(seen, name)
+    owners = seen.groupBy("a").agg(F.sum("n").alias("all"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    owners = written(owners.where("all > 1").select("a", (F.col("t0") == F.col("t1")).alias("alike")), f"{name}-owners")
+    met = written(seen.join(owners, "a"), f"{name}-met")
+    span = ["id", "h", F.col("low").alias("start"), (F.col("upto") + least).alias("stop")]
+    spans = met.where("alike AND open").select(*span)
+    unlike = met.where("NOT alike")
+    place = F.struct("id", "h", "base", "low", "high", "own")
+    kinds = written(unlike.groupBy("a", "t").agg(F.sum("n").alias("all"), F.min(place).alias("one")), f"{name}-kinds")
+    often = kinds.where("all > 1").select("a", "t")
+    spans = spans.unionByName(unlike.where("open").join(often, ["a", "t"], "left_semi").select(*span))
+    return spans, kinds.select("a", "one.*", (F.col("all") > 1).alias("settled"))
+
+
 def _bytes_of(rows: DataFrame, asked: DataFrame, least: int) -> DataFrame:
-    """(a, id, h, low, settled, bytes) of the pieces asked for; the texts meet the requests by row."""
-    wanted = asked.groupBy(*KEY).agg(F.collect_list(F.struct("a", "low", "high", "settled")).alias("wanted"))
-    one = F.struct(*KEY)
-    met = rows.select(one.alias("k"), "raw").join(wanted.select(one.alias("k"), "wanted"), "k")
-    got = met.select("k.id", "k.h", "raw", F.explode("wanted").alias("x"))
-    return got.select(
-        "x.a", "id", "h", "x.low", "x.settled", F.expr(f"substring(raw, x.low + 1, x.high - x.low + {least})").alias("bytes")
-    )
+    """(a, id, h, low, own, settled, bytes) of the stretches asked for, from rows of (id, h, base, raw)."""
+    key = F.struct("id", "h", "base").alias("k")
+    wanted = asked.groupBy(key).agg(F.collect_list(F.struct("a", "low", "high", "own", "settled")).alias("wanted"))
+    got = rows.select(key, "raw").join(wanted, "k").select("k.*", "raw", F.explode("wanted").alias("x"))
+    part = F.expr(f"substring(raw, x.low - base + 1, x.high - x.low + {least})")
+    return got.select("x.a", "id", "h", "x.low", "x.own", "x.settled", part.alias("bytes"))
 
 
 SPANS = "id {}, h bigint, start int, stop int"
@@ -204,31 +261,23 @@ def _by_hashes(cut: DataFrame, least: int) -> DataFrame:
     return hits.select("id", "h", "start", (F.col("start") + least).alias("stop"))
 
 
-def repeated_spans(rows: DataFrame, least: int, gram: int, most: int, shard_bytes: int) -> DataFrame:
+def repeated_spans(rows: DataFrame, least: int, gram: int, blocks: int, most: int, shard_bytes: int) -> DataFrame:
     """(id, h, start, stop): spans of bytes, overlapping ones too, that cover every repeated window and nothing else."""
-    seen = written(_occurrences(rows, least, gram), "pieces")
-    owners = seen.groupBy("a").agg(F.sum("n").alias("all"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    owners = written(owners.where("all > 1").select("a", (F.col("t0") == F.col("t1")).alias("alike")), "piece-owners")
-    met = written(seen.join(owners, "a"), "pieces-met")
-    span = ["id", "h", F.col("low").alias("start"), (F.col("upto") + least).alias("stop")]
-    spans = met.where("alike").select(*span)
-    unlike = met.where("not alike")
-    kinds = unlike.groupBy("a", "t").agg(F.sum("n").alias("all"), F.min(F.struct("id", "h", "low", "high")).alias("one"))
-    kinds = written(kinds, "piece-kinds")
-    spans = spans.unionByName(unlike.join(kinds.where("all > 1").select("a", "t"), ["a", "t"], "left_semi").select(*span))
-    crowded = written(kinds.groupBy("a").count().where(F.col("count") > most).select("a", F.lit(True).alias("crowded")), "piece-crowds")
-    asked = kinds.join(crowded, "a", "left").select(
-        F.struct("a", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("a"), "one.*", (F.col("all") > 1).alias("settled")
-    )
-    cut = _bytes_of(rows, asked, least).select(F.col("a.a").alias("a"), F.col("a.crowded").alias("crowded"), "id", "h", "low", "settled", "bytes")
-    cut = written(cut, "piece-bytes")
-    cold, hot = (cut.where(c).drop("crowded") for c in ("not crowded", "crowded"))
+    of_pieces, asked = _settle(_pieces_of(rows, least, gram), least, "pieces")
+    cut = written(_bytes_of(rows.withColumn("base", F.lit(0)), asked, least), "piece-bytes")
+    of_blocks, asked = _settle(_blocks_of(cut, least, gram, blocks), least, "blocks")
+    crowded = asked.groupBy("a").count().where(F.col("count") > most).select("a", F.lit(True).alias("crowded"))
+    crowded = written(crowded, "block-crowds")
+    edges = written(_bytes_of(cut.select("id", "h", F.col("low").alias("base"), F.col("bytes").alias("raw")), asked, least), "block-bytes")
+    edges = edges.drop("own").join(crowded, "a", "left")
+    cold, hot = edges.where("crowded IS NULL").drop("crowded"), edges.where("crowded").drop("crowded")
+    spans = of_pieces.unionByName(of_blocks)
     return spans.unionByName(_by_shards(cold, least, shard_bytes)).unionByName(_by_hashes(hot, least))
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400,
-    gram: int = 64, most: int = 2000, shard_bytes: int = 1 << 21,
+    gram: int = 64, blocks: int = 4, most: int = 2000, shard_bytes: int = 1 << 21,
 ) -> DataFrame:
     """Per row: the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (binary, the rest).
 
@@ -239,7 +288,7 @@ def remove_repeats(
     if not 0 < gram <= least:
         raise ValueError("a gram lies inside a window")
     rows = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, least, gram, most, shard_bytes)
+    spans = repeated_spans(rows, least, gram, blocks, most, shard_bytes)
     one = F.struct(*KEY).alias("k")
     merged = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(one, "spans")
     schema = f"`{id_col}` {dict(rows.dtypes)['id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
