@@ -11,11 +11,13 @@ from schedlake.llm.chat_format import op3_chat
 from schedlake.llm.decontamination import op6_decontamination
 from schedlake.llm.exact_dedup import op9_exact_dedup
 from schedlake.llm.quality import op4_quality
+from schedlake.llm.secret_scan import CHECK as SECRETS
 from schedlake.llm.secret_scan import op1_secrets
 from schedlake.llm.sentencepiece_chunks import op7_sentencepiece
 from schedlake.llm.simhash import op2_simhash
 from schedlake.llm.suffix_dedup import op10_suffix_dedup
 from schedlake.llm.token_counts import op5_token_counts
+from schedlake.llm.warc import CHECK as WARC
 from schedlake.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,7 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 CHECKS: dict[str, str] = {
+    "op1_secrets": SECRETS,
     "op3_chat": CHAT,
+    "op8_warc": WARC,
     "op9_exact_dedup": """
         with d as (
             select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))

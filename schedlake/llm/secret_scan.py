@@ -153,3 +153,54 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(text.format("found")).alias("spans"),
         "n_markov",
     )
+
+
+# ---- the same in the checking engine's SQL ----
+
+
+def _either_case(words: str) -> str:
+    """Letters as classes of both cases: the other engine's switch would fold beyond ASCII."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+_KEYS = _either_case("(?:password|passwd|secret|token|api_?key)")
+_ASSIGN = _KEYS + r"""["'']?\x20*[:=]\x20*["'']?"""
+_PATTERNS = (_ASSIGN + VALUE, ACCESS, HEX, TOKEN + "{16,}")
+_BARE = "text"
+for _p in _PATTERNS[:3]:
+    _BARE = f"regexp_replace({_BARE}, '{_p}', ' ', 'g')"
+
+
+def _found_sql(kind: int) -> str:
+    p = _PATTERNS[kind]
+    return f"""select doc_id, {kind} as kind, i, length(x) as moved, regexp_extract(x, '({p})$', 1) as m
+        from (select doc_id, unnest(l) as x, unnest(range(len(l))) as i from (select doc_id, regexp_extract_all(text, '(?s).*?(?:{p})') as l from d))"""
+
+
+_SHARE = "ln(({c} + 10 * ((sum({c}) over (partition by cell % 128) + 0.5) / (sum({c}) over () + 64))) / (sum({c}) over (partition by cell // 128) + 10))"
+CHECK = f"""
+    with d as (select doc_id, coalesce(text, '') as text from documents),
+    f as ({' union all '.join(_found_sql(k) for k in range(4))}),
+    v as (select *, case when kind = 0 then regexp_extract(m, '^{_ASSIGN}({VALUE})$', 1) else m end as value from f),
+    b as (select *, kind < 3 and (kind > 0 or length(value) >= 6) as base, sum(moved) over (partition by doc_id, kind order by i) as stop from v),
+    s as (select value as sample, true as random from b where base
+        union all select unnest(regexp_extract_all({_BARE}, '{TOKEN}{{8,}}')), false from d where doc_id in (select doc_id from b where base)),
+    t as (select random, unnest(list_transform(range(1, len(c)), lambda i: case when c[i] < 128 and c[i + 1] < 128 then c[i] * 128 + c[i + 1] end)) as cell
+        from (select random, list_transform(string_split(sample, ''), lambda x: ascii(x)) as c from s)),
+    n as (select cell, count(*) filter (random) as r, count(*) filter (not random) as o from t where cell is not null group by cell),
+    g as (select k.cell, coalesce(r, 0) as r, coalesce(o, 0) as o from (select unnest(range(16384)) as cell) k left join n using (cell)),
+    w as (select cell, sum(r) over () > 0 and sum(o) over () > 0 as both_kinds, CAST(round(({_SHARE.format(c='r')} - {_SHARE.format(c='o')}) * 1000) as BIGINT) as milli from g),
+    model as (select list(case when both_kinds then milli else 0 end order by cell) as ratios from w),
+    c as (select b.*, case when kind = 3 then list_sum(list_transform(range(1, len(k)), lambda i: ratios[k[i] * 128 + k[i + 1] + 1])) end as score
+        from (select *, case when kind = 3 then list_transform(string_split(m, ''), lambda x: ascii(x)) end as k from b) b, model),
+    p as (select doc_id, kind, stop - length(m) as start, stop, base,
+        base or (kind = 3 and score >= 12000 and score >= 700 * (length(m) - 1)) as likely from c),
+    q as (select *, max(case when base then stop end) over (partition by doc_id order by start, kind rows between unbounded preceding and current row) as before_,
+        min(case when base then start end) over (partition by doc_id order by start, kind rows between current row and unbounded following) as after_ from p),
+    z as (select *, ['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || CAST(start as VARCHAR) || ':' || CAST(stop as VARCHAR) as span from q
+        where likely and (base or (coalesce(before_, 0) <= start and coalesce(after_, stop) >= stop)))
+    select d.doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+        sha256(coalesce(string_agg(span, ',' order by start, kind) filter (base), '')) as base_sha256,
+        coalesce(string_agg(span, ',' order by start, kind), '') as spans, count(*) filter (kind = 3) as n_markov
+    from d left join z using (doc_id) group by d.doc_id
+"""

@@ -277,3 +277,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(places, folder).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+# five hexadecimal digits are four of base 32
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(h, {5 * g + 1}, 5) AS INT) >> {shift}) % 32 + 1, 1)"
+    for g in range(8) for shift in (15, 10, 5, 0)
+)
+CHECK = f"""
+    with d as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+    g as (select h, max(page_id) as keep from d group by h)
+    select page_id, payload_bytes, {_DIGITS} as payload_digest,
+        case when page_id is not distinct from keep then 'response' else 'revisit' end as record_type,
+        case when page_id is distinct from keep then keep end as refers_to
+    from d join g using (h)
+"""
