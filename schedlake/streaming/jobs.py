@@ -103,13 +103,6 @@ def history(stream: DataFrame) -> DataFrame:
     return stream.groupBy("state").agg(F.count("*").alias("imports"), F.max("started_at").alias("newest"))
 
 
-def append_to(stream: DataFrame, folder: str) -> Callable[[], None]:
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(f"{folder}/out", batch_id))
-
-    return _run(stream, step, folder)
-
-
 def latest_to(stream: DataFrame, folder: str) -> Callable[[], None]:
     """Complete-mode output: every batch carries the whole (small) result."""
     return _run(stream, lambda b, i: b.write.mode("overwrite").parquet(_batch_path(f"{folder}/out", i)), folder, "complete")
