@@ -133,6 +133,18 @@ def _dense(rows: list, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return text, np.c_[numbers, hot]
 
 
+def _first_by_hash(rows: DataFrame, most: int, seed: int) -> list:
+    """Up to ``most`` rows, the first in the order of a hash of the id.
+
+    A limit alone would send that many rows of every partition to the driver, so rows far down the order go first.
+    """
+    order = F.xxhash64("id", F.lit(seed))
+    n = rows.count()
+    if n > 2 * most:
+        rows = rows.where(order < int(2**64 * 1.2 * most / n) - 2**63)
+    return rows.orderBy(order, "id").limit(most).collect()
+
+
 def co_train(
     vectors: DataFrame, labels: DataFrame, label_id: str, label: str, n_buckets: int,
     rounds: int = 2, sure: float = 0.98, max_fit: int = 20_000, max_pseudo: int = 2_000,
@@ -142,15 +154,17 @@ def co_train(
     Labels are 0 or 1 (others and nulls are skipped); an id with both takes the more frequent one, 1 in a tie.
     """
     one = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label_id).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    one = written(one, "quality-labels")
-    known = vectors.join(one, "id").orderBy(F.xxhash64("id"), "id").limit(max_fit).collect()
+    # labels grow with the corpus and pack well, so their file size says little about their size in memory: no broadcast
+    shape = ["id", "text_x", "meta_x", "meta_b"]
+    tagged = written(vectors.select(*shape).join(one.hint("merge"), "id", "left"), "quality-tagged")
+    known = _first_by_hash(tagged.where("y IS NOT NULL"), max_fit, 0)
     y = np.array([r.y for r in known], float)
     if len(set(y.tolist())) < 2:
         return None
     held = np.arange(len(known)) % 4 == 3  # the order is that of a hash
     text, meta = _dense(known, n_buckets)
     prior = float(np.log(y.mean() / (1 - y.mean())))
-    unlabelled = vectors.join(one, "id", "left_anti")
+    unlabelled = tagged.where("y IS NULL")
     more: list[list] = [[], []]  # pseudo-labels for the text view, and for the metadata view
     for turn in range(rounds + 1):
         views = []
@@ -169,9 +183,7 @@ def co_train(
         for n in (0, 1):
             scored = unlabelled.withColumn("logit", logits[1 - n])
             for value, found in ((1, scored.where(F.col("logit") >= edge)), (0, scored.where(F.col("logit") <= -edge))):
-                more[n] += (
-                    found.withColumn("y", F.lit(value)).orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(max_pseudo).collect()
-                )
+                more[n] += _first_by_hash(found.withColumn("y", F.lit(value)), max_pseudo, turn)
     return None
 
 
