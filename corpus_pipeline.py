@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints at most three bits apart the one with the smallest id stays."""
+    """Of documents linked by a five-word Jaccard similarity of 0.8 or more the one with the smallest id stays."""
     return one_of_each(docs)
 
 

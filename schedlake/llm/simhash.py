@@ -163,15 +163,113 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
+def shingle_hashes(text: str, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes, sorted, of the words' shingles, folded as in ``simhash``; a shorter text is one shingle."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64))
+
+
+def band_values(hashes: np.ndarray, factors: np.ndarray, depth: int) -> list[int]:
+    """One number for the ``depth`` minima of each band; each factor orders the hashes anew."""
+    if not len(hashes):
+        return []
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 2048):
+        mixed = hashes[at : at + 2048] * factors[:, None]
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    out = np.zeros(len(factors) // depth, np.uint64)
+    for row in least.reshape(-1, depth).T:
+        out = (out ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64).tolist()
+
+
+def _alike(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest over the pairs whose sets have a Jaccard similarity of ``percent`` or more."""
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    left, stack, found = np.ones(len(sets), bool), [], []
+    while left.any():
+        if not stack:
+            stack.append(int(np.argmax(left)))
+            left[stack[0]] = False
+        node = stack.pop()
+        mine = sets[node]
+        at = np.minimum(np.searchsorted(mine, flat), max(len(mine) - 1, 0))
+        common = np.bincount(owner[mine[at] == flat], minlength=len(sets)) if len(mine) else np.zeros(len(sets), int)
+        near = np.flatnonzero(left & (common * 100 >= percent * (sizes + len(mine) - common))).tolist()
+        stack.extend(near)
+        left[near] = False
+        found.extend((nodes[node], nodes[x]) for x in near)
+        if len(near) * 2 > len(sets):  # what has been found need not be compared again
+            rest = left[owner]
+            flat, owner = flat[rest], owner[rest]
+    return found
+
+
+def similar_links(docs: DataFrame, key_col: str, text_col: str, shingle: int = 5, percent: int = 80, bands: int = 20, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(key, ``node``) of every row and (a, b): links between nodes whose word shingles have a Jaccard similarity of ``percent`` or more.
+
+    Candidates share a SimHash component (three bits) or one of ``bands`` bands of ``depth`` minima; a pair at 0.8 shares
+    none of 20 bands with probability 3e-5.  All candidates of a bucket are compared on their whole sets, and only
+    links that hold come out, of each bucket a spanning forest.
+    """
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, bands * depth, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def work():
+        return lambda text: (simhash(text, shingle), band_values(shingle_hashes(text, shingle), factors, depth))
+
+    sketch = per_text(docs, key_col, text_col, "fingerprint bigint, bands array<bigint>", work)
+    node = F.xxhash64(f"{key_col}.id", f"{key_col}.h").alias("node")
+    sketch = written(sketch.select(key_col, node, "fingerprint", "bands"), "near-sketches")
+    roots = components(near_links(sketch), "a", "b").select(F.col("node").alias("fingerprint"), "root")
+    prints = sketch.select("node", "fingerprint").distinct().join(roots, "fingerprint", "left")
+    rows = sketch.select("node", F.posexplode("bands").alias("band", "value")).distinct().unionByName(
+        prints.select("node", F.lit(-1).alias("band"), F.coalesce("root", "fingerprint").alias("value"))
+    )
+    rows = written(rows, "near-bands")
+    # of buckets with the same members one is enough
+    sizes = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
+    sizes = written(sizes.where("n > 1").dropDuplicates(["n", "who"]), "near-buckets")
+    members = written(rows.join(sizes.select("band", "value"), ["band", "value"]), "near-members")
+    texts = docs.select(F.xxhash64(f"{key_col}.id", f"{key_col}.h").alias("node"), whole(text_col).alias("text"))
+    texts = texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+        for batch in itertools.chain(batches, [None]):
+            for *k, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, None, None, "")]:
+                if k != key:
+                    found = _alike(nodes, sets, percent) if len(nodes) > 1 else []
+                    if found:
+                        a, b = np.array(found, np.int64).T
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    key, nodes, sets = k, [], []
+                nodes.append(n)
+                sets.append(shingle_hashes(t, shingle))
+
+    keyed = members.join(texts, "node").select("band", "value", "node", "text")
+    links = keyed.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(run, "a bigint, b bigint")
+    return sketch.select(key_col, "node"), links
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **near) -> DataFrame:
-    """The rows that stay, whole: of each component the one with the smallest id (rows without an id come last).
+    """The rows that stay, whole: of each component of similar texts the one with the smallest id (rows without an id come last).
 
     Rows that repeat both id and text stay together; exact dedup comes first where there may be such rows.
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("h"))
     rows = docs.withColumn("__key", key)
-    classes = near_classes(rows.select("__key", F.col(text_col).alias("text")), "__key", "text", **near)
-    gone = written(classes.where("__key != component_id").select(F.col("__key").alias("__gone")).distinct(), "simhash-gone")
+    keys, links = similar_links(rows.select("__key", F.col(text_col).alias("text")), "__key", "text", **near)
+    of = written(keys.join(components(links, "a", "b"), "node").select("__key", "root"), "near-classes")
+    least = of.groupBy("root").agg(F.min("__key").alias("least"))
+    gone = written(of.join(least, "root").where("__key != least").select(F.col("__key").alias("__gone")).distinct(), "near-gone")
     return rows.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
 
 
