@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become a template: numbers, units behind a number and names (capitalised inside a sentence) turn
-into typed placeholders, other words are folded and lose outer punctuation.  Windows of template words
-are hashed on both sides and joined on the hash.  A run of windows on one diagonal of a document and an
+into typed placeholders, other words are folded and lose outer punctuation.  Windows are hashed on both sides
+as templates, as templates whose names are folded words, and as folded words alone, which no change of case
+and no text before the first word alters, and joined on the hash.  A run of windows on one diagonal of a document and an
 item is an alignment; its slots must map one to one (the same number for the same number, another for
 another), which catches re-parameterised questions and rejects chance hits of a common frame.
-A window in which more than half of the words are slots keeps its literal words instead.
+A window in which more than half of the words are slots has its literal words only.  An alignment counts by its
+literal words alone, too.
 """
 
 from __future__ import annotations
@@ -105,7 +107,7 @@ WINDOWS = "size int, pos int, hash bigint, slots array<int>, fillers array<strin
 def template_windows(
     rows: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted=None, table_size: int = 300_000
 ) -> DataFrame:
-    """(id, size, pos, hash, slots, fillers, tokens) of every window of each text; ``slots`` are positions in the window,
+    """(id, size, pos, hash, slots, fillers, tokens) of every window of each text, once for each form that differs; ``slots`` are positions in the window,
     ``fillers`` the folded words there, ``tokens`` the words of the text.
 
     ``wanted`` (a broadcast, sorted array of hashes) leaves only windows with those hashes.
@@ -125,29 +127,39 @@ def template_windows(
                 if len(words_) > table_size:
                     words_ = _Words()
                 words, frame, literal, slot = template(text, words_)
-                count = np.r_[0, np.cumsum(slot)]
+                forms = [(frame, slot, None)]
+                if slot.any():
+                    names = slot & (frame == 3)
+                    if names.any():
+                        forms.append((np.where(names, literal, frame), slot & ~names, np.r_[0, np.cumsum(names)]))
+                    typed = slot & ~names
+                    if typed.any():
+                        forms.append((literal, np.zeros(len(slot), bool), np.r_[0, np.cumsum(typed)]))
                 for size in sizes:
                     if len(words) < size:
                         continue
                     n = len(words) - size + 1
-                    hashes = _rolled(frame, size)
-                    crowded = (count[size:] - count[:n]) * 2 > size
-                    if crowded.any():
-                        hashes = np.where(crowded, _rolled(literal, size), hashes)
-                    hashes = hashes * ODD + np.uint64(size)
-                    if wanted is None:
-                        hits = np.arange(n)
-                    else:
-                        hits = np.flatnonzero(maybe[hashes & np.uint64((1 << 20) - 1)])
-                        near = np.minimum(np.searchsorted(sought, hashes[hits]), len(sought) - 1)
-                        hits = hits[sought[near] == hashes[hits]] if len(sought) else hits[:0]
-                    for at in hits.tolist():
-                        held = [] if crowded[at] else np.flatnonzero(slot[at : at + size]).tolist()
-                        fill = [OUTER.sub("", words[at + i]).casefold() for i in held]
-                        found.append((row_id, size, at, int(hashes[at].astype(np.int64)), held, fill, len(words)))
-                    if len(found) >= 20_000:
-                        yield arrow([list(c) for c in zip(*found, strict=True)], types)
-                        found = []
+                    for form, slots, sums in forms:
+                        # what has the same words in the form before has the same hash
+                        differs = np.ones(n, bool) if sums is None else sums[size:] > sums[:n]
+                        held_sums = np.r_[0, np.cumsum(slots)]
+                        differs &= (held_sums[size:] - held_sums[:n]) * 2 <= size
+                        if not differs.any():
+                            continue
+                        hashes = _rolled(form, size) * ODD + np.uint64(size)
+                        if wanted is None:
+                            hits = np.flatnonzero(differs)
+                        else:
+                            hits = np.flatnonzero(maybe[hashes & np.uint64((1 << 20) - 1)] & differs)
+                            near = np.minimum(np.searchsorted(sought, hashes[hits]), len(sought) - 1)
+                            hits = hits[sought[near] == hashes[hits]] if len(sought) else hits[:0]
+                        for at in hits.tolist():
+                            held = np.flatnonzero(slots[at : at + size]).tolist()
+                            fill = [OUTER.sub("", words[at + i]).casefold() for i in held]
+                            found.append((row_id, size, at, int(hashes[at].astype(np.int64)), held, fill, len(words)))
+                        if len(found) >= 20_000:
+                            yield arrow([list(c) for c in zip(*found, strict=True)], types)
+                            found = []
             if found:
                 yield arrow([list(c) for c in zip(*found, strict=True)], types)
 
@@ -197,16 +209,20 @@ def contaminated(
         F.bool_and(F.expr("here = there")).alias("same"),
     )
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in alignment]
-    covered = pairs.groupBy(*alignment).agg(F.max("size").alias("size"), F.array_sort(F.collect_set("item_pos")).alias("at"))
-    reach = F.expr("aggregate(sequence(0, size(at) - 2), size, (n, i) -> n + least(size, at[i + 1] - at[i]))")
-    covered = covered.select(*alignment, "size", F.when(F.size("at") > 1, reach).otherwise(F.col("size")).alias("covered"))
+    literal = F.when(F.expr("fillers = item_fillers"), F.col("item_pos"))
+    places = {"at": F.col("item_pos"), "literal_at": literal}
+    covered = pairs.groupBy(*alignment).agg(F.max("size").alias("size"), *[F.array_sort(F.collect_set(c)).alias(n) for n, c in places.items()])
+    reach = "case size({0}) when 0 then 0 when 1 then size else aggregate(sequence(0, size({0}) - 2), size, (n, i) -> n + least(size, {0}[i + 1] - {0}[i])) end"
+    covered = covered.select(*alignment, "size", F.expr(reach.format("at")).alias("covered"), F.expr(reach.format("literal_at")).alias("literal_covered"))
     joined = covered.alias("p").join(consistent.alias("s"), same, "left").select(
-        *[F.col(f"p.{c}").alias(c) for c in [*alignment, "size", "covered"]],
+        *[F.col(f"p.{c}").alias(c) for c in [*alignment, "size", "covered", "literal_covered"]],
         (F.col("s.maps").isNull() | ((F.col("s.maps") == F.col("s.heres")) & (F.col("s.maps") == F.col("s.theres")))).alias("consistent"),
         F.coalesce("s.same", F.lit(True)).alias("same_slots"),
     )
     enough_words = F.least(F.lit(enough), F.greatest(F.ceil(F.col("item_tokens") / 2), F.col("size")))
-    kept = joined.where("consistent").where(F.col("covered") >= enough_words)
+    # slots that do not fit leave what is literally the same
+    joined = joined.withColumn("covered", F.expr("if(consistent, covered, literal_covered)")).withColumn("same_slots", F.expr("same_slots or not consistent"))
+    kept = joined.where(F.col("covered") >= enough_words)
     return (
         kept.groupBy(F.col("id").alias(id_col), "item_id")
         .agg(F.max(F.struct("covered", "same_slots", "item_tokens")).alias("best"))
