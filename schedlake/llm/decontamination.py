@@ -4,9 +4,9 @@ Words become a template: numbers, units behind a number and names (capitalised i
 into typed placeholders, other words are folded and lose outer punctuation.  Windows are hashed on both sides
 as templates, as templates whose names are folded words, and as folded words alone, which no change of case
 and no text before the first word alters, and joined on the hash.  A run of windows on one diagonal of a document and an
-item is an alignment; its slots must map one to one (the same number for the same number, another for
-another), which catches re-parameterised questions and rejects chance hits of a common frame.
-A window in which more than half of the words are slots has its literal words only.  An alignment counts by its
+item is an alignment; equal slots of the item must be equal in the document, and some of the words must be
+literal ones, which catches re-parameterised questions and rejects chance hits of a common frame.
+Windows of slots only are looked up where others have found an alignment.  An alignment counts by its
 literal words alone, too.
 """
 
@@ -142,8 +142,6 @@ def template_windows(
                     for form, slots, sums in forms:
                         # what has the same words in the form before has the same hash
                         differs = np.ones(n, bool) if sums is None else sums[size:] > sums[:n]
-                        held_sums = np.r_[0, np.cumsum(slots)]
-                        differs &= (held_sums[size:] - held_sums[:n]) * 2 <= size
                         if not differs.any():
                             continue
                         hashes = _rolled(form, size) * ODD + np.uint64(size)
@@ -169,11 +167,13 @@ def template_windows(
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = 8, enough: int = 13, fewest: int = 5, most_broadcast: int = 2_000_000,
+    least_literals: int = 2,
 ) -> DataFrame:
     """(id, ``item_id``, ``covered``, ``item_tokens``, ``same_slots``) of every document that holds part of an item.
 
     A pair counts if an alignment covers ``enough`` words of the item, or half of it where that is less, but a window
     at least; items shorter than ``window`` must lie in the document whole, those under ``fewest`` words are not sought.
+    Beside slots that differ a quarter of the covered words, and ``least_literals`` at least, must be literal ones.
     ``same_slots``: numbers, units and names are those of the item (as opposed to re-parameterised).
     Up to ``most_broadcast`` distinct item hashes are sent to the tasks to thin out the documents' windows; beyond, all
     windows meet in the join.  Rows without an id, on either side, count as one row with a null id.  Repeated rows change nothing.
@@ -196,31 +196,45 @@ def contaminated(
         F.col("id").alias("item_id"), "size", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"),
         F.col("fillers").alias("item_fillers"), F.col("tokens").alias("item_tokens"),
     )
-    pairs = found.join(sides, ["size", "hash"]).where("slots = item_slots").withColumn("diagonal", F.expr("pos - item_pos"))
-    pairs = written(pairs.select("id", "item_id", "item_tokens", "diagonal", "size", "item_pos", "slots", "fillers", "item_fillers"), "window-pairs")
+    columns = ["id", "item_id", "item_tokens", "diagonal", "size", "item_pos", "slots", "fillers", "item_fillers"]
+    pairs = found.where("size(slots) < size").join(sides.where("size(item_slots) < size"), ["size", "hash"]).where("slots = item_slots")
+    pairs = written(pairs.withColumn("diagonal", F.expr("pos - item_pos")).select(*columns), "window-pairs")
     alignment = ["id", "item_id", "item_tokens", "diagonal"]
+    bare = sides.where("size(item_slots) = size")
+    if not bare.isEmpty():
+        anchors = pairs.select(*alignment, "size").distinct().alias("a")
+        at = [F.col("a.item_id").eqNullSafe(F.col("b.item_id")), F.expr("a.item_tokens = b.item_tokens"), F.expr("a.size = b.size")]
+        sought = anchors.join(bare.alias("b"), at).select("a.*", "b.hash", "b.item_pos", "b.item_slots", "b.item_fillers", F.expr("a.diagonal + b.item_pos").alias("pos"))
+        at = [F.col("f.id").eqNullSafe(F.col("s.id")), *[F.col(f"f.{c}") == F.col(f"s.{c}") for c in ("size", "pos", "hash")]]
+        more = found.where("size(slots) = size").alias("f").join(sought.alias("s"), at)
+        pairs = pairs.unionByName(written(more.select("s.id", "s.item_id", "s.item_tokens", "s.diagonal", "s.size", "s.item_pos", "f.slots", "f.fillers", "s.item_fillers"), "bare-pairs"))
     filled = (
         pairs.select(*alignment, F.explode(F.arrays_zip("fillers", "item_fillers")).alias("x"))
         .select(*alignment, F.col("x.fillers").alias("here"), F.col("x.item_fillers").alias("there"))
         .distinct()
     )
     consistent = filled.groupBy(*alignment).agg(
-        F.count(F.lit(1)).alias("maps"), F.countDistinct("here").alias("heres"), F.countDistinct("there").alias("theres"),
+        F.count(F.lit(1)).alias("maps"), F.countDistinct("there").alias("theres"),
         F.bool_and(F.expr("here = there")).alias("same"),
     )
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in alignment]
     literal = F.when(F.expr("fillers = item_fillers"), F.col("item_pos"))
     places = {"at": F.col("item_pos"), "literal_at": literal}
     covered = pairs.groupBy(*alignment).agg(F.max("size").alias("size"), *[F.array_sort(F.collect_set(c)).alias(n) for n, c in places.items()])
+    word = F.expr("explode(transform(array_except(sequence(0, size - 1), slots), i -> item_pos + i))").alias("word")
+    words = pairs.select(*alignment, word).groupBy(*alignment).agg(F.countDistinct("word").alias("literals"))
     reach = "case size({0}) when 0 then 0 when 1 then size else aggregate(sequence(0, size({0}) - 2), size, (n, i) -> n + least(size, {0}[i + 1] - {0}[i])) end"
     covered = covered.select(*alignment, "size", F.expr(reach.format("at")).alias("covered"), F.expr(reach.format("literal_at")).alias("literal_covered"))
-    joined = covered.alias("p").join(consistent.alias("s"), same, "left").select(
+    same_words = [F.col(f"p.{c}").eqNullSafe(F.col(f"w.{c}")) for c in alignment]
+    joined = covered.alias("p").join(consistent.alias("s"), same, "left").join(words.alias("w"), same_words, "left").select(
         *[F.col(f"p.{c}").alias(c) for c in [*alignment, "size", "covered", "literal_covered"]],
-        (F.col("s.maps").isNull() | ((F.col("s.maps") == F.col("s.heres")) & (F.col("s.maps") == F.col("s.theres")))).alias("consistent"),
+        F.coalesce("w.literals", F.lit(0)).alias("literals"),
+        (F.col("s.maps").isNull() | (F.col("s.maps") == F.col("s.theres"))).alias("consistent"),
         F.coalesce("s.same", F.lit(True)).alias("same_slots"),
     )
     enough_words = F.least(F.lit(enough), F.greatest(F.ceil(F.col("item_tokens") / 2), F.col("size")))
-    # slots that do not fit leave what is literally the same
+    # slots that do not fit, or too few words beside them, leave what is literally the same
+    joined = joined.withColumn("consistent", F.expr(f"consistent and literals >= {least_literals} and literals * 4 >= covered"))
     joined = joined.withColumn("covered", F.expr("if(consistent, covered, literal_covered)")).withColumn("same_slots", F.expr("same_slots or not consistent"))
     kept = joined.where(F.col("covered") >= enough_words)
     return (
