@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlake.llm.common import arrow, arrow_types, table, whole
+from schedlake.llm.common import arrow, arrow_types, per_text, table, whole
 from schedlake.session import written
 
 # units that count as slots behind a number
@@ -164,6 +164,31 @@ def template_windows(
     return rows.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def _short(line: str, fewest: int) -> tuple[int, int] | None:
+    """Number of words and hash of a line of fewer than ``fewest`` words; words of punctuation only stay as they are."""
+    import xxhash
+
+    words = [(OUTER.sub("", w), w) for w in line.split()]
+    n = sum(1 for bare, _ in words if bare)
+    if not 0 < n < fewest:
+        return None
+    return n, int(np.uint64(xxhash.xxh3_64_intdigest("\0".join(bare.casefold() or w for bare, w in words))).astype(np.int64))
+
+
+def short_texts(rows: DataFrame, id_col: str, text_col: str, fewest: int, lines: bool) -> DataFrame:
+    """(id, n, hash) of whole texts, or also of their ``lines``, that have 1 to ``fewest`` - 1 words."""
+
+    def work():
+        def one(text: str) -> tuple[list]:
+            found = {_short(part, fewest) for part in ([text, *text.splitlines()] if lines else [text])} - {None}
+            return ([{"n": n, "hash": h} for n, h in found],)
+
+        return one
+
+    found = per_text(rows, id_col, text_col, "short array<struct<n: int, hash: bigint>>", work)
+    return found.select(F.col(id_col).alias("id"), F.explode("short").alias("s")).select("id", "s.n", "s.hash").distinct()
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = 8, enough: int = 13, fewest: int = 5, most_broadcast: int = 2_000_000,
@@ -172,7 +197,7 @@ def contaminated(
     """(id, ``item_id``, ``covered``, ``item_tokens``, ``same_slots``) of every document that holds part of an item.
 
     A pair counts if an alignment covers ``enough`` words of the item, or half of it where that is less, but a window
-    at least; items shorter than ``window`` must lie in the document whole, those under ``fewest`` words are not sought.
+    at least; items shorter than ``window`` must lie in the document whole, those under ``fewest`` words must be its text or a line of it.
     Beside slots that differ a quarter of the covered words, and ``least_literals`` at least, must be literal ones.
     ``same_slots``: numbers, units and names are those of the item (as opposed to re-parameterised).
     Up to ``most_broadcast`` distinct item hashes are sent to the tasks to thin out the documents' windows; beyond, all
@@ -237,6 +262,12 @@ def contaminated(
     joined = joined.withColumn("consistent", F.expr(f"consistent and literals >= {least_literals} and literals * 4 >= covered"))
     joined = joined.withColumn("covered", F.expr("if(consistent, covered, literal_covered)")).withColumn("same_slots", F.expr("same_slots or not consistent"))
     kept = joined.where(F.col("covered") >= enough_words)
+    kept = kept.select("id", "item_id", "covered", "same_slots", "item_tokens")
+    short = written(short_texts(benchmark.select(*ids), "item_id", "text", fewest, False), "short-items")
+    if not short.isEmpty():
+        short = short.select(F.col("id").alias("item_id"), "n", "hash")
+        lines = short_texts(docs, id_col, text_col, fewest, True).join(short, ["n", "hash"])
+        kept = kept.unionByName(lines.select("id", "item_id", F.col("n").alias("covered"), F.lit(True).alias("same_slots"), F.col("n").alias("item_tokens")))
     return (
         kept.groupBy(F.col("id").alias(id_col), "item_id")
         .agg(F.max(F.struct("covered", "same_slots", "item_tokens")).alias("best"))

@@ -25,3 +25,9 @@ def test_other_parameters(spark):
     ]
     assert found(spark, docs, items) == {(0, 0): False, (1, 0): False, (2, 1): False, (3, 2): False, (4, 2): False}
     assert found(spark, ["Ann has 5 apples and 5 pears, and Bob 6 apples"], ["Ann has 3 apples and 4 pears, and Bob 3 apples"]) == {}
+
+
+def test_short_items_are_sought_as_texts_and_lines(spark):
+    items = ["What is 3 + 4?", "Why?", "", "..."]
+    docs = ["intro\n what IS 3 + 4 \nmore", "What is 3 - 4?", "what is 3 + 4 and 5", "WHY", "why not", "", "..."]
+    assert found(spark, docs, items) == {(0, 0): True, (3, 1): True}
