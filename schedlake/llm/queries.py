@@ -10,6 +10,7 @@ from schedlake.llm.chat_format import CHECK as CHAT
 from schedlake.llm.chat_format import op3_chat
 from schedlake.llm.decontamination import op6_decontamination
 from schedlake.llm.exact_dedup import op9_exact_dedup
+from schedlake.llm.improbable_digest import op13_fingerprints
 from schedlake.llm.quality import op4_quality
 from schedlake.llm.secret_scan import CHECK as SECRETS
 from schedlake.llm.secret_scan import op1_secrets
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 CHECKS: dict[str, str] = {
