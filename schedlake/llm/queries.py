@@ -12,6 +12,8 @@ from schedlake.llm.decontamination import op6_decontamination
 from schedlake.llm.exact_dedup import op9_exact_dedup
 from schedlake.llm.improbable_digest import op13_fingerprints
 from schedlake.llm.quality import op4_quality
+from schedlake.llm.ranked_search import CHECK as SEARCH
+from schedlake.llm.ranked_search import op12_search
 from schedlake.llm.secret_scan import CHECK as SECRETS
 from schedlake.llm.secret_scan import op1_secrets
 from schedlake.llm.sentencepiece_chunks import op7_sentencepiece
@@ -32,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_search": op12_search,
     "op13_fingerprints": op13_fingerprints,
 }
 
@@ -39,6 +42,7 @@ CHECKS: dict[str, str] = {
     "op1_secrets": SECRETS,
     "op3_chat": CHAT,
     "op8_warc": WARC,
+    "op12_search": SEARCH,
     "op9_exact_dedup": """
         with d as (
             select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
