@@ -19,6 +19,7 @@ from schedlake.llm.secret_scan import op1_secrets
 from schedlake.llm.sentencepiece_chunks import op7_sentencepiece
 from schedlake.llm.simhash import op2_simhash
 from schedlake.llm.suffix_dedup import op10_suffix_dedup
+from schedlake.llm.token_alignment import op11_alignment
 from schedlake.llm.token_counts import op5_token_counts
 from schedlake.llm.warc import CHECK as WARC
 from schedlake.llm.warc import op8_warc
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_alignment": op11_alignment,
     "op12_search": op12_search,
     "op13_fingerprints": op13_fingerprints,
 }
