@@ -375,6 +375,52 @@ def sections(rows: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
+def section_grids(features: DataFrame, found: DataFrame, headers: DataFrame, width: int = 64) -> DataFrame:
+    """Cells of every section as a grid of its own: row 0 is the sheet's header, the section's rows follow from 1 on.
+
+    ``sheet`` becomes the section's number, a bar, and the sheet's name (``of_section`` reads it back).  Row ranges are cut into
+    buckets of ``width`` rows and cells meet them by bucket, so a sheet with very many sections spreads out; the header
+    travels as one array for each ``width`` sections.
+    """
+    grid = F.concat(F.col("section").cast("string"), F.lit("|"), F.col("sheet"))
+    rest = [c for c in features.columns if c not in (*SHEET, "row_no")]
+    ranges = found.select(
+        *SHEET, "section", "first_row", "last_row",
+        F.explode(F.sequence(F.floor(F.col("first_row") / width), F.floor(F.col("last_row") / width))).alias("__bucket"),
+    )
+    body = features.withColumn("__bucket", F.floor(F.col("row_no") / width)).join(ranges, [*SHEET, "__bucket"])
+    body = body.where("row_no BETWEEN first_row AND last_row").select(
+        "doc_id", grid.alias("sheet"), F.expr("CAST(row_no - first_row + 1 AS INT)").alias("row_no"), *rest
+    )
+    heads = features.join(headers.withColumnRenamed("header", "row_no"), [*SHEET, "row_no"])
+    heads = heads.groupBy(*SHEET).agg(F.collect_list(F.struct(*rest)).alias("heads"))
+    numbers = found.groupBy(*SHEET).agg(F.max("section").alias("n"))
+    heads = heads.join(numbers, SHEET).select(*SHEET, "heads", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / width))).alias("__block"))
+    shared = found.withColumn("__block", F.floor(F.col("section") / width)).join(heads, [*SHEET, "__block"])
+    shared = shared.select("doc_id", grid.alias("sheet"), F.lit(0).alias("row_no"), F.inline("heads"))
+    return body.unionByName(shared.select(*body.columns))
+
+
+def of_section(entries: DataFrame, found: DataFrame, headers: DataFrame) -> DataFrame:
+    """Entries of section grids with their sheet, section and label, and the row of the sheet they stand in."""
+    named = entries.withColumn("section", F.substring_index("sheet", "|", 1).cast("long")).withColumn(
+        "sheet", F.expr("substring(sheet, locate('|', sheet) + 1)")
+    )
+    places = found.join(headers, SHEET).select(*SHEET, "section", "label", "header", "first_row")
+    return named.join(places, [*SHEET, "section"]).withColumn(
+        "sheet_row", F.expr("CAST(IF(row_no = 0, header, first_row + row_no - 1) AS INT)")
+    ).drop("header", "first_row")
+
+
+def section_schedules(features: DataFrame) -> DataFrame:
+    """The weekly reading of every section of every sheet with a period header, each with its own layout and gate."""
+    rows = written(row_features(features), "rows")
+    headers = written(rows.where(F.col("times") >= MIN_PERIODS).groupBy(*SHEET).agg(F.min("row_no").alias("header")), "headers")
+    found = written(sections(rows, headers), "sections")
+    grids = written(section_grids(features, found, headers), "section-grids")
+    return of_section(weekly_schedules(grids), found, headers)
+
+
 def sheet_shapes(rows: DataFrame) -> DataFrame:
     """What a sheet holds: sections under a period header, else a flat, weekday-header or dated list."""
     per = rows.groupBy(*SHEET).agg(

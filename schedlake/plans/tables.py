@@ -39,13 +39,13 @@ def feats(name: str, p: str = "") -> str:
       FROM {p}src s LEFT JOIN {p}dd dd USING ({CELL_KEYS}) LEFT JOIN (SELECT * EXCLUDE (text) FROM {p}ft) ft USING ({CELL_KEYS}))"""
 
 
-LAYOUT = f"""{feats('sheet_cells')},
-    br AS (SELECT doc_id, sheet, arg_max(row_no, n * 1000 - row_no) AS day_row, max(n) AS in_row FROM (SELECT doc_id, sheet, row_no, count(*) FILTER (is_day) AS n FROM f GROUP BY ALL) GROUP BY ALL),
+LAYOUT_OF = """br AS (SELECT doc_id, sheet, arg_max(row_no, n * 1000 - row_no) AS day_row, max(n) AS in_row FROM (SELECT doc_id, sheet, row_no, count(*) FILTER (is_day) AS n FROM f GROUP BY ALL) GROUP BY ALL),
     bc AS (SELECT doc_id, sheet, arg_max(col, n * 1000 - col) AS day_col, max(n) AS in_col FROM (SELECT doc_id, sheet, col, count(*) FILTER (is_day) AS n FROM f GROUP BY ALL) GROUP BY ALL),
     sz AS (SELECT doc_id, sheet, max(row_no) + 1 AS n_rows, max(col) + 1 AS n_cols FROM f GROUP BY ALL),
     ph AS (SELECT doc_id, sheet, min(row_no) AS period_row FROM (SELECT f.doc_id, f.sheet, row_no FROM f JOIN bc USING (doc_id, sheet) WHERE col <> day_col AND is_time GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL),
     lay AS (SELECT doc_id, sheet, day_row, day_col, in_row, in_col, period_row, CASE WHEN n_rows < 2 OR n_cols < 2 OR greatest(in_row, in_col) < 2 THEN 'None' WHEN in_row >= in_col THEN 'ColumnOriented'
         WHEN period_row IS NOT NULL THEN 'PeriodColumns' ELSE 'RowOriented' END AS orientation FROM sz JOIN br USING (doc_id, sheet) JOIN bc USING (doc_id, sheet) LEFT JOIN ph USING (doc_id, sheet))"""
+LAYOUT = f"""{feats('sheet_cells')}, {LAYOUT_OF}"""
 
 
 @query("orientation", f"WITH RECURSIVE {LAYOUT} SELECT doc_id, orientation, CAST(in_row AS BIGINT) AS in_row, CAST(in_col AS BIGINT) AS in_col FROM lay")
@@ -179,12 +179,13 @@ def roster(spark, sf_dir):
     return S.roster(f, layout_of(f)).select("doc_id", "entry_id", "title", "weekday", "start_min", "end_min")
 
 
-ORDINARY = f"""{LAYOUT}, {GRID}, {PERIOD}, {ROWS}, {ROSTER},
+ORDINARY_OF = f"""{LAYOUT_OF}, {GRID}, {PERIOD}, {ROWS}, {ROSTER},
     ord AS (SELECT *, 'Weekly' AS kind FROM grid UNION ALL SELECT *, 'Unknown' FROM period UNION ALL SELECT *, 'Unknown' FROM rowlist),
     al AS (SELECT * FROM ord UNION ALL SELECT *, 'Weekly' FROM roster WHERE doc_id NOT IN (SELECT doc_id FROM ord)),
     ded AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY doc_id, title, weekday, start_min, end_min ORDER BY row_no, col) = 1),
     pls AS (SELECT doc_id, count(*) AS n FROM ded GROUP BY doc_id HAVING count(*) >= 3 AND count(weekday) >= count(*) * 0.6 AND count(DISTINCT weekday) >= 2 AND count(DISTINCT start_min) >= 2
       AND bool_or(length(title) >= 2 AND {C.letters('title')} >= 3 AND {C.letters('title')} * 2 >= {C.solid('title')}))"""
+ORDINARY = f"""{feats('sheet_cells')}, {ORDINARY_OF}"""
 
 
 @query("plausible_week", f"WITH RECURSIVE {ORDINARY} SELECT doc_id, n FROM pls")
@@ -346,6 +347,29 @@ def section_split(spark, sf_dir):
     return S.sections(rows, headers).select("doc_id", "section", "label", "first_row", "last_row", "size")
 
 
+# In the check a section is a document of its own, numbered 100,000 times the document plus the section.
+SECTION_FEATS = f"""{feats('section_cells', 'x')}, {ROWF.replace('rf AS', 'xrf AS').replace('FROM f', 'FROM xf')},
+    xhd AS (SELECT doc_id, min(row_no) AS header FROM xrf WHERE times >= 3 GROUP BY 1),
+    xbl AS (SELECT xrf.*, header FROM xrf JOIN xhd USING (doc_id) WHERE row_no > header),
+    xdy AS (SELECT *, row_no - row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS isl FROM xbl WHERE day_row),
+    xsc AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_row) AS section FROM (SELECT doc_id, any_value(header) AS header, min(row_no) AS first_row, max(row_no) AS last_row FROM xdy GROUP BY doc_id, isl)),
+    f AS MATERIALIZED (SELECT xf.* REPLACE (xf.doc_id * 100000 + section AS doc_id, CASE WHEN row_no = header THEN 0 ELSE row_no - first_row + 1 END AS row_no)
+      FROM xf JOIN xsc ON xf.doc_id = xsc.doc_id AND (row_no = header OR row_no BETWEEN first_row AND last_row))"""
+
+
+@query(
+    "section_schedules",
+    f"""WITH RECURSIVE {SECTION_FEATS}, {ORDINARY_OF},
+    xlb AS (SELECT xsc.*, coalesce((SELECT max_by(label, row_no) FROM xbl b WHERE b.doc_id = xsc.doc_id AND NOT b.day_row AND b.row_no < xsc.first_row), 'Schedule ' || section) AS label FROM xsc)
+    SELECT xlb.doc_id, section, label, entry_id, title, weekday, start_min, end_min, location, CAST(first_row + row_no - 1 AS INT) AS sheet_row, col, kind
+    FROM ded JOIN pls USING (doc_id) JOIN xlb ON ded.doc_id = xlb.doc_id * 100000 + section""",
+)
+def section_schedules(spark, sf_dir):
+    return S.section_schedules(features(spark, sf_dir, "section_cells")).select(
+        "doc_id", "section", "label", "entry_id", "title", "weekday", "start_min", "end_min", "location", "sheet_row", "col", "kind"
+    )
+
+
 SHAPES = """CASE WHEN min(row_no) FILTER (times >= 3) IS NOT NULL THEN 'Sections' WHEN count(*) FILTER (day_row) >= 3 THEN 'FlatList'
       WHEN max(row_no) > min(row_no) FILTER (days >= 2) THEN 'HeaderList' WHEN count(*) FILTER (date_row) >= 2 AND min(row_no) FILTER (date_row) > 0 THEN 'DatedList' ELSE 'Nothing' END"""
 
