@@ -98,12 +98,24 @@ def resolve_dates(
     order: list[str],
     bucket: Column | None = None,
     answers: DataFrame | None = None,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Adds ``evidence`` and ``resolved``; both NULL where two readings stay open.
+    """Adds ``evidence`` and ``resolved``, NULL where two readings stay open, and ``asks``: Order, Year, or NULL.
 
-    ``answers`` (keys, user_order) outranks what the document says about itself.
+    ``answers`` (keys, user_order, perhaps assumed_year) outranks what the document says about itself; a year counts for
+    dates without one.  With ``by`` (columns of ``answers``) a document may have several answers: its dates are read and its
+    evidence is gathered once, and every date comes out under each of them.
     """
-    out = dates.join(document_evidence(dates, keys, order, bucket, answers), keys, "left")
+    several = answers if by or answers is not None and "assumed_year" in answers.columns else None
+    out = dates.join(document_evidence(dates, keys, order, bucket, None if several is not None else answers), keys, "left")
+    if several is not None:
+        said = several.select(*keys, *by, *[c for c in ("user_order", "assumed_year") if c in several.columns])
+        out = out.drop("user_order").join(said, keys, "inner" if by else "left")
+        for c in {"user_order": "string", "assumed_year": "int"}.items():
+            if c[0] not in said.columns:
+                out = out.withColumn(c[0], F.lit(None).cast(c[1]))
+        year = "coalesce(year, assumed_year)"
+        out = out.withColumns({"date1": F.expr(D.real_date("day1", "month1", year)), "date2": F.expr(D.real_date("day2", "month2", year))})
     decided = F.coalesce("user_order", "sibling", "by_weekday", "by_sequence")
     how = (
         F.when(F.col("user_order").isNotNull(), "UserChoice")
@@ -118,11 +130,20 @@ def resolve_dates(
     resolved = F.when(n_dates == 1, F.coalesce("date1", "date2")).when(
         n_dates == 2, F.when(side == D.DAY_FIRST, F.col("date1")).when(side == D.MONTH_FIRST, F.col("date2"))
     )
-    return out.withColumns({"evidence": evidence, "resolved": resolved}).drop(
-        "sibling", "by_weekday", "by_sequence", "user_order"
+    no_year = F.col("year").isNull() if several is None else F.col("year").isNull() & F.col("assumed_year").isNull()
+    asks = F.when((F.col("n_readings") > 0) & no_year, "Year").when((n_dates == 2) & side.isNull(), "Order")
+    return out.withColumns({"evidence": evidence, "resolved": resolved, "asks": asks}).drop(
+        "sibling", "by_weekday", "by_sequence", "user_order", "assumed_year"
     )
 
 
+def date_questions(resolved: DataFrame, keys: list[str]) -> DataFrame:
+    """What a document has to ask about its dates, each question once: the order with both readings, or the year."""
+    return resolved.where("asks IS NOT NULL").selectExpr(
+        *keys, "asks", "raw", "IF(asks = 'Order', date1, NULL) AS day_first", "IF(asks = 'Order', date2, NULL) AS month_first"
+    ).distinct()
+
+
 # ---- morning or evening ----
 
 WRITTEN, BY_24H, BY_ORDER, OPEN = "written", "24h", "order", "open"

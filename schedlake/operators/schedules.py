@@ -253,35 +253,57 @@ def cell_dates(cells: DataFrame, keys: list[str]) -> DataFrame:
     first = f"try_element_at(filter({D.readings('text')}, r -> r.day_ok OR r.swap_ok), 1)"
     found = once(plain, {"m": first}).where("m IS NOT NULL").select(*keys, "m.raw", "m.family")
     return K.read_token(found).selectExpr(
-        *keys, "n_readings", f"{D.real_date('day1', 'month1', 'year')} AS date1", f"{D.real_date('day2', 'month2', 'year')} AS date2"
+        *keys, "n_readings", "day1", "month1", "day2", "month2", "year", f"{D.real_date('day1', 'month1', 'year')} AS date1", f"{D.real_date('day2', 'month2', 'year')} AS date2"
     )
 
 
-def user_dates(dates: DataFrame, keys: list[str], answers: DataFrame | None) -> DataFrame:
-    """The date of each cell: its one reading, or the one the user's order picks."""
-    dates = dates.join(answers, "doc_id", "left") if answers is not None else dates.withColumn("user_order", F.lit(None).cast("string"))
-    return dates.selectExpr(
-        *keys, "CASE WHEN n_readings = 1 OR user_order = 'DayFirst' THEN date1 WHEN user_order = 'MonthFirst' THEN date2 END AS date"
-    ).where("date IS NOT NULL")
+def user_dates(dates: DataFrame, keys: list[str], answers: DataFrame | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The date of each cell: its one reading, or the one the user's order picks; a year the user gave counts where none is written.
 
+    With ``by`` (columns of ``answers``) a document has several answers, and each cell a date under every one that settles it.
+    """
+    picked = "CASE WHEN n_readings = 1 OR user_order = 'DayFirst' THEN {0} WHEN user_order = 'MonthFirst' THEN {1} END AS date"
+    first, second = "date1", "date2"
+    if answers is None:
+        dates = dates.withColumn("user_order", F.lit(None).cast("string"))
+    else:
+        if "assumed_year" in answers.columns:
+            first, second = (D.real_date(f"day{i}", f"month{i}", "coalesce(year, assumed_year)") for i in (1, 2))
+        dates = dates.join(answers, "doc_id", "inner" if by else "left")
+    return dates.selectExpr(*keys, *by, picked.format(first, second)).where("date IS NOT NULL")
+
+
+def table_dates(cells: DataFrame, layout: DataFrame) -> DataFrame:
+    """The first readable date of every cell in a date column: what the readers below and their questions share."""
+    body = cells.where("trim(text) <> ''").join(layout.where("role = 'Date'").select(*SHEET, "header", "col"), [*SHEET, "col"])
+    return cell_dates(body.where("row_no > header").select(*SHEET, "row_no", "col", "text"), [*SHEET, "row_no", "col"])
+
+
+def dated_table(
+    cells: DataFrame, layout: DataFrame, answers: DataFrame | None = None, by: tuple[str, ...] = (), dates: DataFrame | None = None
+) -> DataFrame:
+    """One entry per row with a readable date and a title; ambiguous rows need the user's order, yearless ones a year.
 
-def dated_table(cells: DataFrame, layout: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """One entry per row with a readable date and a title; ambiguous rows need the user's order."""
+    ``by``: see ``user_dates``; entries carry these columns.  ``dates``: those of ``table_dates``, where they have been read.
+    """
     body = cells.where("trim(text) <> ''").join(layout.drop("heading"), [*SHEET, "col"]).where("row_no > header")
     date_cols = layout.where("role = 'Date'").groupBy(*SHEET).agg(F.min("col").alias("date_col"))
     at = [*SHEET, "row_no"]
-    dates = cell_dates(body.join(date_cols, SHEET).where("col = date_col").select(*at, "text"), at)
-    dates = user_dates(dates, at, answers)
+    if dates is None:
+        dates = cell_dates(body.join(date_cols, SHEET).where("col = date_col").select(*at, "text"), at)
+    else:
+        dates = dates.join(date_cols.withColumnRenamed("date_col", "col"), [*SHEET, "col"], "left_semi")
+    dates = user_dates(dates, at, answers, by)
     first = lambda role: F.min_by("text", F.when(F.col("role") == role, F.col("col")))
     rows = body.groupBy(*at).agg(
         F.trim(first("Subject")).alias("title"), first("Time").alias("time_text"), F.trim(first("Place")).alias("location")
     ).where("title IS NOT NULL")
-    rows = rows.where(K.table_title_ok(F.col("title"))).join(dates, at)
+    rows = rows.where(K.table_title_ok(F.col("title")))
     rows = rows.withColumn("time_text", F.coalesce(K.unglue(F.col("time_text")), F.lit("")))
     rows = once(once(rows, {"s": T.time_spans("time_text")}), {"p": first_time("s")})
-    rows = rows.selectExpr(*at, "title", "date", "location", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()])
+    rows = rows.selectExpr(*at, "title", "location", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()]).join(dates, at)
     entries = rows.selectExpr(
-        *at, "concat('dated-', row_no) AS entry_id", "title", "date", f"{R.lone_time('start', 'end')} AS start_min",
+        *at, *by, "concat('dated-', row_no) AS entry_id", "title", "date", f"{R.lone_time('start', 'end')} AS start_min",
         f"{R.lone_time('end', 'start')} AS end_min", "location", f"{T.as_written('start_hour', 'start_minute', 'start_mer')} IS NULL AS inferred",
     )
     return with_levels(entries, start="IF(inferred, 'Medium', 'High')").drop("inferred")
@@ -302,13 +324,18 @@ def date_questions(cells: DataFrame, layout: DataFrame, produced: DataFrame) ->
 
 
 def field_table(
-    cells: DataFrame, layout: DataFrame, produced: DataFrame, answers: DataFrame | None = None, most_records: int | None = None
+    cells: DataFrame, layout: DataFrame, produced: DataFrame, answers: DataFrame | None = None, most_records: int | None = None,
+    by: tuple[str, ...] = (), dates: DataFrame | None = None,
 ) -> DataFrame:
     """A bill or ticket: one event per record and date column, titled by the column's heading.
 
-    ``answers`` (doc_id, user_order) settles dates with two readings; ``most_records`` leaves out sheets with more.
+    ``produced`` are the sheets (and answers) that have rows already.  ``answers`` (doc_id, user_order) settles dates with two
+    readings, ``by`` and ``dates`` as in ``dated_table``; ``most_records`` leaves out sheets with more.  Headings and cells
+    of a field table say what they mean, so what there is, is High; such a table has no end times.
     """
-    filled = cells.where("trim(text) <> ''").join(produced.select(*SHEET).distinct(), SHEET, "left_anti")
+    filled = cells.where("trim(text) <> ''")
+    if not by:
+        filled = filled.join(produced.select(*SHEET).distinct(), SHEET, "left_anti")
     heads = layout.groupBy(*SHEET).agg(F.max("header").alias("header"), F.count("*").alias("width"))
     at = [*SHEET, "row_no"]
     rows = filled.join(heads, SHEET).where("row_no > header").groupBy(*at, "width").agg(F.count("*").alias("n")).where("n * 2 >= width")
@@ -328,16 +355,19 @@ def field_table(
     )
     picked = filled.join(records, at, "left_semi").join(fields, [*SHEET, "col"])
     cell = [*at, "col"]
-    dates = user_dates(cell_dates(picked.select(*cell, "text"), cell), cell, answers).withColumnRenamed("date", "date1")
-    rows = picked.join(dates, cell).join(subject, SHEET, "left").withColumn("plain", K.unglue(F.col("text")))
+    dates = user_dates(cell_dates(picked.select(*cell, "text"), cell) if dates is None else dates, cell, answers, by)
+    rows = picked.join(subject, SHEET, "left").withColumn("plain", K.unglue(F.col("text")))
     rows = once(once(rows, {"s": T.time_spans("plain")}), {"p": first_time("s")}).selectExpr(
-        *cell, "concat_ws(' · ', subject, concat(upper(substring(field, 1, 1)), substring(field, 2))) AS title", "date1 AS date", "p"
+        *cell, "concat_ws(' · ', subject, concat(upper(substring(field, 1, 1)), substring(field, 2))) AS title", "p"
     )
-    rows = rows.selectExpr(*cell, "title", "date", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()])
-    rows = rows.selectExpr(*cell, "title", "date", f"{R.lone_time('start', 'end')} AS start_min")
-    return rows.groupBy(*SHEET, "title", "date", "start_min").agg(
+    rows = rows.selectExpr(*cell, "title", *[f"{e} AS {n}" for n, e in T.clock_fields("p").items()]).join(dates, cell)
+    if by:
+        rows = rows.join(produced.select(*SHEET, *by).distinct(), [*SHEET, *by], "left_anti")
+    rows = rows.selectExpr(*cell, *by, "title", "date", f"{R.lone_time('start', 'end')} AS start_min")
+    events = rows.groupBy(*SHEET, *by, "title", "date", "start_min").agg(
         F.min_by(F.expr("concat('field-', row_no, '-', col)"), F.struct("row_no", "col")).alias("entry_id")
     )
+    return with_levels(events.withColumn("end_min", F.lit(None).cast("int")))
 
 
 # ---- sheets with several schedules ----
@@ -465,12 +495,16 @@ def nearest_headings(lines: DataFrame, keys: list[str]) -> DataFrame:
     return last_before(headings(lines), keys, ["line_no"], F.col("heading"), "above")
 
 
+def prose_dates(lines: DataFrame) -> DataFrame:
+    """Dated lines with their first readable date."""
+    dates = written(R.locate_dates(lines, ["doc_id", "line_no"]).where("n_readings > 0"), "dates")
+    rest = ["start", "raw", "n_readings", "proven_order", "stated_weekday", "year", "date1", "date2", "day1", "month1", "day2", "month2"]
+    return dates.groupBy("doc_id", "line_no").agg(F.min_by(F.struct(*rest), "start").alias("d")).select("doc_id", "line_no", "d.*")
+
+
 def prose_anchors(lines: DataFrame) -> DataFrame:
     """Dated lines with their first readable date, settled with the evidence of the whole document."""
-    dates = written(R.locate_dates(lines, ["doc_id", "line_no"]).where("n_readings > 0"), "dates")
-    rest = ["start", "raw", "n_readings", "proven_order", "stated_weekday", "year", "date1", "date2"]
-    first = dates.groupBy("doc_id", "line_no").agg(F.min_by(F.struct(*rest), "start").alias("d")).select("doc_id", "line_no", "d.*")
-    return R.resolve_dates(first, ["doc_id"], ["line_no"])
+    return R.resolve_dates(prose_dates(lines), ["doc_id"], ["line_no"])
 
 
 def prose_titles(lines: DataFrame, anchors: DataFrame, fields: DataFrame) -> DataFrame:
@@ -524,29 +558,33 @@ def line_times(lines: DataFrame, text: str = "text") -> DataFrame:
     ).selectExpr(*at, "s.start_min AS start_min", "e.end_min AS end_min", "s.start_inferred AS inferred")
 
 
-def prose_events(lines: DataFrame) -> DataFrame:
-    """Dated lines of running text as entries: title, date, time, deduplicated per document."""
+def prose_events(lines: DataFrame, answers: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Dated lines of running text as entries: title, date, time, and the kind of the document; deduplicated per document.
+
+    ``answers`` (doc_id, user_order, assumed_year) and ``by`` as in ``resolve_dates``: lines are read once, entries carry ``by``.
+    """
     at = ["doc_id", "line_no"]
-    anchors = written(prose_anchors(lines), "anchors")
+    first = written(prose_dates(lines), "anchors")
     fields = written(K.labelled_fields(lines), "fields")
-    titles = prose_titles(lines, anchors, fields)
-    dated = anchors.where("resolved IS NOT NULL").select(*at, F.col("resolved").alias("date"))
-    single = anchors.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
+    titles = prose_titles(lines, first, fields)
+    resolved = R.resolve_dates(first, ["doc_id"], ["line_no"], answers=answers, by=by)
+    dated = resolved.where("resolved IS NOT NULL").select(*at, *by, F.col("resolved").alias("date"))
+    single = first.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
     first_time = fields.where("role = 'Time'").groupBy("doc_id").agg(F.min_by(F.struct("line_no", "value"), "line_no").alias("f"))
     borrowed = line_times(first_time.join(single, "doc_id", "left_semi").select("doc_id", "f.*"), "value").selectExpr(
         "doc_id", "start_min AS borrowed"
     )
     own = line_times(lines).withColumn("timed", F.lit(True))
-    rows = dated.join(titles, at).join(own, at, "left").join(borrowed, "doc_id", "left")
+    rows = titles.join(own, at, "left").join(borrowed, "doc_id", "left").join(dated, at)
     # a line that has a time keeps it, also one that stays open
     rows = rows.selectExpr(
-        *at, "title", "origin", "date", "IF(timed, start_min, borrowed) AS start_min", "end_min",
+        *at, *by, "title", "origin", "date", "IF(timed, start_min, borrowed) AS start_min", "end_min",
         "IF(origin = 'heading', concat('prose-', line_no), title) AS same", "NOT coalesce(timed, false) OR inferred AS derived",
     )
-    kept = rows.groupBy("doc_id", "same", "date", "start_min").agg(
+    kept = rows.groupBy("doc_id", *by, "same", "date", "start_min").agg(
         F.min_by(F.struct("line_no", "title", "origin", "end_min", "derived"), "line_no").alias("e")
     )
-    entries = kept.select("doc_id", "date", "start_min", "e.*")
+    entries = kept.select("doc_id", *by, "date", "start_min", "e.*").join(K.document_kind(lines, ["doc_id"]), "doc_id")
     # a label or a heading lends its name, another line its time: true, but put together by us
     return with_levels(
         entries, title="IF(origin IN ('label', 'heading'), 'Medium', 'High')", start="IF(derived, 'Medium', 'High')"
@@ -574,7 +612,7 @@ def fallback(weekly: DataFrame, dated: DataFrame, prose: DataFrame, plain: DataF
         return rows.selectExpr("doc_id", f"{rank} AS rank", f"{entry_id} AS entry_id", f"{kind} AS kind", *FOUND, *FOUND_LEVELS)
 
     tables = shaped(weekly, 1, "entry_id", "kind").unionByName(shaped(dated, 2, "entry_id", "'Event'"))
-    text = shaped(prose, 3, "concat('prose-', line_no)", "'Event'")
+    text = shaped(prose, 3, "concat('prose-', line_no)", "kind")
     ranked = written(tables.join(plain, "doc_id", "left_anti").unionByName(text), "readings")
     best = written(ranked.groupBy("doc_id").agg(F.min("rank").alias("rank")), "best-readings")
     return ranked.join(best, ["doc_id", "rank"]).selectExpr(
@@ -608,3 +646,50 @@ def which_schedule(groups: DataFrame, answers: DataFrame) -> DataFrame:
         "doc_id", "coalesce(offers, 0) AS offers", "selected IS NULL AND coalesce(offers, 0) > 1 AS asks",
         "coalesce(selected, IF(offers = 1, only, NULL)) AS builds",
     )
+
+
+# ---- answers ----
+
+
+def answer_choices(asks: DataFrame, years: list[int]) -> DataFrame:
+    """Every combination of answers to what a document asks, and no answer at all.
+
+    ``asks``: doc_id, asks_order, asks_year.  Gives doc_id, user_order, assumed_year and ``answer``, which names the combination.
+    """
+    orders = "IF(asks_order, array(NULL, 'DayFirst', 'MonthFirst'), array(CAST(NULL AS STRING)))"
+    given = f"IF(asks_year, array(NULL, {', '.join(map(str, years))}), array(CAST(NULL AS INT)))"
+    out = asks.selectExpr("doc_id", f"explode({orders}) AS user_order", f"{given} AS given")
+    out = out.selectExpr("doc_id", "user_order", "explode(given) AS assumed_year")
+    return out.withColumn("answer", F.expr("concat(coalesce(user_order, 'any'), '/', coalesce(CAST(assumed_year AS STRING), 'any'))"))
+
+
+def answered_readings(cells: DataFrame, layout: DataFrame, lines: DataFrame, years: list[int]) -> tuple[DataFrame, DataFrame]:
+    """What dated tables and prose of a document ask about dates, and its entries under every combination of answers.
+
+    Dates are read once; the answer is a key of the entries (``answer``), so all combinations are settled in one pass.  Under each the
+    document gets one reading: table rows, else table fields, else prose.  Second result: doc_id, asks_order, asks_year.
+    """
+    found = written(table_dates(cells, layout), "table-dates")
+    first = R.resolve_dates(prose_dates(lines), ["doc_id"], ["line_no"])
+    asked = found.selectExpr("doc_id", "n_readings = 2 AND (date1 IS NOT NULL AND date2 IS NOT NULL OR year IS NULL) AS o", "year IS NULL AS y").unionByName(
+        first.selectExpr("doc_id", "asks <=> 'Order' AS o", "asks <=> 'Year' AS y")
+    )
+    asks = written(asked.groupBy("doc_id").agg(F.bool_or("o").alias("asks_order"), F.bool_or("y").alias("asks_year")), "asks")
+    answers = written(answer_choices(asks, years), "answers")
+    by = ("answer",)
+    rows = written(dated_table(cells, layout, answers, by, found), "answered-rows")
+    fields = field_table(cells, layout, rows, answers, by=by, dates=found)
+    shape = ["doc_id", "answer", "entry_id", "kind", "title", "date", "start_min", "end_min", "location", *[f"{f}_level" for f in ("title", "date", "start", "end", "location")]]
+
+    def shaped(entries: DataFrame, rank: int, **named: str) -> DataFrame:
+        for name, sql in named.items():
+            entries = entries.withColumn(name, F.expr(sql))
+        return entries.select(*shape, F.lit(rank).alias("rank"))
+
+    nowhere = {"location": "CAST(NULL AS STRING)", "location_level": "'Missing'"}
+    every = shaped(rows, 1, kind="'Event'").unionByName(shaped(fields, 1, kind="'Event'", **nowhere)).unionByName(
+        shaped(prose_events(lines, answers, by), 2, entry_id="concat('prose-', line_no)", **nowhere)
+    )
+    every = written(every, "answered")
+    best = every.groupBy("doc_id", "answer").agg(F.min("rank").alias("rank"))
+    return every.join(best, ["doc_id", "answer", "rank"]).withColumns({"weekday": F.lit(None).cast("int"), "weekday_level": F.lit("Missing")}), asks

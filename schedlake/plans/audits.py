@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from schedlake.operators import candidates as A
 from schedlake.operators import quality as Q
-from schedlake.operators import resolve as R
-from schedlake.plans import resolution, review
+from schedlake.plans import review, tables
 from schedlake.plans.registry import query
 from schedlake.session import written
 from schedlake.sources.rendered import duck, rendered
@@ -126,10 +126,17 @@ def golden_diff(spark, sf_dir):
 
 @query(
     "answerability",
-    f"""WITH RECURSIVE {resolution.RESOLVED} SELECT doc_id, count(*) AS open_rows, count(d1) = count(*) OR count(d2) = count(*) AS answerable
-    FROM res WHERE n_readings = 2 AND resolved IS NULL GROUP BY doc_id""",
+    f"""WITH RECURSIVE {tables.ANSWERED}, ag AS (SELECT *, answer || '/' || doc_id || '/' || entry_id AS eid, answer AS group_id, NULL::INT AS weekday, 'Missing' AS weekday_level FROM ae),
+    {review.gate_sql('SELECT * EXCLUDE (entry_id), eid AS entry_id FROM ag', duck('terms'))},
+    per AS (SELECT doc_id, group_id AS answer, count(*) AS candidates, min(start_date) AS lo, max(start_date) AS hi FROM cand GROUP BY ALL)
+    SELECT aq.doc_id, concat_ws('+', CASE WHEN asks_order THEN 'Order' END, CASE WHEN asks_year THEN 'Year' END) AS asks, answer, candidates, CAST(lo AS VARCHAR) AS first_start, CAST(hi AS VARCHAR) AS last_start
+    FROM aq LEFT JOIN per USING (doc_id) WHERE (asks_order OR asks_year) AND aq.doc_id NOT IN (SELECT doc_id FROM per WHERE answer = 'any/any')""",
 )
 def answerability(spark, sf_dir):
-    dates = written(resolution.notice_dates(spark, sf_dir), "dates")
-    resolved = R.resolve_dates(dates, ["doc_id"], ["line_no", "start"], resolution.notice_bucket())
-    return Q.answerability(resolved.where("n_readings = 2 AND resolved IS NULL"))
+    """Documents that ask for a date order or a year and give nothing until they are told: what each answer leads to."""
+    entries, asks = tables.answered(spark, sf_dir)
+    entries = entries.withColumns({"entry_id": F.expr("concat(answer, '/', doc_id, '/', entry_id)"), "group_id": F.col("answer")})
+    gated = written(A.gate(entries, rendered(spark, sf_dir, "terms")), "answered-gate")
+    return Q.answerability(gated, asks).selectExpr(
+        "doc_id", "asks", "answer", "candidates", "CAST(first_start AS STRING) AS first_start", "CAST(last_start AS STRING) AS last_start"
+    )

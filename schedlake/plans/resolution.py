@@ -71,6 +71,20 @@ def date_resolution(spark, sf_dir):
     return out.selectExpr("doc_id", "line_no", "raw", "evidence", "CAST(resolved AS STRING) AS resolved")
 
 
+@query(
+    "date_questions",
+    f"""WITH RECURSIVE {RESOLVED.replace(duck('notices'), duck('date_lines'))} SELECT DISTINCT doc_id, CASE WHEN d1 IS NULL THEN 'Year' ELSE 'Order' END AS asks, raw,
+      CASE WHEN d1 IS NOT NULL THEN CAST(d1 AS VARCHAR) END AS day_first, CASE WHEN d1 IS NOT NULL THEN CAST(d2 AS VARCHAR) END AS month_first
+    FROM res WHERE n_readings > 0 AND (d1 IS NULL OR d2 IS NOT NULL AND resolved IS NULL)""",
+)
+def date_questions(spark, sf_dir):
+    """What documents of mixed dates ask: a year where none is written, the order where nothing proves it."""
+    dates = written(R.locate_dates(rendered(spark, sf_dir, "date_lines"), ["doc_id", "line_no"]), "dates")
+    return R.date_questions(R.resolve_dates(dates, DOC, ORDER), DOC).selectExpr(
+        "doc_id", "asks", "raw", "CAST(day_first AS STRING) AS day_first", "CAST(month_first AS STRING) AS month_first"
+    )
+
+
 # ---- answers applied on a rerun ----
 
 ANSWERS = """SELECT c_custkey AS doc_id, CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN 'DayFirst' WHEN 1 THEN 'MonthFirst' END AS user_order,

@@ -8,6 +8,7 @@ from schedlake.functions import vocabulary as V
 from schedlake.operators import schedules as S
 from schedlake.operators import tokens as K
 from schedlake.plans import checking as C
+from schedlake.plans import tokens
 from schedlake.plans.registry import query
 from schedlake.plans.tokens import LABELLED, NAMES, TITLE_TRIM
 from schedlake.session import written
@@ -288,13 +289,14 @@ def field_rows(order: str) -> str:
       FROM cd JOIN rc USING (doc_id, row_no) JOIN fl USING (doc_id, col) LEFT JOIN sb USING (doc_id) LEFT JOIN ct USING (doc_id, row_no, col))"""
 
 
-FIELD_OUT = "SELECT doc_id, title, CAST(date AS VARCHAR) AS date, start_min, min_by('field-' || row_no || '-' || col, row(row_no, col)) AS entry_id FROM ev WHERE date IS NOT NULL GROUP BY ALL"
+FIELD_LEVELS = "'High' AS title_level, 'High' AS date_level, CASE WHEN start_min IS NULL THEN 'Missing' ELSE 'High' END AS start_level, 'Missing' AS end_level"
+FIELD_OUT = f"SELECT doc_id, title, CAST(date AS VARCHAR) AS date, start_min, min_by('field-' || row_no || '-' || col, row(row_no, col)) AS entry_id, {FIELD_LEVELS} FROM ev WHERE date IS NOT NULL GROUP BY ALL"
 
 
 def field_events(spark, sf_dir, answers=None):
     cells, layout, produced = dated(spark, sf_dir, answers)
     return S.field_table(cells, layout, produced, answers).selectExpr(
-        "doc_id", "title", "CAST(date AS STRING) AS date", "start_min", "entry_id"
+        "doc_id", "title", "CAST(date AS STRING) AS date", "start_min", "entry_id", "title_level", "date_level", "start_level", "end_level"
     )
 
 
@@ -410,7 +412,7 @@ def named(expr: str) -> str:
 
 
 TITLES = f"""{HEADS},
-    fst AS (SELECT {AT}, st, raw, n_readings, proven_order, {C.as_date('day1', 'month1', 'year')} AS d1, {C.as_date('day2', 'month2', 'year')} AS d2 FROM t_read WHERE n_readings > 0 QUALIFY row_number() OVER (PARTITION BY {AT} ORDER BY st) = 1),
+    fst AS (SELECT {AT}, st, raw, n_readings, proven_order, day1, month1, day2, month2, year, {C.as_date('day1', 'month1', 'year')} AS d1, {C.as_date('day2', 'month2', 'year')} AS d2 FROM t_read WHERE n_readings > 0 QUALIFY row_number() OVER (PARTITION BY {AT} ORDER BY st) = 1),
     fld AS ({LABELLED}), sj AS (SELECT doc_id, min_by(value, line_no) AS subject FROM fld WHERE role = 'Subject' GROUP BY 1),
     sk AS (SELECT doc_id, x AS subject FROM (SELECT doc_id, subject AS x FROM sj) WHERE {NAMES}),
     {C.time_tokens('src', AT)},
@@ -439,18 +441,19 @@ PROSE = f"""{TITLES}, sib AS (SELECT doc_id, any_value(proven_order) AS o FROM f
     sg AS (SELECT doc_id FROM fst GROUP BY 1 HAVING count(*) = 1), tf AS (SELECT doc_id, min(line_no) AS line_no FROM fld WHERE role = 'Time' GROUP BY 1),
     bw AS (SELECT tf.doc_id, start_min AS borrowed FROM tf JOIN sg USING (doc_id) JOIN lt USING ({AT})),
     pe AS (SELECT rs.doc_id, rs.line_no, title, origin, date, CASE WHEN lt.doc_id IS NULL THEN borrowed ELSE start_min END AS start_min, end_min, lt.doc_id IS NULL OR inf AS start_inf FROM rs JOIN ttl USING ({AT}) LEFT JOIN lt USING ({AT}) LEFT JOIN bw USING (doc_id) WHERE date IS NOT NULL AND title IS NOT NULL),
-    pd AS (SELECT * FROM pe QUALIFY row_number() OVER (PARTITION BY doc_id, CASE WHEN origin = 'heading' THEN 'prose-' || line_no ELSE title END, date, start_min ORDER BY line_no) = 1)"""
+    pk AS ({tokens.KINDS}),
+    pd AS (SELECT pe.*, kind FROM pe JOIN pk USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id, CASE WHEN origin = 'heading' THEN 'prose-' || line_no ELSE title END, date, start_min ORDER BY line_no) = 1)"""
 
 
 PROSE_FIELDS = {"title": "title", "date": "date", "start": "start_min", "end": "end_min"}
 PROSE_LEVELS = levels(PROSE_FIELDS, start=INFERRED, title="CASE WHEN origin IN ('label', 'heading') THEN 'Medium' ELSE 'High' END")
 
 
-@query("prose_events", f"WITH RECURSIVE {PROSE} SELECT {AT}, title, origin, CAST(date AS VARCHAR) AS date, start_min, end_min, {PROSE_LEVELS} FROM pd")
+@query("prose_events", f"WITH RECURSIVE {PROSE} SELECT {AT}, kind, title, origin, CAST(date AS VARCHAR) AS date, start_min, end_min, {PROSE_LEVELS} FROM pd")
 def prose_events(spark, sf_dir):
     lines = written(rendered(spark, sf_dir, "labelled"), "lines")
     return S.prose_events(lines).selectExpr(
-        "doc_id", "line_no", "title", "origin", "CAST(date AS STRING) AS date", "start_min", "end_min", *[f"{f}_level" for f in PROSE_FIELDS]
+        "doc_id", "line_no", "kind", "title", "origin", "CAST(date AS STRING) AS date", "start_min", "end_min", *[f"{f}_level" for f in PROSE_FIELDS]
     )
 
 
@@ -463,14 +466,18 @@ CHOSEN = f"""r AS (SELECT doc_id, 1 AS k, entry_id, kind, title, weekday, CAST(N
         FROM (WITH RECURSIVE {ORDINARY} SELECT ded.* FROM ded JOIN pls USING (doc_id)) a WHERE NOT {PLAIN_TEXT}
       UNION ALL SELECT doc_id, 2, entry_id, 'Event', title, NULL, date, start_min, end_min, location, title_level, 'Missing', date_level, start_level, end_level, location_level
         FROM (WITH RECURSIVE {HEADER}, {dated_rows('NULL')} SELECT *, {DATED_LEVELS} FROM dt) b WHERE NOT {PLAIN_TEXT}
-      UNION ALL SELECT doc_id, 3, 'prose-' || line_no, 'Event', title, NULL, date, start_min, end_min, NULL, title_level, 'Missing', date_level, start_level, end_level, 'Missing'
+      UNION ALL SELECT doc_id, 2, entry_id, 'Event', title, NULL, CAST(date AS DATE), start_min, NULL, NULL, title_level, 'Missing', date_level, start_level, end_level, 'Missing'
+        FROM (WITH RECURSIVE {HEADER}, {dated_rows('NULL')}, {field_rows('NULL')} {FIELD_OUT}) d WHERE NOT {PLAIN_TEXT}
+      UNION ALL SELECT doc_id, 3, 'prose-' || line_no, kind, title, NULL, date, start_min, end_min, NULL, title_level, 'Missing', date_level, start_level, end_level, 'Missing'
         FROM (WITH RECURSIVE {PROSE} SELECT *, {PROSE_LEVELS} FROM pd) c),
     chosen AS (SELECT * EXCLUDE (k), split_part('weekly,dated,prose', ',', k) AS reading FROM r QUALIFY k = min(k) OVER (PARTITION BY doc_id))"""
 
 
 def chosen(spark, sf_dir):
     weekly = written(S.weekly_schedules(features(spark, sf_dir)), "weekly")
-    found = dated(spark, sf_dir)[2]
+    cells, layout, rows = dated(spark, sf_dir)
+    fields = S.field_table(cells, layout, rows).withColumns({"location": F.lit(None).cast("string"), "location_level": F.lit("Missing")})
+    found = written(rows.drop("row_no").unionByName(fields), "dated-and-fields")
     lines = written(rendered(spark, sf_dir, "labelled"), "lines")
     plain = lines.where(PLAIN_TEXT).select("doc_id").distinct()
     for rows in (weekly, found):
@@ -485,6 +492,46 @@ def schedule_fallback(spark, sf_dir):
     )
 
 
+# ---- answers ----
+
+YEARS = [2026, 2027]
+# letters are documents of their own here, numbered apart from the tables
+LETTERS = "SELECT doc_id + 1000000000 AS doc_id, line_no, text FROM ({0}) l"
+ANSWERED = f"""{PROSE.replace(duck('labelled'), LETTERS.format(duck('labelled')))}, {HEADER}, {dated_rows('NULL')}, {field_rows('NULL')},
+    td AS MATERIALIZED (SELECT doc_id, row_no, col, n_readings, day1, month1, day2, month2, year, {C.as_date('day1', 'month1', 'year')} AS d1, {C.as_date('day2', 'month2', 'year')} AS d2
+      FROM z_read JOIN (SELECT doc_id, col FROM ro WHERE role = 'Date') USING (doc_id, col) WHERE n_readings > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, row_no, col ORDER BY st) = 1),
+    aq AS MATERIALIZED (SELECT doc_id, bool_or(o) AS asks_order, bool_or(y) AS asks_year FROM (
+        SELECT doc_id, n_readings = 2 AND (year IS NULL OR d1 IS NOT NULL AND d2 IS NOT NULL) AS o, year IS NULL AS y FROM td
+        UNION ALL SELECT doc_id, d1 IS NOT NULL AND d2 IS NOT NULL AND o IS NULL, year IS NULL FROM fst LEFT JOIN sib USING (doc_id)) GROUP BY 1),
+    an AS MATERIALIZED (SELECT doc_id, uo, ay, coalesce(uo, 'any') || '/' || coalesce(CAST(ay AS VARCHAR), 'any') AS answer
+      FROM aq, (VALUES (NULL), ('DayFirst'), ('MonthFirst')) o(uo), (VALUES (NULL), {', '.join(f'({y})' for y in YEARS)}) y(ay) WHERE (uo IS NULL OR asks_order) AND (ay IS NULL OR asks_year)),
+    ad AS MATERIALIZED (SELECT td.doc_id, row_no, col, answer, CASE WHEN n_readings = 1 OR uo = 'DayFirst' THEN {C.as_date('day1', 'month1', 'coalesce(year, ay)')}
+        WHEN uo = 'MonthFirst' THEN {C.as_date('day2', 'month2', 'coalesce(year, ay)')} END AS date FROM td JOIN an USING (doc_id)),
+    ar AS MATERIALIZED (SELECT dj.doc_id, ad.answer, 'dated-' || dj.row_no AS entry_id, 'Event' AS kind, title, ad.date, {lone('start', 'end', W_START)} AS start_min, {lone('end', 'start', W_END)} AS end_min, location, {W_START} IS NULL AS start_inf
+      FROM dj JOIN ad USING (doc_id, row_no) JOIN dcol ON dcol.doc_id = dj.doc_id AND ad.col = date_col LEFT JOIN ct ON ct.doc_id = dj.doc_id AND ct.row_no = dj.row_no AND ct.col = tcol
+      WHERE ad.date IS NOT NULL AND length(title) >= 3 AND {C.letters('title')} >= 3 AND {C.letters('title')} * 2 >= {C.solid('title')} AND {C.header_role('title')} = 'Subject'),
+    af AS (SELECT doc_id, answer, min_by('field-' || row_no || '-' || col, row(row_no, col)) AS entry_id, title, date, start_min FROM (
+        SELECT ad.doc_id, ad.answer, ad.row_no, ad.col, CASE WHEN subject IS NULL THEN '' ELSE subject || ' · ' END || upper(substr(field, 1, 1)) || substr(field, 2) AS title, date, {lone('start', 'end', W_START)} AS start_min
+        FROM ad JOIN (SELECT doc_id, row_no FROM dc JOIN hd USING (doc_id) JOIN nw USING (doc_id) WHERE row_no > header GROUP BY doc_id, row_no, width HAVING count(*) * 2 >= width) USING (doc_id, row_no)
+        JOIN fl USING (doc_id, col) LEFT JOIN sb USING (doc_id) LEFT JOIN ct USING (doc_id, row_no, col) WHERE date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ar WHERE ar.doc_id = ad.doc_id AND ar.answer = ad.answer)) GROUP BY doc_id, answer, title, date, start_min),
+    ap AS (SELECT f.doc_id, f.line_no, answer, CASE WHEN e1 IS NULL OR e2 IS NULL THEN coalesce(e1, e2) WHEN coalesce(uo, o) = 'DayFirst' THEN e1 WHEN coalesce(uo, o) = 'MonthFirst' THEN e2 END AS date
+      FROM (SELECT fst.*, uo, answer, {C.as_date('day1', 'month1', 'coalesce(year, ay)')} AS e1, {C.as_date('day2', 'month2', 'coalesce(year, ay)')} AS e2 FROM fst JOIN an USING (doc_id)) f LEFT JOIN sib USING (doc_id)),
+    ax AS (SELECT ap.doc_id, answer, line_no, kind, title, origin, date, CASE WHEN lt.doc_id IS NULL THEN borrowed ELSE start_min END AS start_min, end_min, lt.doc_id IS NULL OR inf AS start_inf
+      FROM ap JOIN ttl USING ({AT}) JOIN pk USING (doc_id) LEFT JOIN lt USING ({AT}) LEFT JOIN bw USING (doc_id) WHERE date IS NOT NULL AND title IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY doc_id, answer, CASE WHEN origin = 'heading' THEN 'prose-' || line_no ELSE title END, date, CASE WHEN lt.doc_id IS NULL THEN borrowed ELSE start_min END ORDER BY line_no) = 1),
+    ae AS (SELECT * EXCLUDE (k) FROM (
+        SELECT doc_id, answer, entry_id, kind, title, date, start_min, end_min, location, {DATED_LEVELS}, 1 AS k FROM ar
+        UNION ALL SELECT doc_id, answer, entry_id, 'Event', title, date, start_min, NULL, NULL, 'High', 'High', CASE WHEN start_min IS NULL THEN 'Missing' ELSE 'High' END, 'Missing', 'Missing', 1 FROM af
+        UNION ALL SELECT doc_id, answer, 'prose-' || line_no, kind, title, date, start_min, end_min, NULL, {PROSE_LEVELS}, 'Missing', 2 FROM ax) QUALIFY k = min(k) OVER (PARTITION BY doc_id, answer))"""
+
+
+def answered(spark, sf_dir):
+    """Entries of tables and lines under every answer, and what their documents ask."""
+    cells = written(rendered(spark, sf_dir, "dated_cells"), "cells")
+    lines = written(rendered(spark, sf_dir, "labelled").withColumn("doc_id", F.col("doc_id") + 1_000_000_000), "lines")
+    return S.answered_readings(cells, written(S.dated_layout(cells), "layout"), lines, YEARS)
+
+
 GROUPS = """SELECT o_custkey AS doc_id, 'g' || CAST(o_orderkey AS STRING) AS group_id, o_orderkey AS part, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey % 40 AS INT) END AS page,
     CASE WHEN o_custkey % 5 = 0 THEN 'Plan ' || CAST(o_orderkey AS STRING) ELSE 'Plan ' || o_orderpriority END AS label, CAST(o_orderkey % 4 AS INT) AS size FROM {orders}"""
 

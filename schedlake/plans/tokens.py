@@ -158,13 +158,13 @@ def labelled_fields(spark, sf_dir):
     return K.labelled_fields(rendered(spark, sf_dir, "labelled")).select(*KEYS, "label", "value", "role")
 
 
-@query(
-    "document_kind",
-    f"""SELECT doc_id, CASE min(CASE WHEN {C.any_of('lower(text)', V.TRAVEL_CUES)} THEN 1 WHEN {C.any_of('lower(text)', V.APPOINTMENT_CUES)} THEN 2
+KINDS = f"""SELECT doc_id, CASE min(CASE WHEN {C.any_of('lower(text)', V.TRAVEL_CUES)} THEN 1 WHEN {C.any_of('lower(text)', V.APPOINTMENT_CUES)} THEN 2
         WHEN {C.any_of('lower(text)', V.DEADLINE_CUES)} THEN 3 WHEN {C.any_of('lower(text)', V.EVENT_CUES)} THEN 4 ELSE 5 END)
         WHEN 1 THEN 'Travel' WHEN 2 THEN 'Appointment' WHEN 3 THEN 'Deadline' WHEN 4 THEN 'Event' ELSE 'Unknown' END AS kind
-    FROM (SELECT doc_id, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) || ' ', '') || text AS text FROM ({duck('labelled')}) l) l GROUP BY doc_id""",
-)
+    FROM (SELECT doc_id, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY line_no) || ' ', '') || text AS text FROM ({duck('labelled')}) l) l GROUP BY doc_id"""
+
+
+@query("document_kind", KINDS)
 def document_kind(spark, sf_dir):
     return K.document_kind(rendered(spark, sf_dir, "labelled"), ["doc_id"])
 

@@ -248,7 +248,7 @@ def dated_cells(q) -> str:
           FROM (SELECT o_custkey, {q.each('0', '3')} AS part FROM ({order_dates(q)}) o GROUP BY o_custkey) h
         UNION ALL SELECT o_custkey, o_orderkey + 3, part, CASE part
               WHEN 0 THEN CASE WHEN o_orderkey % 13 = 0 THEN 'INR ' || {s('o_orderkey')} || '9' ELSE 'Order ' || o_orderpriority END
-              WHEN 1 THEN CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN {s('d')} WHEN 1 THEN {s('dd')} || ' ' || {month} || ' ' || {s('yy')} ELSE {dmy} END
+              WHEN 1 THEN CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN {s('d')} WHEN 1 THEN {s('dd')} || ' ' || {month} || CASE WHEN o_custkey % 16 = 9 THEN '' ELSE ' ' || {s('yy')} END ELSE {dmy} END
               WHEN 2 THEN CASE WHEN o_orderkey % 5 = 0 THEN {clock} || '-' || {pad('dd % 9 + 10')} || ':00' ELSE {clock} END
               ELSE 'Hall ' || {s('o_custkey % 30')} END
           FROM (SELECT o.*, {q.each('0', '3')} AS part FROM ({order_dates(q)}) o WHERE o_custkey % 4 < 3) b
