@@ -11,6 +11,7 @@ linked is counted corpus-wide; every document then sums the counts of its links.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import os
@@ -28,8 +29,9 @@ from schedlake.session import written
 
 MARKER = "▁"
 CUT = re.compile(r"(?<=\S) (?=\S)")
+BESIDE = re.compile(r"\s | \s|^ | $")
 LARGE = 4096  # pairs of tokens in a group from which on distinct ids are paired instead
-AT_ONCE = 20_000  # pieces encoded in one call
+AT_ONCE, TOGETHER = 20_000, 256  # pieces encoded in one call, and in one text of it
 CHUNK = "docs array<struct<id:{kind},n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string>>, pieces binary, lengths binary, a binary, b binary, a_groups binary, b_groups binary, tokens binary"
 
 
@@ -113,43 +115,81 @@ class Aligner:
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
         self.chars = self.b.encode("é", return_type="proto").pieces[-1].end == 1  # spans of the second count characters
 
-    def tokens(self, texts: list[str]) -> tuple[Flat, np.ndarray]:
-        """Tokens and groups of the texts whose tokens' bytes are those of a space and the text, none of the others; which texts those are."""
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text; where white space stands beside a space, that space does not cut."""
+        if self.cut is None:
+            return [text]
+        return self.cut.split(text) if BESIDE.search(text) else text.split(" ")
+
+    def tokens(self, pieces: list[str]) -> tuple[Flat, np.ndarray]:
+        """Tokens and groups of the pieces whose tokens' bytes are those of a space and the piece, none of the others; which pieces those are."""
+        gc.disable()  # many small objects, none in cycles
+        try:
+            if self.cut is not None:
+                found = self._aligned(self._runs(pieces), pieces)
+                if found is not None:
+                    return found, np.ones(len(pieces), bool)
+            each = [self._aligned([p], [p]) for p in pieces]
+        finally:
+            gc.enable()
+        none = Flat(*(np.empty(0, np.int64) for _ in range(4)), np.zeros((1, 3), np.int64))
+        return Flat.join([none if x is None else x for x in each]), np.array([x is not None for x in each], bool)
+
+    @staticmethod
+    def _runs(pieces: list[str]) -> list[str]:
+        """Pieces joined by single spaces, some hundred to a text: both tokenizers cut there.  Pieces with white space at an end stay alone."""
+        runs, run = [], []
+        for piece in pieces:
+            if piece[:1].isspace() or piece[-1:].isspace() or len(run) == TOGETHER:
+                if run:
+                    runs.append(" ".join(run))
+                    run = []
+                if piece[:1].isspace() or piece[-1:].isspace():
+                    runs.append(piece)
+                    continue
+            run.append(piece)
+        if run:
+            runs.append(" ".join(run))
+        return runs
+
+    def _aligned(self, texts: list[str], pieces: list[str]) -> Flat | None:
+        """Tokens and groups of the pieces, which one after the other make up the texts; None if a token's bytes differ or a piece has no end of its own."""
         encoded = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        spans = [[(p.id, p.begin, p.end) for p in x.pieces] for x in self.b.encode(texts, return_type="proto", num_threads=1)]
-        ids_a = [e.ids for e in encoded]
-        ids_b = [[p[0] for p in s] for s in spans]
+        protos = self.b.encode(texts, return_type="proto", num_threads=1)
+        ids_a, ids_b = [e.ids for e in encoded], self.b.encode(texts, num_threads=1)
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         full = "".join([" " + t for t in texts])
-        good = np.ones(len(texts), bool)
-        if not all(b"".join([side[i] for ids in of for i in ids]) == full.encode() for side, of in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))):
-            good = np.array([
-                all(b"".join([side[i] for i in of[k]]) == (" " + t).encode() for side, of in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))) for k, t in enumerate(texts)
-            ])
-            some, _ = self.tokens([t for t, ok in zip(texts, good, strict=True) if ok]) if good.any() else (Flat.join([]), None)
-            counts = np.zeros((len(texts), 3), np.int64)
-            counts[good] = some.tokens
-            return Flat(some.a, some.b, some.a_groups, some.b_groups, counts), good
-        # bytes of every character, and where the texts begin, in characters and in bytes
+        raw = full.encode()
+        if not all(b"".join([side[i] for i in ids.tolist()]) == raw for side, ids in ((self.a_bytes, flat_a), (self.b_bytes, flat_b))):
+            return None
+        # bytes of every character, and where the texts begin, in characters
         point = np.frombuffer(full.encode("utf-32-le"), np.uint32)
         byte_at = np.concatenate([[0], np.cumsum(1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000))])
         begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        n_a, n_b = (np.array([len(ids) for ids in of], np.int64) for of in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(of), np.int64) for of in (ids_a, ids_b))
         # first: a token that ends where the next one of its text has not begun ends at a character
-        offsets = np.array([o for e in encoded for o in e.offsets], np.int64).reshape(-1, 2)
+        offsets = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(e.offsets for e in encoded)), np.int64).reshape(-1, 2)
         last = np.zeros(len(flat_a), bool)
         last[np.cumsum(n_a)[n_a > 0] - 1] = True
         sure = last | (np.r_[offsets[1:, 0], 0] >= offsets[:, 1])
         ends_a = np.where(sure, byte_at[np.repeat(begin[:-1], n_a) + offsets[:, 1]], np.cumsum(self.sizes[0][flat_a]))
         # second: an empty span says that the bytes of a character, or the leading space, go on
-        flat = np.array([p[1:] for s in spans for p in s], np.int64).reshape(-1, 2)
-        first = np.repeat(begin[:-1], n_b)
-        coarse = byte_at[first + 1 + np.where(self.chars, flat[:, 1], 0)] + np.where(self.chars, 0, flat[:, 1])
-        ends_b = np.where(flat[:, 1] > flat[:, 0], coarse, np.cumsum(self.sizes[1][flat_b]))
-        at = np.searchsorted(ends_b, ends_a)
-        cuts = ends_a[ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a]
-        groups = np.searchsorted(cuts, byte_at[begin[1:]], "right") - np.searchsorted(cuts, byte_at[begin[:-1]], "right")
-        return Flat(flat_a, flat_b, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), np.stack([n_a, n_b, groups], axis=1)), good
+        stop = np.fromiter((p.end for x in protos for p in x.pieces), np.int64)
+        first = np.cumsum(n_b)[n_b > 0] - n_b[n_b > 0]
+        before = np.r_[0, stop[:-1]]
+        before[first] = 0
+        start = np.repeat(begin[:-1], n_b)
+        coarse = byte_at[start + 1 + np.where(self.chars, stop, 0)] + np.where(self.chars, 0, stop)
+        ends_b = np.where(stop > before, coarse, np.cumsum(self.sizes[1][flat_b]))
+        at = np.minimum(np.searchsorted(ends_b, ends_a), max(len(ends_b) - 1, 0))
+        cuts = ends_a[ends_b[at] == ends_a] if len(ends_b) else ends_a[:0]
+        ends = np.cumsum([len(p) + 1 for p in pieces])
+        ends = byte_at[ends]
+        after = np.searchsorted(cuts, ends, "right")
+        if not len(cuts) or (cuts[np.maximum(after - 1, 0)] != ends).any():
+            return None
+        counts = [np.bincount(np.searchsorted(ends, x), minlength=len(pieces)) for x in (ends_a, ends_b)]
+        return Flat(flat_a, flat_b, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), np.stack([*counts, np.diff(after, prepend=0)], axis=1))
 
     def words_of(self, flat: Flat) -> list[str]:
         """Groups of every piece as text, each group closed by a semicolon."""
@@ -179,7 +219,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32).astype(np.int64)
 
 
-def aligned_chunks(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 24) -> DataFrame:
+def aligned_chunks(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 23) -> DataFrame:
     """A written table with a row for each run of documents of some ``chunk_chars`` characters: their counts and digests, and the distinct pieces."""
     spark = docs.sparkSession
     schema = CHUNK.format(kind=dict(docs.dtypes)[id_col])
@@ -272,7 +312,7 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
     return written(sums.select("pair", "n", (F.col("n") == most).alias("best")), "pair-best")
 
 
-def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", slice_pairs: int = 4_000_000, chunk_chars: int = 1 << 24) -> DataFrame:
+def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", slice_pairs: int = 4_000_000, chunk_chars: int = 1 << 23) -> DataFrame:
     """Per row: the id, tokens of both sides, groups, links, links that are their first id's best, the sum of pair counts over links, and a digest.
 
     Texts that are null or empty, or whose tokens' bytes on either side are not those of a space and the text (markers in it, say), have zeros and an
