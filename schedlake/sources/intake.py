@@ -177,8 +177,3 @@ def content_identity(files: DataFrame) -> DataFrame:
     return files.withColumn("hash", F.expr("substring(sha2(content, 256), 1, 16)")).withColumn(
         "identity", F.expr("concat(hash, '/', coalesce(group_id, ''))")
     )
-
-
-def write_results(table: DataFrame, path: str, partition: str, mode: str = "append") -> None:
-    """Result sink: Parquet partitioned by a low-cardinality column."""
-    table.write.mode(mode).partitionBy(partition).parquet(path)

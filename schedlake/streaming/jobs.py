@@ -1,17 +1,21 @@
 """Streaming jobs: reminders that fire once, re-planning, re-import detection, live tables.
 
-Sinks are tables with one partition per micro-batch, overwritten whole, so a
-batch that runs again after a failure leaves the same rows behind.
+Sinks are keyed ledgers or tables with one partition per micro-batch, overwritten whole, so a batch that runs again after a
+failure leaves the same rows behind.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-HOUR_MS = 3_600_000
+from schedlake.sources.ledger import Ledger
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BITMAP = 32768  # bits of one bitmap of the engine
 
 
 def _batch_path(path: str, batch_id: int) -> str:
@@ -25,100 +29,160 @@ def _earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> Data
     )
 
 
+# ---- reminders ----
+
+
+class Reminder(StatefulProcessor):
+    """One reminder: its due time until the clock reaches it, then the mark that it has fired."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("reminder", "due_ms LONG, fired BOOLEAN")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        due = min((r.due_ms for r in rows if r.due_ms is not None), default=None)
+        if due is not None and due > timerValues.getCurrentWatermarkInMs():  # what has passed is never planned
+            planned, fired = self.state.get() if self.state.exists() else (None, False)
+            if not fired and (planned is None or due < planned):
+                if planned is not None:
+                    self.handle.deleteTimer(planned)
+                self.handle.registerTimer(due)
+                self.state.update((due, False))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due, fired = self.state.get()
+        if not fired and expiredTimerInfo.getExpiryTimeInMs() == due:
+            self.state.update((due, True))
+            yield Row(id=key[0], due_ms=due)
+
+    def close(self) -> None:
+        pass
+
+
 def fire_reminders(stream: DataFrame, folder: str) -> Callable[[], None]:
-    """Fires each reminder once, at the first batch whose clock has reached it.
+    """Fires each reminder once, when the clock has reached it; rows (id, due_ms) lie in ``folder``/out.
 
-    ``stream``: id, due_ms, seen_ms (when it arrived; its maximum is the clock).
-    Pending reminders lie in hourly partitions of their due time, so a batch
-    reads only the hours its clock moved over.  What was due before the clock
-    when it arrived is never planned.
+    ``stream``: id, due_ms, seen_ms (when it arrived; its maximum is the clock).  State is kept by reminder, with a timer at its
+    due time.  Of a reminder that comes several times the earliest time counts, until it has fired; what was due
+    before the clock when it arrived is never planned.  Every row comes as two: the plan has no event time, so a reminder that
+    arrives late is not dropped as late data, and the tick moves the clock.
     """
-    spark = stream.sparkSession
-    pending, clocks, fired = f"{folder}/pending", f"{folder}/clocks", f"{folder}/fired"
+    plan = F.struct(F.col("due_ms"), F.lit(None).cast("timestamp").alias("at"))
+    tick = F.struct(F.lit(None).cast("long").alias("due_ms"), F.timestamp_millis("seen_ms").alias("at"))
+    rows = stream.select("id", F.explode(F.array(plan, tick)).alias("r")).select("id", "r.*").withWatermark("at", "0 seconds")
+    fired = rows.groupBy("id").transformWithState(
+        Reminder(), outputStructType="id LONG, due_ms LONG", outputMode="Append", timeMode="EventTime"
+    )
+    return _run(fired, lambda b, i: b.write.mode("overwrite").parquet(_batch_path(f"{folder}/out", i)), folder, state=ROCKS)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("id", "due_ms", "seen_ms", F.expr(f"due_ms div {HOUR_MS}").alias("due_hour"))
-        # of a reminder that comes twice the earlier time, so that a replayed batch leaves the same rows
-        least = rows.groupBy("id").agg(F.min(F.struct("due_ms", "seen_ms", "due_hour")).alias("r")).select("id", "r.*")
-        least.write.mode("overwrite").partitionBy("due_hour").parquet(_batch_path(pending, batch_id))
-        batch.agg(F.max("seen_ms").alias("clock")).write.mode("overwrite").parquet(_batch_path(clocks, batch_id))
-        seen = spark.read.option("basePath", clocks).parquet(clocks).where(F.col("batch") <= batch_id)
-        # One row per finished batch: two scalars, not data.
-        now, before = seen.agg(
-            F.max("clock"), F.coalesce(F.max(F.when(F.col("batch") < batch_id, F.col("clock"))), F.lit(0))
-        ).first()
-        window = spark.read.schema("id BIGINT, due_ms BIGINT, seen_ms BIGINT, batch BIGINT, due_hour BIGINT").option(
-            "basePath", pending
-        ).parquet(pending)
-        due = window.where(
-            F.col("due_hour").between(before // HOUR_MS, now // HOUR_MS)
-            & (F.col("due_ms") > before) & (F.col("due_ms") <= now) & (F.col("batch") <= batch_id)
-        )
-        once = due.groupBy("id").agg(F.min("due_ms").alias("due_ms"))
-        if batch_id > 0:
-            once = once.join(_earlier(spark, fired, batch_id, "id BIGINT, due_ms BIGINT").select("id"), "id", "left_anti")
-        once.write.mode("overwrite").parquet(_batch_path(fired, batch_id))
 
-    return _run(stream, step, folder)
+# ---- plans ----
+
+
+PLAN_ROW = "id STRING, due_ms BIGINT"
 
 
 def replan(stream: DataFrame, plan_at: Callable[[int], DataFrame], folder: str) -> Callable[[], None]:
     """Plans reminders again whenever the clock or zone changed; the newest plan replaces the last.
 
-    ``stream``: now_ms.  Row ids depend on event and due time only, so planning
-    twice changes nothing, and what has passed by then is not planned again.
+    ``stream``: now_ms.  Only what differs from the plan before is written: new rows, and ids that are gone.
     """
+    table = Ledger(stream.sparkSession, f"{folder}/plan", ["id"])
 
     def step(batch: DataFrame, batch_id: int) -> None:
         now = batch.agg(F.max("now_ms")).first()[0]
         if now is not None:
-            plan_at(now).write.mode("overwrite").parquet(_batch_path(f"{folder}/plan", batch_id))
+            table.replace(plan_at(now).select("id", "due_ms"), PLAN_ROW, f"b{batch_id}", batch_id)
 
     return _run(stream, step, folder)
 
 
-def first_imports(stream: DataFrame, delay: str, folder: str) -> Callable[[], None]:
-    """Documents not seen before, by content identity.
+def current_plan(spark: SparkSession, folder: str) -> DataFrame:
+    return Ledger(spark, f"{folder}/plan", ["id"]).read(PLAN_ROW)
+
 
-    Repeats within the watermark are dropped by state; older ones by an anti join with the identities stored by
-    earlier batches, read in the hash ranges the batch holds.
+# ---- documents seen before ----
+
+
+def _bits(rows: DataFrame, bits: int, probes: int) -> DataFrame:
+    """The places each hash has in the Bloom filter of its range."""
+    place = "pmod(xxhash64(hash, probe), {0})".format(bits)
+    places = rows.select("hash", "range", F.explode(F.sequence(F.lit(1), F.lit(probes))).alias("probe")).selectExpr(
+        "hash", "range", "probe", f"CAST({place} AS BIGINT) AS place"
+    )
+    return places.selectExpr("*", f"place div {BITMAP} AS bucket", f"place % {BITMAP} AS bit")
+
+
+def first_imports(stream: DataFrame, folder: str, digits: int = 2, bits: int = 1 << 18, probes: int = 4) -> Callable[[], None]:
+    """Documents not seen before, by content identity; no document is lost however late it comes.
+
+    Identities are stored in ranges (the first ``digits`` hexadecimal digits of the hash) together with a Bloom filter of
+    ``bits`` bits for each range and batch.  A batch asks the filters first; the exact anti-join reads only ranges that may hold one
+    of its hashes.  Full filters let more ranges be read and change nothing else.
     """
     spark = stream.sparkSession
-    recent = stream.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["hash"])
-    known = f"{folder}/out"
+    known, filters = f"{folder}/out", f"{folder}/filters"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["hash"]).withColumn("range", F.substring("hash", 1, 1))
+        rows = batch.select("hash").dropDuplicates(["hash"]).withColumn("range", F.substring("hash", 1, digits))
         if batch_id > 0:
-            ranges = [r[0] for r in rows.select("range").distinct().collect()]  # sixteen at most
-            earlier = _earlier(spark, known, batch_id, "hash STRING, range STRING").where(F.col("range").isin(ranges))
-            rows = rows.join(earlier.select("hash"), "hash", "left_anti")
-        rows.write.mode("overwrite").partitionBy("range").parquet(_batch_path(known, batch_id))
+            stored = _earlier(spark, filters, batch_id, "range STRING, bucket BIGINT, bitmap BINARY")
+            asked = _bits(rows, bits, probes).join(stored, ["range", "bucket"])
+            byte = "conv(hex(substring(bitmap, CAST(bit div 8 + 1 AS INT), 1)), 16, 10)"
+            there = asked.where(f"shiftright(CAST({byte} AS INT), CAST(bit % 8 AS INT)) & 1 = 1")
+            maybe = there.groupBy("hash", "range").agg(F.count_distinct("probe").alias("n")).where(F.col("n") == probes)
+            ranges = [r[0] for r in maybe.select("range").distinct().collect()]  # 16 ** digits at most
+            if ranges:
+                earlier = _earlier(spark, known, batch_id, "hash STRING, range STRING").where(F.col("range").isin(ranges))
+                rows = rows.join(earlier.select("hash"), "hash", "left_anti")
+        path = _batch_path(known, batch_id)
+        rows.write.mode("overwrite").partitionBy("range").parquet(path)
+        new = spark.read.schema("hash STRING, range STRING").parquet(path)
+        bitmaps = _bits(new, bits, probes).groupBy("range", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+        bitmaps.write.mode("overwrite").parquet(_batch_path(filters, batch_id))
 
-    return _run(recent, step, folder)
+    return _run(stream, step, folder)
 
 
-def history(stream: DataFrame) -> DataFrame:
-    """Live counts and newest start per import state."""
-    return stream.groupBy("state").agg(F.count("*").alias("imports"), F.max("started_at").alias("newest"))
+# ---- live tables ----
 
 
-def latest_to(stream: DataFrame, folder: str) -> Callable[[], None]:
-    """Complete-mode output: every batch carries the whole (small) result."""
-    return _run(stream, lambda b, i: b.write.mode("overwrite").parquet(_batch_path(f"{folder}/out", i)), folder, "complete")
+def keep_newest(stream: DataFrame, schema: str, keys: list[str], version: str, folder: str) -> Callable[[], None]:
+    """A live table: of every key the row with the highest ``version``, whatever order rows arrive in.
 
+    A batch writes only keys whose row it changes.
+    """
+    table = Ledger(stream.sparkSession, folder, keys)
 
-def _run(stream: DataFrame, step, folder: str, mode: str = "append") -> Callable[[], None]:
+    def step(batch: DataFrame, batch_id: int) -> None:
+        old = table.read(schema, batch_id)
+        rest = [c for c in old.columns if c not in keys]
+        newest = F.max_by(F.struct(*rest), F.struct(version, *[c for c in rest if c != version]))
+        new = batch.select(*old.columns).groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*")
+        has = old.select(*keys, F.col(version).alias("__has"))
+        changed = new.join(has, keys, "left").where(F.col("__has").isNull() | (F.col(version) > F.col("__has"))).drop("__has")
+        table.write(changed, f"b{batch_id}", batch_id)
+
+    return _run(stream, step, folder)
+
+
+def live(spark: SparkSession, schema: str, keys: list[str], folder: str) -> DataFrame:
+    return Ledger(spark, folder, keys).read(schema)
+
+
+def _run(stream: DataFrame, step, folder: str, state: str | None = None) -> Callable[[], None]:
     """Starts on call and returns when everything available has been read."""
 
     def start() -> None:
-        started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
-        started.foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+        spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(name)
+        if state:
+            spark.conf.set(name, state)  # a query keeps the settings it started with
+        try:
+            started = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+            query = started.foreachBatch(step).trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(name, before)
+        query.awaitTermination()
 
     return start
-
-
-def latest_batch(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(path)
-    newest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(newest, "batch", "left_semi").drop("batch")
