@@ -7,6 +7,9 @@ buckets, and the column spans of a page travel as one array.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,12 +27,25 @@ def page_units(runs: DataFrame) -> DataFrame:
     return runs.where("b > t AND trim(text) <> ''").groupBy(*PAGE).agg(F.median(F.expr("b - t")).alias("unit"))
 
 
+def _line_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by band, centres ascending; marks those that begin a line.  Nothing is kept but the current line's sum."""
+    where, total, runs = None, 0.0, 0
+    for batch in batches:
+        starts = []
+        keys = zip(*(batch[k].to_pylist() for k in (*PAGE, "band")), strict=True)
+        for key, c, n, unit in zip(keys, *(batch[k].to_pylist() for k in ("c", "n", "unit")), strict=True):
+            begins = key != where or abs(c - total / runs) > unit * TOLERANCE
+            where, total, runs = key, c * n if begins else total + c * n, n if begins else runs + n
+            starts.append(begins)
+        yield pa.RecordBatch.from_arrays([batch[k] for k in (*PAGE, "c")] + [pa.array(starts, pa.bool_())], names=[*PAGE, "c", "starts"])
+
+
 def cluster_lines(runs: DataFrame, units: DataFrame) -> DataFrame:
     """Adds ``line``: a run joins the current line while its centre stays near the line's running mean.
 
-    Centres further apart than the tolerance always part, so a page falls into
-    bands first and the sequential fold runs over the distinct centres of one
-    band, each with its number of runs.
+    Centres further apart than the tolerance always part, so a page falls into bands first.  The rest is sequential by
+    nature (a line's mean decides where the next one begins): bands are dealt out, and the distinct centres of each, with
+    their numbers of runs, stream past a running sum.
     """
     usable = runs.where("trim(text) <> ''").withColumn("c", F.expr("(t + b) / 2"))
     centres = usable.groupBy(*PAGE, "c").agg(F.count("*").alias("n"))
@@ -37,15 +53,10 @@ def cluster_lines(runs: DataFrame, units: DataFrame) -> DataFrame:
     apart = F.coalesce(F.col("c") - F.col("prev.c") > F.col("unit") * TOLERANCE, F.lit(True))
     banded = running_total(
         stepped.withColumn("apart", apart), PAGE, ["c"], F.col("apart").cast("int"), "band", F.floor(F.col("c") / 16384)
-    )
-    bands = banded.groupBy(*PAGE, "band").agg(
-        F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cs"), F.first("unit").alias("unit")
-    )
-    fold = f"""aggregate(cs, named_struct('s', 0D, 'k', 0L, 'out', CAST(array() AS array<struct<c:double,starts:boolean>>)), (acc, x) ->
-        IF(acc.k = 0 OR abs(x.c - acc.s / acc.k) > unit * {TOLERANCE},
-           named_struct('s', x.c * x.n, 'k', x.n, 'out', concat(acc.out, array(named_struct('c', x.c, 'starts', true)))),
-           named_struct('s', acc.s + x.c * x.n, 'k', acc.k + x.n, 'out', concat(acc.out, array(named_struct('c', x.c, 'starts', false))))), acc -> acc.out)"""
-    marked = written(bands.selectExpr(*PAGE, f"inline({fold})"), "centres")
+    ).select(*PAGE, "band", "c", "n", "unit")
+    kinds = dict(banded.dtypes)
+    dealt = banded.repartition(*PAGE, "band").sortWithinPartitions(*PAGE, "band", "c")
+    marked = written(dealt.mapInArrow(_line_starts, f"doc_id {kinds['doc_id']}, page {kinds['page']}, c double, starts boolean"), "centres")
     lines = running_total(marked, PAGE, ["c"], F.col("starts").cast("int"), "line", F.floor(F.col("c") / 16384))
     return usable.join(lines.selectExpr(*PAGE, "c", "line - 1 AS line"), [*PAGE, "c"]).drop("c")
 
