@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from schedlake.operators.candidates import epoch_ms
 from schedlake.operators.tokens import comparison_key, similarity
+from schedlake.session import written
 
 # Minutes before the event.
 LADDERS = {
@@ -132,11 +134,55 @@ def writable_calendars(calendars: DataFrame, contributor: int = 500) -> DataFram
     )
 
 
+PERCENT = round(SIMILAR * 100)
+SPARE = (2, 6, 12)  # segments a key may have beyond those that must be looked up: the most frequent ones are left out
+
+
+def _allowed(length: str) -> str:
+    """Edits that a pair may have whose longer key has this length."""
+    return f"({length} * {100 - PERCENT}) div 100"
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """Segment ``i`` of ``n`` of a key of length ``lo``: where it starts, and how wide it is."""
+    out = rows.selectExpr("*", "explode(sequence(0, CAST(n - 1 AS INT))) AS i")
+    return out.selectExpr("*", "CAST(i * lo div n AS INT) AS start", "CAST((i + 1) * lo div n - i * lo div n AS INT) AS width")
+
+
+def near_keys(new: DataFrame, old: DataFrame, at: list[str]) -> DataFrame:
+    """(at, new_key, old_key): pairs of keys of one place that may be similar enough, found without comparing all of them.
+
+    An old key is cut into more segments than its partners may have edits.  Of ``e`` + 1 + spare segments at least spare + 1 stay whole
+    whatever the edits, shifted no further than the edits allow, so it is enough to look up the ``e`` + 1 rarest: what many
+    keys share (a common beginning) is left out.  Keys choose the number of segments under which those are rarest.
+    """
+    spare = ", ".join(map(str, SPARE))
+    cut = old.select(*at, "old_key", F.length("old_key").alias("lo")).where("lo > 0").selectExpr(
+        "*", f"{_allowed(f'(lo * 100 div {PERCENT})')} AS edits"
+    ).selectExpr("*", f"explode(array_distinct(transform(array({spare}), x -> least(edits + 1 + x, lo)))) AS n")
+    cut = _segments(cut).withColumn("segment", F.expr("substring(old_key, start + 1, width)"))
+    place = [*at, "lo", "n", "i", "segment"]
+    counted = cut.join(cut.groupBy(*place).agg(F.count("*").alias("often")), place)
+    rank = F.row_number().over(W.partitionBy(*at, "old_key", "n").orderBy("often", "i"))
+    rarest = written(counted.withColumn("rank", rank).where("rank <= edits + 1").select(*place, "old_key", "often"), "rare-segments")
+    costs = rarest.groupBy(*at, "old_key", "n").agg(F.sum("often").alias("cost"))
+    chosen = costs.groupBy(*at, "old_key").agg(F.min_by("n", F.struct("cost", "n")).alias("n"))
+    index = written(rarest.join(chosen, [*at, "old_key", "n"]).select(*place, "old_key"), "segment-index")
+    lengths = index.select(*at, "lo", "n").distinct()
+    probes = new.select(*at, "new_key", F.length("new_key").alias("ln")).where("ln > 0").join(lengths, at)
+    probes = _segments(probes.where(f"least(lo, ln) * 100 >= greatest(lo, ln) * {PERCENT}").selectExpr("*", f"{_allowed('greatest(lo, ln)')} AS edits"))
+    # edits left of the segment are at least its shift, edits right of it at least what the shift and the lengths differ by
+    low, high = "CAST(greatest(0, start + ceil((ln - lo - edits) / 2)) AS INT)", "CAST(least(ln - width, start + floor((ln - lo + edits) / 2)) AS INT)"
+    probes = probes.where(f"{low} <= {high}").selectExpr(*at, "new_key", "lo", "n", "i", "width", f"explode(sequence({low}, {high})) AS s")
+    probes = probes.selectExpr(*at, "new_key", "lo", "n", "i", "substring(new_key, s + 1, width) AS segment").distinct()
+    return probes.join(index, place).select(*at, "new_key", "old_key").distinct()
+
+
 def find_duplicates(planned: DataFrame, existing: DataFrame) -> DataFrame:
     """Events already in the calendar at the same instant under a similar title.
 
-    Both sides shrink to distinct comparison keys per instant first, so copies
-    of one event cost one comparison; the first existing event is reported.
+    Both sides shrink to distinct comparison keys per instant first, so copies of one event cost one comparison; keys meet
+    through segments they share, never all of an instant.  The first existing event is reported.
     """
     at = ["calendar_id", "start_ms"]
     old = existing.where("NOT deleted").select(
@@ -147,11 +193,11 @@ def find_duplicates(planned: DataFrame, existing: DataFrame) -> DataFrame:
         F.min(F.struct("event_id", "title", "ours")).alias("old")
     )
     new = planned.withColumn("new_key", comparison_key(F.col("title")))
-    keys = new.groupBy(*at, "new_key").agg(F.count("*").alias("n"))
-    sizes = [F.length("new_key"), F.length("old_key")]
-    pairs = keys.join(old, at).where(F.least(*sizes) * 100 >= F.greatest(*sizes) * round(SIMILAR * 100))
+    old, keys = written(old, "calendar-keys"), new.select(*at, "new_key").distinct()
+    pairs = near_keys(keys, old, at).where(F.col("new_key") != F.col("old_key"))
     close = pairs.where(similarity(F.col("old_key"), F.col("new_key")) >= SIMILAR)
-    first = close.groupBy(*at, "new_key").agg(F.min("old").alias("old"))
+    close = close.unionByName(keys.withColumn("old_key", F.col("new_key")))
+    first = close.join(old, [*at, "old_key"]).groupBy(*at, "new_key").agg(F.min("old").alias("old"))
     return new.join(first, [*at, "new_key"]).select(
         "entry_id", F.col("old.title").alias("existing_title"), F.col("old.event_id").alias("event_id"),
         F.col("old.ours").alias("created_by_us"),

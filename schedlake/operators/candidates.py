@@ -86,13 +86,22 @@ def rejected(gated: DataFrame) -> DataFrame:
     return gated.where("field IS NOT NULL").select("entry_id", "doc_id", "group_id", "field", "question", "no_term")
 
 
-def term_questions(gated: DataFrame) -> DataFrame:
-    """Per group: open questions by entry and field, and whether a term end is all it lacks."""
+TERM_WEEKS = 15
+
+
+def term_questions(gated: DataFrame, today: str) -> DataFrame:
+    """Per group: open questions by entry and field, whether a term is all it lacks, and the term to offer then.
+
+    The term begins ``today`` and is a starting point for an answer; it is never applied.
+    """
     distinct = rejected(gated).dropDuplicates(["group_id", "entry_id", "field"])
-    return distinct.groupBy("group_id").agg(
+    per = distinct.groupBy("group_id").agg(
         F.count("*").alias("unresolved"),
         F.bool_or((F.col("field") == "Recurrence") & F.col("no_term")).alias("needs_term"),
     )
+    return per.selectExpr(
+        "*", f"IF(needs_term, DATE '{today}', NULL) AS offered_start", f"IF(needs_term, date_add(DATE '{today}', {7 * TERM_WEEKS}), NULL) AS offered_end"
+    )
 
 
 def assumption_questions(candidates: DataFrame, position: str, examples: int = 3, keys: list[str] | None = None) -> DataFrame:
@@ -141,19 +150,20 @@ def answer_assumptions(candidates: DataFrame, answers: DataFrame) -> DataFrame:
 def apply_edits(candidates: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits over candidates; a blank title or an end not after the start is refused.
 
-    A timed edit settles assumptions about what it changed and makes the row
-    ready; an all-day edit without times keeps both.
+    A timed edit settles assumptions about what it changed and makes the row ready; an edit that leaves the row all-day, or makes
+    it so (``to_all_day``), keeps both.  ``new_location`` is where it takes place from now on, blank for nowhere.
     """
     rows = candidates.join(edits, "entry_id", "left")
     rows = rows.selectExpr(
         "*",
-        "new_title IS NOT NULL OR new_date IS NOT NULL OR new_start IS NOT NULL AS asked",
+        "new_title IS NOT NULL OR new_date IS NOT NULL OR new_start IS NOT NULL OR new_location IS NOT NULL OR coalesce(to_all_day, false) AS asked",
         "trim(coalesce(new_title, title)) AS t2",
         "coalesce(new_date, start_date) AS d2",
         "coalesce(new_start, start_min) AS s2",
         "coalesce(new_end, end_min) AS e2",
         "datediff(end_date, start_date) AS span",
-        "all_day AND new_start IS NULL AS stays_day",
+        "all_day AND new_start IS NULL OR coalesce(to_all_day, false) AS stays_day",
+        "new_location IS NOT NULL AND NOT new_location <=> location AS moved",
     )
     rows = rows.selectExpr(
         "*",
@@ -164,9 +174,9 @@ def apply_edits(candidates: DataFrame, edits: DataFrame) -> DataFrame:
     )
     rows = rows.selectExpr(
         "*",
-        """array_compact(array(IF(t2 <> title, 'title', NULL), IF(stays_day AND d2 <> start_date, 'date', NULL),
+        """array_compact(array(IF(t2 <> title, 'title', NULL), IF(stays_day AND (NOT all_day OR d2 <> start_date), 'date', NULL),
             IF(NOT stays_day AND (d2 <> start_date OR NOT s2 <=> start_min), 'start', NULL),
-            IF(NOT stays_day AND (date_add(d2, days2) <> end_date OR NOT e2 <=> end_min), 'end', NULL))) AS changed""",
+            IF(NOT stays_day AND (date_add(d2, days2) <> end_date OR NOT e2 <=> end_min), 'end', NULL), IF(moved, 'location', NULL))) AS changed""",
     ).selectExpr("*", "asked AND NOT refused AND size(changed) > 0 AS applied")
     settle = """filter(assumptions, a -> NOT (NOT stays_day AND ((a = 'assumed-duration' AND array_contains(changed, 'end'))
         OR (a = 'all-day-from-date-only' AND array_contains(changed, 'start')))))"""
@@ -174,7 +184,7 @@ def apply_edits(candidates: DataFrame, edits: DataFrame) -> DataFrame:
         "entry_id", "doc_id", "IF(applied, t2, title) AS title",
         "IF(applied, d2, start_date) AS start_date", "IF(applied, IF(stays_day, NULL, s2), start_min) AS start_min",
         "IF(applied, date_add(d2, days2), end_date) AS end_date", "IF(applied, IF(stays_day, NULL, e2), end_min) AS end_min",
-        "IF(applied, stays_day, all_day) AS all_day",
+        "IF(applied, stays_day, all_day) AS all_day", "IF(applied AND moved, nullif(trim(new_location), ''), location) AS location",
         "IF(applied AND by_weekday IS NOT NULL AND NOT stays_day, weekday(d2) + 1, by_weekday) AS by_weekday",
         f"IF(applied, {settle}, assumptions) AS assumptions",
         "IF(applied AND NOT stays_day, 'Ready', status) AS status",

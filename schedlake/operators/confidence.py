@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIGH, MEDIUM = 0.85, 0.60
+HIGH, MEDIUM = 0.85, 0.60  # fixed values, as are the reasons below
 
 
 def level(runs: str, ocr_runs: str, weakest: str) -> str:
@@ -20,15 +20,17 @@ def cap_at_medium(level_column: str) -> str:
     return f"IF({level_column} = 'High', 'Medium', {level_column})"
 
 
-def score(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Level and reason of the value each group of runs spells."""
+def score(runs: DataFrame, keys: list[str], values: DataFrame | None = None) -> DataFrame:
+    """Level and reason of the value each group of runs spells; of ``values`` (keys) without any run, Missing."""
     per = runs.groupBy(*keys).agg(
         F.count("*").alias("runs"),
         F.count_if(F.col("origin") == "Ocr").alias("ocr_runs"),
         F.min(F.when(F.col("origin") == "Ocr", F.col("conf"))).alias("weakest"),
     )
+    if values is not None:
+        per = values.select(*keys).join(per, keys, "left").fillna(0, ["runs", "ocr_runs"])
     return per.selectExpr("*", f"{level('runs', 'ocr_runs', 'weakest')} AS level").selectExpr(
-        "*", "CASE level WHEN 'Medium' THEN 'read from an image' WHEN 'Low' THEN 'this was hard to read' END AS reason",
+        "*", "CASE level WHEN 'Medium' THEN 'read from an image' WHEN 'Low' THEN 'this was hard to read' WHEN 'Missing' THEN 'nothing was read here' END AS reason",
         f"{cap_at_medium('level')} AS derived_level",
     )
 

@@ -130,6 +130,15 @@ def period_slots(features: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
+def merged_periods(features: DataFrame, layout: DataFrame) -> DataFrame:
+    """Period columns of each sheet that could not be told apart (headings with more than one range) and were skipped."""
+    heads = features.join(layout.where("orientation = 'PeriodColumns'").select(*SHEET, "day_col", "period_row"), SHEET)
+    merged = heads.where("row_no = period_row AND col <> day_col AND n_ranges > 1")
+    return merged.groupBy(*SHEET).agg(F.count("*").alias("skipped")).selectExpr(
+        "*", "concat(skipped, ' period column(s) couldn''t be told apart and were skipped') AS reason"
+    )
+
+
 def period_grid(features: DataFrame, layout: DataFrame) -> DataFrame:
     """Weekdays down one column, times in the column headings."""
     mine = features.join(

@@ -107,7 +107,10 @@ def subject_parts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def column_roles(cells: DataFrame, keys: list[str], threshold: float = 0.6) -> DataFrame:
-    """What each column holds, by the share of its non-empty cells that look so."""
+    """What each column holds, by the share of its non-empty cells that look so; Unknown where all are empty.
+
+    ``keys`` end with the column: the columns of a sheet run from 0 to its last one, also where no cell is given.
+    """
     tests = once(cells.where("trim(text) <> ''"), {"__t": "trim(text)"}).selectExpr(*keys, "__t AS text")
     tests = tests.selectExpr(
         *keys,
@@ -125,9 +128,13 @@ def column_roles(cells: DataFrame, keys: list[str], threshold: float = 0.6) -> D
         F.count_if("room").alias("rooms"),
         F.count_if("person").alias("people"),
     )
+    *sheet, column = keys
+    wide = cells.groupBy(*sheet).agg(F.max(column).alias("__last"))
+    columns = wide.selectExpr(*sheet, f"explode(sequence(0, CAST(__last AS INT))) AS {column}")
+    shares = columns.join(shares, keys, "left").fillna(0, ["n", "weekdays", "times", "dates", "rooms", "people"])
     return shares.selectExpr(
         "*",
-        f"""CASE WHEN weekdays / n >= {threshold} THEN 'Weekday' WHEN times / n >= {threshold} THEN 'Time'
+        f"""CASE WHEN n = 0 THEN 'Unknown' WHEN weekdays / n >= {threshold} THEN 'Weekday' WHEN times / n >= {threshold} THEN 'Time'
         WHEN dates / n >= {threshold} THEN 'Date' WHEN rooms / n >= {threshold} THEN 'Location'
         WHEN people / n >= {threshold} THEN 'Instructor' ELSE 'Subject' END AS role""",
     )

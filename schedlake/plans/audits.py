@@ -39,14 +39,19 @@ def busiest_page(spark, sf_dir):
     return Q.busiest_page(Q.placeable(sources(spark, sf_dir)))
 
 
+# Every event names the cell it falls into.
+FOCUS = "SELECT DISTINCT user_id AS doc_id, 'Week' AS sheet, CAST(hour(ts) % 11 AS INT) AS row_no, CAST(day(ts) % 7 AS INT) AS col FROM {events}"
+
+
 @query(
     "cell_context",
-    f"""WITH c AS ({duck('sheet_cells')}) SELECT f.doc_id, f.row_no AS focus_row, f.col AS focus_col, c.row_no, c.col, c.text
-    FROM c f JOIN c ON f.doc_id = c.doc_id AND f.sheet = c.sheet AND abs(f.row_no - c.row_no) <= 3 AND abs(f.col - c.col) <= 3 WHERE f.text LIKE 'click%'""",
+    f"""WITH c AS MATERIALIZED ({duck('sheet_cells')}), f AS MATERIALIZED ({FOCUS.format(events='events')}),
+    w AS (SELECT doc_id, sheet, row_no AS focus_row, col AS focus_col, row_no + dr AS row_no, col + dc AS col FROM f, generate_series(-3, 3) a(dr), generate_series(-3, 3) b(dc))
+    SELECT doc_id, focus_row, focus_col, CAST(row_no AS INT) AS row_no, CAST(col AS INT) AS col, text FROM w JOIN c USING (doc_id, sheet, row_no, col)""",
 )
 def cell_context(spark, sf_dir):
-    cells = rendered(spark, sf_dir, "sheet_cells")
-    return Q.cell_context(cells.where("text LIKE 'click%'"), cells).drop("sheet")
+    focus = spark.sql(FOCUS.format(events=f"parquet.`{sf_dir}/events.parquet`"))
+    return Q.cell_context(focus, rendered(spark, sf_dir, "sheet_cells")).drop("sheet")
 
 
 @query(
@@ -101,29 +106,6 @@ def invariant_audit(spark, sf_dir):
     return Q.invariant_audit(entries, rows)
 
 
-SHOWN = ["title", "day", "start_min", "end_min", "status"]
-
-
-@query(
-    "golden_diff",
-    f"""WITH {review.EDITED.removeprefix('WITH ').rsplit('SELECT entry_id', 1)[0].rstrip()},
-    a AS (SELECT CASE WHEN applied THEN t2 ELSE title END AS title, CAST(CASE WHEN applied THEN d2 ELSE start_date END AS VARCHAR) AS day, CASE WHEN applied THEN s2 ELSE start_min END AS start_min,
-       CASE WHEN applied THEN e2 ELSE end_min END AS end_min, CASE WHEN applied AND NOT day_form THEN 'Ready' ELSE status END AS status FROM m),
-    e AS (SELECT title, CAST(start_date AS VARCHAR) AS day, start_min, end_min, status FROM cand),
-    x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM e), y AS (SELECT * FROM e EXCEPT ALL SELECT * FROM a)
-    SELECT *, 'extra' AS side, count(*) AS copies FROM x GROUP BY ALL UNION ALL SELECT *, 'missing', count(*) FROM y GROUP BY ALL""",
-)
-def golden_diff(spark, sf_dir):
-    """Candidates after the user's edits against those before."""
-    from schedlake.operators import candidates as A
-
-    before = written(review.candidates(spark, sf_dir), "candidates")
-    after = A.apply_edits(before, rendered(spark, sf_dir, "edits"))
-    day = F.col("start_date").cast("string").alias("day")
-    shape = ["title", day, "start_min", "end_min", "status"]
-    return Q.golden_diff(after.select(*shape), before.select(*shape))
-
-
 @query(
     "answerability",
     f"""WITH RECURSIVE {tables.ANSWERED}, ag AS (SELECT *, answer || '/' || doc_id || '/' || entry_id AS eid, answer AS group_id, NULL::INT AS weekday, 'Missing' AS weekday_level FROM ae),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from schedlake.functions.ordered import number_rows
+
 from schedlake.functions import vocabulary as V
 from schedlake.operators import confidence as Q
 from schedlake.operators import geometry as G
@@ -256,13 +258,13 @@ def box_fraction(spark, sf_dir):
 
 
 def placed_rows(spark, sf_dir):
-    """The header row and the even rows of each sheet, placed one after the other."""
-    cells = rendered(spark, sf_dir, "sheet_cells")
-    rows = cells.where("row_no % 2 = 0").select("doc_id", "sheet", "row_no").distinct()
-    return cells, rows.withColumn("placed", F.expr("row_no div 2"))
+    """All filled rows of each sheet, placed one after the other."""
+    cells = written(rendered(spark, sf_dir, "sheet_cells"), "cells")
+    rows = cells.select("doc_id", "sheet", "row_no").distinct()
+    return cells, number_rows(rows, ["doc_id", "sheet"], ["row_no"], "placed").withColumn("placed", F.col("placed") - 1)
 
 
-SHEET = f"""c AS ({duck('sheet_cells')}), g AS (SELECT doc_id, sheet, CAST(row_no // 2 AS BIGINT) AS row_no, col, text, row_no AS sheet_row FROM c WHERE row_no % 2 = 0)"""
+SHEET = f"""c AS ({duck('sheet_cells')}), g AS (SELECT doc_id, sheet, dense_rank() OVER (PARTITION BY doc_id, sheet ORDER BY row_no) - 1 AS row_no, col, text, row_no AS sheet_row FROM c)"""
 
 
 @query("sheet_grid", f"WITH {SHEET} SELECT doc_id, row_no, col, text, sheet_row FROM g")
@@ -292,13 +294,17 @@ SCORED = "SELECT doc_id, line_no, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE conf E
 @query(
     "field_confidence",
     f"""WITH s AS (SELECT doc_id, line_no, CAST(part AS BIGINT) AS part, count(*) FILTER (origin = 'Ocr') AS o, min(conf) FILTER (origin = 'Ocr') AS w FROM ({SCORED.format(boxes=f"({duck('word_boxes')}) w")}) x GROUP BY ALL),
-    l AS (SELECT *, CASE WHEN o = 0 THEN 'High' WHEN w IS NULL THEN 'Medium' WHEN w >= 0.85 THEN 'High' WHEN w >= 0.6 THEN 'Medium' ELSE 'Low' END AS level FROM s)
-    SELECT doc_id, line_no, part, level, CASE level WHEN 'Medium' THEN 'read from an image' WHEN 'Low' THEN 'this was hard to read' END AS reason, CASE level WHEN 'High' THEN 'Medium' ELSE level END AS derived_level FROM l""",
+    l0 AS (SELECT *, CASE WHEN o = 0 THEN 'High' WHEN w IS NULL THEN 'Medium' WHEN w >= 0.85 THEN 'High' WHEN w >= 0.6 THEN 'Medium' ELSE 'Low' END AS level FROM s),
+    l AS (SELECT doc_id, line_no, part, level FROM l0 UNION ALL SELECT doc_id, line_no, max(part) + 1, 'Missing' FROM l0 GROUP BY doc_id, line_no)
+    SELECT doc_id, line_no, part, level, CASE level WHEN 'Medium' THEN 'read from an image' WHEN 'Low' THEN 'this was hard to read' WHEN 'Missing' THEN 'nothing was read here' END AS reason, CASE level WHEN 'High' THEN 'Medium' ELSE level END AS derived_level FROM l""",
 )
 def field_confidence(spark, sf_dir):
     rendered(spark, sf_dir, "word_boxes").createOrReplaceTempView("word_boxes")
     runs = spark.sql(SCORED.format(boxes="word_boxes")).withColumn("part", F.col("part").cast("long"))
-    return Q.score(runs, ["doc_id", "line_no", "part"]).drop("runs", "ocr_runs", "weakest")
+    # every line has one value more than it has words for
+    at = ["doc_id", "line_no"]
+    values = runs.select(*at, "part").distinct().unionByName(runs.groupBy(*at).agg((F.max("part") + 1).alias("part")))
+    return Q.score(runs, [*at, "part"], values).drop("runs", "ocr_runs", "weakest")
 
 
 FIELDS = ["title", "date", "weekday", "start", "end", "location"]

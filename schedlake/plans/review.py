@@ -97,13 +97,19 @@ def midnight_cross(spark, sf_dir):
     )
 
 
+TODAY = "2026-08-10"
+
+
 @query(
     "needs_term",
-    f"""WITH {GATE} SELECT group_id, count(*) AS unresolved, bool_or(field = 'Recurrence' AND term_end IS NULL) AS needs_term
-        FROM gate WHERE field IS NOT NULL GROUP BY group_id""",
+    f"""WITH {GATE}, t AS (SELECT group_id, count(*) AS unresolved, bool_or(field = 'Recurrence' AND term_end IS NULL) AS needs_term
+        FROM gate WHERE field IS NOT NULL GROUP BY group_id)
+    SELECT *, CASE WHEN needs_term THEN '{TODAY}' END AS offered_start, CASE WHEN needs_term THEN CAST(CAST('{TODAY}' AS DATE) + 105 AS VARCHAR) END AS offered_end FROM t""",
 )
 def needs_term(spark, sf_dir):
-    return A.term_questions(gated(spark, sf_dir))
+    return A.term_questions(gated(spark, sf_dir), TODAY).withColumns(
+        {c: F.col(c).cast("string") for c in ("offered_start", "offered_end")}
+    )
 
 
 @query(
@@ -166,20 +172,22 @@ def attention_rate(spark, sf_dir):
     )
 
 
-EDITED = f"""WITH {GATE}, j AS (SELECT c.*, new_title, new_date, new_start, new_end, (new_title IS NOT NULL OR new_date IS NOT NULL OR new_start IS NOT NULL) AS asked,
-      trim(coalesce(new_title, title)) AS t2, coalesce(new_date, start_date) AS d2, coalesce(new_start, start_min) AS s2, coalesce(new_end, end_min) AS e2,
-      all_day AND new_start IS NULL AS day_form, date_diff('day', start_date, end_date) AS span
+EDITED = f"""WITH {GATE}, j0 AS (SELECT c.*, new_title, new_date, new_start, new_end, new_location, coalesce(to_all_day, false) AS to_day,
+      (new_title IS NOT NULL OR new_date IS NOT NULL OR new_start IS NOT NULL OR new_location IS NOT NULL OR coalesce(to_all_day, false)) AS asked,
+      all_day AND new_start IS NULL OR coalesce(to_all_day, false) AS day_form, date_diff('day', start_date, end_date) AS span,
+      new_location IS NOT NULL AND new_location IS DISTINCT FROM location AS moved
       FROM cand c LEFT JOIN ({duck('edits')}) e USING (entry_id)),
+    j AS (SELECT *, trim(coalesce(new_title, title)) AS t2, coalesce(new_date, start_date) AS d2, CASE WHEN NOT day_form THEN coalesce(new_start, start_min) END AS s2, CASE WHEN NOT day_form THEN coalesce(new_end, end_min) END AS e2 FROM j0),
     k AS (SELECT *, CASE WHEN day_form THEN d2 + 1 WHEN new_end IS NOT NULL THEN d2 ELSE d2 + CAST(span AS INT) END AS ed2 FROM j),
     l AS (SELECT *, coalesce(asked AND (t2 = '' OR (NOT day_form AND NOT date_diff('day', d2, ed2) * 1440 + e2 > s2)), false) AS refused,
-      list_filter([CASE WHEN t2 <> title THEN 'title' END, CASE WHEN day_form AND d2 <> start_date THEN 'date' END,
+      list_filter([CASE WHEN t2 <> title THEN 'title' END, CASE WHEN day_form AND (NOT all_day OR d2 <> start_date) THEN 'date' END,
         CASE WHEN NOT day_form AND (d2 <> start_date OR s2 IS DISTINCT FROM start_min) THEN 'start' END,
-        CASE WHEN NOT day_form AND (ed2 <> end_date OR e2 IS DISTINCT FROM end_min) THEN 'end' END], lambda x: x IS NOT NULL) AS changed FROM k),
+        CASE WHEN NOT day_form AND (ed2 <> end_date OR e2 IS DISTINCT FROM end_min) THEN 'end' END, CASE WHEN moved THEN 'location' END], lambda x: x IS NOT NULL) AS changed FROM k),
     m AS (SELECT *, coalesce(asked, false) AND NOT refused AND len(changed) > 0 AS applied FROM l)
     SELECT entry_id, CASE WHEN applied THEN t2 ELSE title END AS title, CAST(CASE WHEN applied THEN d2 ELSE start_date END AS VARCHAR) AS start_date,
       CASE WHEN applied THEN s2 ELSE start_min END AS start_min, CAST(CASE WHEN applied THEN ed2 ELSE end_date END AS VARCHAR) AS end_date,
-      CASE WHEN applied THEN e2 ELSE end_min END AS end_min, CASE WHEN applied THEN day_form ELSE all_day END AS all_day,
-      CAST(CASE WHEN applied AND by_weekday IS NOT NULL THEN isodow(d2) ELSE by_weekday END AS INT) AS by_weekday,
+      CASE WHEN applied THEN e2 ELSE end_min END AS end_min, CASE WHEN applied THEN day_form ELSE all_day END AS all_day, CASE WHEN applied AND moved THEN nullif(trim(new_location), '') ELSE location END AS location,
+      CAST(CASE WHEN applied AND by_weekday IS NOT NULL AND NOT day_form THEN isodow(d2) ELSE by_weekday END AS INT) AS by_weekday,
       CASE WHEN applied AND NOT day_form AND ((rule = 'assumed-duration' AND list_contains(changed, 'end')) OR (rule = 'all-day-from-date-only' AND list_contains(changed, 'start')))
         THEN '' ELSE coalesce(rule, '') END AS assumed, CASE WHEN applied AND NOT day_form THEN 'Ready' ELSE status END AS status,
       CASE WHEN applied THEN array_to_string(changed, ',') ELSE '' END AS changed, refused FROM m"""
@@ -190,7 +198,7 @@ def apply_edits(spark, sf_dir):
     out = A.apply_edits(candidates(spark, sf_dir), rendered(spark, sf_dir, "edits"))
     return out.selectExpr(
         "entry_id", "title", "CAST(start_date AS STRING) AS start_date", "start_min", "CAST(end_date AS STRING) AS end_date",
-        "end_min", "all_day", "by_weekday", "array_join(assumptions, ',') AS assumed", "status",
+        "end_min", "all_day", "location", "by_weekday", "array_join(assumptions, ',') AS assumed", "status",
         "array_join(changed, ',') AS changed", "refused",
     )
 

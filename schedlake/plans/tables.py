@@ -141,6 +141,15 @@ def period_grid(spark, sf_dir):
     return S.period_grid(f, layout_of(f)).select(*OUT.split(", "))
 
 
+@query(
+    "merged_periods",
+    f"WITH RECURSIVE {LAYOUT} SELECT doc_id, count(*) AS skipped, count(*) || ' period column(s) couldn''t be told apart and were skipped' AS reason FROM f JOIN lay USING (doc_id, sheet) WHERE orientation = 'PeriodColumns' AND row_no = period_row AND col <> day_col AND n_ranges > 1 GROUP BY doc_id",
+)
+def merged_periods(spark, sf_dir):
+    f = features(spark, sf_dir)
+    return S.merged_periods(f, layout_of(f)).select("doc_id", "skipped", "reason")
+
+
 ROWS = f"""lm AS (SELECT f.* FROM f JOIN lay USING (doc_id, sheet) WHERE orientation = 'RowOriented'),
     lr AS (SELECT doc_id, sheet, col, CASE WHEN count(*) FILTER (is_day) / count(*) >= 0.6 THEN 'Weekday' WHEN count(*) FILTER (is_time) / count(*) >= 0.6 THEN 'Time' WHEN count(*) FILTER (is_date) / count(*) >= 0.6 THEN 'Date'
       WHEN count(*) FILTER ({C.room_score('trim(text)')} > 0) / count(*) >= 0.6 THEN 'Location' WHEN count(*) FILTER (regexp_matches(trim(text), '{V.INSTRUCTOR_PREFIX}')) / count(*) >= 0.6 THEN 'Instructor' ELSE 'Subject' END AS role FROM lm GROUP BY ALL),

@@ -97,9 +97,11 @@ def time_matches(spark, sf_dir):
         count(*) FILTER ((doc_id, sheet, row_no, col) IN (SELECT (doc_id, sheet, row_no, col) FROM timed)) AS times,
         count(*) FILTER ((doc_id, sheet, row_no, col) IN (SELECT (doc_id, sheet, row_no, col) FROM dated)) AS dates,
         count(*) FILTER ({C.room_score('text')} > 0) AS rooms,
-        count(*) FILTER (regexp_matches(text, '{V.INSTRUCTOR_PREFIX}')) AS people FROM src GROUP BY doc_id, sheet, col)
-    SELECT *, CASE WHEN weekdays / n >= 0.6 THEN 'Weekday' WHEN times / n >= 0.6 THEN 'Time' WHEN dates / n >= 0.6 THEN 'Date'
-        WHEN rooms / n >= 0.6 THEN 'Location' WHEN people / n >= 0.6 THEN 'Instructor' ELSE 'Subject' END AS role FROM n""",
+        count(*) FILTER (regexp_matches(text, '{V.INSTRUCTOR_PREFIX}')) AS people FROM src GROUP BY doc_id, sheet, col),
+    nn AS (SELECT doc_id, sheet, col, coalesce(n, 0) AS n, coalesce(weekdays, 0) AS weekdays, coalesce(times, 0) AS times, coalesce(dates, 0) AS dates, coalesce(rooms, 0) AS rooms, coalesce(people, 0) AS people
+      FROM (SELECT doc_id, sheet, CAST(unnest(range(0, max(col) + 1)) AS INT) AS col FROM src GROUP BY doc_id, sheet) LEFT JOIN n USING (doc_id, sheet, col))
+    SELECT *, CASE WHEN n = 0 THEN 'Unknown' WHEN weekdays / n >= 0.6 THEN 'Weekday' WHEN times / n >= 0.6 THEN 'Time' WHEN dates / n >= 0.6 THEN 'Date'
+        WHEN rooms / n >= 0.6 THEN 'Location' WHEN people / n >= 0.6 THEN 'Instructor' ELSE 'Subject' END AS role FROM nn""",
 )
 def column_roles(spark, sf_dir):
     cells = rendered(spark, sf_dir, "sheet_cells").unionByName(rendered(spark, sf_dir, "dated_cells"))

@@ -201,7 +201,7 @@ def sheet_cells(q) -> str:
         UNION ALL SELECT doc_id, 0, wd, {day} FROM {table} a WHERE doc_id % 4 IN (0, 3) GROUP BY doc_id, wd
         UNION ALL SELECT doc_id, hr - 7, 0, {slot} FROM {table} a WHERE doc_id % 4 = 0 GROUP BY doc_id, hr
         UNION ALL SELECT doc_id, hr - 7, wd, {body} FROM {table} a WHERE doc_id % 4 = 0
-        UNION ALL SELECT doc_id, 0, hr - 7, 'P' || {s('hr - 7')} || ' (' || {slot} || ')'
+        UNION ALL SELECT doc_id, 0, hr - 7, 'P' || {s('hr - 7')} || ' (' || {slot} || ')' || CASE WHEN doc_id % 8 = 5 AND hr % 5 = 2 THEN ' and (' || {slot} || ')' ELSE '' END
           FROM {table} a WHERE doc_id % 4 = 1 GROUP BY doc_id, hr
         UNION ALL SELECT doc_id, wd, 0, {day} FROM {table} a WHERE doc_id % 4 = 1 GROUP BY doc_id, wd
         UNION ALL SELECT doc_id, wd, hr - 7, {body} FROM {table} a WHERE doc_id % 4 = 1
@@ -364,7 +364,9 @@ def edits(q) -> str:
       SELECT 'e' || {s('o_orderkey')} AS entry_id,
         CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN '  Moved review ' WHEN 1 THEN '   ' END AS new_title,
         CASE WHEN o_orderkey % 3 = 0 THEN d + 1 END AS new_date,
-        CASE WHEN o_orderkey % 2 = 0 THEN CAST(dd * 30 AS INT) END AS new_start, CASE WHEN o_orderkey % 2 = 0 THEN CAST(dd * 25 + 60 AS INT) END AS new_end
+        CASE WHEN o_orderkey % 2 = 0 THEN CAST(dd * 30 AS INT) END AS new_start, CASE WHEN o_orderkey % 2 = 0 THEN CAST(dd * 25 + 60 AS INT) END AS new_end,
+        CASE CAST(o_orderkey % 7 AS INT) WHEN 1 THEN ' Hall ' || {s('o_custkey % 30')} WHEN 2 THEN '  ' WHEN 3 THEN 'Hall ' || {s('o_custkey % 30')} END AS new_location,
+        o_orderkey % 10 = 1 AND o_orderkey % 4 = 1 AS to_all_day
       FROM ({order_dates(q)}) o WHERE o_orderkey % 5 < 2"""
 
 
