@@ -99,7 +99,10 @@ def order_dates(q) -> str:
 
 
 def notices(q) -> str:
-    """One dated line per order; the style of a document decides how dates are written."""
+    """One dated line per order; the style of a document decides how dates are written.
+
+    Two styles never prove their order: their days above 12 are written year first.
+    """
     dmy = f"{pad('dd')} || '/' || {pad('mm')} || '/' || {s('yy')}"
     mdy = f"{pad('mm')} || '/' || {pad('dd')} || '/' || {s('yy')}"
     serial = "((CAST(yy AS BIGINT) * 12 + mm) * 31 + dd) * 1000000000 + o_orderkey"
@@ -109,11 +112,11 @@ def notices(q) -> str:
              'Order ' || {s('o_orderkey')} || ' payment due '
                || CASE WHEN o_custkey % 5 = 4 AND o_custkey % 2 = 0
                        THEN split_part('{DAYS}', ',', CAST(wd AS INT)) || ' ' ELSE '' END
-               || CASE WHEN o_custkey % 5 = 1 OR (o_custkey % 5 = 2 AND o_orderkey % 2 = 1)
+               || CASE WHEN o_custkey % 5 >= 3 AND dd > 12 THEN {s('yy')} || '-' || {pad('mm')} || '-' || {pad('dd')}
+                       WHEN o_custkey % 5 = 1 OR (o_custkey % 5 = 2 AND o_orderkey % 2 = 1)
                        THEN {mdy} ELSE {dmy} END AS text,
              d AS true_date, CAST(o_custkey % 5 AS INT) AS style
-      FROM ({order_dates(q)}) o
-      WHERE o_custkey % 5 < 3 OR dd <= 12"""
+      FROM ({order_dates(q)}) o"""
 
 
 def date_lines(q) -> str:
@@ -174,14 +177,17 @@ def time_cols(q) -> str:
 
 
 def lessons(q) -> str:
-    """Weekday, hour and subject per user: the most frequent event type of each slot."""
+    """Weekday, hour and subject per user: the most frequent event type of each slot.
+
+    All events count; their hours and days are folded into a school week of five days from eight to six.
+    """
     return f"""
       SELECT doc_id, wd, hr, substr(min({pad('1000000 - n', 8)} || event_type), 9) AS subject, min(k) AS k
-      FROM (SELECT user_id AS doc_id, CAST({q.isodow('ts')} AS INT) AS wd, CAST(hour(ts) AS INT) AS hr, event_type,
-                   count(*) AS n, min(CAST(regexp_extract(props, '[0-9]+', 0) AS INT)) AS k
-            FROM {q.table('events')} WHERE hour(ts) BETWEEN 8 AND 17
-            GROUP BY user_id, {q.isodow('ts')}, hour(ts), event_type) e
-      WHERE wd <= 5 GROUP BY doc_id, wd, hr"""
+      FROM (SELECT doc_id, wd, hr, event_type, count(*) AS n, min(k) AS k
+            FROM (SELECT user_id AS doc_id, CAST(({q.isodow('ts')} - 1) % 5 + 1 AS INT) AS wd, CAST(hour(ts) % 10 + 8 AS INT) AS hr, event_type,
+                         CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM {q.table('events')}) v
+            GROUP BY doc_id, wd, hr, event_type) e
+      GROUP BY doc_id, wd, hr"""
 
 
 def sheet_cells(q) -> str:
@@ -221,12 +227,11 @@ def section_cells(q) -> str:
     table = q.lessons()
     return f"""
       SELECT doc_id, 'Sections' AS sheet, CAST(row_no AS INT) AS row_no, CAST(col AS INT) AS col, text FROM (
-        SELECT user_id % 40 AS doc_id, 1 AS row_no, CAST(hour(ts) AS INT) - 7 AS col,
-               {pad('hour(ts)')} || ':00-' || {pad('hour(ts) + 1')} || ':00' AS text
-          FROM {q.table('events')} WHERE hour(ts) BETWEEN 8 AND 17 GROUP BY user_id % 40, hour(ts)
+        SELECT doc_id % 40 AS doc_id, 1 AS row_no, hr - 7 AS col, {pad('hr')} || ':00-' || {pad('hr + 1')} || ':00' AS text
+          FROM {table} a GROUP BY doc_id % 40, hr
         UNION ALL SELECT doc_id, 2 + sec * 7, part, CASE part WHEN 0 THEN 'Section ' || {s('sec')} ELSE 'Hall ' || {s('sec % 9')} END
           FROM (SELECT user_id % 40 AS doc_id, {idiv('user_id', 40)} AS sec, {q.each('0', '1')} AS part
-                FROM {q.table('events')} WHERE user_id % 11 < 9 GROUP BY user_id) l
+                FROM {q.table('events')} GROUP BY user_id) l
         UNION ALL SELECT doc_id, 2 + sec * 7 + wd, 0, split_part('{DAYS}', ',', wd) FROM
           (SELECT doc_id % 40 AS doc_id, {idiv('doc_id', 40)} AS sec, wd FROM {table} a GROUP BY doc_id, wd) b
         UNION ALL SELECT doc_id % 40, 2 + {idiv('doc_id', 40)} * 7 + wd, hr - 7, subject || ' / K' || {s('k')} FROM {table} a
@@ -234,7 +239,7 @@ def section_cells(q) -> str:
 
 
 def dated_cells(q) -> str:
-    """Dated sheets by o_custkey % 4: ISO, month names, numeric, and one-record bills."""
+    """Dated sheets by o_custkey % 4: ISO, month names, numeric, and bills with a record for each order."""
     month = f"split_part('{MONTHS}', ',', CAST(mm AS INT))"
     dmy = f"{pad('CASE WHEN o_custkey % 8 = 6 THEN dd % 12 + 1 ELSE dd END')} || '/' || {pad('mm')} || '/' || {s('yy')}"
     clock = f"{pad('dd % 9 + 8')} || ':' || {pad('mm * 4')}"
@@ -256,20 +261,19 @@ def dated_cells(q) -> str:
               WHEN 1 THEN {s('yy')} || '-' || {pad('mm')} || '-' || {pad('dd')}
               WHEN 2 THEN {s('dd + CASE WHEN o_custkey % 8 = 7 THEN 0 ELSE 12 END')} || '/' || {pad('mm')} || '/' || {s('yy')} || {clock} ELSE 'INR ' || {s('rk')} END
           FROM (SELECT b.*, {q.each('0', '3')} AS part FROM (
-                 SELECT o_custkey, min(o_orderkey) AS rk, min(yy) AS yy, min(mm) AS mm, min(dd) % 12 + 1 AS dd
-                 FROM ({order_dates(q)}) o WHERE o_custkey % 4 = 3 GROUP BY o_custkey) b) c
+                 SELECT o_custkey, o_orderkey AS rk, yy, mm, dd % 12 + 1 AS dd FROM ({order_dates(q)}) o WHERE o_custkey % 4 = 3) b) c
       ) u"""
 
 
 def runs(q) -> str:
-    """Grid sheets placed on a page: 20 sheets of one folder share a document."""
+    """Sheets placed on a page: 20 sheets of one folder share a document."""
     return f"""
       SELECT {idiv('doc_id', 20)} AS doc_id, CAST(doc_id % 20 AS INT) AS page, row_no * 16 + col AS run_id, text,
              CAST(100 * col + row_no % 3 AS DOUBLE) AS l, CAST(20 * row_no AS DOUBLE) AS t,
              CAST(100 * col + row_no % 3 + 6 * length(text) AS DOUBLE) AS r, CAST(20 * row_no + 10 AS DOUBLE) AS b,
              CASE WHEN doc_id % 8 = 4 THEN CAST(50 + (row_no * 7 + col * 11) % 50 AS DOUBLE) / 100 END AS conf,
              CASE WHEN doc_id % 8 = 4 THEN 'Ocr' ELSE 'PdfTextLayer' END AS origin
-      FROM ({sheet_cells(q)}) s WHERE doc_id % 4 < 2"""
+      FROM ({sheet_cells(q)}) s"""
 
 
 def doc_lines(q) -> str:
@@ -417,14 +421,13 @@ def imports(q) -> str:
 def sources(q) -> str:
     """Provenance rows of candidates: read, derived (with the pages it came from), assumed, typed in."""
     return f"""
-      SELECT 'e' || {s('l_orderkey')} AS entry_id, CAST(l_suppkey * 16 + l_linenumber AS INT) AS pos,
+      SELECT 'e' || {s('l_orderkey')} AS entry_id, CAST(l_partkey AS BIGINT) * 100000 + l_suppkey * 8 + l_linenumber AS pos,
         split_part('PdfSpan,SheetCell,ImageRegion,Derived,UserProvided,Assumed', ',', CAST((l_partkey + l_linenumber) % 6 + 1 AS INT)) AS kind,
         CAST(l_partkey % 3 AS INT) AS page, CAST(l_partkey % 200 AS DOUBLE) / 8 AS l, CAST(l_suppkey % 50 AS DOUBLE) / 4 AS t,
         CAST(l_partkey % 200 AS DOUBLE) / 8 + CAST(l_quantity AS INT) % 3 AS r, CAST(l_suppkey % 50 AS DOUBLE) / 4 + CAST(l_quantity AS INT) % 3 AS b,
         CASE WHEN l_linenumber % 2 = 0 THEN 'title' ELSE 'startTime' END AS field, l_partkey * 1000 + l_linenumber AS at_ms,
         {s('l_partkey % 3')} || ',' || {s('l_suppkey % 3')} AS from_pages
-      FROM (SELECT l_orderkey, l_suppkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM {q.table('lineitem')}
-            GROUP BY l_orderkey, l_suppkey, l_linenumber) i"""
+      FROM {q.table('lineitem')} i"""
 
 
 def file_bytes(q) -> str:
