@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from schedlake.plans.registry import query
-from schedlake.session import shared_folder
+from schedlake.session import shared_folder, written
 from schedlake.sources import intake as N
 from schedlake.sources.rendered import duck, rendered
 
@@ -122,15 +122,25 @@ def snapshot_runs(spark, sf_dir):
     )
 
 
+# What a file is goes with its document, sizes and issues with the page; some pages are not described.
+PAGES = """SELECT DISTINCT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN 'Pdf' WHEN doc_id % 3 = 1 THEN 'Image' ELSE 'Xlsx' END AS format,
+    CASE WHEN page % 4 < 3 THEN CAST(2612 AS DOUBLE) END AS width, CASE WHEN page % 4 < 3 THEN CAST(3792 + page AS DOUBLE) END AS height, page % 5 = 4 AS poor FROM {runs} WHERE page % 7 <> 6"""
+
+
 @query(
     "snapshot_write",
     f"""WITH r AS (SELECT *, run_id // 1000 AS part, '{{"id":' || CAST(run_id AS BIGINT) || ',"text":"' || text || '","l":' || l || ',"t":' || t || ',"r":' || r || ',"b":' || b
-        || CASE WHEN conf IS NULL THEN '' ELSE ',"conf":' || conf END || ',"origin":"' || origin || '"}}' AS j FROM ({duck('runs')}) x)
-    SELECT doc_id, page, CAST(part AS BIGINT) AS part, '{{"doc":"' || doc_id || '","format":"Pdf","pages":[{{"index":' || page || ',"widthPt":' || max(r) || ',"heightPt":' || max(b) || ',"runs":[' || string_agg(j, ',' ORDER BY run_id) || ']}}],"issues":[]}}' AS json
-    FROM r GROUP BY doc_id, page, part""",
+        || CASE WHEN conf IS NULL THEN '' ELSE ',"conf":' || conf END || ',"origin":"' || origin || '"}}' AS j FROM ({duck('runs')}) x), pg AS ({PAGES.format(runs='r')})
+    SELECT doc_id, page, CAST(part AS BIGINT) AS part, '{{"doc":"' || doc_id || '","format":"' || coalesce(any_value(format), 'Unknown') || '","pages":[{{"index":' || page || ',"widthPt":' || coalesce(any_value(width), max(r)) || ',"heightPt":' || coalesce(any_value(height), max(b))
+        || ',"runs":[' || string_agg(j, ',' ORDER BY run_id) || ']}}],"issues":[' || CASE WHEN any_value(poor) THEN '{{"kind":"LowContrast","detail":"page ' || page || '"}}' ELSE '' END || ']}}' AS json
+    FROM r LEFT JOIN pg USING (doc_id, page) GROUP BY doc_id, page, part""",
 )
 def snapshot_write(spark, sf_dir):
-    return N.snapshot_fragments(rendered(spark, sf_dir, "runs"))
+    runs = written(rendered(spark, sf_dir, "runs"), "runs")
+    runs.createOrReplaceTempView("snapshot_source")
+    issue = "IF(poor, array(named_struct('kind', 'LowContrast', 'detail', concat('page ', page))), CAST(array() AS ARRAY<STRUCT<kind STRING, detail STRING>>)) AS issues"
+    pages = spark.sql(PAGES.format(runs="snapshot_source")).selectExpr("doc_id", "page", "format", "width", "height", issue)
+    return N.snapshot_fragments(runs, pages=pages)
 
 
 @query(

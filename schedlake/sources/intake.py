@@ -157,18 +157,25 @@ def snapshot_runs(docs: DataFrame) -> DataFrame:
     ).selectExpr("doc", "format", "page", "width", "height", "coalesce(run.id, place) AS run_id", "run.*").drop("id")
 
 
-def snapshot_fragments(runs: DataFrame, part_of: str = "run_id div 1000") -> DataFrame:
+def snapshot_fragments(runs: DataFrame, part_of: str = "run_id div 1000", pages: DataFrame | None = None) -> DataFrame:
     """Runs as snapshot JSON, cut into page fragments of a bounded number of runs.
 
-    A page may appear in several fragments; runs carry their ids, the reader appends
-    them, and no task ever holds more than one fragment.  Each names its document.
+    A page may appear in several fragments; runs carry their ids, the reader appends them, and no task ever holds more than one
+    fragment.  Each names its document.  ``pages`` (doc_id, page, format, width, height, issues) says what the file and
+    the page are; where it is silent the format is Unknown, the page as large as its runs, and there are no issues.
     """
     run = F.struct("run_id", F.struct(F.col("run_id").alias("id"), "text", "l", "t", "r", "b", "conf", "origin").alias("run"))
     parts = runs.withColumn("part", F.expr(part_of)).groupBy("doc_id", "page", "part").agg(
-        F.array_sort(F.collect_list(run)).alias("rs"), F.max("r").alias("w"), F.max("b").alias("h")
+        F.array_sort(F.collect_list(run)).alias("rs"), F.max("r").alias("__w"), F.max("b").alias("__h")
     )
-    body = """to_json(named_struct('doc', CAST(doc_id AS STRING), 'format', 'Pdf', 'pages', array(named_struct('index', page, 'widthPt', w, 'heightPt', h,
-        'runs', transform(rs, x -> x.run))), 'issues', array()))"""
+    if pages is None:
+        parts = parts.selectExpr("*", "CAST(NULL AS STRING) AS format", "CAST(NULL AS DOUBLE) AS width", "CAST(NULL AS DOUBLE) AS height",
+                                 "CAST(NULL AS ARRAY<STRUCT<kind STRING, detail STRING>>) AS issues")
+    else:
+        parts = parts.join(pages, ["doc_id", "page"], "left")
+    body = """to_json(named_struct('doc', CAST(doc_id AS STRING), 'format', coalesce(format, 'Unknown'),
+        'pages', array(named_struct('index', page, 'widthPt', coalesce(width, __w), 'heightPt', coalesce(height, __h), 'runs', transform(rs, x -> x.run))),
+        'issues', coalesce(issues, array())))"""
     return parts.selectExpr("doc_id", "page", "part", f"{body} AS json")
 
 
