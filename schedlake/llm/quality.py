@@ -4,16 +4,18 @@ Each view has a logistic model of its own.  In every round both score all docume
 sure of become pseudo-labels for the other.  At the end each view is calibrated on labelled rows that no
 model was fitted on, and the calibrated log-odds are added (less the prior, which both contain).
 
-Fits read bounded samples, taken in the order of a hash of the id: ``max_fit`` labelled rows and
-``max_pseudo`` pseudo-labels of each class a round.  Feature vectors and scores cover all documents.
+Labelled rows are a bounded sample, taken in the order of a hash of the id (``max_fit`` rows).  Everything else covers
+all documents: feature vectors, scores, and the pseudo-labels, all of which enter the Newton steps as sums over tasks.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,20 +75,68 @@ def features(
     )
 
 
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Number, sums and sums of squares of the rows."""
+    return np.concatenate([[float(len(x))], x.sum(axis=0), (x * x).sum(axis=0)])
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the log-likelihood, flat."""
+    z = np.c_[np.ones(len(x)), (x - mean) / scale]
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return np.concatenate([z.T @ (y - p), ((z * (p * (1 - p) + 1e-9)[:, None]).T @ z).reshape(-1)])
+
+
+class Pseudo:
+    """Pseudo-labelled rows in a written table (x, b, y): their sums are made in the tasks, however many rows there are."""
+
+    def __init__(self, rows: DataFrame, n_buckets: int):
+        self.rows, self.n_buckets = rows, n_buckets
+
+    def sum(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | float:
+        n_buckets = self.n_buckets
+
+        def matrix(batch: pa.RecordBatch) -> np.ndarray:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if not n_buckets:
+                return x
+            hot = np.zeros((batch.num_rows, n_buckets))
+            places = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            hot[np.arange(batch.num_rows)[:, None], places] = 1
+            return np.c_[x, hot]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [of(matrix(b), b.column(2).to_numpy(zero_copy_only=False).astype(float)) for b in batches if b.num_rows]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(parts).tobytes()])], names=["sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [np.frombuffer(v, float) for b in batches for v in b.column(0).to_pylist()]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(parts).tobytes()])], names=["sums"])
+
+        # a row a task, then eight rows: what the driver adds up does not grow
+        found = self.rows.mapInArrow(run, "sums binary").repartition(8).mapInArrow(add, "sums binary").collect()
+        return sum((np.frombuffer(r.sums, float) for r in found), 0.0)
+
+
 class Logistic:
     """Weights of a ridge logistic regression, fitted by Newton steps on standardised columns."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale[scale < 1e-9] = 1.0
-        z = np.c_[np.ones(len(x)), (x - mean) / scale]
-        w = np.zeros(z.shape[1])
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, more: Pseudo | None = None):
+        moments = _moments(x) + (more.sum(lambda x, y: _moments(x)) if more else 0.0)
+        mean, square = np.split(moments[1:] / moments[0], 2)
+        scale = np.sqrt(np.maximum(square - mean * mean, 0))
+        scale[scale < 1e-6 * (1 + np.abs(mean))] = 1.0  # constant but for rounding
+        d = x.shape[1] + 1
         penalty = np.diag([1e-6, *[ridge] * x.shape[1]])
+        w = np.zeros(d)
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-            w += step
-            if np.abs(step).max() < 1e-8:
+            slopes = _slopes(x, y, mean, scale, w) + (more.sum(lambda x, y, w=w: _slopes(x, y, mean, scale, w)) if more else 0.0)
+            step = np.linalg.solve(slopes[d:].reshape(d, d) + penalty, slopes[:d] - penalty @ w)
+            step *= min(1.0, 8 / max(np.abs(step).max(), 1e-12))  # a flat region must not throw it far away
+            w = w + step
+            if np.abs(step).max() < (1e-3 if more else 1e-8):
                 break
         self.weights = w[1:] / scale
         self.bias = float(w[0] - (self.weights * mean).sum())
@@ -147,7 +197,7 @@ def _first_by_hash(rows: DataFrame, most: int, seed: int) -> list:
 
 def co_train(
     vectors: DataFrame, labels: DataFrame, label_id: str, label: str, n_buckets: int,
-    rounds: int = 2, sure: float = 0.98, max_fit: int = 20_000, max_pseudo: int = 2_000,
+    rounds: int = 2, sure: float = 0.98, max_fit: int = 20_000,
 ) -> tuple[View, View, float] | None:
     """Both calibrated views and the log-odds of the prior; None without labels of both classes.
 
@@ -165,26 +215,22 @@ def co_train(
     text, meta = _dense(known, n_buckets)
     prior = float(np.log(y.mean() / (1 - y.mean())))
     unlabelled = tagged.where("y IS NULL")
-    more: list[list] = [[], []]  # pseudo-labels for the text view, and for the metadata view
+    more: list[Pseudo | None] = [None, None]  # pseudo-labels for the text view, and for the metadata view
     for turn in range(rounds + 1):
         views = []
         for n, own in enumerate((text, meta)):
-            x, t = own[~held], y[~held]
-            if more[n]:
-                x = np.r_[x, _dense(more[n], n_buckets)[n]]
-                t = np.r_[t, [r.y for r in more[n]]]
-            view = View(Logistic(x, t)).calibrated(own[held], y[held])
+            view = View(Logistic(own[~held], y[~held], more=more[n])).calibrated(own[held], y[held])
             view.n_buckets = n_buckets if n else 0
             views.append(view)
         if turn == rounds:
-            return views[0], views[1], prior
+            break
         edge = math.log(sure / (1 - sure))
         logits = [views[0].column("text_x"), views[1].column("meta_x", "meta_b")]
-        for n in (0, 1):
-            scored = unlabelled.withColumn("logit", logits[1 - n])
-            for value, found in ((1, scored.where(F.col("logit") >= edge)), (0, scored.where(F.col("logit") <= -edge))):
-                more[n] += _first_by_hash(found.withColumn("y", F.lit(value)), max_pseudo, turn)
-    return None
+        for n, (x, b) in enumerate((("text_x", F.array().cast("array<int>")), ("meta_x", F.col("meta_b")))):
+            scored = unlabelled.select(F.col(x).alias("x"), b.alias("b"), logits[1 - n].alias("logit"))
+            confident = scored.where(F.abs("logit") >= edge).select("x", "b", (F.col("logit") > 0).cast("double").alias("y"))
+            more[n] = Pseudo(written(confident, "quality-pseudo"), n_buckets if n else 0)
+    return views[0], views[1], prior
 
 
 def _scores(vectors: DataFrame, found: tuple[View, View, float] | None) -> DataFrame:
