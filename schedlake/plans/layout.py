@@ -21,22 +21,22 @@ KEEP = "doc_id, page, run_id, text"
 
 @query(
     "page_select",
-    f"""WITH r AS ({duck('runs')}), h AS ({HINTS.format(runs='r')})
-    SELECT {KEEP} FROM r WHERE doc_id NOT IN (SELECT doc_id FROM h) OR (doc_id, page) IN (SELECT (doc_id, page) FROM h)""",
+    f"""WITH r AS MATERIALIZED ({duck('runs')}), h AS MATERIALIZED (SELECT DISTINCT * FROM ({HINTS.format(runs='r')})), d AS (SELECT DISTINCT doc_id, true AS asked FROM h)
+    SELECT {KEEP} FROM r LEFT JOIN d USING (doc_id) LEFT JOIN (SELECT *, true AS wanted FROM h) w USING (doc_id, page) WHERE asked IS NULL OR wanted""",
 )
 def page_select(spark, sf_dir):
-    runs = rendered(spark, sf_dir, "runs")
+    runs = written(rendered(spark, sf_dir, "runs"), "runs")  # rendered once, read twice
     hints = runs.where("doc_id % 2 = 0 AND (page + doc_id) % 3 = 0").select("doc_id", "page")
     return P.select_pages(runs, hints).select(*KEEP.split(", "))
 
 
 @query(
     "page_crop",
-    f"""WITH r AS ({duck('runs')}), p AS (SELECT doc_id, page, max(r) AS width, max(b) AS height FROM r GROUP BY ALL)
+    f"""WITH r AS MATERIALIZED ({duck('runs')}), p AS (SELECT doc_id, page, max(r) AS width, max(b) AS height FROM r GROUP BY ALL)
     SELECT {KEEP} FROM r JOIN p USING (doc_id, page) WHERE doc_id % 3 = 0 OR ((l + r) / 2 / width BETWEEN 0.25 AND 0.75 AND (t + b) / 2 / height BETWEEN 0 AND 0.5)""",
 )
 def page_crop(spark, sf_dir):
-    runs = rendered(spark, sf_dir, "runs")
+    runs = written(rendered(spark, sf_dir, "runs"), "runs")
     sized = runs.join(G.page_sizes(runs), ["doc_id", "page"])
     regions = runs.where("doc_id % 3 > 0").selectExpr("doc_id", "0.25D AS x0", "0.75D AS x1", "0D AS y0", "0.5D AS y1").distinct()
     return P.crop(sized, regions).select(*KEEP.split(", "))
