@@ -62,18 +62,6 @@ def corrections(spark, sf_dir):
     return Q.corrections(sources(spark, sf_dir))
 
 
-@query(
-    "corpus_summary",
-    f"""WITH {review.GATE}, d AS (SELECT doc_id, count(*) FILTER (field IS NULL) AS n, bool_or(coalesce(field = 'Recurrence' AND term_end IS NULL, false)) AS asks FROM gate GROUP BY 1),
-    o AS (SELECT c_custkey, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'refused' WHEN asks THEN 'asked' WHEN n > 0 THEN 'produced' ELSE 'empty' END AS outcome FROM customer LEFT JOIN d ON c_custkey = doc_id)
-    SELECT outcome AS measure, count(*) AS n FROM o GROUP BY 1 UNION ALL SELECT 'documents', count(*) FROM o UNION ALL SELECT 'candidates', CAST(sum(n) AS BIGINT) FROM o
-    UNION ALL SELECT 'assumed:' || rule, count(*) FROM cand WHERE rule IS NOT NULL GROUP BY rule""",
-)
-def corpus_summary(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"))
-    return Q.corpus_summary(review.gated(spark, sf_dir), documents)
-
-
 # Every rule is broken in some rows, so that the audit has something to count: what is changed, by entry number.
 KEY_NO = "CAST(substr(entry_id, 2) AS BIGINT) % 10"
 BROKEN = {

@@ -153,25 +153,6 @@ def assumption_answers(spark, sf_dir):
     )
 
 
-@query(
-    "attention_rate",
-    f"""WITH {ANSWERED} SELECT count(*) AS candidates, (SELECT count(*) FILTER (status = 'NeedsAttention') FROM cand) AS before_answers,
-       count(*) FILTER (status = 'NeedsAttention') AS after_answers,
-       round((SELECT count(*) FILTER (status = 'NeedsAttention') FROM cand) / count(*), 4) AS rate_before,
-       round(count(*) FILTER (status = 'NeedsAttention') / count(*), 4) AS rate_after FROM done""",
-)
-def attention_rate(spark, sf_dir):
-    """Share of flagged rows before and after the bulk answers."""
-    after = answered(spark, sf_dir)
-    flagged = F.count_if(F.col("status") == "NeedsAttention")
-    before = F.count_if(F.col("read_weakly") | F.col("was_assumed"))
-    original = candidates(spark, sf_dir).select("entry_id", (F.size("assumptions") > 0).alias("was_assumed"))
-    return after.join(original, "entry_id").agg(
-        F.count("*").alias("candidates"), before.alias("before_answers"), flagged.alias("after_answers"),
-        F.round(before / F.count("*"), 4).alias("rate_before"), F.round(flagged / F.count("*"), 4).alias("rate_after"),
-    )
-
-
 EDITED = f"""WITH {GATE}, j0 AS (SELECT c.*, new_title, new_date, new_start, new_end, new_location, coalesce(to_all_day, false) AS to_day,
       (new_title IS NOT NULL OR new_date IS NOT NULL OR new_start IS NOT NULL OR new_location IS NOT NULL OR coalesce(to_all_day, false)) AS asked,
       all_day AND new_start IS NULL OR coalesce(to_all_day, false) AS day_form, date_diff('day', start_date, end_date) AS span,
