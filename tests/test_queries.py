@@ -21,6 +21,7 @@ SHORT = (
     "candidate_gate", "assumption_questions", "apply_edits", "occurrences", "reminder_plan", "calendar_duplicates",
     "slot_merge", "slot_changes", "busiest_page", "invariant_audit", "corpus_summary", "stream_history",
     "csv_cells", "document_kind", "document_candidates", "undo_import", "stream_dedupe",
+    "section_schedules", "date_questions", "sink_timetables", "cell_context", "merged_periods", "field_table",
 )
 entry.queries()
 REGISTERED = sorted(QUERIES)
