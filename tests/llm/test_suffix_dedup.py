@@ -66,3 +66,22 @@ def test_query(spark):
     got = op10_suffix_dedup(spark, sf).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
     assert any(r.n_removed for r in got)
+
+
+def test_planted_passages_of_over_fifty_words(spark):
+    """A repeated passage goes if, and only if, 400 of its bytes repeat: over fifty words may be fewer bytes than that."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    filler = lambda: " ".join(word(rng.randrange(3, 10)) for _ in range(80))
+    rows, long, short, clean = [], set(), set(), set()
+    for i in range(60):
+        passage = " ".join(word(rng.choice([4, 5]) if i % 2 else rng.choice([8, 9])) for _ in range(rng.randrange(51, 60)))
+        (long if len(passage) >= 400 else short).update((2 * i, 2 * i + 1))
+        rows += [(2 * i + k, f"{filler()} <{k}{passage}{k}> {filler()}") for k in (0, 1)]
+    for i in range(1000, 1060):
+        rows.append((i, filler()))
+        clean.add(i)
+    got = {r.doc_id: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(long) > 40 and len(short) > 40
+    assert all(got[i] >= 400 for i in long)  # all caught
+    assert not any(got[i] for i in short | clean)  # nothing else is touched
