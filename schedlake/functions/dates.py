@@ -87,6 +87,7 @@ def calendar_valid(day: str, month: str, year: str) -> str:
 
 
 def invalid_reason(day: str, month: str, year: str) -> str:
+    # The wording is fixed: results carry it.
     names = ", ".join(f"'{m}'" for m in V.MONTH_NAMES)
     name = f"try_element_at(array({names}), IF({month} BETWEEN 1 AND 12, {month}, NULL))"
     return (

@@ -15,17 +15,20 @@ WEEKDAY_NAME = (
 )
 PIVOT_YEAR = 2026
 
+# Results depend on them exactly.
 CLOCK = r"(\d{1,2})(?:[:.](\d{2}))?"
 MARKER = r"\s*([aApP]\.?[mM]\.?)?"
 TIME_RANGE = r"\b" + CLOCK + MARKER + r"\s*(?:[-–—]|to)\s*" + CLOCK + MARKER
 TIME_SINGLE = r"\b" + CLOCK + MARKER
 
+# Results depend on them exactly.
 MONTH_NAMES = (
     "January", "February", "March", "April", "May", "June",
     "July", "August", "September", "October", "November", "December",
 )
 WEEKDAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
+# Results depend on them exactly.
 ROOM_COMPOUND = r"^[A-Za-z]{1,4}\d{1,4}[-/\s][A-Za-z]{1,4}\d{1,4}[A-Za-z]?$"
 ROOM_KEYWORD = r"(?i)^(room|rm|lab|hall|block|theatre|theater|lt)\.?\s*[-\s]?\w{1,6}$"
 ROOM_SIMPLE = r"^[A-Za-z]{1,4}[-\s]?\d{1,4}[A-Za-z]?$"
@@ -33,6 +36,7 @@ ROOM_NUMERIC = r"^\d{1,4}[-\s]?[A-Za-z]{1,3}$"
 INSTRUCTOR_PREFIX = r"(?i)\b(prof|dr|mr|mrs|ms|miss)\.?\s"
 SUBJECT_SPLITTERS = r"\n|/|\||,| - | – |\(|\)"
 
+# Results depend on them exactly.
 FIELD_SEPARATOR = r"\s*[:：]\s*|\s+[–—]\s+"
 TIME_LABELS = (
     "time", "reporting time", "departure", "arrival", "check-in", "check in",
@@ -54,6 +58,7 @@ WHERE_LABELS = (
     "platform", "gate", "terminal", "clinic", "hospital", "branch", "reporting at",
 )
 
+# Results depend on them exactly.
 DANGLING_WORDS = (
     "is", "on", "at", "by", "from", "to", "for", "of", "in", "the", "a", "an",
     "will", "be", "was", "are", "and", "upto", "till", "until", "before", "after",
@@ -83,6 +88,7 @@ COLUMN_HEADER_WORDS = (
     "reporting", "arrival", "departure", "seat", "coach", "test", "round",
 )
 
+# Results depend on them exactly.
 HEADER_TIME_WORDS = ("time", "timing", "timings", "hours", "slot", "reporting")
 HEADER_DATE_WORDS = (
     "date", "dated", "schedule", "departure", "arrival", "checkin", "checkout",

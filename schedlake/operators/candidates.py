@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Fixed values, as is the wording of the questions below: results carry them.
 ASSUMED_END, ASSUMED_DAY = "assumed-duration", "all-day-from-date-only"
 DEFAULT_MINUTES = 60
 

@@ -18,6 +18,7 @@ from schedlake.functions.ordered import WIDTH, ordered_scan, previous_row, runni
 from schedlake.session import written
 
 PAGE = ["doc_id", "page"]
+# Fixed values, in units of the median run height or as shares: results depend on them.
 TOLERANCE, GUTTER, QUIET, CROSSING, CROSSING_FLOOR, SPANNING = 0.6, 0.4, 0.15, 0.25, 4, 1.2
 MIN_SEPARATION, SPREAD = 0.15, 3.0
 

@@ -15,6 +15,7 @@ from schedlake.functions.ordered import ordered_scan, previous_row
 from schedlake.operators.tokens import date_tokens
 from schedlake.session import written
 
+# Results depend on them.
 MIN_SEQUENCE = 4
 MIN_COLUMN = 3
 
@@ -147,7 +148,7 @@ def date_questions(resolved: DataFrame, keys: list[str]) -> DataFrame:
 # ---- morning or evening ----
 
 WRITTEN, BY_24H, BY_ORDER, OPEN = "written", "24h", "order", "open"
-REASONS = {
+REASONS = {  # fixed wording: results carry it
     BY_24H: "this column uses 24-hour times",
     BY_ORDER: "read from the order of times in this column",
     OPEN: "couldn't tell if this is morning or evening",
