@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,11 +22,25 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def sent_whole(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table that a join may send to every task: it is counted first, and larger ones are shuffled like any other."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else changed (``lower`` would fold other scripts too)."""
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: Python workers live on, beside the memory of the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_text(
     rows: DataFrame, id_col: str, text_col: str, fields: str, work: Callable[[], Callable[[str], tuple]]
 ) -> DataFrame:
@@ -39,13 +55,18 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = work()
+        part = found = None
         for batch in batches:
-            size = 2048  # bounds what a task holds of its results
+            size = 1024  # bounds what a task holds of its results
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
                 found = [one(t) for t in part.column(1).to_pylist()]
                 if found:
                     yield arrow([part.column(0), *map(list, zip(*found, strict=True))], types)
+                found = None
+            batch = part = None
+        one = None
+        give_back()
 
     types = arrow_types(rows.sparkSession, schema)
     return source.mapInArrow(run, schema)

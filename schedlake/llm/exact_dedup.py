@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlake.llm.common import ascii_lower, table, whole
+from schedlake.llm.common import ascii_lower, sent_whole, table, whole
 from schedlake.session import written
 
 
@@ -71,8 +71,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__hash"))
     gone = written(groups.filter(~stays | (F.col("__rows") > 1)).select("__id", "__hash"), "dedup-gone")
     again = written(groups.filter(stays & (F.col("__rows") > 1)).select("__id", "__hash"), "dedup-again")
-    # copies grow with the corpus: their table is never broadcast, at any size
-    single = marked.join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
+    single = marked.join(sent_whole(gone), same, "left_anti").select(*docs.columns)
     repeated = marked.join(again, same, "left_semi").groupBy(id_col, "__sha")
     one = repeated.agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return single.unionByName(one)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schedlake.llm.common import per_text, table, whole
+from schedlake.llm.common import give_back, per_text, sent_whole, table, whole
 from schedlake.llm.components import components
 from schedlake.session import written
 
@@ -216,9 +216,11 @@ def _alike(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
 def similar_links(docs: DataFrame, key_col: str, text_col: str, shingle: int = 5, percent: int = 80, bands: int = 20, depth: int = 4) -> tuple[DataFrame, DataFrame]:
     """(key, ``node``) of every row and (a, b): links between nodes whose word shingles have a Jaccard similarity of ``percent`` or more.
 
-    Candidates share a SimHash component (three bits) or one of ``bands`` bands of ``depth`` minima; a pair at 0.8 shares
-    none of 20 bands with probability 3e-5.  All candidates of a bucket are compared on their whole sets, and only
-    links that hold come out, of each bucket a spanning forest.
+    Candidates share a SimHash component (three bits, by multi-index hashing) or one of ``bands`` bands of ``depth`` minima; a
+    pair at 0.8 shares none of 20 bands with probability 3e-5.  The bands carry most of this stage: at 0.8 some 15 % of
+    the bits of two fingerprints differ.  Texts stay in the scan: rows that meet another one give their shingle hashes there,
+    once.  Every member of a bucket is compared with the smallest one in plain joins, which Spark can split; only buckets
+    with a member unlike that one are compared whole, each in a task.  Links that hold come out, enough to join what is alike.
     """
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, bands * depth, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -238,25 +240,51 @@ def similar_links(docs: DataFrame, key_col: str, text_col: str, shingle: int = 5
     sizes = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"))
     sizes = written(sizes.where("n > 1").dropDuplicates(["n", "who"]), "near-buckets")
     members = written(rows.join(sizes.select("band", "value"), ["band", "value"]), "near-members")
-    texts = docs.select(F.xxhash64(f"{key_col}.id", f"{key_col}.h").alias("node"), whole(text_col).alias("text"))
-    texts = texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    nodes = written(members.select("node").distinct(), "near-nodes")
+    texts = docs.select(F.xxhash64(f"{key_col}.id", f"{key_col}.h").alias("node"), F.col(text_col).alias("text"))
+
+    def hashes():
+        return lambda text: (shingle_hashes(text, shingle).view(np.int64),)
+
+    sets = per_text(texts.join(sent_whole(nodes, 2_000_000), "node", "left_semi"), "node", "text", "hashes array<bigint>", hashes)
+    sets = written(sets.dropDuplicates(["node"]), "near-sets")
+    leaders = written(members.groupBy("band", "value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")), "near-leaders")
+    followers = members.join(leaders, ["band", "value"]).where("node != leader")
+    pairs = written(followers.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "hashes": "__a"}), "a").join(sets.withColumnsRenamed({"node": "b", "hashes": "__b"}), "b")
+    common = F.size(F.array_intersect("__a", "__b"))
+    alike = both.where(common * 100 >= percent * (F.size("__a") + F.size("__b") - common)).select("a", "b")
+    alike = written(alike, "near-alike")
+    # a bucket whose members are all like its leader is settled; else one that is not may be like another member
+    apart = followers.where("n > 2").join(alike, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
+    rest = written(apart.select("band", "value").distinct(), "near-rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets = None, [], []
-        for batch in itertools.chain(batches, [None]):
-            for *k, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, None, None, "")]:
+
+        def links() -> Iterator[pa.RecordBatch]:
+            found = _alike(nodes, sets, percent) if len(nodes) > 1 else []
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            column = batch.column(3)
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+            for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if k != key:
-                    found = _alike(nodes, sets, percent) if len(nodes) > 1 else []
-                    if found:
-                        a, b = np.array(found, np.int64).T
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    yield from links()
                     key, nodes, sets = k, [], []
-                nodes.append(n)
-                sets.append(shingle_hashes(t, shingle))
-
-    keyed = members.join(texts, "node").select("band", "value", "node", "text")
+                nodes.append(batch.column(2)[i].as_py())
+                sets.append(values[ends[i] : ends[i + 1]].copy())
+            batch = column = values = ends = None
+        yield from links()
+        nodes, sets = [], []
+        give_back()
+
+    keyed = members.join(rest, ["band", "value"], "left_semi").join(sets, "node").select("band", "value", "node", "hashes")
     links = keyed.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(run, "a bigint, b bigint")
-    return sketch.select(key_col, "node"), links
+    return sketch.select(key_col, "node"), alike.unionByName(links)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **near) -> DataFrame:
@@ -270,7 +298,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = written(keys.join(components(links, "a", "b"), "node").select("__key", "root"), "near-classes")
     least = of.groupBy("root").agg(F.min("__key").alias("least"))
     gone = written(of.join(least, "root").where("__key != least").select(F.col("__key").alias("__gone")).distinct(), "near-gone")
-    return rows.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+    return rows.join(sent_whole(gone), F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from schedlake.llm.common import table
 from schedlake.llm.quality import classify
 from test_decontamination import brute_force
 from test_exact_dedup import FOLD
-from test_simhash import by_definition, roots
+from test_similar import shingles
+from test_simhash import roots
 
 SF = "/root/testdata/sf0.001"
 SP = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -24,12 +25,10 @@ def exact_by_definition(docs):
 
 
 def near_by_definition(docs):
-    prints = {i: by_definition(t) for i, t in docs.items()}
-    root = roots(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 3)
-    keep = {}
-    for i, p in prints.items():
-        keep[root[p]] = min(i, keep.get(root[p], i))
-    return {i: docs[i] for i in keep.values()}
+    """Of documents linked by a five-word Jaccard similarity of 0.8 or more the smallest id."""
+    sets = {i: shingles(t or "") for i, t in docs.items()}
+    root = roots(sorted(docs), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    return {i: t for i, t in docs.items() if root[i] == i}
 
 
 def test_run_equals_brute_force(spark):
