@@ -1,6 +1,6 @@
 """Secret scan: three fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-What the patterns find are the labelled samples of random strings; the other tokens of the same documents
+What the patterns find are the labelled samples of random strings; the other tokens of all documents
 are those of ordinary ones.  Transition counts of both kinds become one table of log-likelihood ratios of
 128 x 128 cells, however large the corpus.  A token whose transitions sum to more than a margin, and do so
 per character too, is a further span.
@@ -59,10 +59,9 @@ def _base() -> list[str]:
 
 
 def samples(docs: DataFrame, text_col: str = "text", least: int = 8) -> DataFrame:
-    """(sample, random): what the patterns find, and the other tokens of those documents of ``least`` or more characters."""
+    """(sample, random): what the patterns find, and the other tokens of all documents of ``least`` or more characters."""
     rows = docs.select(whole(text_col).alias("text"))
     found = rows.select("text", F.expr(f"filter(concat({', '.join(_base())}), x -> x.kept)").alias("found"))
-    found = found.where("size(found) > 0")
     bare = "text"
     for pattern in (ASSIGN + VALUE, ACCESS, HEX):
         bare = f"regexp_replace({bare}, {_quoted(pattern)}, ' ')"
@@ -81,14 +80,13 @@ def train(labelled: DataFrame) -> DataFrame:
 
     ``labelled``: (sample, random).  Null samples and characters beyond ASCII are skipped.  Without samples of both kinds all cells are 0.
     """
-    codes = labelled.where("sample is not null and random is not null").select(
-        "random", F.expr("transform(split(sample, ''), c -> ascii(c))").alias("codes")
-    )
+    known = labelled.where("sample is not null and random is not null").groupBy("sample", "random").agg(F.count(F.lit(1)).alias("n"))
+    codes = known.select("random", "n", F.expr("transform(split(sample, ''), c -> ascii(c))").alias("codes"))
     steps = codes.where("size(codes) > 1").select(
-        "random", F.explode(F.expr("zip_with(slice(codes, 1, size(codes) - 1), slice(codes, 2, size(codes) - 1), (a, b) -> if(a < 128 and b < 128, a * 128 + b, null))")).alias("cell")
+        "random", "n", F.explode(F.expr("zip_with(slice(codes, 1, size(codes) - 1), slice(codes, 2, size(codes) - 1), (a, b) -> if(a < 128 and b < 128, a * 128 + b, null))")).alias("cell")
     )
     counts = steps.where("cell is not null").groupBy("cell").agg(
-        F.count(F.when(F.col("random"), 1)).alias("r"), F.count(F.when(~F.col("random"), 1)).alias("o")
+        *[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(a) for a, c in (("r", F.col("random")), ("o", ~F.col("random")))]
     )
     counts = written(counts, "secret-transitions")
     spark = labelled.sparkSession
@@ -184,7 +182,7 @@ CHECK = f"""
     v as (select *, case when kind = 0 then regexp_extract(m, '^{_ASSIGN}({VALUE})$', 1) else m end as value from f),
     b as (select *, kind < 3 and (kind > 0 or length(value) >= 6) as base, sum(moved) over (partition by doc_id, kind order by i) as stop from v),
     s as (select value as sample, true as random from b where base
-        union all select unnest(regexp_extract_all({_BARE}, '{TOKEN}{{8,}}')), false from d where doc_id in (select doc_id from b where base)),
+        union all select unnest(regexp_extract_all({_BARE}, '{TOKEN}{{8,}}')), false from d),
     t as (select random, unnest(list_transform(range(1, len(c)), lambda i: case when c[i] < 128 and c[i + 1] < 128 then c[i] * 128 + c[i + 1] end)) as cell
         from (select random, list_transform(string_split(sample, ''), lambda x: ascii(x)) as c from s)),
     n as (select cell, count(*) filter (random) as r, count(*) filter (not random) as o from t where cell is not null group by cell),

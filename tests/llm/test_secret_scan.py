@@ -75,6 +75,15 @@ def test_repeats_nulls_and_empty(spark):
     assert scan(df.limit(0), train(samples(df.limit(0)))).count() == 0
 
 
+def test_ordinary_tokens_come_from_all_documents(spark):
+    docs = [(1, "token=Zx81kQp0vBn3 beside"), (2, "identifier_of_plain words"), (3, "another_identifier"), (4, None)]
+    got = samples(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.sample, r.random) for r in got) == [("Zx81kQp0vBn3", True), ("another_identifier", False), ("identifier_of_plain", False)]
+    # without any labelled secret there is nothing to compare with: base columns are empty, and no span is added
+    plain = spark.createDataFrame([(2, "identifier_of_plain Zx81kQp0vBn3Zx81kQp0vBn3"), (3, "")], "doc_id long, text string")
+    assert [(r.found, r.n_assign, r.n_markov) for r in scan(plain, train(samples(plain))).collect()] == [([], 0, 0)] * 2
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
