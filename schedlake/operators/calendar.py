@@ -155,6 +155,7 @@ def near_keys(new: DataFrame, old: DataFrame, at: list[str]) -> DataFrame:
     An old key is cut into more segments than its partners may have edits.  Of ``e`` + 1 + spare segments at least spare + 1 stay whole
     whatever the edits, shifted no further than the edits allow, so it is enough to look up the ``e`` + 1 rarest: what many
     keys share (a common beginning) is left out.  Keys choose the number of segments under which those are rarest.
+    Joins are shuffled whatever Spark estimates: the estimates leave out the rows that generators make.
     """
     spare = ", ".join(map(str, SPARE))
     cut = old.select(*at, "old_key", F.length("old_key").alias("lo")).where("lo > 0").selectExpr(
@@ -162,20 +163,20 @@ def near_keys(new: DataFrame, old: DataFrame, at: list[str]) -> DataFrame:
     ).selectExpr("*", f"explode(array_distinct(transform(array({spare}), x -> least(edits + 1 + x, lo)))) AS n")
     cut = _segments(cut).withColumn("segment", F.expr("substring(old_key, start + 1, width)"))
     place = [*at, "lo", "n", "i", "segment"]
-    counted = cut.join(cut.groupBy(*place).agg(F.count("*").alias("often")), place)
+    counted = cut.hint("merge").join(cut.groupBy(*place).agg(F.count("*").alias("often")), place)
     rank = F.row_number().over(W.partitionBy(*at, "old_key", "n").orderBy("often", "i"))
     rarest = written(counted.withColumn("rank", rank).where("rank <= edits + 1").select(*place, "old_key", "often"), "rare-segments")
     costs = rarest.groupBy(*at, "old_key", "n").agg(F.sum("often").alias("cost"))
     chosen = costs.groupBy(*at, "old_key").agg(F.min_by("n", F.struct("cost", "n")).alias("n"))
-    index = written(rarest.join(chosen, [*at, "old_key", "n"]).select(*place, "old_key"), "segment-index")
+    index = written(rarest.hint("merge").join(chosen, [*at, "old_key", "n"]).select(*place, "old_key"), "segment-index")
     lengths = index.select(*at, "lo", "n").distinct()
-    probes = new.select(*at, "new_key", F.length("new_key").alias("ln")).where("ln > 0").join(lengths, at)
+    probes = new.select(*at, "new_key", F.length("new_key").alias("ln")).where("ln > 0").hint("merge").join(lengths, at)
     probes = _segments(probes.where(f"least(lo, ln) * 100 >= greatest(lo, ln) * {PERCENT}").selectExpr("*", f"{_allowed('greatest(lo, ln)')} AS edits"))
     # edits left of the segment are at least its shift, edits right of it at least what the shift and the lengths differ by
     low, high = "CAST(greatest(0, start + ceil((ln - lo - edits) / 2)) AS INT)", "CAST(least(ln - width, start + floor((ln - lo + edits) / 2)) AS INT)"
     probes = probes.where(f"{low} <= {high}").selectExpr(*at, "new_key", "lo", "n", "i", "width", f"explode(sequence({low}, {high})) AS s")
     probes = probes.selectExpr(*at, "new_key", "lo", "n", "i", "substring(new_key, s + 1, width) AS segment").distinct()
-    return probes.join(index, place).select(*at, "new_key", "old_key").distinct()
+    return probes.hint("merge").join(index, place).select(*at, "new_key", "old_key").distinct()
 
 
 def find_duplicates(planned: DataFrame, existing: DataFrame) -> DataFrame:
@@ -197,8 +198,8 @@ def find_duplicates(planned: DataFrame, existing: DataFrame) -> DataFrame:
     pairs = near_keys(keys, old, at).where(F.col("new_key") != F.col("old_key"))
     close = pairs.where(similarity(F.col("old_key"), F.col("new_key")) >= SIMILAR)
     close = close.unionByName(keys.withColumn("old_key", F.col("new_key")))
-    first = close.join(old, [*at, "old_key"]).groupBy(*at, "new_key").agg(F.min("old").alias("old"))
-    return new.join(first, [*at, "new_key"]).select(
+    first = close.hint("merge").join(old, [*at, "old_key"]).groupBy(*at, "new_key").agg(F.min("old").alias("old"))
+    return new.hint("merge").join(first, [*at, "new_key"]).select(
         "entry_id", F.col("old.title").alias("existing_title"), F.col("old.event_id").alias("event_id"),
         F.col("old.ours").alias("created_by_us"),
     )
@@ -208,8 +209,8 @@ def skip_duplicates(planned: DataFrame, duplicates: DataFrame, add_anyway: DataF
     """Planned events without those found, except the ones the user adds anyway."""
     skipped = duplicates.select("entry_id")
     if add_anyway is not None:
-        skipped = skipped.join(add_anyway, "entry_id", "left_anti")
-    return planned.join(skipped, "entry_id", "left_anti")
+        skipped = skipped.hint("merge").join(add_anyway, "entry_id", "left_anti")
+    return planned.hint("merge").join(skipped, "entry_id", "left_anti")
 
 
 def event_rows(candidates: DataFrame, zone: str) -> DataFrame:

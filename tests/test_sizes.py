@@ -1,5 +1,6 @@
 """What must not reach the driver or be computed once a row, however small Spark takes its input to be."""
 
+from schedlake.operators import calendar as L
 from schedlake.operators import quality as Q
 
 
@@ -19,3 +20,11 @@ def test_surroundings_of_cells_are_shuffled_and_whole(spark):
             if f.doc_id == c.doc_id and abs(f.row_no - c.row_no) <= reach and abs(f.col - c.col) <= reach
         )
         assert got == want
+
+
+def test_duplicates_are_met_by_shuffles(spark):
+    rows = spark.range(50).selectExpr("CAST(id AS STRING) AS entry_id", "id AS event_id", "1 AS calendar_id", "7L AS start_ms", "concat('meeting ', id) AS title", "false AS deleted", "CAST(NULL AS STRING) AS app_uri")
+    found = L.find_duplicates(rows, rows)
+    rest = L.skip_duplicates(rows, found, found.where("event_id = 3").select("entry_id"))
+    assert found.count() == 50
+    assert "BroadcastHashJoin" not in _plan(found) and "BroadcastHashJoin" not in _plan(rest)
