@@ -1,7 +1,13 @@
 """What must not reach the driver or be computed once a row, however small Spark takes its input to be."""
 
+import time
+
+from pyspark.sql import functions as F
+
+from schedlake.functions import dates as D
 from schedlake.operators import calendar as L
 from schedlake.operators import quality as Q
+from schedlake.operators import schedules as S
 
 
 def _plan(df):
@@ -28,3 +34,19 @@ def test_duplicates_are_met_by_shuffles(spark):
     rest = L.skip_duplicates(rows, found, found.where("event_id = 3").select("entry_id"))
     assert found.count() == 50
     assert "BroadcastHashJoin" not in _plan(found) and "BroadcastHashJoin" not in _plan(rest)
+
+
+def test_a_long_line_of_digits_is_no_long_search(spark):
+    text = spark.range(8).select(F.repeat(F.lit("7 x "), 20_000).alias("text"))
+    begin = time.time()
+    assert text.selectExpr(f"size({D.date_tokens('text')}) AS n").agg(F.sum("n")).first()[0] == 0
+    assert text.selectExpr(f"{D.holds_reading('text')} AS r").where("r").count() == 0
+    assert time.time() - begin < 20
+
+
+def test_equal_lines_are_read_once(spark):
+    lines = spark.range(3000).selectExpr("id AS doc_id", "1 AS line_no", "concat('Due date: ', 1 + id % 3, ' May 2026') AS text")
+    read = S.prose_dates(lines)
+    assert read.count() == 3000
+    folder = next(f for f in read.inputFiles() if "date-texts" in f).rsplit("/", 1)[0]
+    assert spark.read.parquet(folder).count() == 3
