@@ -50,3 +50,12 @@ def test_equal_lines_are_read_once(spark):
     assert read.count() == 3000
     folder = next(f for f in read.inputFiles() if "date-texts" in f).rsplit("/", 1)[0]
     assert spark.read.parquet(folder).count() == 3
+
+
+def test_equal_cells_are_read_once(spark):
+    cells = spark.range(3000).selectExpr("id AS doc_id", "'s' AS sheet", "1 AS row_no", "1 AS col", "concat('9:', 10 + id % 3, ' 12/05/2026') AS text")
+    at = ["doc_id", "sheet", "row_no", "col"]
+    for read, folder in ((S.cell_features(cells), "cell-texts"), (S.cell_dates(cells, at), "cell-date-texts")):
+        assert read.count() == 3000
+        written = next(f for f in read.inputFiles() if folder in f).rsplit("/", 1)[0]
+        assert spark.read.parquet(written).count() == 3
