@@ -122,17 +122,19 @@ def column_spans(lined: DataFrame, units: DataFrame) -> DataFrame:
     pages = _pages(lined, units)
     at = "CAST(greatest(least(floor(({0} - x0) / bucket), buckets - 1), 0) AS BIGINT)"
     spans = lined.join(pages, PAGE).selectExpr(
-        *PAGE, "line", f"r - l > width * {SPANNING} AS wide", f"{at.format('l')} AS lo", f"{at.format('r')} + 1 AS hi"
+        *PAGE, "line", f"r - l > width * {SPANNING} AS wide", f"{at.format('l')} AS lo", f"{at.format('r')} + 1 AS hi", "buckets"
     )
     strip = W.partitionBy(*PAGE, "line", "wide").orderBy("lo", "hi")
     reach = F.max("hi").over(strip.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.withColumn("__new", F.coalesce(F.col("lo") > reach, F.lit(True)).cast("int")).withColumn(
         "__isle", F.sum("__new").over(strip.rowsBetween(W.unboundedPreceding, 0))
     )
-    merged = islands.groupBy(*PAGE, "line", "wide", "__isle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    borders = merged.selectExpr(
-        *PAGE, "inline(array(named_struct('at', lo, 'd', 1, 'wide', wide), named_struct('at', hi, 'd', -1, 'wide', wide)))"
-    ).unionByName(pages.selectExpr(*PAGE, "explode(array(0, buckets)) AS at", "0 AS d", "false AS wide"))
+    merged = islands.groupBy(*PAGE, "line", "wide", "__isle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("buckets").alias("buckets"))
+    # The ends of the page come with the first stretch of a line, not by a union: Spark 4.1 takes a union of two inputs dealt by page
+    # as dealt by page itself, also where it has coalesced their partitions differently, and then groups them apart.
+    ends = "named_struct('at', 0L, 'd', 0, 'wide', wide), named_struct('at', buckets, 'd', 0, 'wide', wide)"
+    both = "named_struct('at', lo, 'd', 1, 'wide', wide), named_struct('at', hi, 'd', -1, 'wide', wide)"
+    borders = merged.selectExpr(*PAGE, f"inline(IF(__isle = 1, array({both}, {ends}), array({both})))")
     borders = borders.groupBy(*PAGE, "at").agg(
         F.sum(F.expr("IF(wide, 0, d)")).alias("d_cell"), F.sum(F.expr("IF(wide, d, 0)")).alias("d_wide")
     )

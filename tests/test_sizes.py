@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from schedlake.functions import dates as D
 from schedlake.operators import calendar as L
+from schedlake.operators import geometry as G
 from schedlake.operators import quality as Q
 from schedlake.operators import schedules as S
+from schedlake.session import written
 
 
 def _plan(df):
@@ -59,3 +61,15 @@ def test_equal_cells_are_read_once(spark):
         assert read.count() == 3000
         written = next(f for f in read.inputFiles() if folder in f).rsplit("/", 1)[0]
         assert spark.read.parquet(written).count() == 3
+
+
+def test_borders_of_a_page_are_grouped_after_no_union(spark, monkeypatch):
+    """A union of rows dealt by page is not dealt by page once its inputs are coalesced apart, yet is grouped as if it were."""
+    rows = [("d", p, i, "word", 100.0 * (i % 3), 20.0 * (i // 3), 100.0 * (i % 3) + 40, 20.0 * (i // 3) + 10, None, "PdfTextLayer") for p in range(4) for i in range(12)]
+    runs = spark.createDataFrame(rows, "doc_id string, page int, run_id long, text string, l double, t double, r double, b double, conf double, origin string")
+    units, plans = G.page_units(runs), []
+    lines = written(G.cluster_lines(runs, units), "lines")
+    monkeypatch.setattr(G, "written", lambda df, name: plans.append(_plan(df)) or written(df, name))
+    spans = G.column_spans(lines, units).groupBy("doc_id", "page").count().collect()
+    assert [r["count"] for r in spans] == [3] * 4
+    assert plans and not any("Union" in p for p in plans)
