@@ -8,6 +8,7 @@ from schedlake.functions import dates as D
 from schedlake.operators import calendar as L
 from schedlake.operators import geometry as G
 from schedlake.operators import quality as Q
+from schedlake.operators import pages as P
 from schedlake.operators import schedules as S
 from schedlake.session import written
 
@@ -73,3 +74,26 @@ def test_borders_of_a_page_are_grouped_after_no_union(spark, monkeypatch):
     spans = G.column_spans(lines, units).groupBy("doc_id", "page").count().collect()
     assert [r["count"] for r in spans] == [3] * 4
     assert plans and not any("Union" in p for p in plans)
+
+
+def test_boxes_of_a_line_move_once(spark):
+    """Phrases over borders of ranges are whole, and boxes are dealt out once and not again for every step."""
+    def box(line, pos, left):
+        return (line, pos, f"w{pos}", float(left), 0.0, left + 40.0, 10.0, 0.9)
+    far = [(1, i, 60 * i + 30 * (i % 3 == 0)) for i in range(1, 6000)]  # 20 or 50 apart, three ranges of x and more
+    one_phrase = [(2, i, 50 * i) for i in range(4000)]  # 10 apart, from one end to the other
+    boxes = spark.createDataFrame([box(*b) for b in [*far, *one_phrase, (3, 0, 0), (3, 1, 200_000)]], "line long, pos int, text string, l double, t double, r double, b double, conf double").withColumn("space", F.lit(8.0))
+    for merged, reach in ((P.merge_glyphs(boxes, ["line"]), 32), (P.merge_phrases(boxes, ["line"], 1.5), None)):
+        got = {}
+        for r in merged.collect():
+            got.setdefault(r.line, []).append((r.part, r.l, r.r, r.n, r.text.replace(" ", "")))
+        for line, rows in (("far", far), ("one", one_phrase)):
+            line, want, prev = rows[0][0], [], None
+            limit = reach or 1.5 * sum(40 / len(f"w{i}") for _, i, _ in rows) / len(rows)
+            for _, i, left in rows:
+                if prev is None or left - prev > limit:
+                    want.append([len(want) + 1, float(left), 0, 0, ""])
+                want[-1][2], want[-1][3], want[-1][4], prev = left + 40.0, want[-1][3] + 1, want[-1][4] + f"w{i}", left + 40
+            assert sorted(got[line]) == [tuple(w) for w in want]
+        assert [x[0] for x in sorted(got[3])] == [1, 2]
+        assert _plan(merged).count("Exchange hashpartitioning") <= 6
