@@ -10,7 +10,9 @@ from schedlake.operators import geometry as G
 from schedlake.operators import quality as Q
 from schedlake.operators import pages as P
 from schedlake.operators import schedules as S
+from schedlake.plans import resolution
 from schedlake.session import written
+from schedlake.sources import rendered
 
 
 def _plan(df):
@@ -97,3 +99,17 @@ def test_boxes_of_a_line_move_once(spark):
             assert sorted(got[line]) == [tuple(w) for w in want]
         assert [x[0] for x in sorted(got[3])] == [1, 2]
         assert _plan(merged).count("Exchange hashpartitioning") <= 6
+
+
+def test_rows_to_search_are_spread_over_tasks(spark, monkeypatch):
+    """A file of few bytes holds many rows: no task gets more than its number of them."""
+    monkeypatch.setattr(rendered, "ROWS_A_TASK", 500)
+    monkeypatch.setattr(rendered, "_ROWS", {})
+    lines = rendered.rendered(spark, "/root/testdata/sf0.01", "notices")
+    sizes = lines.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == lines.count() // 500 and max(r["count"] for r in sizes) <= 600
+
+
+def test_dates_of_a_sequence_are_read_once(spark):
+    plan = _plan(resolution.date_order_sequence(spark, "/root/testdata/sf0.001"))
+    assert "dates-" in plan and "regexp" not in plan.lower()
