@@ -10,6 +10,7 @@ from schedlake.operators import geometry as G
 from schedlake.operators import quality as Q
 from schedlake.operators import pages as P
 from schedlake.operators import schedules as S
+from schedlake.operators import tokens as K
 from schedlake.plans import resolution
 from schedlake.session import written
 from schedlake.sources import rendered
@@ -113,3 +114,10 @@ def test_rows_to_search_are_spread_over_tasks(spark, monkeypatch):
 def test_dates_of_a_sequence_are_read_once(spark):
     plan = _plan(resolution.date_order_sequence(spark, "/root/testdata/sf0.001"))
     assert "dates-" in plan and "regexp" not in plan.lower()
+
+
+def test_overlaps_are_searched_once(spark):
+    lines = spark.range(5).selectExpr("id AS doc_id", "id AS line_no", "IF(id = 4, 'none', concat('due 0', id + 1, '/02/2026')) AS text")
+    report = K.overlap_report(lines, ["doc_id", "line_no"])
+    assert sorted((r.line_no, r.found, r.kept, r.kept_raw) for r in report.collect()) == [(i, 1, 1, f"0{i + 1}/02/2026") for i in range(4)]
+    assert not any("RLIKE" in x for x in _plan(report).splitlines() if "Filter" in x)
