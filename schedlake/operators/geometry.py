@@ -130,8 +130,8 @@ def column_spans(lined: DataFrame, units: DataFrame) -> DataFrame:
         "__isle", F.sum("__new").over(strip.rowsBetween(W.unboundedPreceding, 0))
     )
     merged = islands.groupBy(*PAGE, "line", "wide", "__isle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("buckets").alias("buckets"))
-    # The ends of the page come with the first stretch of a line, not by a union: Spark 4.1 takes a union of two inputs dealt by page
-    # as dealt by page itself, also where it has coalesced their partitions differently, and then groups them apart.
+    # The ends of the page come with the first stretch of a line, not by a union: Spark 4.1 groups a union of two inputs dealt by page
+    # without a shuffle, and on many pages borders were grouped apart and came twice.
     ends = "named_struct('at', 0L, 'd', 0, 'wide', wide), named_struct('at', buckets, 'd', 0, 'wide', wide)"
     both = "named_struct('at', lo, 'd', 1, 'wide', wide), named_struct('at', hi, 'd', -1, 'wide', wide)"
     borders = merged.selectExpr(*PAGE, f"inline(IF(__isle = 1, array({both}, {ends}), array({both})))")
