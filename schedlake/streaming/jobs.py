@@ -39,8 +39,10 @@ class Reminder(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("reminder", "due_ms LONG, fired BOOLEAN")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        due = min((r.due_ms for r in rows if r.due_ms is not None), default=None)
-        if due is not None and due > timerValues.getCurrentWatermarkInMs():  # what has passed is never planned
+        clock = timerValues.getCurrentWatermarkInMs()
+        # what was over when it was seen is never planned; what the clock overtook on the way fires at once
+        due = min((r.due_ms for r in rows if r.due_ms is not None and (r.due_ms > clock or r.due_ms > r.seen_ms)), default=None)
+        if due is not None:
             planned, fired = self.state.get() if self.state.exists() else (None, False)
             if not fired and (planned is None or due < planned):
                 if planned is not None:
@@ -64,11 +66,12 @@ def fire_reminders(stream: DataFrame, folder: str) -> Callable[[], None]:
 
     ``stream``: id, due_ms, seen_ms (when it arrived; its maximum is the clock).  State is kept by reminder, with a timer at its
     due time.  Of a reminder that comes several times the earliest time counts, until it has fired; what was due
-    before the clock when it arrived is never planned.  Every row comes as two: the plan has no event time, so a reminder that
+    before it was seen, and before the clock, is never planned.  Which rows share a batch decides nothing else: a reminder seen
+    in time fires also where rows of a later batch's instants came with an earlier batch.  Every row comes as two: the plan has no event time, so a reminder that
     arrives late is not dropped as late data, and the tick moves the clock.
     """
-    plan = F.struct(F.col("due_ms"), F.lit(None).cast("timestamp").alias("at"))
-    tick = F.struct(F.lit(None).cast("long").alias("due_ms"), F.timestamp_millis("seen_ms").alias("at"))
+    plan = F.struct(F.col("due_ms"), F.col("seen_ms"), F.lit(None).cast("timestamp").alias("at"))
+    tick = F.struct(F.lit(None).cast("long").alias("due_ms"), F.col("seen_ms"), F.timestamp_millis("seen_ms").alias("at"))
     rows = stream.select("id", F.explode(F.array(plan, tick)).alias("r")).select("id", "r.*").withWatermark("at", "0 seconds")
     fired = rows.groupBy("id").transformWithState(
         Reminder(), outputStructType="id LONG, due_ms LONG", outputMode="Append", timeMode="EventTime"

@@ -65,6 +65,15 @@ def test_reminders_fire_once_over_a_restart_and_a_replayed_batch(spark, few_part
     assert {os.path.basename(p) for p in glob.glob(f"{folder.removeprefix('file:')}/*")} == {"checkpoint", "out"}
 
 
+def test_a_reminder_overtaken_by_the_clock_fires(spark, few_partitions):
+    """Rows of later instants may come with an earlier batch: a reminder seen in time is not lost for that."""
+    source = Source(spark, "id long, due_ms long, seen_ms long")
+    source.add((1, 10**9, 50_000)).add((2, 20_000, 10_000), (3, 9000, 10_000))
+    folder = shared_folder(spark, "reminders")
+    J.fire_reminders(source.stream(), folder)()
+    assert rows(spark.read.schema("id long, due_ms long").parquet(f"{folder}/out/batch=*")) == [(2, 20_000)]
+
+
 def test_a_first_arrival_is_kept_however_late(spark, few_partitions):
     import hashlib
 
