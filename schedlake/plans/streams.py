@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from schedlake.operators import store
 from schedlake.plans import calendars
 from schedlake.plans.registry import query
-from schedlake.session import shared_folder
+from schedlake.session import shared_folder, written
 from schedlake.sources.ledger import write_results
 from schedlake.sources.rendered import duck, rendered
 from schedlake.streaming import jobs as J
 
 
 def replay(df, spark, name: str, batches: int = 4):
-    """The rows as a file stream: the files of each ``step`` written after those of the one before."""
-    path = shared_folder(spark, name)
+    """The rows as a file stream: the files of each ``step`` written after those of the one before.
+
+    What the rows are made from is read once, in as many tasks as it has splits; only the rows themselves go into four files a step.
+    """
+    path, rows = shared_folder(spark, name), written(df, f"{name}-rows")
     for step in range(batches):
-        df.where(f"pmod(step, {batches}) = {step}").drop("step").coalesce(4).write.mode("append").parquet(f"{path}/{step}")
+        rows.where(f"pmod(step, {batches}) = {step}").drop("step").coalesce(4).write.mode("append").parquet(f"{path}/{step}")
     return spark.readStream.schema(df.drop("step").schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/*")
 
 

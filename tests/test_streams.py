@@ -156,3 +156,21 @@ def test_ledger(spark):
     ledger.replace(table((3, "c"), (5, "e")), schema, "r4", 4)
     assert rows(ledger.read(schema)) == [(3, "c"), (5, "e")] and spark.read.parquet(f"{path}/data/run=r4").count() == 3
     assert Ledger(spark, shared_folder(spark, "none"), ["k"]).read(schema).count() == 0
+
+
+def test_a_replayed_table_is_read_in_all_its_tasks(spark):
+    """Four files a step, but what the rows are made from is read in every split, not in four tasks."""
+    from pyspark import TaskContext
+
+    from schedlake.plans.streams import replay
+
+    def task(frames):
+        for frame in frames:
+            yield frame.assign(task=TaskContext.get().partitionId())
+
+    made = spark.range(0, 64, 1, 16).selectExpr("id", "CAST(id % 2 AS INT) AS step", "0 AS task")
+    stream, tasks = replay(made.mapInPandas(task, "id long, step int, task int"), spark, "replayed", 2), set()
+    started = stream.writeStream.option("checkpointLocation", shared_folder(spark, "replayed-checkpoint"))
+    started = started.foreachBatch(lambda batch, _: tasks.update(r.task for r in batch.select("task").distinct().collect()))
+    started.trigger(availableNow=True).start().awaitTermination()
+    assert len(tasks) == 16
