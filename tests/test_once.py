@@ -44,3 +44,11 @@ def test_subjects_are_split_once(spark, read):
     found = S._entries(cells, "row_no").select("title", "location").collect()
     assert [tuple(r) for r in found] == [("Physics", "K12")] * 50
     assert read == {"subject-texts": 1}
+
+
+def test_cues_are_searched_once_and_over_a_line_break(spark, read):
+    rows = [(1, i, "Bring the form") for i in range(20)] + [(2, 0, "Pay before the LAST"), (2, 1, "Day of May"), (3, 0, "Reporting"), (3, 1, "atlas of gates")]
+    rows += [(4, 0, "last"), (4, 1, None), (4, 2, "day"), (5, 0, "the last"), (5, 1, "holiday")]
+    kinds = K.document_kind(spark.createDataFrame(rows, "doc_id long, line_no long, text string"), ["doc_id"])
+    assert sorted(map(tuple, kinds.collect())) == [(1, "Unknown"), (2, "Deadline"), (3, "Travel"), (4, "Unknown"), (5, "Unknown")]
+    assert read == {"cue-texts": 10}
