@@ -154,7 +154,8 @@ def near_keys(new: DataFrame, old: DataFrame, at: list[str]) -> DataFrame:
 
     An old key is cut into more segments than its partners may have edits.  Of ``e`` + 1 + spare segments at least spare + 1 stay whole
     whatever the edits, shifted no further than the edits allow, so it is enough to look up the ``e`` + 1 rarest: what many
-    keys share (a common beginning) is left out.  Keys choose the number of segments under which those are rarest.
+    keys share (a common beginning) is left out.  Keys choose the number of segments under which those are rarest.  A pair that may
+    have fewer edits than the longest partner must share as many more of the segments looked up.
     Joins are shuffled whatever Spark estimates: the estimates leave out the rows that generators make.
     """
     spare = ", ".join(map(str, SPARE))
@@ -176,7 +177,10 @@ def near_keys(new: DataFrame, old: DataFrame, at: list[str]) -> DataFrame:
     low, high = "CAST(greatest(0, start + ceil((ln - lo - edits) / 2)) AS INT)", "CAST(least(ln - width, start + floor((ln - lo + edits) / 2)) AS INT)"
     probes = probes.where(f"{low} <= {high}").selectExpr(*at, "new_key", "lo", "n", "i", "width", f"explode(sequence({low}, {high})) AS s")
     probes = probes.selectExpr(*at, "new_key", "lo", "n", "i", "substring(new_key, s + 1, width) AS segment").distinct()
-    return probes.hint("merge").join(index, place).select(*at, "new_key", "old_key").distinct()
+    # a key has one segment for each i, and a probe asks for it once: rows of a pair are the segments it shares
+    shared = probes.hint("merge").join(index, place).groupBy(*at, "lo", "new_key", "old_key").agg(F.count("*").alias("shared"))
+    needed = f"{_allowed(f'(lo * 100 div {PERCENT})')} + 1 - {_allowed('greatest(lo, length(new_key))')}"
+    return shared.where(f"shared >= {needed}").select(*at, "new_key", "old_key")
 
 
 def find_duplicates(planned: DataFrame, existing: DataFrame) -> DataFrame:

@@ -67,3 +67,13 @@ def test_very_many_titles_at_one_instant(spark, n=100_000, asked=1000):
     close = pairs.withColumn("near", L.similarity(F.col("old_key"), F.col("new_key")) >= L.SIMILAR)
     counts = close.agg(F.count("*").alias("n"), F.count_if("near").alias("near")).first()
     assert counts.near >= asked and counts.n < 200 * asked  # of 100,000 for each
+
+
+def test_one_shared_segment_is_too_little(spark):
+    """Of 32 letters at most four may be edited, and six segments are looked up: a pair must share two."""
+    key = "abcdefghijklmnopqrstuvwxyz012345"
+    rows = lambda keys, name: spark.createDataFrame([(1, 2, k) for k in keys], f"calendar_id int, start_ms long, {name} string")
+    one = {key[:4] + "#" * 28, "#" * 28 + key[28:], "#" * 12 + key[12:16] + "#" * 16}
+    near = {key, key[:10] + "####" + key[14:], "##" + key + "#", "#" + key[1:8] + "#" + key[9:16] + "#" + key[17:24] + "#" + key[25:]}
+    pairs = L.near_keys(rows(sorted(one | near), "new_key"), rows([key], "old_key"), AT)
+    assert {r.new_key for r in pairs.collect()} == near
