@@ -21,6 +21,7 @@ PAGE = ["doc_id", "page"]
 # Fixed values, in units of the median run height or as shares: results depend on them.
 TOLERANCE, GUTTER, QUIET, CROSSING, CROSSING_FLOOR, SPANNING = 0.6, 0.4, 0.15, 0.25, 4, 1.2
 MIN_SEPARATION, SPREAD = 0.15, 3.0
+STRETCH = 512  # pieces of a cell that are gathered at once
 
 
 def page_units(runs: DataFrame) -> DataFrame:
@@ -187,19 +188,29 @@ def cell_texts(placed: DataFrame, cell: list[str]) -> DataFrame:
     """Text, box and weakest confidence of each cell; pieces of a word join without a space."""
     order = W.partitionBy(*cell).orderBy("t", "l", "run_id")
     prev = {n: F.lag(n).over(order).alias(f"p_{n}") for n in ("text", "t", "b", "r")}
-    rows = placed.select("*", *prev.values())
+    rows = placed.select("*", *prev.values(), F.lead(F.lit(1)).over(order).alias("__more"), F.row_number().over(order).alias("__nth"))
     same_line = F.abs(F.col("t") - F.col("p_t")) < (F.col("p_b") - F.col("p_t")) * 0.5
     spaced = F.when(same_line, F.col("l") - F.col("p_r") > (F.col("p_b") - F.col("p_t")) * 0.2).otherwise(
         ~continues_word(F.col("p_text"), F.col("text"))
     )
     rows = rows.withColumn("piece", F.when(F.col("p_text").isNotNull() & spaced, F.concat(F.lit(" "), "text")).otherwise(F.col("text")))
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("t", "l", "run_id", "piece"))), lambda x: x["piece"]), ""
-    )
-    return rows.groupBy(*cell).agg(
-        F.trim(joined).alias("text"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"),
-        F.min("conf").alias("min_conf"), F.max(F.expr("origin = 'Ocr'")).alias("has_ocr"), F.bool_or("spanning").alias("spanning"),
-        F.count("*").alias("runs"),
+    # Windows of one order share one sort; grouping would sort all pieces again.  Each row of a window carries its list, so lists end
+    # after STRETCH pieces; what a longer cell has behind them is joined from one row for each further stretch.
+    whole, stretch = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), order.rowsBetween(1 - STRETCH, 0)
+    heads = rows.select(
+        *cell, "t", "l", "run_id", "piece", "__more", F.col("__nth").cast("long").alias("runs"),
+        F.collect_list(F.when(F.col("__nth") <= STRETCH, F.col("piece"))).over(whole).alias("__head"),
+        *[f(c).over(whole).alias(o) for o, f, c in (
+            ("__l", F.min, "l"), ("__t", F.min, "t"), ("__r", F.max, "r"), ("__b", F.max, "b"), ("min_conf", F.min, "conf"),
+            ("has_ocr", F.max, F.expr("origin = 'Ocr'")), ("spanning", F.bool_or, "spanning"),
+        )],
+    ).where(f"__more IS NULL OR runs > {STRETCH}").withColumn("__head", F.when(F.col("__more").isNull(), F.array_join("__head", "")))
+    tails = heads.withColumn("__tail", F.collect_list(F.coalesce("piece", F.lit(""))).over(stretch)).where(f"__more IS NULL OR runs % {STRETCH} = 0")
+    last = f"IF(runs > {STRETCH}, array_join(slice(__tail, CAST(-1 - (runs - 1) % {STRETCH} AS INT), {STRETCH}), ''), '')"
+    ends = tails.withColumn("__tail", F.expr(last)).withColumn("__tails", F.collect_list("__tail").over(whole)).where("__more IS NULL")
+    return ends.select(
+        *cell, F.trim(F.concat("__head", F.array_join("__tails", ""))).alias("text"), *[F.col(f"__{x}").alias(x) for x in "ltrb"],
+        "min_conf", "has_ocr", "spanning", "runs",
     )
 
 

@@ -121,3 +121,18 @@ def test_overlaps_are_searched_once(spark):
     report = K.overlap_report(lines, ["doc_id", "line_no"])
     assert sorted((r.line_no, r.found, r.kept, r.kept_raw) for r in report.collect()) == [(i, 1, 1, f"0{i + 1}/02/2026") for i in range(4)]
     assert not any("RLIKE" in x for x in _plan(report).splitlines() if "Filter" in x)
+
+
+def test_pieces_of_a_cell_are_sorted_once(spark):
+    sizes = {0: 1, 1: 5, 2: G.STRETCH, 3: G.STRETCH + 1, 4: 3 * G.STRETCH + 7}
+    pieces = [(c, i, None if i % 50 == 3 else f"w{i}", 10.0 * i, 0.0, 10.0 * i + 5, 8.0, 1.0 - i / 9999, "Ocr" if i == 4 else "Pdf", i == 2) for c, n in sizes.items() for i in range(n)]
+    rows = spark.createDataFrame(pieces, "cell int, run_id int, text string, l double, t double, r double, b double, conf double, origin string, spanning boolean")
+    out = G.cell_texts(rows.repartition(5), ["cell"])
+    assert "ObjectHashAggregate" not in _plan(out) and _plan(out).count("Sort [") == 1
+    for r in out.collect():
+        mine = [p for p in pieces if p[0] == r.cell]
+        # no space behind a missing piece
+        text = "".join("" if p[2] is None else p[2] if i == 0 or mine[i - 1][2] is None else " " + p[2] for i, p in enumerate(mine))
+        assert (r.text, r.l, r.t, r.r, r.b, r.runs) == (text, 0.0, 0.0, mine[-1][5], 8.0, len(mine))
+        assert (r.min_conf, r.has_ocr, r.spanning) == (mine[-1][7], len(mine) > 4, len(mine) > 2)
+    assert out.count() == len(sizes)
