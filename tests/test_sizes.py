@@ -12,6 +12,7 @@ from schedlake.operators import pages as P
 from schedlake.operators import schedules as S
 from schedlake.operators import tokens as K
 from schedlake.plans import resolution
+from schedlake import session
 from schedlake.session import written
 from schedlake.sources import rendered
 
@@ -136,3 +137,19 @@ def test_pieces_of_a_cell_are_sorted_once(spark):
         assert (r.text, r.l, r.t, r.r, r.b, r.runs) == (text, 0.0, 0.0, mine[-1][5], 8.0, len(mine))
         assert (r.min_conf, r.has_ocr, r.spanning) == (mine[-1][7], len(mine) > 4, len(mine) > 2)
     assert out.count() == len(sizes)
+
+
+def test_cells_of_dated_tables_are_dealt_by_rows(spark, monkeypatch):
+    """Layouts of many sheets are not sent to every task, and no task gets more than its number of cells."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    cells = spark.range(400).selectExpr("id AS doc_id", "explode(array(0L, 1L, 2L)) AS row_no", "'s' AS sheet").selectExpr(
+        "*", "posexplode(IF(row_no = 0, array('Event', 'Date', 'Time'), array(concat('Review ', row_no), '2026-03-12', '14:35'))) AS (col, text)"
+    )
+    layout = written(S.dated_layout(cells), "layout")
+    short = S.dated_table(cells, layout).collect()
+    monkeypatch.setattr(session, "SENT_ROWS", 100)
+    entries = S.dated_table(cells, layout)
+    assert sorted(entries.collect()) == sorted(short) and len(short) == 800
+    assert session.dealt(cells, ["doc_id"], cells.count()).rdd.getNumPartitions() == 36
+    rows = session.met(cells, layout, ["doc_id", "sheet", "col"], 3600, layout.count())
+    assert "SortMergeJoin" in _plan(rows) and rows.count() == 3600
