@@ -129,13 +129,16 @@ def near_links(prints: DataFrame, radius: int = 3, most: int = 2048) -> DataFram
 
 
 def _buckets(tab: DataFrame, probes: DataFrame, keys: list[str], most: int | None) -> DataFrame:
-    """Members of the buckets in which a table row meets another row; ``hot``: more than ``most`` of them."""
+    """Members of the buckets in which a table row meets another row; ``hot``: more than ``most`` of them.
+
+    Spark takes 66 exploded probes for one row, and keys pack well: joins are shuffled whatever the estimates.
+    """
     sizes = written(tab.groupBy(*keys).count(), "bucket-sizes")
-    hits = written(probes.join(sizes, keys), "bucket-hits")
+    hits = written(probes.join(sizes.hint("merge"), keys), "bucket-hits")
     met = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("probed"))
-    met = sizes.join(met, keys, "left").select(*keys, (F.col("count") + F.coalesce("probed", F.lit(0))).alias("members"))
+    met = sizes.join(met.hint("merge"), keys, "left").select(*keys, (F.col("count") + F.coalesce("probed", F.lit(0))).alias("members"))
     met = written(met.where("members > 1"), "bucket-members")
-    rows = tab.unionByName(hits.drop("count")).join(met, keys)
+    rows = tab.unionByName(hits.drop("count")).join(met.hint("merge"), keys)
     return rows.select(*keys, "fingerprint", (F.lit(False) if most is None else F.col("members") > most).alias("hot"))
 
 

@@ -2,7 +2,9 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from schedlake.llm import simhash as simhash_module
 from schedlake.llm.components import components
 from schedlake.llm.simhash import near_classes, near_links, op2_simhash, simhash
 
@@ -53,6 +55,18 @@ def test_links_have_the_components_of_all_pairs(spark, most):
     assert want == {v: got.get(v, v) for v in values}
 
 
+def test_probes_are_never_sent_to_the_driver(spark, monkeypatch):
+    """66 exploded probes of a fingerprint count as one row in Spark's estimates."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, write = [], simhash_module.written
+    monkeypatch.setattr(simhash_module, "written", lambda df, name: plans.append(plan(df)) or write(df, name))
+    prints = spark.range(3000).select(F.xxhash64("id").alias("fingerprint"))
+    prints = prints.unionByName(prints.select(F.expr("fingerprint ^ 5L").alias("fingerprint")))
+    links = near_links(prints, most=2)
+    assert links.distinct().count() >= 3000
+    assert any("Generate" in p for p in plans) and not any("BroadcastExchange" in p for p in [*plans, plan(links)])
+
+
 def test_components_of_long_paths_and_hot_nodes(spark):
     path = [(i, i + 1) for i in range(0, 100)]
     hub = [(1000, i) for i in range(1001, 1500)]
