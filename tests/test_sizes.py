@@ -5,10 +5,13 @@ import time
 from pyspark.sql import functions as F
 
 from schedlake.functions import dates as D
+from schedlake.functions import once as once_module
+from schedlake.functions.ordered import in_one_range
 from schedlake.operators import calendar as L
 from schedlake.operators import geometry as G
 from schedlake.operators import quality as Q
 from schedlake.operators import pages as P
+from schedlake.operators import resolve as R
 from schedlake.operators import schedules as S
 from schedlake.operators import tokens as K
 from schedlake.plans import resolution
@@ -153,3 +156,30 @@ def test_cells_of_dated_tables_are_dealt_by_rows(spark, monkeypatch):
     assert session.dealt(cells, ["doc_id"], cells.count()).rdd.getNumPartitions() == 36
     rows = session.met(cells, layout, ["doc_id", "sheet", "col"], 3600, layout.count())
     assert "SortMergeJoin" in _plan(rows) and rows.count() == 3600
+
+
+def test_lines_of_prose_are_dealt_out_once(spark, monkeypatch):
+    """What a document's lines say together is found in one walk; documents over several ranges are read as before, with the same rows."""
+    docs = [
+        ["Subject: Board review", "Due date: 12 May 2026", "Reporting time: 9:30 am"],
+        ["Annual General", "Meeting 05/06/2026 14:35", None, "06/06/2026", "Last date for", "payment 13/06/2026"],
+        ["Mathematics", "12/05/2026", "13/05/2026 10:00-11:30", "13/05/2026 10:00-11:30", "", "Mathematics", "05/05/2026"],
+        ["31/01/2026", "2026", "03/04/2026"],
+        ["Reporting time: 7 pm", "Slot: 8 pm", "Viva on 4 October 1996"],
+        ["Project demo", "nothing here"],
+    ]
+    rows = [(d, n, text) for d, texts in enumerate(docs) for n, text in enumerate(texts * (1 + 3 * (d == 2)))]
+    lines = written(spark.createDataFrame([*rows, (None, 1, "Due date: 1 May 2026")], "doc_id long, line_no long, text string"), "lines")
+    far = written(lines.selectExpr("doc_id", "line_no + 4090 AS line_no", "text"), "lines")
+    assert in_one_range(lines, "line_no") and not in_one_range(far, "line_no")
+    plans = []
+    for module in (S, R, once_module):
+        monkeypatch.setattr(module, "written", lambda df, name: plans.append(_plan(df)) or written(df, name))
+    short = S.prose_events(lines)
+    dealt = sum(p.count("Exchange hashpartitioning(doc_id") for p in [*plans, _plan(short)])
+    plans.clear()
+    long = S.prose_events(far).withColumn("line_no", F.col("line_no") - 4090)
+    assert dealt <= 7 < sum(p.count("Exchange hashpartitioning(doc_id") for p in plans)
+    got = sorted(map(repr, short.collect()))
+    assert got == sorted(map(repr, long.select(*short.columns).collect())) and len(got) >= 8
+    assert {r.kind for r in short.collect()} > {"Deadline"}
