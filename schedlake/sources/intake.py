@@ -34,12 +34,15 @@ def _without_bom(content: str) -> str:
     return f"IF(startswith({content}, X'EFBBBF'), substring({content}, 4), {content})"
 
 
+FILLED = r"{} RLIKE r'[^\p{{Zs}}]'"  # more than spaces of any script; trim knows only the one of ASCII
+
+
 def sniff_format(files: DataFrame) -> DataFrame:
     """Adds ``format`` from the first 512 bytes: signature, then delimited lines, then text."""
     head = files.withColumn("__h", F.expr(f"substring(content, 1, {PROBE_BYTES})"))
     text = "make_valid_utf8(CAST({0} AS STRING))".format(_without_bom("__h"))
     head = head.withColumn("__t", F.expr(text))
-    lines = "filter(split(__t, '\\r\\n|\\n|\\r'), l -> trim(l) <> '')"
+    lines = f"filter(split(__t, '\\r\\n|\\n|\\r'), l -> {FILLED.format('l')})"
     head = head.withColumn("__l", F.expr(f"slice({lines}, 1, greatest(size({lines}) - 1, 0))"))
     same = " OR ".join(
         f"(length(__l[0]) > length(replace(__l[0], '{d}', '')) AND "
@@ -52,7 +55,7 @@ def sniff_format(files: DataFrame) -> DataFrame:
         WHEN length(__h) >= 12 AND substring(__h, 5, 4) = X'66747970' THEN 'Image'
         WHEN length(__h) = 0 OR contains(__h, X'00') THEN 'Unsupported'
         WHEN size(__l) >= 3 AND ({same}) THEN 'Csv'
-        WHEN trim(__t) <> '' AND (length(__t) - length(replace(__t, '\ufffd', ''))) * 20 < length(__t) THEN 'PlainText'
+        WHEN {FILLED.format('__t')} AND (length(__t) - length(replace(__t, '\ufffd', ''))) * 20 < length(__t) THEN 'PlainText'
         ELSE 'Unsupported' END"""
     return head.withColumn("format", F.expr(fmt)).drop("__h", "__t", "__l")
 

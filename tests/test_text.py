@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from schedlake.functions import times as T
 from schedlake.operators import tokens as K
+from schedlake.sources import intake as N
 
 
 def dates_of(spark, *texts):
@@ -86,3 +87,9 @@ def test_cell_references(spark):
     assert [r[0] for r in spark.createDataFrame([(0,), (25,), (26,), (702,)], "i int").select(K.column_letters(F.col("i"))).collect()] == [
         "A", "Z", "AA", "AAA",
     ]
+
+
+def test_files_of_spaces_alone_are_no_text(spark):
+    files = {"nbsp": " ", "wide": "　  ", "word": " a ", "lines": "a,b\n \nc,d\n　\ne,f\ng,h\n"}
+    rows = spark.createDataFrame([(n, bytearray(t.encode())) for n, t in files.items()], "path string, content binary")
+    assert {r.path: r.format for r in N.sniff_format(rows).collect()} == {"nbsp": "Unsupported", "wide": "Unsupported", "word": "PlainText", "lines": "Csv"}
